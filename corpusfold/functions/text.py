@@ -92,7 +92,7 @@ def sql_norm(expr: str) -> str:
 
 def sql_tokens(expr: str) -> str:
     from corpusfold.functions.regex import WS as _ws
-    return f"list_filter(regexp_split_to_array(coalesce({expr}, ''), '{_ws}+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array(coalesce({expr}, ''), '{_ws}+'), lambda x: x <> '')"
 
 
 def sql_token_overlap(gen: str, ref: str) -> str:

@@ -8,6 +8,8 @@ the oracle queries.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,7 +133,7 @@ def vector_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VECTOR_PUSHES_SQL = """
 SELECT CAST(label AS VARCHAR) AS expert, vec_id AS seq,
-       list_transform(embedding, x -> CAST(x AS DOUBLE)) AS delta, cur,
+       list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS delta, cur,
        cur - least(cur, vec_id % 4) AS worker_version
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS cur FROM embeddings) v
 """
@@ -173,4 +175,6 @@ def with_views(sql: str, **views: str) -> str:
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
+    if re.match(r"^\w+ AS \(", body):      # body continues the CTE list
+        return f"WITH {ctes},\n{body}"
     return f"WITH {ctes}\n{body}"
