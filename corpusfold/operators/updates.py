@@ -135,10 +135,10 @@ def batch_combine(batches: DataFrame, dim: int, strategy: str = "weighted_averag
         weight = None
     ok = sized.filter(F.size(delta) == F.lit(dim))
     if weight is None:
-        empty = ok.limit(0)
-        state = empty.select(F.lit(0).alias("pos"), F.lit(0.0).alias("value")).crossJoin(version)
-        contrib = empty.select("expert", F.lit(0.0).alias("weight"))
-        return state, contrib
+        zeros = batches.sparkSession.range(dim).select(F.col("id").cast("int").alias("pos"),
+                                                       F.lit(0.0).alias("value"))
+        contrib = ok.limit(0).select("expert", F.lit(0.0).alias("weight"))
+        return zeros.crossJoin(version), contrib
     ok = ok.withColumn("weight", weight)
     state = (ok.select("weight", F.posexplode(delta).alias("pos", "x"))
              .groupBy("pos").agg(F.sum(F.lit(R.SERVER_LR) * F.col("weight") * F.col("x")).alias("value"))
