@@ -34,8 +34,15 @@ def registry(spark, experts: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(e,) for e in dict.fromkeys(experts)], "expert string")
 
 
-def accepted(log: DataFrame, reg: DataFrame, keys: Sequence[str] = ("expert",)) -> DataFrame:
-    """Pushes for unknown experts are dropped silently (left semi join)."""
+def accepted(log: DataFrame, reg: DataFrame | Sequence[str], keys: Sequence[str] = ("expert",)) -> DataFrame:
+    """Pushes for unknown experts are dropped silently.
+
+    A registry given as a list (bounded by its length) is an ``isin`` filter that
+    Catalyst pushes into the scan; a registry DataFrame of unknown size is a left
+    semi join (AQE broadcasts it at runtime when it turns out small).
+    """
+    if isinstance(reg, (list, tuple)):
+        return log.filter(F.col(keys[0]).isin(list(dict.fromkeys(reg))))
     return log.join(reg, on=list(keys), how="left_semi")
 
 
@@ -68,10 +75,11 @@ def fold_scalar(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str =
                                 F.coalesce(F.sum(_weight() * F.col(delta)), F.lit(0.0)).alias("state"))
 
 
-def expert_states(reg: DataFrame, log: DataFrame, delta: str = "delta") -> DataFrame:
+def expert_states(reg: DataFrame | Sequence[str], log: DataFrame, delta: str = "delta") -> DataFrame:
     """U1 + U2: registered experts with their folded state; never-pushed experts at version 0, state 0."""
     folded = fold_scalar(accepted(log, reg), delta=delta)
-    return (reg.join(folded, "expert", "left")
+    reg_df = registry(log.sparkSession, reg) if isinstance(reg, (list, tuple)) else reg
+    return (reg_df.join(folded, "expert", "left")
             .select("expert", F.coalesce("version", F.lit(0)).cast("bigint").alias("version"),
                     F.coalesce("state", F.lit(0.0)).alias("state")))
 

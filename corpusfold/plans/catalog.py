@@ -337,8 +337,7 @@ FROM {_REG_SQL} LEFT JOIN f ON f.expert = reg.expert""", pushes=X.pushes_sql()).
           .replace("WITH pushes AS", "WITH pushes AS", 1))
 def expert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1 + U2: registered experts' states folded from the scalar update log."""
-    reg = U.registry(spark, REGISTERED)
-    st = U.expert_states(reg, X.pushes(spark, sf_dir))
+    st = U.expert_states(REGISTERED, X.pushes(spark, sf_dir))
     return st.select("expert", "version", F.round("state", 6).alias("state"))
 
 
@@ -348,8 +347,7 @@ SELECT CAST(count(*) AS BIGINT) AS global_version, round(coalesce(sum(1.0e0 * de
 FROM d""", pushes=X.pushes_sql()))
 def global_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The global (gateway) state and version over every accepted push."""
-    reg = U.registry(spark, REGISTERED)
-    g = U.global_scalar(U.accepted(X.pushes(spark, sf_dir), reg))
+    g = U.global_scalar(U.accepted(X.pushes(spark, sf_dir), REGISTERED))
     return g.select("global_version", F.round("global_state", 6).alias("global_state"))
 
 

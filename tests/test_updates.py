@@ -63,6 +63,8 @@ def test_scalar_fold_and_registry(spark):
     for e in ("a", "b"):
         assert got[e][0] == version[e] and got[e][1] == pytest.approx(state[e], abs=1e-9)
     g = U.global_scalar(U.accepted(log, reg)).collect()[0]
+    g2 = U.global_scalar(U.accepted(log, ["a", "b"])).collect()[0]
+    assert g2.global_version == g.global_version and g2.global_state == pytest.approx(g.global_state, abs=1e-9)
     _, _, glob, gv = _sequential(rows, {"a", "b"})
     assert g.global_version == gv and g.global_state == pytest.approx(glob, abs=1e-9)
 
