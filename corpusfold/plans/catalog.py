@@ -43,15 +43,17 @@ def _items_sql(body: str) -> str:
     return X.with_views(body, items=X.ITEMS_SQL)
 
 
-def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items routed by the flagship chain, item fields kept for the reports.
+def routed(spark: SparkSession, sf_dir: str, barrier: bool = False) -> DataFrame:
+    """Items routed by the flagship chain, with the fields the reports read.
 
-    The routed table has several consumers (reports, sinks) and filters/joins on
-    ``domain`` must not be pushed into the regex projection (each pushed copy
+    ``barrier=True`` is for consumers that join or filter on ``domain``: such a
+    predicate must not be pushed into the regex projection (each pushed copy
     re-runs the rules), so lineage is cut with a reliable checkpoint into the
-    shared checkpoint folder.
+    shared checkpoint folder, keeping only the report columns.
     """
-    return cut_lineage(C.classify_chain(items_input(spark, sf_dir), ROUTE_DOMAINS, ROUTE_DEFAULT, keep=None))
+    out = C.classify_chain(items_input(spark, sf_dir), ROUTE_DOMAINS, ROUTE_DEFAULT,
+                           keep=["item_id", "prompt", "code", "library"])
+    return cut_lineage(out.select("item_id", "domain", "reason")) if barrier else out
 
 
 def items_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +122,7 @@ SELECT CAST(conf.position AS INTEGER) AS position, conf.domain, CAST(coalesce(c.
 FROM {_DOMAIN_LIST_SQL} LEFT JOIN counts c ON c.domain = conf.domain CROSS JOIN tot"""))
 def domain_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 + A3 + S7: counts over the configured domains plus misc, zeros kept, with percentages."""
-    return A.domain_distribution(routed(spark, sf_dir), REPORT_DOMAINS)
+    return A.domain_distribution(routed(spark, sf_dir, barrier=True), REPORT_DOMAINS)
 
 
 @register("reason_top", _report_sql("""

@@ -70,14 +70,18 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-def estimated_splits(df: DataFrame) -> int | None:
+def estimated_splits(df: DataFrame, enough: int | None = None) -> int | None:
     """Scan splits a file-based DataFrame will get: files, or bytes / maxPartitionBytes if larger.
 
-    Planning-time only (no job). ``None`` when the input is not file-based.
+    Planning-time only (no job). ``None`` when the input is not file-based. When
+    there are already ``enough`` files the sizes are not looked up (a large table
+    has many files; statting them all from the driver would be the slow part).
     """
     files = df.inputFiles()
     if not files:
         return None
+    if enough is not None and len(files) >= enough:
+        return len(files)
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -98,7 +102,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     never shuffles a big table.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    est = estimated_splits(df)
+    est = estimated_splits(df, enough=target)
     if est is None or est >= target:
         return df
     if key and key in df.columns:

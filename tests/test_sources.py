@@ -88,3 +88,22 @@ def test_domain_sink_roundtrip(spark, tmpdir_path):
     text = SK.render_text_report(spark.createDataFrame([("x", 3, 75.0, 4), ("y", 1, 25.0, 4)],
                                                        "domain string, cnt long, pct double, total long"))
     assert "Total Items: 4" in text and "x                    3 items ( 75.0%)" in text
+
+
+def test_split_corpus_end_to_end(spark, tmpdir_path):
+    from corpusfold.plans.split import split_corpus
+    items = [{"prompt": "Read CSV", "code": "import pandas as pd", "metadata": {"library": "pandas"}, "extra": [1]},
+             {"prompt": "Get users", "code": "SELECT * FROM users WHERE id = 1;"},
+             {"prompt": "hello", "code": ""}]
+    p = _write(tmpdir_path, "in.jsonl", "\n".join(json.dumps(i) for i in items) + "\n{bad\n")
+    out = os.path.join(tmpdir_path, "domains")
+    res = split_corpus(spark, p, out, domains=["python", "sql"], default_domain="misc", create_misc=True)
+    assert res.domains == ["python", "sql", "misc"]
+    dist = {r.domain: r.cnt for r in res.distribution.collect()}
+    assert dist == {"python": 1, "sql": 1, "misc": 1}
+    back = {r.domain: r.raw for r in SK.read_domains(spark, out).collect()}
+    assert json.loads(back["python"])["extra"] == [1]          # unread keys survive
+    assert "Total Items: 3" in res.text_report()
+    imp = split_corpus(spark, p, os.path.join(tmpdir_path, "d2"), domains=["pandas", "sql", "py_core"],
+                       default_domain="py_core", rules="imports")
+    assert {r.domain: r.cnt for r in imp.distribution.collect()} == {"pandas": 1, "sql": 1, "py_core": 1}
