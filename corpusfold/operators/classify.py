@@ -89,6 +89,34 @@ def _argmax(candidates: list[Column]) -> Column:
     return F.greatest(*candidates)
 
 
+def _sql_str(s: str) -> str:
+    """Spark SQL string literal (default parser: backslash escapes are processed)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_ok() -> bool:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    return spark is not None and \
+        str(spark.conf.get("spark.sql.parser.escapedStringLiterals", "false")).lower() != "true"
+
+
+def _guarded_sql(text: str, folded: str, pattern: str, ignorecase: bool, multiline: bool) -> str:
+    """SQL text of :func:`guarded_rlike` over named columns."""
+    rx = f"{text} RLIKE {_sql_str(java_regex(pattern, ignorecase, multiline))}"
+    lits = required_literals(pattern)
+    if not lits:
+        return f"({rx})"
+    guard = " OR ".join(f"contains({folded}, {_sql_str(lit)})" for lit in lits)
+    return f"(({guard}) AND {rx})"
+
+
+def _weighted_sum(terms: list[tuple[str, float]]) -> Column:
+    """``sum(CASE WHEN cond THEN w ELSE 0 END)`` built as one SQL expression (one py4j call
+    instead of several per term)."""
+    return F.expr(" + ".join(f"(CASE WHEN {c} THEN {w!r}D ELSE 0.0D END)" for c, w in terms))
+
+
 def _any_rlike(text: Column, folded: Column, patterns: Sequence[str], ignorecase: bool,
                multiline: bool) -> Column:
     cond = None
@@ -163,11 +191,15 @@ def _pattern_build(domains: Sequence[str]):
         if tiers is None:
             continue
         score = None
-        for tier, pats in tiers.items():
-            w = R.PATTERN_WEIGHTS[tier]
-            for p in pats:
-                term = F.when(guarded_rlike(text, folded, p, True, True), F.lit(w)).otherwise(F.lit(0.0))
-                score = term if score is None else score + term
+        if _sql_ok():
+            score = _weighted_sum([(_guarded_sql(T_PROMPT_CODE, T_FOLD_PC, p, True, True), R.PATTERN_WEIGHTS[t])
+                                   for t, pats in tiers.items() for p in pats])
+        else:
+            for tier, pats in tiers.items():
+                w = R.PATTERN_WEIGHTS[tier]
+                for p in pats:
+                    term = F.when(guarded_rlike(text, folded, p, True, True), F.lit(w)).otherwise(F.lit(0.0))
+                    score = term if score is None else score + term
         cands.append(F.struct(F.least(score / F.lit(R.PATTERN_CAP), F.lit(1.0)).alias("s"),
                               F.lit(-idx).alias("r"), F.lit(dom).alias("d")))
     if not cands:
@@ -209,13 +241,18 @@ def _keyword_build(domains: Sequence[str]):
         if cfg is None:
             continue
         score = None
-        for kw in cfg["keywords"]:
-            term = F.when(text.contains(F.lit(kw)), F.lit(R.KEYWORD_HIT)).otherwise(F.lit(0.0))
-            score = term if score is None else score + term
-        for p in cfg["patterns"]:
-            term = F.when(guarded_rlike(text, folded, p, True, False),
-                          F.lit(R.KEYWORD_PATTERN_HIT)).otherwise(F.lit(0.0))
-            score = term if score is None else score + term
+        if _sql_ok():
+            score = _weighted_sum([(f"contains({T_KEYWORD}, {_sql_str(kw)})", R.KEYWORD_HIT) for kw in cfg["keywords"]]
+                                  + [(_guarded_sql(T_KEYWORD, T_FOLD_KW, p, True, False), R.KEYWORD_PATTERN_HIT)
+                                     for p in cfg["patterns"]])
+        else:
+            for kw in cfg["keywords"]:
+                term = F.when(text.contains(F.lit(kw)), F.lit(R.KEYWORD_HIT)).otherwise(F.lit(0.0))
+                score = term if score is None else score + term
+            for p in cfg["patterns"]:
+                term = F.when(guarded_rlike(text, folded, p, True, False),
+                              F.lit(R.KEYWORD_PATTERN_HIT)).otherwise(F.lit(0.0))
+                score = term if score is None else score + term
         raws.append((f"k{idx}", idx, dom, score))
     if not raws:
         return null_result()

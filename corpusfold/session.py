@@ -77,11 +77,12 @@ def estimated_splits(df: DataFrame, enough: int | None = None) -> int | None:
     there are already ``enough`` files the sizes are not looked up (a large table
     has many files; statting them all from the driver would be the slow part).
     """
-    files = df.inputFiles()
-    if not files:
+    files = df._jdf.inputFiles()          # JVM array: only its length crosses to Python here
+    n_files = len(files)
+    if n_files == 0:
         return None
-    if enough is not None and len(files) >= enough:
-        return len(files)
+    if enough is not None and n_files >= enough:
+        return n_files
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -90,7 +91,7 @@ def estimated_splits(df: DataFrame, enough: int | None = None) -> int | None:
         hp = jvm.org.apache.hadoop.fs.Path(f)
         total += hp.getFileSystem(conf).getFileStatus(hp).getLen()
     max_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
-    return max(len(files), -(-total // max_bytes))
+    return max(n_files, -(-total // max_bytes))
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
