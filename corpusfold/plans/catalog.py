@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from corpusfold.functions import rules as R
 from corpusfold.operators import classify as C
@@ -39,6 +40,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+DECIMALS = 9   # averages over several doubles: summation order differs between engines
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    """Round the named double columns to ``DECIMALS`` places (the oracle SQL does the same)."""
+    return df.withColumns({c: F.round(c, DECIMALS) for c in cols})
+
+
 def _items_sql(body: str) -> str:
     return X.with_views(body, items=X.ITEMS_SQL)
 
@@ -188,8 +197,6 @@ def balance_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- evaluation
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from corpusfold.functions.text import sql_exact_match, sql_token_overlap  # noqa: E402
 from corpusfold.operators import evaluate as EV  # noqa: E402
 from corpusfold.operators import updates as U  # noqa: E402
@@ -240,12 +247,13 @@ WITH h AS (SELECT lang AS domain, doc_id, text FROM
                   {sql_token_overlap('substring(text, 1, 50)', 'text')} AS similarity FROM h),
      p AS (SELECT domain, CAST(count(*) AS BIGINT) AS n, coalesce(avg(exact_match), 0.0) AS exact_match,
                   coalesce(avg(similarity), 0.0) AS similarity FROM s GROUP BY domain)
-SELECT *, avg(exact_match) OVER () AS macro_exact_match FROM p""")
+SELECT domain, n, round(exact_match, 9) AS exact_match, round(similarity, 9) AS similarity,
+       round(avg(exact_match) OVER (), 9) AS macro_exact_match FROM p""")
 def head_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 + F13: first 3 documents per language scored with their own 50-character prefix; macro mean."""
     docs = X.table(spark, sf_dir, "documents").select(
         F.col("lang").alias("domain"), F.col("doc_id").alias("item_id"), F.col("text").alias("reference_code"))
-    return EV.head_eval(docs, k=HEAD_K)
+    return rounded(EV.head_eval(docs, k=HEAD_K), "exact_match", "similarity", "macro_exact_match")
 
 
 @register("round_eval")
@@ -267,13 +275,15 @@ RUN_A, RUN_B = "rehearsal", "naive"
                max(CASE WHEN run = '{RUN_B}' THEN avg_q END) AS b_avg_quality,
                max(CASE WHEN run = '{RUN_A}' THEN final_q END) AS a_final_quality,
                max(CASE WHEN run = '{RUN_B}' THEN final_q END) AS b_final_quality FROM r)
-SELECT '{RUN_A}' AS run_a, '{RUN_B}' AS run_b, a_avg_quality, b_avg_quality,
-       (a_avg_quality - b_avg_quality) / (b_avg_quality + 1e-6) * 100.0 AS improvement_percent,
-       a_final_quality, b_final_quality
+SELECT '{RUN_A}' AS run_a, '{RUN_B}' AS run_b, round(a_avg_quality, 9) AS a_avg_quality,
+       round(b_avg_quality, 9) AS b_avg_quality,
+       round((a_avg_quality - b_avg_quality) / (b_avg_quality + 1e-6) * 100.0, 9) AS improvement_percent,
+       round(a_final_quality, 9) AS a_final_quality, round(b_final_quality, 9) AS b_final_quality
 FROM w WHERE a_avg_quality IS NOT NULL AND b_avg_quality IS NOT NULL""".replace("\n, q AS", "q AS", 1)))
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and final quality of two runs and the relative improvement."""
-    return EV.run_compare(X.eval_score(spark, sf_dir), RUN_A, RUN_B)
+    return rounded(EV.run_compare(X.eval_score(spark, sf_dir), RUN_A, RUN_B), "a_avg_quality", "b_avg_quality",
+                   "improvement_percent", "a_final_quality", "b_final_quality")
 
 
 @register("setting_rank", _eval_sql("""
@@ -281,10 +291,10 @@ l AS (SELECT run, max(step) AS last FROM eval_score GROUP BY run),
   o AS (SELECT e.run, avg(score) AS overall_quality, CAST(count(*) AS BIGINT) AS num_domains
         FROM eval_score e JOIN l ON e.run = l.run AND e.step = l.last GROUP BY e.run)
 SELECT CAST(row_number() OVER (ORDER BY overall_quality DESC, run) AS BIGINT) AS rank, run AS setting,
-       overall_quality, num_domains FROM o"""))
+       round(overall_quality, 9) AS overall_quality, num_domains FROM o"""))
 def setting_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13 (+ D2 grid form): settings ranked by overall quality at their last step, stable."""
-    return EV.setting_rank(X.eval_score(spark, sf_dir))
+    return rounded(EV.setting_rank(X.eval_score(spark, sf_dir)), "overall_quality")
 
 
 @register("forgetting", _eval_sql("""
@@ -293,12 +303,12 @@ l AS (SELECT run, max(step) AS last FROM eval_score GROUP BY run),
                coalesce(max(CASE WHEN step = last THEN score END), 0.0) AS last_score,
                max(CASE WHEN step = last THEN 1 ELSE 0 END) AS in_last
         FROM eval_score e JOIN l USING (run) GROUP BY e.run, e.domain)
-SELECT run, avg(greatest(best - last_score, 0.0)) AS avg_forgetting,
-       avg(CASE WHEN in_last = 1 THEN last_score END) AS final_overall, CAST(count(*) AS BIGINT) AS num_domains
+SELECT run, round(avg(greatest(best - last_score, 0.0)), 9) AS avg_forgetting,
+       round(avg(CASE WHEN in_last = 1 THEN last_score END), 9) AS final_overall, CAST(count(*) AS BIGINT) AS num_domains
 FROM d GROUP BY run"""))
 def forgetting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average forgetting per run and final overall quality."""
-    return EV.forgetting(X.eval_score(spark, sf_dir))
+    return rounded(EV.forgetting(X.eval_score(spark, sf_dir)), "avg_forgetting", "final_overall")
 
 
 @register("forgetting_curve", _eval_sql("""
@@ -570,8 +580,9 @@ q AS (SELECT run, step, avg(score) AS avg_exact_match, avg(exec_pass) AS avg_exe
          FROM (SELECT expert, step, count(*) AS n FROM ps GROUP BY 1, 2) a),
   vs AS (SELECT step, string_agg(expert || ':' || CAST(version AS VARCHAR), ',' ORDER BY expert) AS expert_versions FROM ev GROUP BY step),
   gv AS (SELECT step, CAST(sum(num_updates) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS gateway_version FROM cm)
-SELECT q.run, q.step, q.avg_exact_match, q.avg_execution_pass_rate,
-       (q.avg_exact_match + q.avg_execution_pass_rate) / 2 AS avg_code_quality,
+SELECT q.run, q.step, round(q.avg_exact_match, 9) AS avg_exact_match,
+       round(q.avg_execution_pass_rate, 9) AS avg_execution_pass_rate,
+       round((q.avg_exact_match + q.avg_execution_pass_rate) / 2, 9) AS avg_code_quality,
        coalesce(cm.total_communication_bytes, 0.0) AS total_communication_bytes,
        CAST(coalesce(cm.num_updates, 0) AS BIGINT) AS num_updates, vs.expert_versions, gv.gateway_version
 FROM q LEFT JOIN cm USING (step) LEFT JOIN vs USING (step) LEFT JOIN gv USING (step)""",
@@ -589,12 +600,13 @@ def round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.concat("expert", F.lit(":"), F.col("version").cast("string")))),
                      ",").alias("expert_versions"),
         F.max("global_version").alias("gateway_version"))
-    return (q.join(comm, "step", "left").join(vs, "step", "left")
+    out = (q.join(comm, "step", "left").join(vs, "step", "left")
             .select("run", "step", "avg_exact_match", "avg_execution_pass_rate",
                     ((F.col("avg_exact_match") + F.col("avg_execution_pass_rate")) / 2).alias("avg_code_quality"),
                     F.coalesce("total_communication_bytes", F.lit(0.0)).alias("total_communication_bytes"),
                     F.coalesce("num_updates", F.lit(0)).cast("bigint").alias("num_updates"),
                     "expert_versions", "gateway_version"))
+    return rounded(out, "avg_exact_match", "avg_execution_pass_rate", "avg_code_quality")
 
 
 # ------------------------------------------------------------ sources, sinks
@@ -829,7 +841,8 @@ sp AS ({OC.specialty_sql(R.CANONICAL_SPECIALTIES, src='pitems')}),
   st AS (SELECT * FROM (VALUES """ + ", ".join(
     f"({i}, '{'+'.join(s)}', {len(s)})" for i, s in enumerate(D.parse_expert_sets(R.DEFAULT_EXPERT_SETS))) + f""") AS t(setting_index, setting, num_experts))
 SELECT CAST(row_number() OVER (ORDER BY overall_quality DESC, setting_index) AS BIGINT) AS rank,
-       CAST(setting_index AS INTEGER) AS setting_index, setting, CAST(num_experts AS INTEGER) AS num_experts, overall_quality
+       CAST(setting_index AS INTEGER) AS setting_index, setting, CAST(num_experts AS INTEGER) AS num_experts,
+       round(overall_quality, 9) AS overall_quality
 FROM st, ov""", pairs=X.PAIRS_SQL, pitems=_pair_items_sql()))
 def expert_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18 + D2 + A13: expert-set grid (default 'generalist|python,sql|python,sql,docs'),
@@ -843,7 +856,8 @@ def expert_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = sets.crossJoin(overall)   # settings x one row
     w = Window.orderBy(F.desc("overall_quality"), "setting_index")
     return grid.select(F.row_number().over(w).cast("bigint").alias("rank"), "setting_index", "setting",
-                       F.size("experts").cast("int").alias("num_experts"), "overall_quality")
+                       F.size("experts").cast("int").alias("num_experts"),
+                       F.round("overall_quality", DECIMALS).alias("overall_quality"))
 
 
 # ----------------------------------------------------------------- streaming
