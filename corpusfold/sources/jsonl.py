@@ -95,9 +95,17 @@ def read_json_array(spark: SparkSession, path: str, sample_size: int | None = No
 
 
 def detect_format(spark: SparkSession, path: str, head_chars: int = 4096) -> str:
-    """S3: ``'json_array'`` if the first non-space character of the head is ``[`` else ``'jsonl'``."""
+    """S3: ``'json_array'`` if the first non-space character of the head is ``[`` else ``'jsonl'``.
+
+    The head is that of the first file in path order (a scan returns splits in size
+    order, so ``limit`` on a directory could start in any file); within one file the
+    splits are taken in offset order. At most 256 lines travel to the driver.
+    """
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return "jsonl"
     seen = 0
-    for row in spark.read.text(path).limit(256).collect():   # bounded head
+    for row in spark.read.text(files[0]).limit(256).collect():   # bounded head
         line = row.value + "\n"
         for ch in line[: max(0, head_chars - seen)]:
             if not ch.isspace():

@@ -107,3 +107,12 @@ def test_split_corpus_end_to_end(spark, tmpdir_path):
     imp = split_corpus(spark, p, os.path.join(tmpdir_path, "d2"), domains=["pandas", "sql", "py_core"],
                        default_domain="py_core", rules="imports")
     assert {r.domain: r.cnt for r in imp.distribution.collect()} == {"pandas": 1, "sql": 1, "py_core": 1}
+
+
+def test_detection_reads_first_file_in_path_order(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "parts")
+    os.makedirs(d)
+    _write(d, "part-00000.txt", '{"prompt":"a"}\n')
+    _write(d, "part-00001.txt", "[1,2]\n" + "\n".join('{"prompt":"%d"}' % i for i in range(500)) + "\n")
+    assert S.detect_format(spark, d) == "jsonl"
+    assert S.read_items(spark, d).count() == 501
