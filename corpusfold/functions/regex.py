@@ -17,6 +17,7 @@ for case-insensitive patterns (Unicode case folding).
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 WS_CLASS_BODY = r"\t-\r\x1c-\x1f\x85\p{Z}"
@@ -84,6 +85,21 @@ def java_regex(pattern: str, ignorecase: bool = False, multiline: bool = False)
     return f"(?{flags})" + _translate(pattern, "java")
 
 
+@lru_cache(maxsize=None)
+def java_regex_folded(pattern: str, multiline: bool = False) -> str:
+    """A case-insensitive pattern for use on *folded* text (see ``classify.fold``).
+
+    Folding maps every character that matches an ASCII letter case-insensitively to
+    that lower-case letter, so matching the lower-cased pattern case-sensitively on
+    the folded text gives the same answer as ``(?iu)`` on the original - and a
+    case-sensitive literal prefix lets Java skip ahead (Boyer-Moore) instead of
+    trying every position. The rule patterns use no upper-case escapes.
+    """
+    if re.search(r"\\[A-Z]", pattern):
+        raise ValueError(f"upper-case escape in {pattern!r}")
+    return "(?d" + ("m" if multiline else "") + ")" + _translate(pattern.lower(), "java")
+
+
 @lru_cache(maxsize=None)
 def re2_regex(pattern: str, ignorecase: bool = False, multiline: bool = False) -> str:
     """Pattern for DuckDB ``regexp_matches`` with Python ``re`` meaning (search only)."""
@@ -132,7 +148,7 @@ def _split_top(pattern: str) -> list[str]:
     return parts
 
 
-def _longest_run(alt: str) -> str:
+def _runs(alt: str) -> list[str]:
     runs: list[str] = []
     cur: list[str] = []
     i = 0
@@ -189,16 +205,17 @@ def _longest_run(alt: str) -> str:
         else:
             cur.append(atom)
     close()
-    return max(runs, key=len) if runs else ""
+    return runs
 
 
 @lru_cache(maxsize=None)
-def required_literals(pattern: str) -> tuple[str, ...] | None:
-    """Lower-cased literals, one per top-level alternative, each contained in any match."""
-    lits = []
+def required_literals(pattern: str) -> tuple[tuple[str, ...], ...] | None:
+    """Per top-level alternative, the lower-cased literal runs every match of it contains
+    (all of them, longest first); ``None`` when some alternative has none."""
+    alts = []
     for alt in _split_top(pattern):
-        run = _longest_run(alt).lower()
-        if not run:
+        runs = sorted(dict.fromkeys(r.lower() for r in _runs(alt) if r), key=len, reverse=True)
+        if not runs:
             return None
-        lits.append(run)
-    return tuple(dict.fromkeys(lits))
+        alts.append(tuple(runs))
+    return tuple(dict.fromkeys(alts))

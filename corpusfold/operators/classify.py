@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfold.functions import rules as R
-from corpusfold.functions.regex import java_regex, required_literals
+from corpusfold.functions.regex import java_regex, java_regex_folded, required_literals
 from corpusfold.functions.text import PY_WHITESPACE as _PY_WS
 from corpusfold.functions.text import col_or_empty, line_count, norm
 
@@ -51,13 +51,17 @@ def guarded_rlike(text: Column, folded: Column, pattern: str, ignorecase: bool,
     ``And`` short-circuits in generated code, so rows without the literal never reach
     the regex engine.
     """
-    rx = text.rlike(java_regex(pattern, ignorecase, multiline))
-    lits = required_literals(pattern)
-    if not lits:
+    rx = (folded.rlike(java_regex_folded(pattern, multiline)) if ignorecase
+          else text.rlike(java_regex(pattern, ignorecase, multiline)))
+    alts = required_literals(pattern)
+    if not alts:
         return rx
     guard = None
-    for lit in lits:
-        g = folded.contains(F.lit(lit))
+    for runs in alts:
+        g = None
+        for lit in runs:
+            c = folded.contains(F.lit(lit))
+            g = c if g is None else (g & c)
         guard = g if guard is None else (guard | g)
     return guard & rx
 
@@ -103,11 +107,13 @@ def _sql_ok() -> bool:
 
 def _guarded_sql(text: str, folded: str, pattern: str, ignorecase: bool, multiline: bool) -> str:
     """SQL text of :func:`guarded_rlike` over named columns."""
-    rx = f"{text} RLIKE {_sql_str(java_regex(pattern, ignorecase, multiline))}"
-    lits = required_literals(pattern)
-    if not lits:
+    rx = (f"{folded} RLIKE {_sql_str(java_regex_folded(pattern, multiline))}" if ignorecase
+          else f"{text} RLIKE {_sql_str(java_regex(pattern, ignorecase, multiline))}")
+    alts = required_literals(pattern)
+    if not alts:
         return f"({rx})"
-    guard = " OR ".join(f"contains({folded}, {_sql_str(lit)})" for lit in lits)
+    guard = " OR ".join("(" + " AND ".join(f"contains({folded}, {_sql_str(lit)})" for lit in runs) + ")"
+                        for runs in alts)
     return f"(({guard}) AND {rx})"
 
 

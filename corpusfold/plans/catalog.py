@@ -877,3 +877,22 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, ckpt = scratch_path(spark, "fold-out"), scratch_path(spark, "fold-ckpt")
     ST.stream_fold(spark, src, sink, ckpt)
     return ST.latest_states(spark, sink).select("expert", "version", F.round("state", 6).alias("state"))
+
+
+@register("stream_vector_fold", X.with_views(f"""
+{_fold_cte('vector_pushes')},
+  e AS (SELECT expert, decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d),
+  s AS (SELECT expert, pos, coalesce(sum(1.0e0 * decay * x), 0.0) AS value FROM e GROUP BY expert, pos),
+  c AS (SELECT expert, CAST(count(*) AS BIGINT) AS version FROM d GROUP BY expert)
+SELECT s.expert, c.version, CAST(s.pos AS INTEGER) AS pos, round(s.value, 6) AS value
+FROM s JOIN c USING (expert)""", vector_pushes=X.VECTOR_PUSHES_SQL))
+def stream_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U9 on vector deltas: the embedding log replayed as 4 files through the streaming fold;
+    final per-expert state in long form."""
+    src = scratch_path(spark, "vec-stream")
+    ST.write_push_files(X.vector_pushes(spark, sf_dir), src, STREAM_FILES)
+    sink, ckpt = scratch_path(spark, "vfold-out"), scratch_path(spark, "vfold-ckpt")
+    ST.stream_fold(spark, src, sink, ckpt, vector=True)
+    st = ST.latest_states(spark, sink)
+    return st.select("expert", "version", F.posexplode("state").alias("pos", "value")).select(
+        "expert", "version", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))

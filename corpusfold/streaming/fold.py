@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,28 +27,54 @@ from corpusfold.functions import rules as R
 OUTPUT_SCHEMA = "expert string, version bigint, state double"
 STATE_SCHEMA = "version bigint, state double"
 PUSH_SCHEMA = "expert string, seq bigint, worker_version bigint, delta double"
+# Vector deltas (adapter matrices flattened row-major): the state is the position-wise sum.
+VECTOR_OUTPUT_SCHEMA = "expert string, version bigint, state array<double>"
+VECTOR_STATE_SCHEMA = "version bigint, state array<double>"
+VECTOR_PUSH_SCHEMA = "expert string, seq bigint, worker_version bigint, delta array<double>"
+
+
+def _decays(version: int, worker_versions: np.ndarray) -> np.ndarray:
+    """Decay of each push of a sorted batch: the i-th meets ``version + i``; a non-positive
+    denominator contributes nothing (as in the batch fold)."""
+    met = version + np.arange(len(worker_versions))
+    den = 1.0 + R.STALENESS_DECAY * (met - worker_versions)
+    return np.where(den > 0, 1.0 / np.where(den > 0, den, 1.0), 0.0)
 
 
 def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     version, total = (state.get if state.exists else (0, 0.0))
     pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    met = version + pd.RangeIndex(len(pdf)).to_numpy()
-    den = 1.0 + R.STALENESS_DECAY * (met - pdf["worker_version"].to_numpy())
-    decay = pd.Series(1.0 / den).where(den > 0, 0.0).to_numpy()
+    decay = _decays(version, pdf["worker_version"].to_numpy())
     total = float(total + (R.SERVER_LR * decay * pdf["delta"].to_numpy(dtype=float)).sum())
     version = int(version + len(pdf))
     state.update((version, total))
     yield pd.DataFrame({"expert": [key[0]], "version": [version], "state": [total]})
 
 
+def _fold_vector_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    version, total = (state.get if state.exists else (0, None))
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+    decay = _decays(version, pdf["worker_version"].to_numpy())
+    mat = np.vstack([np.asarray(d, dtype=float) for d in pdf["delta"]])
+    upd = R.SERVER_LR * (decay[:, None] * mat).sum(axis=0)
+    total = upd if total is None else np.asarray(total, dtype=float) + upd
+    version = int(version + len(pdf))
+    state.update((version, total.tolist()))
+    yield pd.DataFrame({"expert": [key[0]], "version": [version], "state": [total.tolist()]})
+
+
 def stream_fold(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                files_per_trigger: int = 1) -> None:
+                files_per_trigger: int = 1, vector: bool = False) -> None:
     """Run the fold over every file in ``source_dir`` (``availableNow``) and append each
-    micro-batch's updated expert states to parquet at ``sink_dir``."""
-    stream = (spark.readStream.schema(PUSH_SCHEMA)
+    micro-batch's updated expert states to parquet at ``sink_dir``. ``vector=True`` folds
+    array deltas position-wise."""
+    schemas = ((VECTOR_PUSH_SCHEMA, VECTOR_OUTPUT_SCHEMA, VECTOR_STATE_SCHEMA, _fold_vector_group) if vector
+               else (PUSH_SCHEMA, OUTPUT_SCHEMA, STATE_SCHEMA, _fold_group))
+    push_schema, out_schema, state_schema, handler = schemas
+    stream = (spark.readStream.schema(push_schema)
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
     folded = stream.groupBy("expert").applyInPandasWithState(
-        _fold_group, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        handler, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
     q = (folded.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
@@ -71,7 +98,9 @@ def write_push_files(log: DataFrame, out_dir: str, files: int) -> None:
     width = max(1, (hi - lo + files) // files)
     for i in range(files):
         a, b = lo + i * width, lo + (i + 1) * width
+        delta = F.col("delta")
+        delta = delta.cast("array<double>") if dict(log.dtypes)["delta"].startswith("array") else delta.cast("double")
         part = log.filter((F.col("seq") >= a) & (F.col("seq") < b)).select(
-            "expert", "seq", F.col("worker_version").cast("bigint"), F.col("delta").cast("double"))
+            "expert", F.col("seq").cast("bigint"), F.col("worker_version").cast("bigint"), delta.alias("delta"))
         part.coalesce(1).write.mode("append").parquet(out_dir)
         time.sleep(0.05)

@@ -77,8 +77,18 @@ def test_java_regex_matches_python_re(spark, pattern, icase, ml):
 
 @pytest.mark.parametrize("pattern,icase,ml", REGEX_CASES)
 def test_literal_guard_is_necessary(pattern, icase, ml):
-    lits = required_literals(pattern)
+    alts = required_literals(pattern)
     for t in TEXTS:
-        if re.search(pattern, t, _py_flags(icase, ml)) and lits:
+        if re.search(pattern, t, _py_flags(icase, ml)) and alts:
             folded = t.replace("İ", "i").lower().replace("ſ", "s").replace("ı", "i")
-            assert any(lit in folded for lit in lits), (pattern, t)
+            assert any(all(lit in folded for lit in runs) for runs in alts), (pattern, t)
+
+
+@pytest.mark.parametrize("pattern,icase,ml", [c for c in REGEX_CASES if c[1]])
+def test_folded_pattern_equals_case_insensitive(spark, pattern, icase, ml):
+    from corpusfold.operators.classify import fold
+    from corpusfold.functions.regex import java_regex_folded
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
+    got = df.select("i", F.col("t").rlike(java_regex(pattern, True, ml)).alias("a"),
+                    fold(F.col("t")).rlike(java_regex_folded(pattern, ml)).alias("b")).collect()
+    assert all(r.a == r.b for r in got), pattern

@@ -161,3 +161,16 @@ def test_staleness_profile_and_curve(spark):
     top = max(r.step for r in curve)
     last = {r.expert: r.version for r in curve if r.step == top}
     assert sum(last.values()) == 60 and {r.global_version for r in curve if r.step == top} == {60}
+
+
+def test_vector_stream_equals_batch(spark, tmpdir_path):
+    rows = _log(n=90, dim=4)
+    log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta array<double>")
+    src, sink, ckpt = (f"{tmpdir_path}/{n}" for n in ("src", "sink", "ckpt"))
+    ST.write_push_files(log, src, 3)
+    ST.stream_fold(spark, src, sink, ckpt, vector=True)
+    streamed = {r.expert: (r.version, r.state) for r in ST.latest_states(spark, sink).collect()}
+    version, state, _, _ = _sequential(rows)
+    for e in version:
+        assert streamed[e][0] == version[e]
+        assert streamed[e][1] == pytest.approx(state[e], abs=1e-9)
