@@ -362,6 +362,11 @@ def classify_chain(df: DataFrame, domains: Sequence[str], default_domain: str, *
     Result = the first stage scoring >= 0.9 if any, else the highest score
     (earliest stage on ties); below 0.3 the row goes to ``default_domain`` with
     reason ``Default fallback``. ``keep=None`` keeps every input column.
+
+    The result is a lazy projection. Before joining or filtering on ``domain``,
+    checkpoint it (``corpusfold.session.cut_lineage``) or write it out: Catalyst
+    would otherwise push the predicate into the rule projections (re-running the
+    rules) and derive constraints through every stage alias.
     """
     if not domains:
         raise ValueError("domain list is empty")
@@ -396,9 +401,11 @@ def classify_chain(df: DataFrame, domains: Sequence[str], default_domain: str, *
     chosen_score = F.coalesce(F.col("_cf_first")["score"], F.col("_cf_best")["s"])
     chosen_reason = F.coalesce(F.col("_cf_first")["reason"], F.col("_cf_best")["why"])
     accepted = F.coalesce(chosen_score >= F.lit(R.CHAIN_ACCEPT_AT), F.lit(False))
+    # coalesce(..., literal) makes both columns non-nullable: a join on ``domain`` then infers no
+    # ``isnotnull`` filter that Catalyst would push into the rule projections.
     cols = [*keep_cols,
-            F.when(accepted, chosen_domain).otherwise(F.lit(default_domain)).alias("domain"),
-            F.when(accepted, chosen_reason).otherwise(F.lit(R.CHAIN_FALLBACK_REASON)).alias("reason")]
+            F.coalesce(F.when(accepted, chosen_domain), F.lit(default_domain)).alias("domain"),
+            F.coalesce(F.when(accepted, chosen_reason), F.lit(R.CHAIN_FALLBACK_REASON)).alias("reason")]
     if with_score:
         cols.append(F.when(accepted, chosen_score).alias("score"))
     return out.select(*cols)

@@ -131,6 +131,9 @@ SELECT CAST(conf.position AS INTEGER) AS position, conf.domain, CAST(coalesce(c.
 FROM {_DOMAIN_LIST_SQL} LEFT JOIN counts c ON c.domain = conf.domain CROSS JOIN tot"""))
 def domain_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 + A3 + S7: counts over the configured domains plus misc, zeros kept, with percentages."""
+    # The join with the configured list makes Catalyst derive constraints through every rule
+    # projection (alias substitution grows combinatorially), so this consumer reads the
+    # checkpointed routing result.
     return A.domain_distribution(routed(spark, sf_dir, barrier=True), REPORT_DOMAINS)
 
 
