@@ -90,17 +90,26 @@ def latest_states(spark: SparkSession, sink_dir: str) -> DataFrame:
 
 def write_push_files(log: DataFrame, out_dir: str, files: int) -> None:
     """Split a push log into ``files`` seq ranges, written one after another so file
-    modification times follow ``seq`` (the file source orders by them)."""
+    modification times follow ``seq`` (the file source orders by them).
+
+    The log is computed once into a staging table next to ``out_dir``; the range
+    files are cut from that copy.
+    """
     import time
 
-    bounds = log.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).collect()[0]
+    delta = F.col("delta")
+    delta = delta.cast("array<double>") if dict(log.dtypes)["delta"].startswith("array") else delta.cast("double")
+    staging = out_dir.rstrip("/") + "-staging"
+    log.select("expert", F.col("seq").cast("bigint"), F.col("worker_version").cast("bigint"),
+               delta.alias("delta")).write.mode("overwrite").parquet(staging)
+    staged = log.sparkSession.read.parquet(staging)
+    bounds = staged.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).collect()[0]
+    if bounds["lo"] is None:
+        return
     lo, hi = int(bounds["lo"]), int(bounds["hi"])
     width = max(1, (hi - lo + files) // files)
     for i in range(files):
         a, b = lo + i * width, lo + (i + 1) * width
-        delta = F.col("delta")
-        delta = delta.cast("array<double>") if dict(log.dtypes)["delta"].startswith("array") else delta.cast("double")
-        part = log.filter((F.col("seq") >= a) & (F.col("seq") < b)).select(
-            "expert", F.col("seq").cast("bigint"), F.col("worker_version").cast("bigint"), delta.alias("delta"))
+        part = staged.filter((F.col("seq") >= a) & (F.col("seq") < b))
         part.coalesce(1).write.mode("append").parquet(out_dir)
         time.sleep(0.05)
