@@ -38,6 +38,21 @@ class SplitResult:
     def text_report(self) -> str:
         return SK.render_text_report(self.distribution, self.text_stats, self.reasons)
 
+    def summary(self) -> dict:
+        """Splitter summary: total, counts per domain, top-10 reasons."""
+        return SK.split_summary(self.routed)
+
+    def statistics(self) -> dict:
+        """Per-domain statistics report (JSON-ready)."""
+        return SK.statistics_summary(self.routed)
+
+    def save_reports(self, spark: SparkSession, out_dir: str) -> None:
+        """Text report, statistics JSON and distribution rows under ``out_dir``."""
+        import json
+        SK.write_text(spark, self.text_report(), f"{out_dir}/report_txt")
+        SK.write_text(spark, json.dumps(self.statistics(), indent=2, ensure_ascii=False), f"{out_dir}/report_json")
+        SK.write_json_report(self.distribution, f"{out_dir}/distribution")
+
 
 def split_corpus(spark: SparkSession, input_path: str, out_dir: str,
                  domains: Sequence[str] = R.SPLIT_DOMAINS, default_domain: str = R.SPLIT_DEFAULT_DOMAIN,

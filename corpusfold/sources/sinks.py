@@ -68,4 +68,44 @@ def summary_json(distribution: DataFrame, domains: Sequence[str]) -> str:
                        "counts": {r["domain"]: r["cnt"] for r in rows}}, ensure_ascii=False, indent=2)
 
 
-__all__ = ["write_domains", "read_domains", "write_json_report", "render_text_report", "summary_json"]
+
+
+def split_summary(classified: DataFrame, k: int = 10) -> dict:
+    """S10 splitter summary ``{total, counts, top_reasons}`` (top ``k`` reasons, first-seen ties).
+
+    Built from aggregated rows only (one per domain, ``k`` reasons).
+    """
+    from corpusfold.operators import report as A
+    counts = {r["domain"]: r["cnt"] for r in A.domain_counts(classified).collect()}
+    reasons = [(r["reason"], r["cnt"]) for r in A.reason_top(classified, k=k).orderBy("rank").collect()]
+    return {"total": sum(counts.values()), "counts": counts, "top_reasons": dict(reasons)}
+
+
+def statistics_summary(classified: DataFrame, prompt: str = "prompt", code: str = "code",
+                       library: str = "library", reasons_k: int = 20) -> dict:
+    """S10 statistics report: per domain (sorted by name) count, mean prompt / code length and
+    line count rounded to 2 places (Python rounding, on the driver), top-10 libraries and the
+    (never filled) ``top_keywords``; plus the top-20 classification reasons."""
+    from corpusfold.operators import report as A
+    stats = {r["domain"]: r for r in A.domain_text_stats(classified, prompt, code).collect()}
+    libs: dict[str, list] = {}
+    for r in A.domain_top_libraries(classified, library).orderBy("domain", "rank").collect():
+        libs.setdefault(r["domain"], []).append((r["lib"], r["cnt"]))
+    reasons = [(r["reason"], r["cnt"]) for r in A.reason_top(classified, k=reasons_k).orderBy("rank").collect()]
+    domains = {}
+    for d in sorted(stats):
+        s = stats[d]
+        domains[d] = {"domain": d, "count": s["cnt"], "avg_prompt_len": round(s["avg_prompt_len"], 2),
+                      "avg_code_len": round(s["avg_code_len"], 2), "avg_lines": round(s["avg_lines"], 2),
+                      "top_libraries": dict(libs.get(d, [])), "top_keywords": {}}
+    return {"total_items": sum(s["cnt"] for s in stats.values()), "domains": domains,
+            "classification_reasons": dict(reasons)}
+
+
+def write_text(spark: SparkSession, text: str, out: str) -> None:
+    """Write a small rendered report as one text file through Spark's writers (any filesystem)."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(out)
+
+
+__all__ = ["write_domains", "read_domains", "write_json_report", "render_text_report", "summary_json",
+           "split_summary", "statistics_summary", "write_text"]

@@ -104,6 +104,16 @@ def test_split_corpus_end_to_end(spark, tmpdir_path):
     back = {r.domain: r.raw for r in SK.read_domains(spark, out).collect()}
     assert json.loads(back["python"])["extra"] == [1]          # unread keys survive
     assert "Total Items: 3" in res.text_report()
+    summ = res.summary()
+    assert summ["total"] == 3 and summ["counts"] == {"python": 1, "sql": 1, "misc": 1}
+    assert summ["top_reasons"]["Library: pandas"] == 1
+    stats = res.statistics()
+    assert list(stats["domains"]) == ["misc", "python", "sql"]
+    assert stats["domains"]["python"]["top_libraries"] == {"pandas": 1}
+    assert stats["domains"]["sql"]["avg_code_len"] == round(len("SELECT * FROM users WHERE id = 1;"), 2)
+    res.save_reports(spark, os.path.join(tmpdir_path, "reports"))
+    txt = "\n".join(r.value for r in spark.read.text(os.path.join(tmpdir_path, "reports", "report_txt")).collect())
+    assert "Domain Distribution:" in txt
     imp = split_corpus(spark, p, os.path.join(tmpdir_path, "d2"), domains=["pandas", "sql", "py_core"],
                        default_domain="py_core", rules="imports")
     assert {r.domain: r.cnt for r in imp.distribution.collect()} == {"pandas": 1, "sql": 1, "py_core": 1}
