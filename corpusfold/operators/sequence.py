@@ -30,20 +30,24 @@ def _bucket(order_col: str, width: int) -> Column:
 
 
 def running_rank(df: DataFrame, keys: Sequence[str], order_col: str, out: str = "rank",
-                 bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                 bucket_width: int = DEFAULT_BUCKET_WIDTH, dense: bool = False) -> DataFrame:
     """Add ``out`` = 1-based position of each row by ``order_col`` within ``keys``.
 
     ``order_col`` must be numeric; rows that tie on it get distinct, arbitrary
-    positions (as ``row_number`` would).
+    positions (as ``row_number`` would). With ``dense=True`` ties share one
+    position and positions count distinct ``order_col`` values (``dense_rank``):
+    several rows of one event (e.g. the named tensors of one push) are numbered
+    together without a self-join.
     """
     keys = list(keys)
     b = "_cf_bucket"
     with_b = df.withColumn(b, _bucket(order_col, bucket_width))
-    counts = with_b.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_cf_n"))
+    n = F.countDistinct(order_col) if dense else F.count(F.lit(1))
+    counts = with_b.groupBy(*keys, b).agg(n.alias("_cf_n"))
     w_off = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, b, F.coalesce(F.sum("_cf_n").over(w_off), F.lit(0)).alias("_cf_off"))
     w_in = Window.partitionBy(*keys, b).orderBy(order_col)
-    numbered = with_b.withColumn("_cf_rn", F.row_number().over(w_in))
+    numbered = with_b.withColumn("_cf_rn", (F.dense_rank() if dense else F.row_number()).over(w_in))
     return (numbered.join(offsets, on=[*keys, b], how="inner")
             .withColumn(out, (F.col("_cf_rn") + F.col("_cf_off")).cast("bigint"))
             .drop(b, "_cf_rn", "_cf_off"))

@@ -173,12 +173,16 @@ def adapter_keys(df: DataFrame, key: str = "key") -> DataFrame:
 
 def fold_keyed(log: DataFrame, key: str = "key", delta: str = "delta") -> DataFrame:
     """Per (expert, parameter name) decayed sums; the version counts pushes (distinct seq),
-    not key rows. A key absent from the state is inserted by the grouping itself."""
-    pushes = log.groupBy("expert", "seq").agg(F.first("worker_version").alias("worker_version"))
-    v = with_versions(pushes, ["expert"]).select("expert", "seq", "decay")
-    versions = pushes.groupBy("expert").agg(F.count(F.lit(1)).cast("bigint").alias("version"))
-    rows = log.select("expert", "seq", key, delta).join(v, ["expert", "seq"])
-    state = (rows.select("expert", key, "decay", F.posexplode(delta).alias("pos", "x"))
+    not key rows. A key absent from the state is inserted by the grouping itself.
+
+    The rows of one push share its position (dense bucketed rank), so key rows are
+    numbered in place - no grouping of pushes and join back.
+    """
+    ranked = running_rank(log, ["expert"], "seq", out="_cf_pos", dense=True)
+    v = (ranked.withColumn("staleness", F.col("_cf_pos") - 1 - F.col("worker_version"))
+         .withColumn("decay", decay(F.col("staleness"))))
+    versions = log.groupBy("expert").agg(F.countDistinct("seq").cast("bigint").alias("version"))
+    state = (v.select("expert", key, "decay", F.posexplode(delta).alias("pos", "x"))
              .groupBy("expert", key, "pos")
              .agg(F.coalesce(F.sum(_weight() * F.col("x")), F.lit(0.0)).alias("value")))
     return state.join(versions, "expert").select("expert", "version", key,

@@ -53,6 +53,19 @@ def test_running_rank_matches_row_number(spark):
         assert [r for _, r in ranks] == list(range(1, len(ranks) + 1))
 
 
+def test_dense_running_rank(spark):
+    rows = [(k, s, j) for k in "xy" for s in random.Random(2).sample(range(50000), 200) for j in range(2)]
+    df = spark.createDataFrame(rows, "k string, s long, j int")
+    got = running_rank(df, ["k"], "s", bucket_width=500, dense=True).collect()
+    for k in "xy":
+        by_s = {}
+        for r in got:
+            if r.k == k:
+                by_s.setdefault(r.s, set()).add(r.rank)
+        assert all(len(v) == 1 for v in by_s.values())
+        assert [next(iter(by_s[s])) for s in sorted(by_s)] == list(range(1, len(by_s) + 1))
+
+
 def test_scalar_fold_and_registry(spark):
     rows = _log()
     log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta double")
