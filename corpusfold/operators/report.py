@@ -22,18 +22,23 @@ def domain_counts(classified: DataFrame) -> DataFrame:
 
 
 def domain_distribution(classified: DataFrame, domains: Sequence[str]) -> DataFrame:
-    """A3: counts over the *configured* domains (zeros included) with percentages."""
-    spark = classified.sparkSession
-    conf = spark.createDataFrame([(i, d) for i, d in enumerate(domains)], "position int, domain string")
+    """A3: counts over the *configured* domains (zeros included) with percentages.
+
+    The per-domain counts (one row per observed domain) fold into a single map
+    row; the configured list is exploded from a literal and looked up in it. No
+    join and no predicate on ``domain`` reaches the (possibly lazy, rule-heavy)
+    input plan.
+    """
     counts = domain_counts(classified)
-    total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
-    out = (conf.join(counts, "domain", "left")
-           .crossJoin(total)   # one-row side
-           .select("position", "domain", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"),
-                   F.when(F.col("total") > 0, F.lit(100.0) * F.coalesce("cnt", F.lit(0)) / F.col("total"))
-                    .otherwise(F.lit(0.0)).alias("pct"),
-                   F.col("total").cast("bigint").alias("total")))
-    return out
+    folded = counts.agg(F.map_from_entries(F.collect_list(F.struct("domain", "cnt"))).alias("_m"),
+                        F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("total"))
+    conf = F.array(*[F.lit(d) for d in domains])
+    rows = folded.select(F.posexplode(conf).alias("position", "domain"), "_m", "total")
+    cnt = F.coalesce(F.try_element_at(F.col("_m"), F.col("domain")), F.lit(0)).cast("bigint")
+    return rows.select(F.col("position").cast("int").alias("position"), "domain", cnt.alias("cnt"),
+                       F.when(F.col("total") > 0, F.lit(100.0) * cnt / F.col("total"))
+                       .otherwise(F.lit(0.0)).alias("pct"),
+                       "total")
 
 
 def reason_top(classified: DataFrame, k: int = 10, order_col: str = "item_id") -> DataFrame:

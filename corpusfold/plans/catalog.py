@@ -131,10 +131,7 @@ SELECT CAST(conf.position AS INTEGER) AS position, conf.domain, CAST(coalesce(c.
 FROM {_DOMAIN_LIST_SQL} LEFT JOIN counts c ON c.domain = conf.domain CROSS JOIN tot"""))
 def domain_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 + A3 + S7: counts over the configured domains plus misc, zeros kept, with percentages."""
-    # The join with the configured list makes Catalyst derive constraints through every rule
-    # projection (alias substitution grows combinatorially), so this consumer reads the
-    # checkpointed routing result.
-    return A.domain_distribution(routed(spark, sf_dir, barrier=True), REPORT_DOMAINS)
+    return A.domain_distribution(routed(spark, sf_dir), REPORT_DOMAINS)
 
 
 @register("reason_top", _report_sql("""
@@ -759,7 +756,7 @@ def eligible_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domain_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 + S7: route items (domains + misc), write one directory per domain, read back, count."""
     it = items_input(spark, sf_dir).withColumn("raw", _item_json())
-    routed_df = cut_lineage(C.classify_chain(it, REPORT_DOMAINS, ROUTE_DEFAULT, keep=["item_id", "raw"]))
+    routed_df = C.classify_chain(it, REPORT_DOMAINS, ROUTE_DEFAULT, keep=["item_id", "raw"])   # one consumer
     out = scratch_path(spark, "domains")
     SK.write_domains(routed_df, out)
     back = SK.read_domains(spark, out)
