@@ -43,6 +43,15 @@ def eligible_experts(counts: DataFrame, minimum: int = 50) -> DataFrame:
     return counts.withColumn("eligible", F.col("valid_items") >= F.lit(minimum))
 
 
+def eligible_expert_list(counts: DataFrame, minimum: int = 50) -> list[str]:
+    """D1 driver step: the eligible experts in position order (one row per configured expert
+    reaches the driver); ``ValueError`` when none has enough data."""
+    rows = eligible_experts(counts, minimum).filter("eligible").orderBy("position").collect()
+    if not rows:
+        raise ValueError(f"No expert has at least {minimum} valid items")
+    return [r["source"] for r in rows]
+
+
 def phase_schedule(phases: DataFrame, strategy: str, ratio: float) -> DataFrame:
     """D3: weights per (phase, domain). ``phases`` has ``(phase, domain)`` with phase 1..P.
 
@@ -75,10 +84,17 @@ def rehearsal_mix(corpus: DataFrame, weights: DataFrame, key: str = "item_id") -
     return j.filter(keep).select("strategy", "phase", "domain", key)
 
 
-def batch_sample(df: DataFrame, steps: int, batch_size: int, group_col: str = "domain",
+def batch_sample(df: DataFrame, steps: int, batch_size: int, group_col: str | None = "domain",
                  key: str = "item_id") -> DataFrame:
     """For each group and step, ``min(batch_size, n)`` rows without replacement, ordered by a
-    hash of (step, key). ``row_number() <= b`` gets a partial WindowGroupLimit before the shuffle."""
+    hash of (step, key). ``row_number() <= b`` gets a partial WindowGroupLimit before the shuffle.
+
+    ``group_col=None`` samples the whole dataset per step, as the reference's batch helper does
+    (it ignores the specialty it is given).
+    """
+    if group_col is None:
+        df = df.withColumn("_cf_all", F.lit("*"))
+        return batch_sample(df, steps, batch_size, "_cf_all", key).drop("_cf_all")
     per_step = df.select(group_col, key, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
     order = F.md5(F.concat(F.col("step").cast("string"), F.lit(":"), F.col(key).cast("string")))
     w = Window.partitionBy(group_col, "step").orderBy(order, key)

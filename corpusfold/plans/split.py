@@ -72,7 +72,7 @@ def split_corpus(spark: SparkSession, input_path: str, out_dir: str,
     else:
         raise ValueError(f"unknown rule set {rules!r}")
     routed = cut_lineage(routed)
-    SK.write_domains(routed, out_dir)
+    SK.write_domains(routed, out_dir, domains=doms)
     dist = A.domain_distribution(routed, doms)
     if routed.limit(1).count() == 0:
         log.warning("No items processed: the input is neither JSON lines nor a JSON array of objects.")

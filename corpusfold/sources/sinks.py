@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_domains(classified: DataFrame, out: str, order_col: str = "item_id") -> None:
+def write_domains(classified: DataFrame, out: str, order_col: str = "item_id",
+                  domains: Sequence[str] | None = None) -> None:
     """One directory per domain (``domain=<name>``) holding the raw lines, overwritten.
 
     No repartition by domain (a hot domain would become one task): each task
@@ -20,6 +21,18 @@ def write_domains(classified: DataFrame, out: str, order_col: str = "item_id") -
      .sortWithinPartitions("domain", order_col)
      .select("domain", "raw")
      .write.mode("overwrite").partitionBy("domain").text(out))
+    if domains:
+        ensure_domain_dirs(classified.sparkSession, out, domains)
+
+
+def ensure_domain_dirs(spark: SparkSession, out: str, domains: Sequence[str]) -> None:
+    """Every configured domain gets its directory, also when no row went there
+    (metadata only, one ``mkdirs`` per configured domain)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for d in domains:
+        p = jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/domain={d}")
+        p.getFileSystem(conf).mkdirs(p)
 
 
 def read_domains(spark: SparkSession, out: str) -> DataFrame:

@@ -126,3 +126,22 @@ def test_detection_reads_first_file_in_path_order(spark, tmpdir_path):
     _write(d, "part-00001.txt", "[1,2]\n" + "\n".join('{"prompt":"%d"}' % i for i in range(500)) + "\n")
     assert S.detect_format(spark, d) == "jsonl"
     assert S.read_items(spark, d).count() == 501
+
+
+def test_empty_domains_get_directories(spark, tmpdir_path):
+    df = spark.createDataFrame([(0, "x", "{}")], "item_id long, domain string, raw string")
+    out = os.path.join(tmpdir_path, "o")
+    SK.write_domains(df, out, domains=["x", "empty"])
+    assert os.path.isdir(os.path.join(out, "domain=empty"))
+    assert SK.read_domains(spark, out).count() == 1
+
+
+def test_eligible_list(spark):
+    from corpusfold.operators import prepare as D
+    counts = spark.createDataFrame([(0, "a", 60), (1, "b", 10), (2, "c", 50)], "position int, source string, valid_items long")
+    assert D.eligible_expert_list(counts, 50) == ["a", "c"]
+    with pytest.raises(ValueError):
+        D.eligible_expert_list(counts, 100)
+    items = spark.createDataFrame([(i, "d" + str(i % 2)) for i in range(40)], "item_id long, domain string")
+    assert D.batch_sample(items, 2, 5, group_col=None).count() == 10
+    assert D.batch_sample(items, 2, 5).count() == 20
