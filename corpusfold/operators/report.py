@@ -30,7 +30,8 @@ def domain_distribution(classified: DataFrame, domains: Sequence[str]) -> DataFr
     input plan.
     """
     counts = domain_counts(classified)
-    folded = counts.agg(F.map_from_entries(F.collect_list(F.struct("domain", "cnt"))).alias("_m"),
+    wanted = F.col("domain").isin(list(domains))   # inside the aggregate: collects <= len(domains) entries
+    folded = counts.agg(F.map_from_entries(F.collect_list(F.when(wanted, F.struct("domain", "cnt")))).alias("_m"),
                         F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("total"))
     conf = F.array(*[F.lit(d) for d in domains])
     rows = folded.select(F.posexplode(conf).alias("position", "domain"), "_m", "total")
