@@ -345,6 +345,15 @@ def classify_stage(df: DataFrame, stage: Stage, domains: Sequence[str], *,
                       F.col("_cf_res.reason").alias("reason"))
 
 
+_OUTPUTS = ("domain", "score", "reason")
+
+
+def _kept(df: DataFrame, keep: Sequence[str] | None) -> list[str]:
+    """Columns carried to the output; with ``keep=None`` all input columns except earlier
+    routing results, which the new result replaces."""
+    return [c for c in df.columns if c not in _OUTPUTS] if keep is None else list(keep)
+
+
 def _needed_inputs(df: DataFrame, keep: Sequence[str], *names: str | None) -> list[str]:
     cols: list[str] = []
     for c in list(keep) + [n for n in names if n]:
@@ -370,7 +379,7 @@ def classify_chain(df: DataFrame, domains: Sequence[str], default_domain: str, *
     """
     if not domains:
         raise ValueError("domain list is empty")
-    keep_cols = list(df.columns) if keep is None else list(keep)
+    keep_cols = _kept(df, keep)
     needs: list[str] = []
     for st in stages:
         for n in st.needs:
@@ -428,7 +437,7 @@ def classify_imports(df: DataFrame, domains: Sequence[str], default_domain: str,
     if not domains:
         raise ValueError("domain list is empty")
     allowed = _ordered_unique(domains)
-    keep_cols = list(df.columns) if keep is None else list(keep)
+    keep_cols = _kept(df, keep)
     code_cols = [c for c in R.CODE_KEYS if c in df.columns]
     text_cols = [c for c in R.TEXT_KEYS if c in df.columns]
 
@@ -508,7 +517,7 @@ def split_by_specialty(df: DataFrame, specialties: Sequence[str], *, prompt: str
     if not specialties:
         raise ValueError("specialty list is empty")
     specs = list(specialties)
-    keep_cols = list(df.columns) if keep is None else list(keep)
+    keep_cols = _kept(df, keep)
     low = F.lower(col_or_empty(F.col(prompt) if prompt in df.columns else F.lit(None)))
     expr = None
     for spec, kws in R.SPECIALTY_KEYWORDS.items():

@@ -108,3 +108,11 @@ def test_custom_stage(spark):
 def test_no_domains_is_an_error(spark):
     with pytest.raises(ValueError):
         C.classify_chain(_items(spark, [("a", None, None)]), [], "python")
+
+
+def test_rerouting_replaces_previous_result(spark):
+    df = _items(spark, [("Get users", "SELECT 1 FROM t", None)])
+    once = C.classify_chain(df, DOMAINS6, "python", keep=None)
+    twice = C.classify_chain(once, ["python"], "python", keep=None)
+    assert twice.columns.count("domain") == 1 and twice.collect()[0].domain == "python"
+    assert C.split_by_specialty(once, ["sql"], keep=None).columns.count("domain") == 1
