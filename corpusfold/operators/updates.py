@@ -115,8 +115,8 @@ def global_vectors(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str
     v = with_versions(log, keys)
     state = (_exploded(v, keys, delta).groupBy("pos")
              .agg(F.coalesce(F.sum(_weight() * F.col("x")), F.lit(0.0)).alias("value")))
-    version = v.agg(F.count(F.lit(1)).cast("bigint").alias("global_version"))
-    return state.crossJoin(version).select(F.col("pos").cast("int").alias("pos"), "value", "global_version")
+    version = v.agg(F.count(F.lit(1)).cast("bigint")).scalar()   # scalar subquery, computed once
+    return state.select(F.col("pos").cast("int").alias("pos"), "value", version.alias("global_version"))
 
 
 # ------------------------------------------------------------- batch combine
@@ -134,7 +134,7 @@ def batch_combine(batches: DataFrame, dim: int, strategy: str = "weighted_averag
     accepted expert.
     """
     sized = batches.withColumn("_cf_n", F.count(F.lit(1)).over(Window.partitionBy(batch)))
-    version = sized.agg(F.countDistinct(batch).cast("bigint").alias("version"))
+    version = sized.agg(F.countDistinct(batch).cast("bigint")).scalar()   # scalar subquery
     if strategy == "weighted_average":
         weight = F.lit(1.0) / F.col("_cf_n")
     elif strategy == "sum":
@@ -146,12 +146,11 @@ def batch_combine(batches: DataFrame, dim: int, strategy: str = "weighted_averag
         zeros = batches.sparkSession.range(dim).select(F.col("id").cast("int").alias("pos"),
                                                        F.lit(0.0).alias("value"))
         contrib = ok.limit(0).select("expert", F.lit(0.0).alias("weight"))
-        return zeros.crossJoin(version), contrib
+        return zeros.withColumn("version", version), contrib
     ok = ok.withColumn("weight", weight)
     state = (ok.select("weight", F.posexplode(delta).alias("pos", "x"))
              .groupBy("pos").agg(F.sum(F.lit(R.SERVER_LR) * F.col("weight") * F.col("x")).alias("value"))
-             .crossJoin(version)
-             .select(F.col("pos").cast("int").alias("pos"), "value", "version"))
+             .select(F.col("pos").cast("int").alias("pos"), "value", version.alias("version")))
     contrib = ok.groupBy("expert").agg(F.max_by("weight", batch).alias("weight"))
     return state, contrib
 

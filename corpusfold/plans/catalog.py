@@ -484,8 +484,8 @@ def keyed_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _keyed_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(before, after): the keyed state as of the log's midpoint seq, and at its end."""
     log = U.adapter_keys(keyed_log(spark, sf_dir))
-    mid = log.agg(((F.min("seq") + F.max("seq")) / 2).cast("bigint").alias("_mid"))   # one row
-    early = log.crossJoin(mid).filter(F.col("seq") <= F.col("_mid")).drop("_mid")
+    mid = log.agg(((F.min("seq") + F.max("seq")) / 2).cast("bigint")).scalar()   # scalar subquery
+    early = log.filter(F.col("seq") <= mid)
     return U.fold_keyed(early), U.fold_keyed(log)
 
 
@@ -851,9 +851,9 @@ def expert_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs_input(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
     split = C.split_by_specialty(p, R.CANONICAL_SPECIALTIES, keep=["item_id", "reference_code"])
     per_dom = EV.head_eval(split, k=HEAD_K)
-    overall = per_dom.agg(F.avg("exact_match").alias("overall_quality"))   # one row
+    overall = per_dom.agg(F.avg("exact_match")).scalar()   # scalar subquery
     sets = D.expert_sets_frame(spark, R.DEFAULT_EXPERT_SETS)
-    grid = sets.crossJoin(overall)   # settings x one row
+    grid = sets.withColumn("overall_quality", overall)
     w = Window.orderBy(F.desc("overall_quality"), "setting_index")
     return grid.select(F.row_number().over(w).cast("bigint").alias("rank"), "setting_index", "setting",
                        F.size("experts").cast("int").alias("num_experts"),
