@@ -187,3 +187,19 @@ def test_vector_stream_equals_batch(spark, tmpdir_path):
     for e in version:
         assert streamed[e][0] == version[e]
         assert streamed[e][1] == pytest.approx(state[e], abs=1e-9)
+
+
+def test_stream_resumes_from_checkpoint(spark, tmpdir_path):
+    rows = _log(n=160)
+    log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta double")
+    src, sink, ckpt = (f"{tmpdir_path}/{n}" for n in ("src", "sink", "ckpt"))
+    first = log.filter(F.col("seq") < 240)          # seq = 3 * i + 1: the first 80 pushes
+    ST.write_push_files(first, src, 2)
+    ST.stream_fold(spark, src, sink, ckpt)          # stops after the available files
+    ST.write_push_files(log.filter(F.col("seq") >= 240), src, 2)
+    ST.stream_fold(spark, src, sink, ckpt)          # restarts: state and offsets from the checkpoint
+    streamed = {r.expert: (r.version, r.state) for r in ST.latest_states(spark, sink).collect()}
+    batch = {r.expert: (r.version, r.state) for r in U.fold_scalar(log).collect()}
+    assert streamed.keys() == batch.keys()
+    for e in batch:
+        assert streamed[e][0] == batch[e][0] and streamed[e][1] == pytest.approx(batch[e][1], abs=1e-9)
