@@ -145,3 +145,13 @@ def test_eligible_list(spark):
     items = spark.createDataFrame([(i, "d" + str(i % 2)) for i in range(40)], "item_id long, domain string")
     assert D.batch_sample(items, 2, 5, group_col=None).count() == 10
     assert D.batch_sample(items, 2, 5).count() == 20
+
+
+def test_cli_split(spark, tmpdir_path, capsys):
+    from corpusfold.__main__ import main
+    p = _write(tmpdir_path, "in.jsonl", '{"prompt":"q","code":"SELECT a FROM b"}\n{"prompt":"x"}\n')
+    assert main(["split", "--input", p, "--outdir", os.path.join(tmpdir_path, "o"), "--create-misc"]) == 0
+    out = capsys.readouterr().out
+    assert "Total Items: 2" in out and "SQL structure" in out
+    assert main(["split", "--input", os.path.join(tmpdir_path, "missing"), "--outdir", tmpdir_path]) == 1
+    assert main(["split", "--input", p, "--outdir", tmpdir_path, "--default-domain", "nope"]) == 1
