@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusfold.functions import rules as R
@@ -195,704 +195,5 @@ def balance_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.balance_suggestions(routed(spark, sf_dir))
 
 
-# ----------------------------------------------------------------- evaluation
-
-from corpusfold.functions.text import sql_exact_match, sql_token_overlap  # noqa: E402
-from corpusfold.operators import evaluate as EV  # noqa: E402
-from corpusfold.operators import updates as U  # noqa: E402
-
-
-def _pairs_sql(body: str) -> str:
-    return X.with_views(body, pairs=X.PAIRS_SQL)
-
-
-def _eval_sql(body: str) -> str:
-    return X.with_views(body, eval_score=X.EVAL_SCORE_SQL)
-
-
-def pairs_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(X.pairs(spark, sf_dir), "conv_id")
-
-
-@register("pair_metrics", _pairs_sql(
-    f"SELECT conv_id, turn, {sql_exact_match('generated_code', 'reference_code')} AS exact_match, "
-    f"{sql_token_overlap('generated_code', 'reference_code')} AS similarity FROM pairs"))
-def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F10 + F11 per (prompt, reference) pair: exact match after strip, token-set Jaccard."""
-    return EV.pair_metrics(pairs_input(spark, sf_dir), keep=["conv_id", "turn"])
-
-
-@register("pair_syntax")
-def pair_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """does each item's code compile as Python (Arrow pandas_udf, compile only)."""
-    it = items_input(spark, sf_dir)
-    return it.select("item_id", EV.syntax_valid(F.coalesce(F.col("code"), F.lit(""))).alias("syntax_valid"))
-
-
-@register("batch_eval")
-def batch_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean exact match, execution pass (syntax) and similarity over all pairs."""
-    scored = EV.pair_metrics(pairs_input(spark, sf_dir), with_syntax=True)
-    return EV.batch_evaluate(scored)
-
-
-HEAD_K = 3
-
-
-@register("head_eval", f"""
-WITH h AS (SELECT lang AS domain, doc_id, text FROM
-           (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) x
-           WHERE rn <= {HEAD_K}),
-     s AS (SELECT domain, {sql_exact_match('substring(text, 1, 50)', 'text')} AS exact_match,
-                  {sql_token_overlap('substring(text, 1, 50)', 'text')} AS similarity FROM h),
-     p AS (SELECT domain, CAST(count(*) AS BIGINT) AS n, coalesce(avg(exact_match), 0.0) AS exact_match,
-                  coalesce(avg(similarity), 0.0) AS similarity FROM s GROUP BY domain)
-SELECT domain, n, round(exact_match, 9) AS exact_match, round(similarity, 9) AS similarity,
-       round(avg(exact_match) OVER (), 9) AS macro_exact_match FROM p""")
-def head_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A9 + F13: first 3 documents per language scored with their own 50-character prefix; macro mean."""
-    docs = X.table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("domain"), F.col("doc_id").alias("item_id"), F.col("text").alias("reference_code"))
-    return rounded(EV.head_eval(docs, k=HEAD_K), "exact_match", "similarity", "macro_exact_match")
-
-
-@register("round_eval")
-def round_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A9 round form: pairs split by prompt keywords (C8), first 5 per specialty, generated =
-    50-character prefix + '...', exact match and syntax pass, quality = their mean."""
-    p = pairs_input(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
-    split = C.split_by_specialty(p, R.CANONICAL_SPECIALTIES, keep=["item_id", "reference_code"])
-    return EV.head_eval(split, k=5, suffix="...", with_syntax=True)
-
-
-RUN_A, RUN_B = "rehearsal", "naive"
-
-
-@register("run_compare", _eval_sql(f"""
-, q AS (SELECT run, step, avg(score) AS quality FROM eval_score WHERE run IN ('{RUN_A}', '{RUN_B}') GROUP BY run, step),
-  r AS (SELECT run, avg(quality) AS avg_q, arg_max(quality, step) AS final_q FROM q GROUP BY run),
-  w AS (SELECT max(CASE WHEN run = '{RUN_A}' THEN avg_q END) AS a_avg_quality,
-               max(CASE WHEN run = '{RUN_B}' THEN avg_q END) AS b_avg_quality,
-               max(CASE WHEN run = '{RUN_A}' THEN final_q END) AS a_final_quality,
-               max(CASE WHEN run = '{RUN_B}' THEN final_q END) AS b_final_quality FROM r)
-SELECT '{RUN_A}' AS run_a, '{RUN_B}' AS run_b, round(a_avg_quality, 9) AS a_avg_quality,
-       round(b_avg_quality, 9) AS b_avg_quality,
-       round((a_avg_quality - b_avg_quality) / (b_avg_quality + 1e-6) * 100.0, 9) AS improvement_percent,
-       round(a_final_quality, 9) AS a_final_quality, round(b_final_quality, 9) AS b_final_quality
-FROM w WHERE a_avg_quality IS NOT NULL AND b_avg_quality IS NOT NULL""".replace("\n, q AS", "q AS", 1)))
-def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and final quality of two runs and the relative improvement."""
-    return rounded(EV.run_compare(X.eval_score(spark, sf_dir), RUN_A, RUN_B), "a_avg_quality", "b_avg_quality",
-                   "improvement_percent", "a_final_quality", "b_final_quality")
-
-
-@register("setting_rank", _eval_sql("""
-l AS (SELECT run, max(step) AS last FROM eval_score GROUP BY run),
-  o AS (SELECT e.run, avg(score) AS overall_quality, CAST(count(*) AS BIGINT) AS num_domains
-        FROM eval_score e JOIN l ON e.run = l.run AND e.step = l.last GROUP BY e.run)
-SELECT CAST(row_number() OVER (ORDER BY overall_quality DESC, run) AS BIGINT) AS rank, run AS setting,
-       round(overall_quality, 9) AS overall_quality, num_domains FROM o"""))
-def setting_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13 (+ D2 grid form): settings ranked by overall quality at their last step, stable."""
-    return rounded(EV.setting_rank(X.eval_score(spark, sf_dir)), "overall_quality")
-
-
-@register("forgetting", _eval_sql("""
-l AS (SELECT run, max(step) AS last FROM eval_score GROUP BY run),
-  d AS (SELECT e.run, e.domain, greatest(max(score), 0.0) AS best,
-               coalesce(max(CASE WHEN step = last THEN score END), 0.0) AS last_score,
-               max(CASE WHEN step = last THEN 1 ELSE 0 END) AS in_last
-        FROM eval_score e JOIN l USING (run) GROUP BY e.run, e.domain)
-SELECT run, round(avg(greatest(best - last_score, 0.0)), 9) AS avg_forgetting,
-       round(avg(CASE WHEN in_last = 1 THEN last_score END), 9) AS final_overall, CAST(count(*) AS BIGINT) AS num_domains
-FROM d GROUP BY run"""))
-def forgetting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average forgetting per run and final overall quality."""
-    return rounded(EV.forgetting(X.eval_score(spark, sf_dir)), "avg_forgetting", "final_overall")
-
-
-@register("forgetting_curve", _eval_sql("""
-SELECT run, step, domain, score,
-       greatest(max(score) OVER w, 0.0) AS best_so_far,
-       greatest(greatest(max(score) OVER w, 0.0) - score, 0.0) AS forgetting
-FROM eval_score
-WINDOW w AS (PARTITION BY run, domain ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
-def forgetting_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A14 running form: best-so-far and drop per (run, phase, domain)."""
-    return EV.forgetting_curve(X.eval_score(spark, sf_dir))
-
-
-# ------------------------------------------------------------- update folds
-
-REGISTERED = ["click", "purchase", "signup", "view", "refund"]   # 'error' is not registered
-_REG_SQL = "(VALUES " + ", ".join(f"('{e}')" for e in REGISTERED) + ") AS reg(expert)"
-_IN_REG = "expert IN (" + ", ".join(f"'{e}'" for e in REGISTERED) + ")"
-_DECAY_SQL = ("CASE WHEN 1.0e0 + 0.1e0 * (version - worker_version) > 0 "
-              "THEN 1.0e0 / (1.0e0 + 0.1e0 * (version - worker_version)) END")
-
-
-def _fold_cte(src: str, part: str = "expert", where: str = "TRUE") -> str:
-    return (f"v AS (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY seq) - 1 AS BIGINT) AS version "
-            f"FROM {src} WHERE {where}), d AS (SELECT *, version - worker_version AS staleness, "
-            f"{_DECAY_SQL} AS decay FROM v)")
-
-
-def _step(col: str = "seq") -> F.Column:
-    return (F.col(col) % 5 + 1).cast("bigint")
-
-
-@register("expert_fold", X.with_views(f"""
-{_fold_cte('pushes', where=_IN_REG)},
-  f AS (SELECT expert, count(*) AS version, sum(1.0e0 * decay * delta) AS state FROM d GROUP BY expert)
-SELECT reg.expert, CAST(coalesce(f.version, 0) AS BIGINT) AS version, round(coalesce(f.state, 0.0), 6) AS state
-FROM {_REG_SQL} LEFT JOIN f ON f.expert = reg.expert""", pushes=X.pushes_sql()).replace("\n\nv AS", "\nv AS")
-          .replace("WITH pushes AS", "WITH pushes AS", 1))
-def expert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U1 + U2: registered experts' states folded from the scalar update log."""
-    st = U.expert_states(REGISTERED, X.pushes(spark, sf_dir))
-    return st.select("expert", "version", F.round("state", 6).alias("state"))
-
-
-@register("global_fold", X.with_views(f"""
-{_fold_cte('pushes', where=_IN_REG)}
-SELECT CAST(count(*) AS BIGINT) AS global_version, round(coalesce(sum(1.0e0 * decay * delta), 0.0), 6) AS global_state
-FROM d""", pushes=X.pushes_sql()))
-def global_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The global (gateway) state and version over every accepted push."""
-    g = U.global_scalar(U.accepted(X.pushes(spark, sf_dir), REGISTERED))
-    return g.select("global_version", F.round("global_state", 6).alias("global_state"))
-
-
-@register("vector_fold", X.with_views(f"""
-{_fold_cte('vector_pushes')},
-  e AS (SELECT expert, decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d),
-  s AS (SELECT expert, pos, coalesce(sum(1.0e0 * decay * x), 0.0) AS value FROM e GROUP BY expert, pos),
-  n AS (SELECT expert, sqrt(sum(value * value)) AS l2_norm FROM s GROUP BY expert),
-  c AS (SELECT expert, CAST(count(*) AS BIGINT) AS version FROM d GROUP BY expert)
-SELECT s.expert, c.version, CAST(s.pos AS INTEGER) AS pos, round(s.value, 6) AS value, round(n.l2_norm, 6) AS l2_norm
-FROM s JOIN n USING (expert) JOIN c USING (expert)""", vector_pushes=X.VECTOR_PUSHES_SQL))
-def vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U2 + F15 on vector deltas: per-expert long-form state, version and L2 norm."""
-    f = U.fold_vectors(X.vector_pushes(spark, sf_dir))
-    return f.select("expert", "version", "pos", F.round("value", 6).alias("value"),
-                    F.round("l2_norm", 6).alias("l2_norm"))
-
-
-@register("global_vector_fold", X.with_views(f"""
-{_fold_cte('vector_pushes')},
-  e AS (SELECT decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d)
-SELECT CAST(pos AS INTEGER) AS pos, round(coalesce(sum(1.0e0 * decay * x), 0.0), 6) AS value,
-       (SELECT CAST(count(*) AS BIGINT) FROM d) AS global_version
-FROM e GROUP BY pos""", vector_pushes=X.VECTOR_PUSHES_SQL))
-def global_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U3 on vector deltas: position-wise global state."""
-    g = U.global_vectors(X.vector_pushes(spark, sf_dir))
-    return g.select("pos", F.round("value", 6).alias("value"), "global_version")
-
-
-COMBINE_DIM = 64
-
-
-def combine_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 10 consecutive pushes; every 7th push (seq % 7 = 3) carries a cut (wrong-shape)
-    delta; one update per (batch, expert), the latest."""
-    v = X.vector_pushes(spark, sf_dir).select(
-        (F.col("seq") / 10).cast("bigint").alias("batch"), "expert", "seq",
-        F.when(F.col("seq") % 7 == 3, F.slice("delta", 1, 32)).otherwise(F.col("delta")).alias("delta"))
-    return U.latest_per_key(v, ["batch", "expert"], "seq", ["delta"])
-
-
-_BATCHES_SQL = f"""
-SELECT batch, expert, arg_max(delta, seq) AS delta FROM (
-  SELECT CAST(seq // 10 AS BIGINT) AS batch, expert, seq,
-         CASE WHEN seq % 7 = 3 THEN delta[1:32] ELSE delta END AS delta FROM vector_pushes) t
-GROUP BY batch, expert"""
-
-
-def _combine_sql(strategy: str) -> str:
-    w = "1.0e0 / n" if strategy == "weighted_average" else "1.0e0"
-    return (f"SELECT '{strategy}' AS strategy, CAST(pos AS INTEGER) AS pos, round(sum({w} * x), 6) AS value, "
-            f"(SELECT CAST(count(DISTINCT batch) AS BIGINT) FROM batches) AS version FROM "
-            f"(SELECT n, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM "
-            f"(SELECT *, count(*) OVER (PARTITION BY batch) AS n FROM batches) s WHERE len(delta) = {COMBINE_DIM}) e "
-            f"GROUP BY pos")
-
-
-@register("batch_combine", X.with_views(
-    f"{_combine_sql('weighted_average')} UNION ALL {_combine_sql('sum')}",
-    vector_pushes=X.VECTOR_PUSHES_SQL, batches=_BATCHES_SQL))
-def batch_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U4: weighted-average and sum combination of expert deltas per batch (shape-mismatched skipped)."""
-    b = combine_batches(spark, sf_dir)
-    outs = []
-    for strat in ("weighted_average", "sum"):
-        st, _ = U.batch_combine(b, COMBINE_DIM, strat)
-        outs.append(st.select(F.lit(strat).alias("strategy"), "pos", F.round("value", 6).alias("value"), "version"))
-    return outs[0].unionByName(outs[1])
-
-
-@register("combine_contributions", X.with_views(f"""
-SELECT expert, round(arg_max(1.0e0 / n, batch), 6) AS weight FROM
-  (SELECT *, count(*) OVER (PARTITION BY batch) AS n FROM batches) s
-WHERE len(delta) = {COMBINE_DIM} GROUP BY expert""", vector_pushes=X.VECTOR_PUSHES_SQL, batches=_BATCHES_SQL))
-def combine_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U4 contributions: last weighted-average weight recorded per accepted expert."""
-    _, contrib = U.batch_combine(combine_batches(spark, sf_dir), COMBINE_DIM, "weighted_average")
-    return contrib.select("expert", F.round("weight", 6).alias("weight"))
-
-
-def keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adapter-style pushes: each vector push carries three named tensors,
-    ``layer{seq%4}.lora_A`` (first half), ``.lora_B`` (second half) and ``.base`` (all)."""
-    v = X.vector_pushes(spark, sf_dir)
-    layer = F.concat(F.lit("layer"), (F.col("seq") % 4).cast("string"))
-    parts = F.array(
-        F.struct(F.concat(layer, F.lit(".lora_A")).alias("key"), F.slice("delta", 1, 32).alias("delta")),
-        F.struct(F.concat(layer, F.lit(".lora_B")).alias("key"), F.slice("delta", 33, 32).alias("delta")),
-        F.struct(F.concat(layer, F.lit(".base")).alias("key"), F.col("delta").alias("delta")))
-    return v.select("expert", "seq", "worker_version", F.explode(parts).alias("p")).select(
-        "expert", "seq", "worker_version", "p.key", "p.delta")
-
-
-_KEYED_SQL = """
-SELECT expert, seq, worker_version, 'layer' || CAST(seq % 4 AS VARCHAR) || k AS key,
-       CASE k WHEN '.lora_A' THEN delta[1:32] WHEN '.lora_B' THEN delta[33:64] ELSE delta END AS delta
-FROM vector_pushes, (VALUES ('.lora_A'), ('.lora_B'), ('.base')) AS kk(k)"""
-
-
-def _keyed_fold_sql(where: str = "TRUE") -> str:
-    return (f"p AS (SELECT expert, seq, any_value(worker_version) AS worker_version FROM keyed "
-            f"WHERE contains(key, 'lora_') AND {where} GROUP BY expert, seq), "
-            f"{_fold_cte('p')}, "
-            f"e AS (SELECT k.expert, k.key, d.decay, unnest(k.delta) AS x, unnest(range(len(k.delta))) AS pos "
-            f"FROM keyed k JOIN d USING (expert, seq) WHERE contains(k.key, 'lora_')), "
-            f"c AS (SELECT expert, CAST(count(*) AS BIGINT) AS version FROM d GROUP BY expert), "
-            f"s AS (SELECT expert, key, CAST(pos AS INTEGER) AS pos, coalesce(sum(1.0e0 * decay * x), 0.0) AS value "
-            f"FROM e GROUP BY expert, key, pos)")
-
-
-@register("keyed_fold", X.with_views(
-    f"WITH {_keyed_fold_sql()} SELECT s.expert, c.version, s.key, s.pos, round(s.value, 6) AS value "
-    f"FROM s JOIN c USING (expert)",
-    vector_pushes=X.VECTOR_PUSHES_SQL, keyed=_KEYED_SQL))
-def keyed_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U5 + U10: per (expert, adapter key) decayed sums; base (non-adapter) keys filtered out."""
-    f = U.fold_keyed(U.adapter_keys(keyed_log(spark, sf_dir)))
-    return f.select("expert", "version", "key", "pos", F.round("value", 6).alias("value"))
-
-
-def _keyed_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(before, after): the keyed state as of the log's midpoint seq, and at its end."""
-    log = U.adapter_keys(keyed_log(spark, sf_dir))
-    mid = log.agg(((F.min("seq") + F.max("seq")) / 2).cast("bigint")).scalar()   # scalar subquery
-    early = log.filter(F.col("seq") <= mid)
-    return U.fold_keyed(early), U.fold_keyed(log)
-
-
-_MID = "(SELECT CAST((min(seq) + max(seq)) // 2 AS BIGINT) FROM keyed)"
-
-
-def _fold_chain(prefix: str, where: str) -> str:
-    s = _keyed_fold_sql(where)
-    for name in ("p", "v", "d", "e", "c", "s"):
-        s = s.replace(f"{name} AS (", f"{prefix}{name} AS (")
-    s = (s.replace("FROM p WHERE", f"FROM {prefix}p WHERE").replace("FROM v)", f"FROM {prefix}v)")
-         .replace("JOIN d USING", f"JOIN {prefix}d USING").replace("FROM d GROUP", f"FROM {prefix}d GROUP")
-         .replace("FROM e GROUP", f"FROM {prefix}e GROUP").replace(" d.decay", f" {prefix}d.decay"))
-    return s
-
-
-@register("state_diff", X.with_views(
-    f"WITH {_fold_chain('b_', f'seq <= {_MID}')}, {_fold_chain('a_', 'TRUE')} "
-    f"SELECT a.expert, a.key, a.pos, round(a.value - b.value, 6) AS value "
-    f"FROM a_s a JOIN b_s b USING (expert, key, pos)",
-    vector_pushes=X.VECTOR_PUSHES_SQL, keyed=_KEYED_SQL))
-def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adapter state at the end minus the state at the log's midpoint (common keys)."""
-    before, after = _keyed_states(spark, sf_dir)
-    keys = ["expert", "key", "pos"]
-    d = U.state_diff(after, before, keys)
-    return d.select(*keys, F.round("value", 6).alias("value"))
-
-
-@register("state_apply", X.with_views(
-    f"WITH {_fold_chain('b_', f'seq <= {_MID}')}, {_fold_chain('a_', 'TRUE')}, "
-    f"df AS (SELECT a.expert, a.key, a.pos, a.value - b.value AS value FROM a_s a JOIN b_s b USING (expert, key, pos)) "
-    f"SELECT coalesce(b.expert, df.expert) AS expert, coalesce(b.key, df.key) AS key, coalesce(b.pos, df.pos) AS pos, "
-    f"round(coalesce(b.value, 0.0) + 1.0e0 * coalesce(df.value, 0.0), 6) AS value "
-    f"FROM b_s b FULL OUTER JOIN df ON b.expert = df.expert AND b.key = df.key AND b.pos = df.pos",
-    vector_pushes=X.VECTOR_PUSHES_SQL, keyed=_KEYED_SQL))
-def state_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Midpoint state + 1.0 x (end - midpoint) diff, full outer on keys (reproduces the end state)."""
-    before, after = _keyed_states(spark, sf_dir)
-    keys = ["expert", "key", "pos"]
-    out = U.apply_delta(before, U.state_diff(after, before, keys), keys, alpha=1.0)
-    return out.select(*keys, F.round("value", 6).alias("value"))
-
-
-@register("version_curve", X.with_views("""
-SELECT expert, step, CAST(sum(n) OVER (PARTITION BY expert ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS version,
-       CAST(g AS BIGINT) AS global_version
-FROM (SELECT expert, CAST(seq % 5 + 1 AS BIGINT) AS step, count(*) AS n FROM pushes GROUP BY 1, 2) a
-JOIN (SELECT step, sum(gn) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g
-      FROM (SELECT CAST(seq % 5 + 1 AS BIGINT) AS step, count(*) AS gn FROM pushes GROUP BY 1) x) b USING (step)""",
-    pushes=X.pushes_sql()))
-def version_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U8: expert and global versions as of the end of each step (step = seq % 5 + 1)."""
-    log = X.pushes(spark, sf_dir).withColumn("step", _step())
-    return U.version_curve(log)
-
-
-@register("staleness_profile", X.with_views(f"""
-{_fold_cte('pushes')}
-SELECT expert, CAST(count(*) AS BIGINT) AS pushes, avg(staleness) AS avg_staleness,
-       CAST(max(staleness) AS BIGINT) AS max_staleness, avg(decay) AS avg_decay, min(decay) AS min_decay,
-       CAST(sum(CASE WHEN staleness < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_staleness
-FROM d GROUP BY expert""", pushes=X.pushes_sql()))
-def staleness_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staleness and decay statistics per expert."""
-    return U.staleness_profile(X.pushes(spark, sf_dir))
-
-
-@register("federated_vs_isolated", X.with_views(f"""
-{_fold_cte('pushes', part='run, expert')},
-  ex AS (SELECT run, 'expert' AS scope, expert, CAST(count(*) AS BIGINT) AS version,
-                round(sum(1.0e0 * decay * delta), 6) AS state FROM d GROUP BY run, expert),
-  gl AS (SELECT run, 'global' AS scope, '*' AS expert, CAST(count(*) AS BIGINT) AS version,
-                round(sum(1.0e0 * decay * delta), 6) AS state FROM d WHERE run = 'federated' GROUP BY run)
-SELECT * FROM ex UNION ALL SELECT * FROM gl""", pushes=X.pushes_sql(run_by_worker=True)))
-def federated_vs_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-run expert folds; only the federated run feeds a global state."""
-    log = X.pushes(spark, sf_dir, run_by_worker=True)
-    ex = U.fold_scalar(log, keys=["run", "expert"]).select(
-        "run", F.lit("expert").alias("scope"), "expert", "version", F.round("state", 6).alias("state"))
-    gl = U.global_scalar(log.filter(F.col("run") == "federated"), keys=["run", "expert"]).select(
-        F.lit("federated").alias("run"), F.lit("global").alias("scope"), F.lit("*").alias("expert"),
-        F.col("global_version").alias("version"), F.round("global_state", 6).alias("state"))
-    return ex.unionByName(gl)
-
-
-@register("round_metrics", X.with_views(f"""
-q AS (SELECT run, step, avg(score) AS avg_exact_match, avg(exec_pass) AS avg_execution_pass_rate FROM eval_score GROUP BY run, step),
-  ps AS (SELECT *, CAST(seq % 5 + 1 AS BIGINT) AS step FROM pushes),
-  cm AS (SELECT step, CAST(count(*) * 4 AS DOUBLE) AS total_communication_bytes, CAST(count(*) AS BIGINT) AS num_updates FROM ps GROUP BY step),
-  ev AS (SELECT expert, step, sum(n) OVER (PARTITION BY expert ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS version
-         FROM (SELECT expert, step, count(*) AS n FROM ps GROUP BY 1, 2) a),
-  vs AS (SELECT step, string_agg(expert || ':' || CAST(version AS VARCHAR), ',' ORDER BY expert) AS expert_versions FROM ev GROUP BY step),
-  gv AS (SELECT step, CAST(sum(num_updates) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS gateway_version FROM cm)
-SELECT q.run, q.step, round(q.avg_exact_match, 9) AS avg_exact_match,
-       round(q.avg_execution_pass_rate, 9) AS avg_execution_pass_rate,
-       round((q.avg_exact_match + q.avg_execution_pass_rate) / 2, 9) AS avg_code_quality,
-       coalesce(cm.total_communication_bytes, 0.0) AS total_communication_bytes,
-       CAST(coalesce(cm.num_updates, 0) AS BIGINT) AS num_updates, vs.expert_versions, gv.gateway_version
-FROM q LEFT JOIN cm USING (step) LEFT JOIN vs USING (step) LEFT JOIN gv USING (step)""",
-    eval_score=X.EVAL_SCORE_SQL, pushes=X.pushes_sql()))
-def round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10 + A11: per (run, step) macro quality joined with the update log's communication,
-    update count, expert versions and global version as of that step."""
-    scores = X.eval_score(spark, sf_dir)
-    q = scores.groupBy("run", "step").agg(F.avg("score").alias("avg_exact_match"),
-                                          F.avg("exec_pass").alias("avg_execution_pass_rate"))
-    log = X.pushes(spark, sf_dir).withColumn("step", _step())
-    comm = U.communication(log)
-    curve = U.version_curve(log)
-    vs = curve.groupBy("step").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat("expert", F.lit(":"), F.col("version").cast("string")))),
-                     ",").alias("expert_versions"),
-        F.max("global_version").alias("gateway_version"))
-    out = (q.join(comm, "step", "left").join(vs, "step", "left")
-            .select("run", "step", "avg_exact_match", "avg_execution_pass_rate",
-                    ((F.col("avg_exact_match") + F.col("avg_execution_pass_rate")) / 2).alias("avg_code_quality"),
-                    F.coalesce("total_communication_bytes", F.lit(0.0)).alias("total_communication_bytes"),
-                    F.coalesce("num_updates", F.lit(0)).cast("bigint").alias("num_updates"),
-                    "expert_versions", "gateway_version"))
-    return rounded(out, "avg_exact_match", "avg_execution_pass_rate", "avg_code_quality")
-
-
-# ------------------------------------------------------------ sources, sinks
-
-from corpusfold.operators import prepare as D  # noqa: E402
-from corpusfold.session import scratch_path  # noqa: E402
-from corpusfold.sources import jsonl as S  # noqa: E402
-from corpusfold.sources import sinks as SK  # noqa: E402
-from corpusfold.streaming import fold as ST  # noqa: E402
-
-FIRST_N = 100
-EXPERT_LANGS = ["en", "fr", "de", "es", "it"]     # 'it' has no dataset: counts 0
-MIN_ITEMS = 50
-
-
-def _item_json() -> F.Column:
-    """One item as a JSON object; absent (null) fields are left out."""
-    return F.to_json(F.struct(F.col("item_id").alias("problem_id"), "prompt", "code",
-                              F.struct(F.col("library").alias("library")).alias("metadata")))
-
-
-# Planted lines after an item's own line: (modulus, line, kind). kind 'empty_obj' is a valid
-# object the splitter keeps; the others are skipped by the reader.
-_PLANTED = [(13, "", "blank"), (17, "{bad", "bad"), (19, "[1,2]", "array"), (23, "{}", "empty_obj"),
-            (29, "{'a':1}", "single_quotes"), (31, '{"a":1} junk', "junk")]
-
-
-def _jsonl_lines(it: DataFrame) -> DataFrame:
-    """(item_id, sub, line) rows: the item's JSON line, then its planted lines."""
-    entries = [F.struct(F.lit(0).alias("sub"), _item_json().alias("line"))]
-    for i, (m, line, _k) in enumerate(_PLANTED, start=1):
-        entries.append(F.when(F.col("item_id") % m == 0, F.struct(F.lit(i).alias("sub"), F.lit(line).alias("line"))))
-    return (it.select("item_id", *[c for c in ("lang",) if c in it.columns],
-                      F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-            .select("item_id", *[c for c in ("lang",) if c in it.columns], "e.sub", "e.line"))
-
-
-def write_items_jsonl(spark: SparkSession, sf_dir: str, by_lang: bool = False) -> str:
-    """Stand-in corpus file(s) written from ``items`` in item order (range-partitioned, so part
-    files and lines inside them follow item order)."""
-    out = scratch_path(spark, "items-jsonl")
-    lines = _jsonl_lines(X.items(spark, sf_dir))
-    if by_lang:
-        lines.orderBy("item_id", "sub").select("lang", "line").write.partitionBy("lang").text(out)
-    else:
-        lines.orderBy("item_id", "sub").select("line").write.text(out)
-    return out
-
-
-def _lines_sql() -> str:
-    parts = ["SELECT item_id, lang, 0 AS sub, 'item' AS kind FROM items"]
-    for i, (m, _line, kind) in enumerate(_PLANTED, start=1):
-        parts.append(f"SELECT item_id, lang, {i} AS sub, '{kind}' AS kind FROM items WHERE item_id % {m} = 0")
-    return " UNION ALL ".join(parts)
-
-
-_READ_OUT = ("SELECT CASE WHEN kind = 'item' THEN i.item_id END AS problem_id, "
-             "CASE WHEN kind = 'item' THEN i.prompt END AS prompt, CASE WHEN kind = 'item' THEN i.code END AS code, "
-             "CASE WHEN kind = 'item' THEN i.library END AS library")
-
-
-def _read_cols(df: DataFrame) -> DataFrame:
-    return df.select(F.get_json_object("raw", "$.problem_id").cast("bigint").alias("problem_id"),
-                     "prompt", "code", "library")
-
-
-@register("jsonl_read", X.with_views(
-    f"{_READ_OUT} FROM lines l JOIN items i USING (item_id) WHERE kind IN ('item', 'empty_obj')",
-    items=X.ITEMS_SQL, lines=_lines_sql()))
-def jsonl_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 + S3: lenient JSONL read of a corpus with planted blank, malformed, non-object,
-    single-quoted and trailing-junk lines (format detected from the head)."""
-    path = write_items_jsonl(spark, sf_dir)
-    return _read_cols(S.read_items(spark, path))
-
-
-@register("first_n", X.with_views(
-    f"{_READ_OUT} FROM (SELECT *, row_number() OVER (ORDER BY item_id, sub) AS line_no FROM lines) l "
-    f"JOIN items i USING (item_id) WHERE line_no <= {FIRST_N} AND kind IN ('item', 'empty_obj')",
-    items=X.ITEMS_SQL, lines=_lines_sql()))
-def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items among the first 100 physical lines (bad lines use up the quota)."""
-    path = write_items_jsonl(spark, sf_dir)
-    return _read_cols(S.read_jsonl(spark, path, sample_size=FIRST_N))
-
-
-# Planted array elements: (modulus, JSON element) - none is an object.
-_ARRAY_PLANTED = [(11, "5"), (13, '"{\\"a\\":1}"'), (17, "[1]"), (19, "null")]
-ARRAY_CHUNK = 100
-
-
-def write_items_json_arrays(spark: SparkSession, sf_dir: str) -> str:
-    """Stand-in JSON-array files: items in chunks of 100 ids, one array file per chunk, with
-    planted non-object elements."""
-    out = scratch_path(spark, "items-array")
-    it = X.items(spark, sf_dir)
-    els = [F.struct(F.lit(0).alias("sub"), _item_json().alias("el"))]
-    for i, (m, el) in enumerate(_ARRAY_PLANTED, start=1):
-        els.append(F.when(F.col("item_id") % m == 0, F.struct(F.lit(i).alias("sub"), F.lit(el).alias("el"))))
-    rows = it.select((F.col("item_id") / ARRAY_CHUNK).cast("bigint").alias("chunk"), "item_id",
-                     F.explode(F.filter(F.array(*els), lambda e: e.isNotNull())).alias("e"))
-    arrays = (rows.groupBy("chunk")   # one chunk = at most 100 items' elements
-              .agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("e.sub").alias("sub"),
-                                                        F.col("e.el").alias("el")))).alias("els"))
-              .select("chunk", F.concat(F.lit("["), F.array_join(F.transform("els", lambda x: x["el"]), ","),
-                                        F.lit("]")).alias("value")))
-    arrays.write.partitionBy("chunk").text(out)
-    return out
-
-
-@register("json_array_read", X.with_views("SELECT item_id AS problem_id, prompt, code, library FROM items",
-                                          items=X.ITEMS_SQL))
-def json_array_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 + S3: JSON-array files (detected by the leading '['); non-object elements skipped."""
-    path = write_items_json_arrays(spark, sf_dir)
-    return _read_cols(S.read_items(spark, path))
-
-
-@register("dataset_union", X.with_views(
-    "SELECT lang AS expert, item_id AS problem_id, prompt FROM items WHERE lang IN ('en', 'fr', 'de', 'es')",
-    items=X.ITEMS_SQL))
-def dataset_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-expert datasets (one JSONL per language) read, tagged and unioned."""
-    out = write_items_jsonl(spark, sf_dir, by_lang=True)
-    paths = {lang: f"{out}/lang={lang}" for lang in EXPERT_LANGS}
-    u = S.union_datasets(spark, paths)
-    return u.filter(F.col("raw") != "{}").select(
-        "expert", F.get_json_object("raw", "$.problem_id").cast("bigint").alias("problem_id"), "prompt")
-
-
-@register("eligible_experts", X.with_views(
-    "SELECT CAST(e.position AS INTEGER) AS position, e.expert AS source, CAST(coalesce(c.n, 0) AS BIGINT) AS valid_items, "
-    f"coalesce(c.n, 0) >= {MIN_ITEMS} AS eligible FROM (VALUES "
-    + ", ".join(f"({i}, '{l}')" for i, l in enumerate(EXPERT_LANGS))
-    + ") AS e(position, expert) LEFT JOIN (SELECT lang, count(*) AS n FROM items GROUP BY lang) c ON c.lang = e.expert",
-    items=X.ITEMS_SQL))
-def eligible_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A15 + D1: valid non-empty objects per expert dataset (missing file = 0), eligible if >= 50."""
-    out = write_items_jsonl(spark, sf_dir, by_lang=True)
-    counts = S.count_valid_objects(spark, {lang: f"{out}/lang={lang}" for lang in EXPERT_LANGS})
-    return D.eligible_experts(counts, MIN_ITEMS)
-
-
-@register("domain_roundtrip", X.with_views(
-    f"SELECT domain, CAST(count(*) AS BIGINT) AS cnt FROM ({OC.chain_sql(REPORT_DOMAINS, ROUTE_DEFAULT)}) c GROUP BY domain",
-    items=X.ITEMS_SQL))
-def domain_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S6 + S7: route items (domains + misc), write one directory per domain, read back, count."""
-    it = items_input(spark, sf_dir).withColumn("raw", _item_json())
-    routed_df = C.classify_chain(it, REPORT_DOMAINS, ROUTE_DEFAULT, keep=["item_id", "raw"])   # one consumer
-    out = scratch_path(spark, "domains")
-    SK.write_domains(routed_df, out)
-    back = SK.read_domains(spark, out)
-    return back.groupBy("domain").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
-
-
-# --------------------------------------------------------------- preparation
-
-REHEARSAL_RATIO = 0.1
-
-
-def lang_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phases over languages in order of first appearance (by doc_id)."""
-    firsts = X.table(spark, sf_dir, "documents").groupBy("lang").agg(F.min("doc_id").alias("_first"))
-    w = Window.orderBy("_first")   # one row per language
-    return firsts.select(F.row_number().over(w).cast("int").alias("phase"), F.col("lang").alias("domain"))
-
-
-_PHASES_SQL = ("SELECT CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS phase, lang AS domain "
-               "FROM (SELECT lang, min(doc_id) AS f FROM documents GROUP BY lang) x")
-_WEIGHTS_SQL = (f"SELECT 'naive' AS strategy, phase, domain, 1.0e0 AS weight FROM phases UNION ALL "
-                f"SELECT 'rehearsal', phase, domain, 1.0e0 FROM phases UNION ALL "
-                f"SELECT 'rehearsal', c.phase, p.domain, {REHEARSAL_RATIO}e0 / greatest(c.phase - 1, 1) "
-                f"FROM phases c JOIN phases p ON p.phase < c.phase")
-
-
-def rehearsal_weights_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ph = lang_phases(spark, sf_dir)
-    return D.phase_schedule(ph, "naive", REHEARSAL_RATIO).unionByName(
-        D.phase_schedule(ph, "rehearsal", REHEARSAL_RATIO))
-
-
-@register("rehearsal_weights", X.with_views("SELECT * FROM weights", phases=_PHASES_SQL, weights=_WEIGHTS_SQL))
-def rehearsal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: per-phase domain weights for the naive and rehearsal strategies (phases = languages)."""
-    return rehearsal_weights_df(spark, sf_dir)
-
-
-@register("rehearsal_mix", X.with_views(
-    "SELECT w.strategy, w.phase, w.domain, d.doc_id AS item_id FROM documents d JOIN weights w ON w.domain = d.lang "
-    "WHERE w.weight >= 1.0 OR CAST(CAST('0x' || substr(md5(CAST(w.phase AS VARCHAR) || ':' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) "
-    "/ 4294967296.0e0 < w.weight", phases=_PHASES_SQL, weights=_WEIGHTS_SQL))
-def rehearsal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per phase, all current-domain documents plus a hashed fraction of earlier domains."""
-    corpus = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("domain"))
-    return D.rehearsal_mix(corpus, rehearsal_weights_df(spark, sf_dir))
-
-
-SAMPLE_STEPS, SAMPLE_BATCH = 3, 4
-
-
-@register("batch_sample", X.with_views(
-    f"SELECT domain, step, item_id FROM (SELECT s.domain, st.step, s.item_id, row_number() OVER "
-    f"(PARTITION BY s.domain, st.step ORDER BY md5(CAST(st.step AS VARCHAR) || ':' || CAST(s.item_id AS VARCHAR)), s.item_id) AS rn "
-    f"FROM split s, (SELECT CAST(range AS INTEGER) AS step FROM range(1, {SAMPLE_STEPS + 1})) st) x WHERE rn <= {SAMPLE_BATCH}",
-    items=X.ITEMS_SQL, split=OC.specialty_sql(R.CANONICAL_SPECIALTIES)))
-def batch_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per specialty (C8 split) and step, a 4-item batch drawn without replacement."""
-    split = C.split_by_specialty(items_input(spark, sf_dir), R.CANONICAL_SPECIALTIES)
-    return D.batch_sample(split, SAMPLE_STEPS, SAMPLE_BATCH)
-
-
-@register("supervised_text", _pairs_sql(
-    "SELECT conv_id, turn, 'Problem:' || chr(10) || " + __import__("corpusfold.functions.text", fromlist=["x"]).sql_strip("prompt")
-    + " || chr(10) || chr(10) || 'Answer:' || chr(10) || "
-    + __import__("corpusfold.functions.text", fromlist=["x"]).sql_strip("reference_code") + " || chr(10) AS text FROM pairs"))
-def supervised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D6 + F14: supervised training text per (prompt, reference) pair."""
-    return D.supervised_dataset(pairs_input(spark, sf_dir), keep=["conv_id", "turn"])
-
-
-def _pair_items_sql() -> str:
-    return "SELECT conv_id * 1000 + turn AS item_id, prompt, reference_code FROM pairs"
-
-
-@register("expert_sets", X.with_views(f"""
-sp AS ({OC.specialty_sql(R.CANONICAL_SPECIALTIES, src='pitems')}),
-  j AS (SELECT sp.domain, p.item_id, p.reference_code FROM sp JOIN pitems p USING (item_id)),
-  h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY item_id) AS rn FROM j) x WHERE rn <= {HEAD_K}),
-  pd AS (SELECT domain, avg({sql_exact_match('substring(reference_code, 1, 50)', 'reference_code')}) AS em FROM h GROUP BY domain),
-  ov AS (SELECT avg(em) AS overall_quality FROM pd),
-  st AS (SELECT * FROM (VALUES """ + ", ".join(
-    f"({i}, '{'+'.join(s)}', {len(s)})" for i, s in enumerate(D.parse_expert_sets(R.DEFAULT_EXPERT_SETS))) + f""") AS t(setting_index, setting, num_experts))
-SELECT CAST(row_number() OVER (ORDER BY overall_quality DESC, setting_index) AS BIGINT) AS rank,
-       CAST(setting_index AS INTEGER) AS setting_index, setting, CAST(num_experts AS INTEGER) AS num_experts,
-       round(overall_quality, 9) AS overall_quality
-FROM st, ov""", pairs=X.PAIRS_SQL, pitems=_pair_items_sql()))
-def expert_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F18 + D2 + A13: expert-set grid (default 'generalist|python,sql|python,sql,docs'),
-    each scored by the canonical-domain head evaluation (exact match of the 50-char prefix,
-    first 3 per domain), ranked by overall quality, ties in set order."""
-    p = pairs_input(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
-    split = C.split_by_specialty(p, R.CANONICAL_SPECIALTIES, keep=["item_id", "reference_code"])
-    per_dom = EV.head_eval(split, k=HEAD_K)
-    overall = per_dom.agg(F.avg("exact_match")).scalar()   # scalar subquery
-    sets = D.expert_sets_frame(spark, R.DEFAULT_EXPERT_SETS)
-    grid = sets.withColumn("overall_quality", overall)
-    w = Window.orderBy(F.desc("overall_quality"), "setting_index")
-    return grid.select(F.row_number().over(w).cast("bigint").alias("rank"), "setting_index", "setting",
-                       F.size("experts").cast("int").alias("num_experts"),
-                       F.round("overall_quality", DECIMALS).alias("overall_quality"))
-
-
-# ----------------------------------------------------------------- streaming
-
-STREAM_FILES = 4
-
-
-@register("stream_fold", X.with_views(f"""
-{_fold_cte('pushes')}
-SELECT expert, CAST(count(*) AS BIGINT) AS version, round(coalesce(sum(1.0e0 * decay * delta), 0.0), 6) AS state
-FROM d GROUP BY expert""", pushes=X.pushes_sql()))
-def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scalar log replayed as 4 files through a Structured Streaming fold
-    (applyInPandasWithState, one file per micro-batch); final state per expert."""
-    src = scratch_path(spark, "push-stream")
-    ST.write_push_files(X.pushes(spark, sf_dir), src, STREAM_FILES)
-    sink, ckpt = scratch_path(spark, "fold-out"), scratch_path(spark, "fold-ckpt")
-    ST.stream_fold(spark, src, sink, ckpt)
-    return ST.latest_states(spark, sink).select("expert", "version", F.round("state", 6).alias("state"))
-
-
-@register("stream_vector_fold", X.with_views(f"""
-{_fold_cte('vector_pushes')},
-  e AS (SELECT expert, decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d),
-  s AS (SELECT expert, pos, coalesce(sum(1.0e0 * decay * x), 0.0) AS value FROM e GROUP BY expert, pos),
-  c AS (SELECT expert, CAST(count(*) AS BIGINT) AS version FROM d GROUP BY expert)
-SELECT s.expert, c.version, CAST(s.pos AS INTEGER) AS pos, round(s.value, 6) AS value
-FROM s JOIN c USING (expert)""", vector_pushes=X.VECTOR_PUSHES_SQL))
-def stream_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U9 on vector deltas: the embedding log replayed as 4 files through the streaming fold;
-    final per-expert state in long form."""
-    src = scratch_path(spark, "vec-stream")
-    ST.write_push_files(X.vector_pushes(spark, sf_dir), src, STREAM_FILES)
-    sink, ckpt = scratch_path(spark, "vfold-out"), scratch_path(spark, "vfold-ckpt")
-    ST.stream_fold(spark, src, sink, ckpt, vector=True)
-    st = ST.latest_states(spark, sink)
-    return st.select("expert", "version", F.posexplode("state").alias("pos", "value")).select(
-        "expert", "version", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
+# The other query groups register themselves on import.
+from corpusfold.plans import queries_eval, queries_updates, queries_io  # noqa: E402,F401
