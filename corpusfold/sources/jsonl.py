@@ -101,11 +101,12 @@ def detect_format(spark: SparkSession, path: str, head_chars: int = 4096) -> str
     order, so ``limit`` on a directory could start in any file); within one file the
     splits are taken in offset order. At most 256 lines travel to the driver.
     """
-    files = sorted(spark.read.text(path).inputFiles())
+    files = spark.read.text(path).inputFiles()   # file names only (metadata)
     if not files:
         return "jsonl"
+    first = min(files)
     seen = 0
-    for row in spark.read.text(files[0]).limit(256).collect():   # bounded head
+    for row in spark.read.text(first).limit(256).collect():   # bounded head
         line = row.value + "\n"
         for ch in line[: max(0, head_chars - seen)]:
             if not ch.isspace():
