@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from corpusfold.functions.text import exact_match, prefix, token_overlap
+from corpusfold.session import ship_package
 
 _COMPILE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError)
 
@@ -47,6 +48,7 @@ def pair_metrics(df: DataFrame, generated: str = "generated_code", reference: st
                                 exact_match(generated, reference).alias("exact_match"),
                                 token_overlap(generated, reference).alias("similarity")]
     if with_syntax:
+        ship_package(df.sparkSession)
         cols.append(syntax_valid(F.coalesce(F.col(generated), F.lit(""))).alias("exec_pass"))
     return df.select(*cols)
 

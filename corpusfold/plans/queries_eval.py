@@ -11,7 +11,7 @@ from corpusfold.plans import fixtures as X
 from corpusfold.plans.catalog import items_input, register, rounded
 from corpusfold.functions.text import sql_exact_match, sql_token_overlap
 from corpusfold.operators import evaluate as EV
-from corpusfold.session import spread
+from corpusfold.session import ship_package, spread
 
 
 # ----------------------------------------------------------------- evaluation
@@ -42,6 +42,7 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """does each item's code compile as Python (Arrow pandas_udf, compile only)."""
     it = items_input(spark, sf_dir)
+    ship_package(spark)
     return it.select("item_id", EV.syntax_valid(F.coalesce(F.col("code"), F.lit(""))).alias("syntax_valid"))
 
 

@@ -120,3 +120,39 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 __all__ = ["build_session", "checkpoint_dir", "scratch_path", "cut_lineage", "path_exists", "local_path", "spread", "estimated_splits"]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusfold`` importable in Python workers (what ``--py-files`` does).
+
+    Needed before stages that run Python (the syntax ``pandas_udf``, the streaming
+    fold's handler) when the package is not installed on the executors. The
+    sources are zipped in memory, written into the shared checkpoint folder
+    through the Hadoop filesystem API and added once per SparkContext.
+    """
+    import io
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusfold_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    target = f"{scratch_path(spark, 'pyfiles')}/corpusfold.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(target)
+    out = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).create(hpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
+    sc._corpusfold_shipped = True

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusfold.functions import rules as R
+from corpusfold.session import ship_package
 
 OUTPUT_SCHEMA = "expert string, version bigint, state double"
 STATE_SCHEMA = "version bigint, state double"
@@ -71,6 +72,7 @@ def stream_fold(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint:
     schemas = ((VECTOR_PUSH_SCHEMA, VECTOR_OUTPUT_SCHEMA, VECTOR_STATE_SCHEMA, _fold_vector_group) if vector
                else (PUSH_SCHEMA, OUTPUT_SCHEMA, STATE_SCHEMA, _fold_group))
     push_schema, out_schema, state_schema, handler = schemas
+    ship_package(spark)
     stream = (spark.readStream.schema(push_schema)
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
     folded = stream.groupBy("expert").applyInPandasWithState(
