@@ -54,12 +54,30 @@ def decay(staleness: Column) -> Column:
     return F.when(den > 0, F.lit(1.0) / den)
 
 
+def _is_wide(dtype: str) -> bool:
+    return dtype.startswith(("array", "map", "struct", "binary"))
+
+
 def with_versions(log: DataFrame, keys: Sequence[str] = ("expert",), order: str = "seq") -> DataFrame:
-    """Add ``version`` (the version the push meets), ``staleness`` and ``decay``."""
-    ranked = running_rank(log, keys, order, out="_cf_pos")
-    return (ranked.withColumn("version", F.col("_cf_pos") - 1).drop("_cf_pos")
-            .withColumn("staleness", F.col("version") - F.col("worker_version"))
-            .withColumn("decay", decay(F.col("staleness"))))
+    """Add ``version`` (the version the push meets), ``staleness`` and ``decay``.
+
+    Narrow logs are numbered in place. When rows carry deltas (arrays), only
+    ``(keys, seq, worker_version)`` - one row per push - goes through the ranking
+    window, and the decay is joined back on ``(keys, seq)``: window buffers never
+    hold vectors, and several rows of one push (named tensors) share its version.
+    """
+    keys = list(keys)
+
+    def decorate(ranked: DataFrame) -> DataFrame:
+        return (ranked.withColumn("version", F.col("_cf_pos") - 1).drop("_cf_pos")
+                .withColumn("staleness", F.col("version") - F.col("worker_version"))
+                .withColumn("decay", decay(F.col("staleness"))))
+
+    if not any(_is_wide(t) for _c, t in log.dtypes):
+        return decorate(running_rank(log, keys, order, out="_cf_pos"))
+    pushes = log.select(*keys, order, "worker_version").dropDuplicates([*keys, order])
+    ranked = decorate(running_rank(pushes, keys, order, out="_cf_pos"))
+    return log.drop("worker_version").join(ranked, on=[*keys, order], how="inner")
 
 
 def _weight() -> Column:
@@ -172,14 +190,8 @@ def adapter_keys(df: DataFrame, key: str = "key") -> DataFrame:
 
 def fold_keyed(log: DataFrame, key: str = "key", delta: str = "delta") -> DataFrame:
     """Per (expert, parameter name) decayed sums; the version counts pushes (distinct seq),
-    not key rows. A key absent from the state is inserted by the grouping itself.
-
-    The rows of one push share its position (dense bucketed rank), so key rows are
-    numbered in place - no grouping of pushes and join back.
-    """
-    ranked = running_rank(log, ["expert"], "seq", out="_cf_pos", dense=True)
-    v = (ranked.withColumn("staleness", F.col("_cf_pos") - 1 - F.col("worker_version"))
-         .withColumn("decay", decay(F.col("staleness"))))
+    not key rows. A key absent from the state is inserted by the grouping itself."""
+    v = with_versions(log, ["expert"])   # rows of one push share its version
     versions = log.groupBy("expert").agg(F.countDistinct("seq").cast("bigint").alias("version"))
     state = (v.select("expert", key, "decay", F.posexplode(delta).alias("pos", "x"))
              .groupBy("expert", key, "pos")
