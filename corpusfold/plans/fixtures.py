@@ -127,7 +127,9 @@ def vector_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("string").alias("expert"), F.col("vec_id").alias("seq"),
         F.transform("embedding", lambda x: x.cast("double")).alias("delta"))
-    v = running_rank(v, ["expert"], "seq", out="_pos").withColumn("cur", F.col("_pos") - 1).drop("_pos")
+    # Rank the narrow (expert, seq) pairs only; vectors join back afterwards.
+    pos = running_rank(v.select("expert", "seq"), ["expert"], "seq", out="_pos")
+    v = v.join(pos, ["expert", "seq"]).withColumn("cur", F.col("_pos") - 1).drop("_pos")
     return v.withColumn("worker_version", F.col("cur") - F.least(F.col("cur"), F.col("seq") % 4))
 
 
