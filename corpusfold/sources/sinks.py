@@ -6,19 +6,28 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_domains(classified: DataFrame, out: str, order_col: str = "item_id",
-                  domains: Sequence[str] | None = None) -> None:
+                  domains: Sequence[str] | None = None, files_per_domain: int | None = None) -> None:
     """One directory per domain (``domain=<name>``) holding the raw lines, overwritten.
 
-    No repartition by domain (a hot domain would become one task): each task
-    writes its own rows per domain, sorted by ``order_col`` so file order
-    follows input order. Empty configured domains are reported by A3, not
-    written as empty files.
+    By default there is no shuffle: each task writes its own rows per domain,
+    sorted by ``order_col`` (tasks x domains files). ``files_per_domain`` salts
+    the domain with a hash of ``order_col`` instead: at most that many files per
+    domain, and a hot domain is split over that many tasks instead of one. ``domains`` also creates the
+    directories of configured domains that received no rows.
     """
-    (classified.select("domain", order_col, "raw")
-     .sortWithinPartitions("domain", order_col)
+    rows = classified.select("domain", order_col, "raw")
+    if files_per_domain:
+        # Salted write: a domain (a hot one included) is spread over up to
+        # ``files_per_domain`` tasks, so each domain directory holds at most that many files.
+        salt = F.pmod(F.xxhash64(order_col), F.lit(files_per_domain))
+        n_parts = files_per_domain * (len(domains) if domains else
+                                      classified.sparkSession.sparkContext.defaultParallelism)
+        rows = rows.repartition(n_parts, F.col("domain"), salt)
+    (rows.sortWithinPartitions("domain", order_col)
      .select("domain", "raw")
      .write.mode("overwrite").partitionBy("domain").text(out))
     if domains:

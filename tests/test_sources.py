@@ -155,3 +155,14 @@ def test_cli_split(spark, tmpdir_path, capsys):
     assert "Total Items: 2" in out and "SQL structure" in out
     assert main(["split", "--input", os.path.join(tmpdir_path, "missing"), "--outdir", tmpdir_path]) == 1
     assert main(["split", "--input", p, "--outdir", tmpdir_path, "--default-domain", "nope"]) == 1
+
+
+def test_salted_domain_write(spark, tmpdir_path):
+    import glob
+    df = spark.createDataFrame([(i, "hot" if i % 10 else "cold", json.dumps({"i": i})) for i in range(300)],
+                               "item_id long, domain string, raw string").repartition(7)
+    out = os.path.join(tmpdir_path, "salted")
+    SK.write_domains(df, out, files_per_domain=3, domains=["hot", "cold"])
+    hot_files = [f for f in glob.glob(os.path.join(out, "domain=hot", "*.txt"))]
+    assert 1 < len(hot_files) <= 3
+    assert SK.read_domains(spark, out).count() == 300
