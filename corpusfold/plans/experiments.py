@@ -1,0 +1,87 @@
+"""The comparison experiments as Spark jobs over an item table and an update log.
+
+Nothing is trained here (the reference's training is simulated and its quality
+never depends on it, SURVEY Q8-Q10): rounds and phases are grouping columns, the
+update log carries what the workers pushed, and evaluation is the deterministic
+head evaluation of the reference code.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusfold.functions import rules as R
+from corpusfold.operators import classify as C
+from corpusfold.operators import evaluate as EV
+from corpusfold.operators import prepare as D
+
+
+def round_rows(items: DataFrame, log: DataFrame, specialties: Sequence[str], k: int = 5,
+               bytes_per_value: int = R.BYTES_PER_VALUE) -> DataFrame:
+    """One row per (run, step).
+
+    ``items``: ``(item_id, prompt, reference_code)``; ``log``: ``(run, expert, seq, step, delta)``
+    with scalar or array deltas. Quality comes from the round evaluation (C8 split, first
+    ``k`` per specialty, 50-character prefix + '...', exact match and syntax pass); the
+    log gives communication, update count, expert versions and - for the federated run -
+    the gateway version, each as of the end of the step.
+    """
+    split = C.split_by_specialty(items, specialties, keep=["item_id", "reference_code"])
+    ev = EV.head_eval(split, k=k, suffix="...", with_syntax=True)
+    exact = ev.agg(F.avg("exact_match")).scalar()      # macro means: scalar subqueries
+    passed = ev.agg(F.avg("exec_pass")).scalar()
+
+    is_array = dict(log.dtypes)["delta"].startswith("array")
+    values = F.size("delta") if is_array else F.lit(1)
+    per_expert = log.groupBy("run", "expert", "step").agg(F.count(F.lit(1)).alias("_n"))
+    w_e = Window.partitionBy("run", "expert").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    versions = (per_expert.withColumn("version", F.sum("_n").over(w_e))
+                .groupBy("run", "step")
+                .agg(F.array_join(F.array_sort(F.collect_list(
+                    F.concat("expert", F.lit(":"), F.col("version").cast("string")))), ",").alias("expert_versions")))
+    comm = log.groupBy("run", "step").agg(
+        (F.sum(values) * F.lit(bytes_per_value)).cast("double").alias("total_communication_bytes"),
+        F.count(F.lit(1)).cast("bigint").alias("num_updates"))
+    w_r = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    comm = comm.withColumn("gateway_version",
+                           F.when(F.col("run") == "federated", F.sum("num_updates").over(w_r)).otherwise(F.lit(0))
+                           .cast("bigint"))
+    return (comm.join(versions, ["run", "step"])
+            .select("run", "step", exact.alias("avg_exact_match"), passed.alias("avg_execution_pass_rate"),
+                    ((exact + passed) / 2).alias("avg_code_quality"), "total_communication_bytes",
+                    "num_updates", "expert_versions", "gateway_version"))
+
+
+def compare_runs(rounds: DataFrame, run_a: str = "federated", run_b: str = "isolated") -> DataFrame:
+    """E2 / A12 on round rows: mean and final quality per run and the relative improvement."""
+    scores = rounds.select("run", "step", F.lit("all").alias("domain"), F.col("avg_code_quality").alias("score"))
+    return EV.run_compare(scores, run_a, run_b)
+
+
+def phase_scores(items: DataFrame, phase_domains: Sequence[str], strategies: Sequence[str] = ("naive", "rehearsal"),
+                 ratio: float = 0.1, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Per strategy the rehearsal mixture (D3 + D4) and the per-phase evaluation table.
+
+    ``phase_domains`` is the configured phase order (phase i+1 trains domain i). Items are
+    split by those domains (C8) and every phase is evaluated on the first ``k`` items per
+    domain (exact match of the 50-character prefix), as the reference does. Returns
+    ``(mixture rows, eval_score(run, step, domain, score))`` for
+    :func:`corpusfold.operators.evaluate.forgetting`.
+    """
+    spark = items.sparkSession
+    phases = spark.createDataFrame([(i + 1, d) for i, d in enumerate(phase_domains)], "phase int, domain string")
+    weights = None
+    for st in strategies:
+        w = D.phase_schedule(phases, st, ratio)
+        weights = w if weights is None else weights.unionByName(w)
+    split = C.split_by_specialty(items, list(dict.fromkeys(phase_domains)), keep=["item_id", "reference_code"])
+    mixture = D.rehearsal_mix(split.select("item_id", "domain"), weights)
+    per_domain = EV.head_eval(split, k=k).select("domain", F.col("exact_match").alias("score"))
+    # Nothing is trained, so each phase's snapshot repeats the same per-domain scores:
+    # one row per (strategy, phase, evaluated domain), generated from the domain rows.
+    scores = (per_domain.withColumn("run", F.explode(F.array(*[F.lit(s) for s in strategies])))
+              .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(phase_domains))))))
+    return mixture, scores.select("run", F.col("step").cast("bigint").alias("step"), "domain", "score")

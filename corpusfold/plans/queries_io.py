@@ -303,3 +303,44 @@ def stream_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = ST.latest_states(spark, sink)
     return st.select("expert", "version", F.posexplode("state").alias("pos", "value")).select(
         "expert", "version", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
+
+
+# --------------------------------------------------------------- experiments
+
+from corpusfold.plans import experiments as XP  # noqa: E402
+
+PHASE_DOMAINS = list(R.CANONICAL_SPECIALTIES)     # python -> sql -> docs
+
+
+def _pair_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_input(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
+
+
+@register("federated_rounds")
+def federated_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round rows per (run, step) - round evaluation of the pairs split by specialty, and
+    communication, update count, expert versions and gateway version from the update log with
+    runs by worker parity and step = seq % 5 + 1 - plus the federated-vs-isolated comparison
+    attached to every row."""
+    log = X.pushes(spark, sf_dir, run_by_worker=True).withColumn("step", (F.col("seq") % 5 + 1).cast("bigint"))
+    rounds = XP.round_rows(_pair_items(spark, sf_dir), log, R.CANONICAL_SPECIALTIES)
+    cmp = XP.compare_runs(rounds)
+    return rounds.withColumn("improvement_percent", cmp.select("improvement_percent").scalar())
+
+
+@register("continual_forgetting", X.with_views(f"""
+sp AS ({OC.specialty_sql(R.CANONICAL_SPECIALTIES, src='pitems')}),
+  j AS (SELECT sp.domain, p.item_id, p.reference_code FROM sp JOIN pitems p USING (item_id)),
+  h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY item_id) AS rn FROM j) x WHERE rn <= {HEAD_K}),
+  pd AS (SELECT domain, avg({sql_exact_match('substring(reference_code, 1, 50)', 'reference_code')}) AS score FROM h GROUP BY domain)
+SELECT s.run, 0.0 AS avg_forgetting, round(avg(pd.score), 9) AS final_overall, CAST(count(*) AS BIGINT) AS num_domains
+FROM pd, (VALUES ('naive'), ('rehearsal')) AS s(run) GROUP BY s.run""",
+    pairs=X.PAIRS_SQL, pitems="SELECT conv_id * 1000 + turn AS item_id, prompt, reference_code FROM pairs"))
+def continual_forgetting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases python -> sql -> docs, naive and rehearsal schedules (D3), the rehearsal mixture
+    (D4), per-phase evaluation of the pairs' canonical split and forgetting per strategy (A14)."""
+    mixture, scores = XP.phase_scores(_pair_items(spark, sf_dir), PHASE_DOMAINS, k=HEAD_K)
+    mixture.write.format("noop").mode("overwrite").save()    # the training mixture is built as well
+    f = EV.forgetting(scores)
+    return f.select("run", F.round("avg_forgetting", DECIMALS).alias("avg_forgetting"),
+                    F.round("final_overall", DECIMALS).alias("final_overall"), "num_domains")

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from conftest import SF001
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS_ONLY = {"pair_syntax", "batch_eval", "round_eval"}
+ROWS_ONLY = {"pair_syntax", "batch_eval", "round_eval", "federated_rounds"}
 
 
 def test_entry_smoke(spark):

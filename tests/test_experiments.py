@@ -1,0 +1,34 @@
+"""E2 / E3 flows on the sf0.001 stand-ins."""
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from corpusfold.functions import rules as R
+from corpusfold.operators import evaluate as EV
+from corpusfold.plans import experiments as XP
+from corpusfold.plans import fixtures as X
+
+
+def _items(spark):
+    return X.pairs(spark, SF001).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
+
+
+def test_round_rows_and_comparison(spark):
+    log = X.pushes(spark, SF001, run_by_worker=True).withColumn("step", (F.col("seq") % 5 + 1).cast("bigint"))
+    rounds = XP.round_rows(_items(spark), log, R.CANONICAL_SPECIALTIES).collect()
+    assert {r.run for r in rounds} == {"federated", "isolated"} and len(rounds) == 10
+    assert all(r.gateway_version == 0 for r in rounds if r.run == "isolated")
+    fed = sorted((r for r in rounds if r.run == "federated"), key=lambda r: r.step)
+    assert fed[-1].gateway_version == log.filter("run = 'federated'").count()
+    assert len({r.avg_code_quality for r in rounds}) == 1       # nothing is trained (Q8)
+    cmp = XP.compare_runs(XP.round_rows(_items(spark), log, R.CANONICAL_SPECIALTIES)).collect()[0]
+    assert cmp.improvement_percent == pytest.approx(0.0, abs=1e-9)
+
+
+def test_phase_scores_forgetting_is_zero(spark):
+    mixture, scores = XP.phase_scores(_items(spark), ["python", "sql"], k=3)
+    f = {r.run: r for r in EV.forgetting(scores).collect()}
+    assert set(f) == {"naive", "rehearsal"} and all(r.avg_forgetting == 0.0 for r in f.values())
+    phases = {(r.strategy, r.phase) for r in mixture.select("strategy", "phase").distinct().collect()}
+    assert phases <= {(s, p) for s in ("naive", "rehearsal") for p in (1, 2)}
+    assert {r.domain for r in scores.collect()} <= {"python", "sql"}
