@@ -86,7 +86,7 @@ RUN_A, RUN_B = "rehearsal", "naive"
 
 
 @register("run_compare", _eval_sql(f"""
-, q AS (SELECT run, step, avg(score) AS quality FROM eval_score WHERE run IN ('{RUN_A}', '{RUN_B}') GROUP BY run, step),
+q AS (SELECT run, step, avg(score) AS quality FROM eval_score WHERE run IN ('{RUN_A}', '{RUN_B}') GROUP BY run, step),
   r AS (SELECT run, avg(quality) AS avg_q, arg_max(quality, step) AS final_q FROM q GROUP BY run),
   w AS (SELECT max(CASE WHEN run = '{RUN_A}' THEN avg_q END) AS a_avg_quality,
                max(CASE WHEN run = '{RUN_B}' THEN avg_q END) AS b_avg_quality,
@@ -96,7 +96,7 @@ SELECT '{RUN_A}' AS run_a, '{RUN_B}' AS run_b, round(a_avg_quality, 9) AS a_avg_
        round(b_avg_quality, 9) AS b_avg_quality,
        round((a_avg_quality - b_avg_quality) / (b_avg_quality + 1e-6) * 100.0, 9) AS improvement_percent,
        round(a_final_quality, 9) AS a_final_quality, round(b_final_quality, 9) AS b_final_quality
-FROM w WHERE a_avg_quality IS NOT NULL AND b_avg_quality IS NOT NULL""".replace("\n, q AS", "q AS", 1)))
+FROM w WHERE a_avg_quality IS NOT NULL AND b_avg_quality IS NOT NULL"""))
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and final quality of two runs and the relative improvement."""
     return rounded(EV.run_compare(X.eval_score(spark, sf_dir), RUN_A, RUN_B), "a_avg_quality", "b_avg_quality",

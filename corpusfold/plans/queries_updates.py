@@ -19,10 +19,12 @@ _DECAY_SQL = ("CASE WHEN 1.0e0 + 0.1e0 * (version - worker_version) > 0 "
               "THEN 1.0e0 / (1.0e0 + 0.1e0 * (version - worker_version)) END")
 
 
-def _fold_cte(src: str, part: str = "expert", where: str = "TRUE") -> str:
-    return (f"v AS (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY seq) - 1 AS BIGINT) AS version "
-            f"FROM {src} WHERE {where}), d AS (SELECT *, version - worker_version AS staleness, "
-            f"{_DECAY_SQL} AS decay FROM v)")
+def _fold_cte(src: str, part: str = "expert", where: str = "TRUE", prefix: str = "") -> str:
+    """CTEs ``{prefix}v`` (version each push meets) and ``{prefix}d`` (staleness, decay)."""
+    v, d = f"{prefix}v", f"{prefix}d"
+    return (f"{v} AS (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY seq) - 1 AS BIGINT) AS version "
+            f"FROM {src} WHERE {where}), {d} AS (SELECT *, version - worker_version AS staleness, "
+            f"{_DECAY_SQL} AS decay FROM {v})")
 
 
 def _step(col: str = "seq") -> F.Column:
@@ -33,8 +35,7 @@ def _step(col: str = "seq") -> F.Column:
 {_fold_cte('pushes', where=_IN_REG)},
   f AS (SELECT expert, count(*) AS version, sum(1.0e0 * decay * delta) AS state FROM d GROUP BY expert)
 SELECT reg.expert, CAST(coalesce(f.version, 0) AS BIGINT) AS version, round(coalesce(f.state, 0.0), 6) AS state
-FROM {_REG_SQL} LEFT JOIN f ON f.expert = reg.expert""", pushes=X.pushes_sql()).replace("\n\nv AS", "\nv AS")
-          .replace("WITH pushes AS", "WITH pushes AS", 1))
+FROM {_REG_SQL} LEFT JOIN f ON f.expert = reg.expert""", pushes=X.pushes_sql()))
 def expert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1 + U2: registered experts' states folded from the scalar update log."""
     st = U.expert_states(REGISTERED, X.pushes(spark, sf_dir))
@@ -148,15 +149,17 @@ SELECT expert, seq, worker_version, 'layer' || CAST(seq % 4 AS VARCHAR) || k AS
 FROM vector_pushes, (VALUES ('.lora_A'), ('.lora_B'), ('.base')) AS kk(k)"""
 
 
-def _keyed_fold_sql(where: str = "TRUE") -> str:
-    return (f"p AS (SELECT expert, seq, any_value(worker_version) AS worker_version FROM keyed "
+def _keyed_fold_sql(where: str = "TRUE", prefix: str = "") -> str:
+    """CTEs of the keyed fold; ``{prefix}s`` holds the state, ``{prefix}c`` the versions."""
+    p, d, e, c, s = (f"{prefix}{n}" for n in ("p", "d", "e", "c", "s"))
+    return (f"{p} AS (SELECT expert, seq, any_value(worker_version) AS worker_version FROM keyed "
             f"WHERE contains(key, 'lora_') AND {where} GROUP BY expert, seq), "
-            f"{_fold_cte('p')}, "
-            f"e AS (SELECT k.expert, k.key, d.decay, unnest(k.delta) AS x, unnest(range(len(k.delta))) AS pos "
-            f"FROM keyed k JOIN d USING (expert, seq) WHERE contains(k.key, 'lora_')), "
-            f"c AS (SELECT expert, CAST(count(*) AS BIGINT) AS version FROM d GROUP BY expert), "
-            f"s AS (SELECT expert, key, CAST(pos AS INTEGER) AS pos, coalesce(sum(1.0e0 * decay * x), 0.0) AS value "
-            f"FROM e GROUP BY expert, key, pos)")
+            f"{_fold_cte(p, prefix=prefix)}, "
+            f"{e} AS (SELECT k.expert, k.key, {d}.decay, unnest(k.delta) AS x, unnest(range(len(k.delta))) AS pos "
+            f"FROM keyed k JOIN {d} USING (expert, seq) WHERE contains(k.key, 'lora_')), "
+            f"{c} AS (SELECT expert, CAST(count(*) AS BIGINT) AS version FROM {d} GROUP BY expert), "
+            f"{s} AS (SELECT expert, key, CAST(pos AS INTEGER) AS pos, coalesce(sum(1.0e0 * decay * x), 0.0) AS value "
+            f"FROM {e} GROUP BY expert, key, pos)")
 
 
 @register("keyed_fold", X.with_views(
@@ -180,18 +183,8 @@ def _keyed_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 _MID = "(SELECT CAST((min(seq) + max(seq)) // 2 AS BIGINT) FROM keyed)"
 
 
-def _fold_chain(prefix: str, where: str) -> str:
-    s = _keyed_fold_sql(where)
-    for name in ("p", "v", "d", "e", "c", "s"):
-        s = s.replace(f"{name} AS (", f"{prefix}{name} AS (")
-    s = (s.replace("FROM p WHERE", f"FROM {prefix}p WHERE").replace("FROM v)", f"FROM {prefix}v)")
-         .replace("JOIN d USING", f"JOIN {prefix}d USING").replace("FROM d GROUP", f"FROM {prefix}d GROUP")
-         .replace("FROM e GROUP", f"FROM {prefix}e GROUP").replace(" d.decay", f" {prefix}d.decay"))
-    return s
-
-
 @register("state_diff", X.with_views(
-    f"WITH {_fold_chain('b_', f'seq <= {_MID}')}, {_fold_chain('a_', 'TRUE')} "
+    f"WITH {_keyed_fold_sql(f'seq <= {_MID}', 'b_')}, {_keyed_fold_sql('TRUE', 'a_')} "
     f"SELECT a.expert, a.key, a.pos, round(a.value - b.value, 6) AS value "
     f"FROM a_s a JOIN b_s b USING (expert, key, pos)",
     vector_pushes=X.VECTOR_PUSHES_SQL, keyed=_KEYED_SQL))
@@ -204,7 +197,7 @@ def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("state_apply", X.with_views(
-    f"WITH {_fold_chain('b_', f'seq <= {_MID}')}, {_fold_chain('a_', 'TRUE')}, "
+    f"WITH {_keyed_fold_sql(f'seq <= {_MID}', 'b_')}, {_keyed_fold_sql('TRUE', 'a_')}, "
     f"df AS (SELECT a.expert, a.key, a.pos, a.value - b.value AS value FROM a_s a JOIN b_s b USING (expert, key, pos)) "
     f"SELECT coalesce(b.expert, df.expert) AS expert, coalesce(b.key, df.key) AS key, coalesce(b.pos, df.pos) AS pos, "
     f"round(coalesce(b.value, 0.0) + 1.0e0 * coalesce(df.value, 0.0), 6) AS value "
