@@ -232,10 +232,16 @@ def version_curve(log: DataFrame, step: str = "step", keys: Sequence[str] = ("ex
     return per.drop("_n").join(g, step).select(*keys, step, "version", "global_version")
 
 
-def staleness_profile(log: DataFrame, keys: Sequence[str] = ("expert",)) -> DataFrame:
-    """Staleness and decay per expert (the numbers the reference prints per push)."""
+def staleness_profile(log: DataFrame, keys: Sequence[str] = ("expert",),
+                      percentiles: Sequence[float] | None = None) -> DataFrame:
+    """Staleness and decay per expert (the numbers the reference prints per push);
+    ``percentiles`` adds approximate staleness quantiles (``percentile_approx``, mergeable
+    sketches, so a hot expert is still aggregated map-side)."""
     v = with_versions(log, keys)
-    return v.groupBy(*keys).agg(
+    extra = []
+    if percentiles:
+        extra.append(F.percentile_approx("staleness", list(percentiles)).alias("staleness_percentiles"))
+    return v.groupBy(*keys).agg(*extra,
         F.count(F.lit(1)).cast("bigint").alias("pushes"),
         F.avg("staleness").alias("avg_staleness"),
         F.max("staleness").cast("bigint").alias("max_staleness"),

@@ -65,10 +65,16 @@ def _fold_vector_group(key: tuple, batches: Iterator[pd.DataFrame], state: Group
 
 
 def stream_fold(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                files_per_trigger: int = 1, vector: bool = False) -> None:
-    """Run the fold over every file in ``source_dir`` (``availableNow``) and append each
-    micro-batch's updated expert states to parquet at ``sink_dir``. ``vector=True`` folds
-    array deltas position-wise."""
+                files_per_trigger: int = 1, vector: bool = False,
+                processing_time: str | None = None):
+    """Fold the pushes arriving in ``source_dir`` and append each micro-batch's updated expert
+    states to parquet at ``sink_dir``. ``vector=True`` folds array deltas position-wise.
+
+    By default every available file is processed (``availableNow``) and the call returns
+    when done. With ``processing_time`` (e.g. ``"10 seconds"``) the fold keeps running -
+    workers may keep pushing files - and the running ``StreamingQuery`` is returned for
+    the caller to stop.
+    """
     schemas = ((VECTOR_PUSH_SCHEMA, VECTOR_OUTPUT_SCHEMA, VECTOR_STATE_SCHEMA, _fold_vector_group) if vector
                else (PUSH_SCHEMA, OUTPUT_SCHEMA, STATE_SCHEMA, _fold_group))
     push_schema, out_schema, state_schema, handler = schemas
@@ -77,10 +83,13 @@ def stream_fold(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint:
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
     folded = stream.groupBy("expert").applyInPandasWithState(
         handler, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    q = (folded.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+    writer = (folded.writeStream.format("parquet").option("path", sink_dir)
+              .option("checkpointLocation", checkpoint).outputMode("append"))
+    if processing_time:
+        return writer.trigger(processingTime=processing_time).start()
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
+    return None
 
 
 def latest_states(spark: SparkSession, sink_dir: str) -> DataFrame:

@@ -203,3 +203,23 @@ def test_stream_resumes_from_checkpoint(spark, tmpdir_path):
     assert streamed.keys() == batch.keys()
     for e in batch:
         assert streamed[e][0] == batch[e][0] and streamed[e][1] == pytest.approx(batch[e][1], abs=1e-9)
+
+
+def test_continuous_stream_until_stopped(spark, tmpdir_path):
+    rows = _log(n=80)
+    log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta double")
+    src, sink, ckpt = (f"{tmpdir_path}/{n}" for n in ("src", "sink", "ckpt"))
+    ST.write_push_files(log, src, 2)
+    q = ST.stream_fold(spark, src, sink, ckpt, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    streamed = {r.expert: r.version for r in ST.latest_states(spark, sink).collect()}
+    assert streamed == {r.expert: r.version for r in U.fold_scalar(log).collect()}
+
+
+def test_staleness_percentiles(spark):
+    log = spark.createDataFrame(_log(n=120), "expert string, seq long, worker_version long, delta double")
+    rows = U.staleness_profile(log, percentiles=[0.5, 1.0]).collect()
+    assert all(len(r.staleness_percentiles) == 2 and r.staleness_percentiles[1] == r.max_staleness for r in rows)
