@@ -30,7 +30,7 @@ def _bucket(order_col: str, width: int) -> Column:
 
 
 def running_rank(df: DataFrame, keys: Sequence[str], order_col: str, out: str = "rank",
-                 bucket_width: int = DEFAULT_BUCKET_WIDTH, dense: bool = False) -> DataFrame:
+                 bucket_width: int | None = None, dense: bool = False) -> DataFrame:
     """Add ``out`` = 1-based position of each row by ``order_col`` within ``keys``.
 
     ``order_col`` must be numeric; rows that tie on it get distinct, arbitrary
@@ -40,8 +40,9 @@ def running_rank(df: DataFrame, keys: Sequence[str], order_col: str, out: str =
     together without a self-join.
     """
     keys = list(keys)
+    width = bucket_width or DEFAULT_BUCKET_WIDTH
     b = "_cf_bucket"
-    with_b = df.withColumn(b, _bucket(order_col, bucket_width))
+    with_b = df.withColumn(b, _bucket(order_col, width))
     n = F.countDistinct(order_col) if dense else F.count(F.lit(1))
     counts = with_b.groupBy(*keys, b).agg(n.alias("_cf_n"))
     w_off = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
