@@ -88,7 +88,8 @@ def combine_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = X.vector_pushes(spark, sf_dir).select(
         (F.col("seq") / 10).cast("bigint").alias("batch"), "expert", "seq",
         F.when(F.col("seq") % 7 == 3, F.slice("delta", 1, 32)).otherwise(F.col("delta")).alias("delta"))
-    return U.latest_per_key(v, ["batch", "expert"], "seq", ["delta"])
+    # Partition by batch once: the per-(batch, expert) dedup and the per-batch weights reuse it.
+    return U.latest_per_key(v.repartition("batch"), ["batch", "expert"], "seq", ["delta"])
 
 
 _BATCHES_SQL = f"""
