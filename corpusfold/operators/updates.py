@@ -115,24 +115,51 @@ def _exploded(v: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
     return v.select(*keys, "decay", F.posexplode(delta).alias("pos", "x"))
 
 
-def fold_vectors(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta") -> DataFrame:
+def _weighted_vector_sums(v: DataFrame, keys: Sequence[str], delta: str, method: str) -> DataFrame:
+    """Long-form ``(keys..., pos, value)`` of ``sum(SERVER_LR * decay * delta)``.
+
+    ``summarizer`` aggregates whole vectors (Spark ML ``Summarizer.sum`` with the decay as a
+    non-negative weight, partial aggregation on the map side) and explodes only the final
+    sums; ``explode`` turns every push into ``dim`` rows first.
+    """
+    keys = list(keys)
+    if method == "explode":
+        return (_exploded(v, keys, delta).groupBy(*keys, "pos")
+                .agg(F.coalesce(F.sum(_weight() * F.col("x")), F.lit(0.0)).alias("value")))
+    if method != "summarizer":
+        raise ValueError(f"unknown method {method!r}")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    # A constant key for the global sum: an empty log then has no group (an ungrouped
+    # aggregate would ask an empty summarizer for its sum).
+    group = keys or ["_cf_all"]
+    weighted = v.filter(F.col("decay").isNotNull()).select(
+        *keys, *([] if keys else [F.lit(0).alias("_cf_all")]),
+        array_to_vector(delta).alias("_cf_vec"), _weight().alias("_cf_w"))
+    sums = weighted.groupBy(*group).agg(
+        vector_to_array(Summarizer.sum(F.col("_cf_vec"), F.col("_cf_w"))).alias("_cf_sum"))
+    return sums.select(*keys, F.posexplode("_cf_sum").alias("pos", "value"))
+
+
+def fold_vectors(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta",
+                 method: str = "summarizer") -> DataFrame:
     """U2 for array deltas: long-form state ``(keys..., pos, value)`` plus ``version`` and the
     state's L2 norm (F15)."""
     v = with_versions(log, keys)
     versions = v.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("version"))
-    state = (_exploded(v, keys, delta).groupBy(*keys, "pos")
-             .agg(F.coalesce(F.sum(_weight() * F.col("x")), F.lit(0.0)).alias("value")))
+    state = _weighted_vector_sums(v, keys, delta, method)
     w = Window.partitionBy(*keys)   # one model's positions: bounded by the model shape
     state = state.withColumn("l2_norm", F.sqrt(F.sum(F.col("value") * F.col("value")).over(w)))
     return state.join(versions, list(keys)).select(*keys, "version", F.col("pos").cast("int").alias("pos"),
                                                   "value", "l2_norm")
 
 
-def global_vectors(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta") -> DataFrame:
+def global_vectors(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta",
+                   method: str = "summarizer") -> DataFrame:
     """U3 for array deltas: position-wise decayed sum over every push."""
     v = with_versions(log, keys)
-    state = (_exploded(v, keys, delta).groupBy("pos")
-             .agg(F.coalesce(F.sum(_weight() * F.col("x")), F.lit(0.0)).alias("value")))
+    state = _weighted_vector_sums(v, [], delta, method)
     version = v.agg(F.count(F.lit(1)).cast("bigint")).scalar()   # scalar subquery, computed once
     return state.select(F.col("pos").cast("int").alias("pos"), "value", version.alias("global_version"))
 

@@ -223,3 +223,17 @@ def test_staleness_percentiles(spark):
     log = spark.createDataFrame(_log(n=120), "expert string, seq long, worker_version long, delta double")
     rows = U.staleness_profile(log, percentiles=[0.5, 1.0]).collect()
     assert all(len(r.staleness_percentiles) == 2 and r.staleness_percentiles[1] == r.max_staleness for r in rows)
+
+
+def test_vector_methods_agree(spark):
+    rows = _log(n=150, dim=6)
+    log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta array<double>")
+    a = {(r.expert, r.pos): (r.version, r.value, r.l2_norm) for r in U.fold_vectors(log, method="summarizer").collect()}
+    b = {(r.expert, r.pos): (r.version, r.value, r.l2_norm) for r in U.fold_vectors(log, method="explode").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], abs=1e-12)
+        assert a[k][2] == pytest.approx(b[k][2], abs=1e-12)
+    ga = {r.pos: r.value for r in U.global_vectors(log, method="summarizer").collect()}
+    gb = {r.pos: r.value for r in U.global_vectors(log, method="explode").collect()}
+    assert ga.keys() == gb.keys() and all(ga[p] == pytest.approx(gb[p], abs=1e-12) for p in ga)
