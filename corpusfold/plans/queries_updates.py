@@ -228,12 +228,12 @@ def version_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("staleness_profile", X.with_views(f"""
 {_fold_cte('pushes')}
 SELECT expert, CAST(count(*) AS BIGINT) AS pushes, avg(staleness) AS avg_staleness,
-       CAST(max(staleness) AS BIGINT) AS max_staleness, avg(decay) AS avg_decay, min(decay) AS min_decay,
+       CAST(max(staleness) AS BIGINT) AS max_staleness, round(avg(decay), 9) AS avg_decay, min(decay) AS min_decay,
        CAST(sum(CASE WHEN staleness < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_staleness
 FROM d GROUP BY expert""", pushes=X.pushes_sql()))
 def staleness_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staleness and decay statistics per expert."""
-    return U.staleness_profile(X.pushes(spark, sf_dir))
+    return rounded(U.staleness_profile(X.pushes(spark, sf_dir)), "avg_decay")   # mean of ~N doubles
 
 
 @register("federated_vs_isolated", X.with_views(f"""
