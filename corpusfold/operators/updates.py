@@ -7,9 +7,11 @@ No iteration is needed:
 
 * positions come from :func:`corpusfold.operators.sequence.running_rank`
   (bucketed, so a hot expert is not one window task);
-* vectors are summed position-wise after ``posexplode`` with partial
-  aggregation, so the shuffle carries at most experts x dim rows per map task;
-* the global fold groups the same weighted rows by position only.
+* vectors are summed whole with Spark ML's ``Summarizer.sum`` weighted by the
+  decay (partial aggregation: one running vector per expert and map task), and
+  only the final sums are exploded to ``(expert, pos, value)``; keyed folds
+  ``posexplode`` and aggregate by ``(expert, key, pos)``;
+* the global fold sums the same weighted vectors without the expert key.
 
 A push whose ``1 + 0.1 * staleness`` is not positive (worker ahead of the
 server by 10 or more versions) gets a null decay and adds nothing; it still
