@@ -9,8 +9,8 @@ No iteration is needed:
   (bucketed, so a hot expert is not one window task);
 * vectors are summed whole with Spark ML's ``Summarizer.sum`` weighted by the
   decay (partial aggregation: one running vector per expert and map task), and
-  only the final sums are exploded to ``(expert, pos, value)``; keyed folds
-  ``posexplode`` and aggregate by ``(expert, key, pos)``;
+  only the final sums are exploded to ``(expert, pos, value)``; keyed folds do the
+  same per ``(expert, key)``;
 * the global fold sums the same weighted vectors without the expert key.
 
 A push whose ``1 + 0.1 * staleness`` is not positive (worker ahead of the
@@ -217,14 +217,13 @@ def adapter_keys(df: DataFrame, key: str = "key") -> DataFrame:
     return df.filter(F.col(key).contains("lora_"))
 
 
-def fold_keyed(log: DataFrame, key: str = "key", delta: str = "delta") -> DataFrame:
+def fold_keyed(log: DataFrame, key: str = "key", delta: str = "delta", method: str = "summarizer") -> DataFrame:
     """Per (expert, parameter name) decayed sums; the version counts pushes (distinct seq),
-    not key rows. A key absent from the state is inserted by the grouping itself."""
+    not key rows. A key absent from the state is inserted by the grouping itself. Each
+    parameter keeps one shape, so whole tensors are summed per (expert, key)."""
     v = with_versions(log, ["expert"])   # rows of one push share its version
     versions = log.groupBy("expert").agg(F.countDistinct("seq").cast("bigint").alias("version"))
-    state = (v.select("expert", key, "decay", F.posexplode(delta).alias("pos", "x"))
-             .groupBy("expert", key, "pos")
-             .agg(F.coalesce(F.sum(_weight() * F.col("x")), F.lit(0.0)).alias("value")))
+    state = _weighted_vector_sums(v, ["expert", key], delta, method)
     return state.join(versions, "expert").select("expert", "version", key,
                                                  F.col("pos").cast("int").alias("pos"), "value")
 

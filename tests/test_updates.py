@@ -237,3 +237,14 @@ def test_vector_methods_agree(spark):
     ga = {r.pos: r.value for r in U.global_vectors(log, method="summarizer").collect()}
     gb = {r.pos: r.value for r in U.global_vectors(log, method="explode").collect()}
     assert ga.keys() == gb.keys() and all(ga[p] == pytest.approx(gb[p], abs=1e-12) for p in ga)
+
+
+def test_keyed_methods_agree(spark):
+    rows = []
+    for e, seq, wv, d in _log(n=90, dim=4):
+        rows += [(e, seq, wv, "l.lora_A", d[:2]), (e, seq, wv, "l.lora_B", d[2:])]
+    log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, key string, delta array<double>")
+    a = {(r.expert, r.key, r.pos): (r.version, r.value) for r in U.fold_keyed(log).collect()}
+    b = {(r.expert, r.key, r.pos): (r.version, r.value) for r in U.fold_keyed(log, method="explode").collect()}
+    assert a.keys() == b.keys()
+    assert all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], abs=1e-12) for k in a)
