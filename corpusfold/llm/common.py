@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,3 +160,34 @@ def on_workers(spark: SparkSession) -> None:
     from corpusfold.session import ship_package
 
     ship_package(spark)
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Byte planes of equally long columns, compressed (ids and positions have many equal high bytes)."""
+    n = len(columns[0])
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns]
+    return n.to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(payload: bytes, dtypes: list) -> list[np.ndarray]:
+    n = int.from_bytes(payload[:4], "little")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[4:]), np.uint8)
+    out, at = [], 0
+    for t in map(np.dtype, dtypes):
+        size = n * t.itemsize
+        out.append(np.ascontiguousarray(raw[at:at + size].reshape(t.itemsize, n).T).view(t).ravel())
+        at += size
+    return out
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+
+
+def bucket_slices(bucket: np.ndarray, order: np.ndarray):
+    """(bucket, indexes) for each bucket, the indexes in the given order."""
+    if len(bucket):
+        b = bucket[order]
+        cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(b)]):
+            yield int(b[lo]), order[lo:hi]

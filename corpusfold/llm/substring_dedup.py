@@ -12,69 +12,51 @@ cover position. Hence
 1. every document emits the hashes of its anchors only (4 of 13 positions);
 2. anchors that occur twice anywhere come back to their documents;
 3. there they are extended: each window that holds a repeated anchor emits its
-   own 128-bit hash; the earliest occurrence of a hash stays, the rest are marked;
+   own hash (80 bits beside the bucket's); the earliest occurrence of a hash stays, the rest are marked;
 4. marked windows come back to their documents, which drop the covered words.
 
 Scale. Hashes travel in packed blocks, one per (chunk of documents, bucket).
 Before the shuffle each chunk keeps one record a hash: repeats inside the chunk
 are settled on the spot and only their positions travel, dealt by document. A hot
-passage therefore meets as one record a chunk, never as all its occurrences. The
-number of buckets follows the bytes of text, so a bucket's memory does not grow.
+passage therefore meets as one record a chunk, never as all its occurrences. A
+message keeps a table of its documents, so a record costs its hash and about two
+bytes. The number of buckets follows the bytes of text, so a bucket's memory does
+not grow.
 The texts are shuffled once; the second use reads the same exchange again.
 
 Cases. Null text: no words. A text of fewer than 20 words is never changed. Rows
 with the same doc_id and the same text tie: neither is earlier, both get the same
-result. Rows with the same doc_id and other texts are separate documents of that
-rank. A null doc_id ranks last. Other columns are ignored. An empty table gives
+result. Rows with the same doc_id and other texts (told apart by a 32-bit hash) are
+separate documents of that rank. A null doc_id ranks last. Other columns are ignored. An empty table gives
 no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import (U64, Words, column, mix, on_workers, partitions, ragged_index, read_table,
-                                   sequence_hash, text_bytes, text_chunks)
+from corpusfold.llm.common import (U64, Words, bucket_of, bucket_slices, column, mix, on_workers, pack, partitions,
+                                   read_table, sequence_hash, text_bytes, text_chunks, unpack)
 
 WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-BUCKET_BYTES = 1 << 20          # text bytes a bucket stands for
+BUCKET_BYTES = 16 << 20         # text bytes a bucket stands for, and that are packed together
 LAST = np.iinfo(np.int64).max   # rank of a null doc_id
 
 _MESSAGE = "bucket int, settled boolean, payload binary"
 _MESSAGE_ARROW = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("payload", pa.binary())])
-_FOUND = "dk long, th long, pos int"
-_FOUND_ARROW = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])
-
-
-def _pack(columns: list[np.ndarray], z: zstandard.ZstdCompressor) -> bytes:
-    """Byte planes of the columns, compressed (ids and positions have many equal high bytes)."""
-    n = len(columns[0])
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns]
-    return n.to_bytes(4, "little") + z.compress(b"".join(planes))
+_FOUND = "dk long, th int, pos int"
+_FOUND_ARROW = pa.schema([("dk", pa.int64()), ("th", pa.int32()), ("pos", pa.int32())])
 
 
-def _unpack(payload: bytes, dtypes: list[np.dtype], z: zstandard.ZstdDecompressor) -> list[np.ndarray]:
-    n = int.from_bytes(payload[:4], "little")
-    raw = np.frombuffer(z.decompress(payload[4:]), np.uint8)
-    out, at = [], 0
-    for t in dtypes:
-        size = n * t.itemsize
-        out.append(np.ascontiguousarray(raw[at:at + size].reshape(t.itemsize, n).T).view(t).ravel())
-        at += size
-    return out
-
-
-_REF = [np.dtype(np.int64), np.dtype(np.int64), np.dtype(np.int32)]
+_DOC = [np.int64, np.int32]                # rank and text hash of a document
+_PLACE = [np.uint32, np.int32]             # document in the message's table, word position
 
 
 def _grouped(keys: list[np.ndarray], refs: list[np.ndarray]):
@@ -87,23 +69,23 @@ def _grouped(keys: list[np.ndarray], refs: list[np.ndarray]):
     return keys, refs, new
 
 
-def _emit(bucket: np.ndarray, settled: bool, cols: list[np.ndarray]) -> Iterator[tuple[int, bool, bytes]]:
-    if not len(bucket):
-        return
-    z = zstandard.ZstdCompressor(level=1)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cols = [c[order] for c in cols]
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    for lo, hi in zip(cuts, np.r_[cuts[1:], len(bucket)]):
-        yield int(bucket[lo]), settled, _pack([c[lo:hi] for c in cols], z)
+def _emit(bucket: np.ndarray, settled: bool, refs: list[np.ndarray], keys: list[np.ndarray] = ()):
+    """One message a bucket: a table of its documents, then the records in document order."""
+    for b, at in bucket_slices(bucket, np.lexsort((refs[2], refs[1], refs[0], bucket))):
+        dk, th, pos = (r[at] for r in refs)
+        new = np.r_[True, (dk[1:] != dk[:-1]) | (th[1:] != th[:-1])]
+        table, places = pack([dk[new], th[new]]), pack([(np.cumsum(new) - 1).astype(np.uint32), pos, *[k[at] for k in keys]])
+        yield b, settled, len(table).to_bytes(4, "little") + table + places
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+def _unpacked(payload: bytes, dtypes: list) -> list[np.ndarray]:
+    cut = 4 + int.from_bytes(payload[:4], "little")
+    dk, th = unpack(payload[4:cut], _DOC)
+    doc, pos, *keys = unpack(payload[cut:], _PLACE + dtypes)
+    return [*keys, dk[doc], th[doc], pos]
 
 
-def _batches(rows: list[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
+def _batches(rows: list[tuple[int, bool, bytes]]):
     if rows:
         b, s, p = zip(*rows)
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(s, pa.bool_()), pa.array(p, pa.binary())],
@@ -115,46 +97,65 @@ def _refs(batch: pa.RecordBatch, lo: int, hi: int, words: Words, at: np.ndarray)
     return [column(batch, "dk")[lo:hi][doc], column(batch, "th")[lo:hi][doc], (at - words.first[doc]).astype(np.int32)]
 
 
+def _packed_together(batches, collect, send):
+    """Gather what ``collect`` finds in the chunks of about BUCKET_BYTES of text, then ``send`` it as messages."""
+    parts, held = [], 0
+
+    def flush():
+        if parts:
+            keys, refs = ([np.concatenate(x) for x in zip(*side)] for side in zip(*parts))
+            yield from _batches(list(send(keys, refs)))
+            parts.clear()
+
+    for batch in batches:
+        for lo, hi, data, offsets in text_chunks(batch):
+            words = Words(data, offsets)
+            at, keys = collect(batch, lo, hi, words)
+            if len(at):
+                parts.append((keys(at), _refs(batch, lo, hi, words, at)))
+            held += int(offsets[-1] - offsets[0])
+            if held >= BUCKET_BYTES:
+                yield from flush()
+                held = 0
+    yield from flush()
+
+
 def _anchor_messages(buckets: int):
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
 
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch):
-                words = Words(data, offsets)
-                pos = words.position()
-                size = np.repeat(words.counts, words.counts)
-                at = np.flatnonzero(cover[pos % PERIOD] & (size >= WINDOW) & (pos + ANCHOR <= size))
-                if not len(at):
-                    continue
-                h = sequence_hash(words.hashes(), at, ANCHOR)
-                (h,), refs, new = _grouped([h], _refs(batch, lo, hi, words, at))
-                # one record a hash competes, with a flag if the chunk repeats it; its other places are settled
-                again = np.r_[~new[1:], False]
-                rows = list(_emit(_bucket(h[new], buckets), False,
-                                  [h[new].astype(np.uint32), *[r[new] for r in refs], again[new]]))
-                rows += _emit(_bucket(mix(refs[0][~new].view(U64)), buckets), True, [r[~new] for r in refs])
-                yield from _batches(rows)
-    return run
+    def collect(batch, lo, hi, words):
+        pos = words.position()
+        size = np.repeat(words.counts, words.counts)
+        at = np.flatnonzero(cover[pos % PERIOD] & (size >= WINDOW) & (pos + ANCHOR <= size))
+        return at, lambda at: [sequence_hash(words.hashes(), at, ANCHOR)]
+
+    def send(keys, refs):
+        (h,), refs, new = _grouped(keys, refs)
+        # one record a hash competes, with a flag if it is repeated here; its other places are settled
+        again = np.r_[~new[1:], False]
+        yield from _emit(bucket_of(h[new], buckets), False, [r[new] for r in refs], [h[new].astype(np.uint32), again[new]])
+        yield from _emit(bucket_of(mix(refs[0][~new].view(U64)), buckets), True, [r[~new] for r in refs])
+
+    return lambda batches: _packed_together(batches, collect, send)
 
 
 def _found(refs: list[np.ndarray]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(r) for r in refs], schema=_FOUND_ARROW)
 
 
-def _read(table: pa.Table, dtypes: list[np.dtype]):
-    z = zstandard.ZstdDecompressor()
-    settled, open_ = [], []
-    for s, p in zip(table.column("settled").to_pylist(), table.column("payload")):
-        (settled if s else open_).append(_unpack(p.as_py(), _REF if s else dtypes, z))
-    join = lambda parts, types: ([np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, t) for t in types])
-    return join(open_, dtypes), join(settled, _REF)
+def _read(table: pa.Table, dtypes: list):
+    """(records that compete, settled places) of one bucket."""
+    sides = ([np.zeros(0, t) for t in (*dtypes, *_DOC, np.int32)],), ([np.zeros(0, t) for t in (*_DOC, np.int32)],)
+    sides = tuple(map(list, sides))
+    for settled, payload in zip(table.column("settled").to_pylist(), table.column("payload")):
+        sides[settled].append(_unpacked(payload.as_py(), [] if settled else dtypes))
+    return ([np.concatenate(c) for c in zip(*side)] for side in sides)
 
 
 def _repeated_anchors(table: pa.Table) -> pa.Table:
     """Anchors of one bucket that occur at least twice (equal 32-bit rests may bring a few more; step 3 is exact)."""
-    (rest, dk, th, pos, local), settled = _read(table, [np.dtype(np.uint32), *_REF, np.dtype(bool)])
+    (rest, local, dk, th, pos), settled = _read(table, [np.uint32, bool])
     _u, inverse, counts = np.unique(rest, return_inverse=True, return_counts=True)
     keep = (counts[inverse] > 1) | local
     return _found([np.concatenate([a[keep], b]) for a, b in zip((dk, th, pos), settled)])
@@ -174,32 +175,30 @@ def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _window_messages(buckets: int):
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch):
-                words = Words(data, offsets)
-                doc, anchor = _places(batch, words, lo, hi)
-                start = np.maximum(anchor - (WINDOW - ANCHOR), 0)
-                end = np.minimum(anchor, words.counts[doc] - WINDOW) + 1
-                ok = end > start
-                base = words.first[doc[ok]]
-                at = np.flatnonzero(_covered(len(words.starts), base + start[ok], base + end[ok]))
-                if not len(at):
-                    continue
-                keys = list(sequence_hash(words.hashes(), at, WINDOW, wide=True))
-                keys, refs, new = _grouped(keys, _refs(batch, lo, hi, words, at))
-                # later than the first of the chunk; ties with the first compete beside it
-                first = np.flatnonzero(new)[np.cumsum(new) - 1]
-                later = (refs[0] != refs[0][first]) | (refs[2] != refs[2][first])
-                rows = list(_emit(_bucket(keys[0][~later], buckets), False, [x[~later] for x in (*keys, *refs)]))
-                rows += _emit(_bucket(mix(refs[0][later].view(U64)), buckets), True, [r[later] for r in refs])
-                yield from _batches(rows)
-    return run
+    def collect(batch, lo, hi, words):
+        doc, anchor = _places(batch, words, lo, hi)
+        start = np.maximum(anchor - (WINDOW - ANCHOR), 0)
+        end = np.minimum(anchor, words.counts[doc] - WINDOW) + 1
+        ok = end > start
+        base = words.first[doc[ok]]
+        at = np.flatnonzero(_covered(len(words.starts), base + start[ok], base + end[ok]))
+        return at, lambda at: list(sequence_hash(words.hashes(), at, WINDOW, wide=True))
+
+    def send(keys, refs):
+        keys, refs, new = _grouped(keys, refs)
+        # later than the first one here; ties with the first compete beside it
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (refs[0] != refs[0][first]) | (refs[2] != refs[2][first])
+        a, b = (k[~later] for k in keys)
+        yield from _emit(bucket_of(a, buckets), False, [r[~later] for r in refs], [a.astype(np.uint16), b])
+        yield from _emit(bucket_of(mix(refs[0][later].view(U64)), buckets), True, [r[later] for r in refs])
+
+    return lambda batches: _packed_together(batches, collect, send)
 
 
 def _later_windows(table: pa.Table) -> pa.Table:
     """Windows of one bucket whose hash has an earlier place."""
-    (a, b, dk, th, pos), settled = _read(table, [np.dtype(U64), np.dtype(U64), *_REF])
+    (a, b, dk, th, pos), settled = _read(table, [np.uint16, U64])
     (a, b), (dk, th, pos), new = _grouped([a, b], [dk, th, pos])
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else np.zeros(0, np.int64)
     later = (dk != dk[first]) | (pos != pos[first])
@@ -241,7 +240,7 @@ def remove_repeated_windows(docs: DataFrame, keep_text: bool = True) -> DataFram
     on_workers(spark)
     buckets = max(partitions(spark), text_bytes(docs) // BUCKET_BYTES)
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("dk"),
-                       F.xxhash64("text").alias("th"), "doc_id", "text")
+                       F.hash("text").alias("th"), "doc_id", "text")
 
     def gathered(messages: DataFrame, settle) -> DataFrame:
         places = messages.groupBy("bucket").applyInArrow(settle, _FOUND)
