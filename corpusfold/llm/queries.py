@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusfold.llm.ngram_join import op9_ngram_jaccard_join
 from corpusfold.llm.substring_dedup import op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -26,4 +28,16 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op9_ngram_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) END) AS g FROM d),
+  e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+  o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id
+        GROUP BY ALL),
+  l AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * k >= 85 * (n + m - k) UNION SELECT b, a FROM o WHERE 100 * k >= 85 * (n + m - k)),
+  r(v, u) AS (SELECT a, b FROM l UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.u)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(u), s.doc_id)) AS component_id
+FROM s LEFT JOIN r ON r.v = s.doc_id GROUP BY s.doc_id, g""",
 }
