@@ -60,16 +60,28 @@ def _pow_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["r"], _POW["i"]
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span."""
+    n = len(buf)
+    if not len(starts):
+        return np.zeros(0, U64)
+    r, r_inv = _pow_table(n + 1)
+    total = np.zeros(n + 1, U64)
+    np.cumsum(_BYTE_CODE[buf] * r[:n], out=total[1:])
+    h = (total[ends] - total[starts]) * r_inv[starts]
+    return mix(h ^ ((ends - starts).astype(U64) << U64(48)))
+
+
 class Words:
     """The words of a chunk of documents: byte spans, 64-bit hashes, owning document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
         base = int(offsets[0])
         self.data = data[base:int(offsets[-1])]
         self.doc_offsets = offsets - base
         buf = LOWER[self.data] if lower else self.data
         n = len(buf)
-        word = ~SPACE[buf]
+        word = ~space[buf]
         edge = np.zeros(n + 1, bool)
         edge[self.doc_offsets] = True
         before = np.empty(n, bool)
@@ -87,14 +99,7 @@ class Words:
         self._buf = buf
 
     def hashes(self) -> np.ndarray:
-        n = len(self._buf)
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        r, r_inv = _pow_table(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_CODE[self._buf] * r[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * r_inv[self.starts]
-        return mix(h ^ ((self.ends - self.starts).astype(U64) << U64(48)))
+        return span_hashes(self._buf, self.starts, self.ends)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
@@ -191,3 +196,11 @@ def bucket_slices(bucket: np.ndarray, order: np.ndarray):
         cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         for lo, hi in zip(cuts, np.r_[cuts[1:], len(b)]):
             yield int(b[lo]), order[lo:hi]
+
+
+BROADCAST_IDS = 500_000         # counted rows up to which a written table of keys is broadcast
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """``rows`` in (or not in) a written key table: broadcast if its counted size is small, else a shuffled join."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, how)

@@ -228,7 +228,7 @@ def train(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     return langs, model
 
 
-def _predict(path: str, langs: list[str], model: np.ndarray, keep: list[str]):
+def _predict(path: str, langs: list[str], model: np.ndarray, keep: list[str], names: tuple[str, str]):
     def run(batches):
         lattice = Lattice(load_pieces(path)) if langs else None
         p = _extended(model) if langs else None
@@ -266,15 +266,16 @@ def _predict(path: str, langs: list[str], model: np.ndarray, keep: list[str]):
                 best += [langs[t] if w else "und" for t, w in zip(top, words)]
                 score += [float(x) if w else 0.0 for x, w in zip(post.max(axis=1), words)]
             out = pa.array(best, pa.string()), pa.array(score, pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + list(out), names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + list(out), names=[*keep, *names])
     return run
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score added (two names that must be free)."""
+def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, keep: list[str],
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with prediction and score added under ``names`` (which must be free)."""
     on_workers(docs.sparkSession)
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
-    return docs.mapInArrow(_predict(path, langs, model, keep), f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(path, langs, model, keep, names), f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def held_out() -> F.Column:
@@ -287,15 +288,16 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def identify(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, path: str | None = None, keep: list[str] | None = None,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Train on the rows of ``docs`` that are not held out, then predict all rows.
 
-    Returns the columns ``keep`` (all by default) with lang_pred and score.
+    Returns the columns ``keep`` (all by default), the prediction and its score.
     """
     path = path or vocabulary()
     langs, model = train(docs.select("doc_id", "text", "lang").where(~held_out()), path)
     keep = keep or docs.columns
-    return predict(docs.select(*dict.fromkeys([*keep, "text"])), langs, model, path, keep)
+    return predict(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"]))), langs, model, path, keep, names)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusfold.llm.decontaminate import op4_benchmark_leaks
 from corpusfold.llm.language_id import op6_language_id
 from corpusfold.llm.ngram_join import op9_ngram_jaccard_join
+from corpusfold.llm.source_mix import op3_source_mix
 from corpusfold.llm.substring_dedup import op1_substring_dedup
 from corpusfold.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
+    "op3_source_mix": op3_source_mix,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
     "op6_language_id": op6_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
