@@ -156,8 +156,7 @@ def _segments(path: str, end_id: int):
             doc = batch.column("doc_id")
             null, doc = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_chunks(batch):
-                texts = [data[offsets[d]:offsets[d + 1]].tobytes() for d in range(hi - lo)]
-                tokens, n = codec.encode(texts)
+                tokens, n = codec.encode(data, offsets)
                 tokens = np.insert(tokens, np.cumsum(n), end_id).astype(np.uint32)
                 held.append((doc[lo:hi], null[lo:hi], n + 1, tokens))
                 held_ids += len(tokens)

@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-from corpusfold.llm.common import ragged_index
+from corpusfold.llm.common import LOWER, ragged_index, span_hashes
 
 _LATIN = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 # fixed value: the pattern of the vocabulary file, for lower-cased text of the characters below
@@ -25,6 +25,8 @@ _PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}
 _PLAIN = re.compile(rf"[\t\n\r -~A-Z\u00c0-\u00d6\u00d8-\u00de{_LATIN}]*")
 _SPECIAL = re.compile(r"<\|")
 KNOWN = 1 << 20
+_SLOTS = 1 << 20
+_SLOT_SHIFT = np.uint64(44)
 _CODECS: dict[str, "WordCodec"] = {}
 
 
@@ -67,8 +69,79 @@ def load_tokenizer(path: str):
     return t
 
 
+# classes of bytes: 0 white space, 1 letter (also bytes of Latin letters beyond ASCII), 2 digit, 3 other, 4 not plain
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[9, 10, 13, 32]] = 0
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = 1
+_SECOND = np.zeros(256, bool)                     # second bytes of the letters U+00C0 to U+00FF
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+
+
+class Plain:
+    """Pre-tokens of the plain documents of a chunk, by byte classes; ``slow`` marks the other documents.
+
+    Plain are printable ASCII and the letters of Latin-1 without special strings;
+    these documents need no call per pre-token. The spans are those of the
+    pattern above.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        base = int(offsets[0])
+        buf = data[base:int(offsets[-1])]
+        bounds = offsets - base
+        n = len(buf)
+        kind = np.r_[_CLASS[buf], np.zeros(3, np.uint8)]
+        text = np.r_[LOWER[buf], np.zeros(3, np.uint8)]
+        lead = np.flatnonzero(buf == 0xC3)
+        lead = lead[_SECOND[text[lead + 1]]]
+        kind[lead] = kind[lead + 1] = 1
+        up = lead[text[lead + 1] < 0x9F] + 1
+        text[up] += 0x20
+        odd = np.flatnonzero(kind[:n] == 4)
+        special = np.flatnonzero((text[:n] == 60) & (text[1:n + 1] == 124))
+        self.slow = np.zeros(len(bounds) - 1, bool)
+        self.slow[np.searchsorted(bounds, np.r_[odd, special], side="right") - 1] = True
+        for d in np.flatnonzero(self.slow):
+            kind[bounds[d]:bounds[d + 1]] = 0
+        start = np.zeros(n + 1, bool)
+        start[:n] = (kind[:n] == 2) | (kind[:n] != np.r_[np.uint8(0), kind[:n]][:n])
+        start[bounds] = True
+        # contractions: an apostrophe that begins a match
+        at = np.flatnonzero((text[:n] == 39) & start[:n] & (kind[:n] == 3))
+        if len(at):
+            doc_end = bounds[np.searchsorted(bounds, at, side="right")]
+            one, two, three = (np.where(at + k < doc_end, text[at + k], 0) for k in (1, 2, 3)[:3])
+            short = np.isin(one, [115, 116, 109, 100])                                    # 's 't 'm 'd
+            long_ = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+            start[at[short | long_] + 1] = False
+            for hit, size in ((short, 2), (long_ & ~short, 3)):
+                after = at[hit] + size
+                after = after[after < n]
+                start[after[kind[after] != 0]] = True
+        self.text, self.bounds = text[:n], bounds
+        where = np.flatnonzero(start[:n])
+        ends = np.r_[where[1:], n]
+        # a match ends at white space: runs of white space are their own spans, and dropped
+        word = kind[where] != 0
+        self.starts, self.ends = where[word], ends[word]
+        self.counts = np.diff(np.searchsorted(self.starts, bounds))
+
+    def hashes(self) -> np.ndarray:
+        return span_hashes(self.text, self.starts, self.ends)
+
+    def string(self, i: int) -> str:
+        return self.text[self.starts[i]:self.ends[i]].tobytes().decode()
+
+
 class WordCodec:
-    """Ids of pieces; one per worker and vocabulary file (see ``of``)."""
+    """Ids of pre-tokens; one per worker and vocabulary file (see ``of``).
+
+    A row of the table is found by the pre-token's 64-bit hash (plain documents)
+    or by its string (all others).
+    """
 
     @staticmethod
     def of(path: str) -> "WordCodec":
@@ -82,8 +155,12 @@ class WordCodec:
 
     def clear(self):
         self.known: dict[str, int] = {}
+        self.hash = np.zeros(0, np.uint64)
+        self.row = np.zeros(0, np.int64)
+        self.first = np.zeros(_SLOTS + 1, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.rows = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
 
@@ -92,15 +169,10 @@ class WordCodec:
             for e in self.tokenizer.encode_batch_fast(strings[lo:lo + (1 << 14)], add_special_tokens=False):
                 yield e.ids
 
-    def learn(self, wanted: set[str]) -> None:
-        new = list(wanted - self.known.keys())
-        if not new:
-            return
-        if len(self.known) + len(new) > KNOWN:
-            self.clear()
-            new = list(wanted)
-        ids = list(self.library_ids(new))
-        n0, n1 = len(self.known), len(self.known) + len(new)
+    def _append(self, strings: list[str]) -> np.ndarray:
+        """New rows with the ids of the strings."""
+        ids = list(self.library_ids(strings))
+        n0, n1 = self.rows, self.rows + len(strings)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = self.used + int(lengths.sum())
         for name, need in (("flat", total), ("start", n1), ("length", n1)):
@@ -110,16 +182,66 @@ class WordCodec:
         self.flat[self.used:total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
         self.length[n0:n1] = lengths
         self.start[n0:n1] = self.used + np.cumsum(lengths) - lengths
-        self.used = total
-        self.known.update(zip(new, range(n0, n1)))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each)."""
-        parts = [pieces(t) for t in texts]
+        self.used, self.rows = total, n1
+        return np.arange(n0, n1)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 where it is new."""
+        slot = (h >> _SLOT_SHIFT).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        out = np.full(len(h), -1)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.hash[at[live]] == h[live]
+            out[live[hit]] = self.row[at[live[hit]]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+    def _plain_rows(self, plain: Plain) -> np.ndarray:
+        h = plain.hashes()
+        row = self._find(h)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            fresh, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            added = self._append([plain.string(i) for i in new[first]])
+            row[new] = added[back]
+            at = np.searchsorted(self.hash, fresh)
+            self.hash, self.row = np.insert(self.hash, at, fresh), np.insert(self.row, at, added)
+            np.cumsum(np.bincount((self.hash >> _SLOT_SHIFT).astype(np.int64), minlength=_SLOTS), out=self.first[1:])
+        return row
+
+    def rows_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(table rows of all pre-tokens of the documents of a chunk, number of pre-tokens of each document)."""
+        if self.rows > KNOWN:
+            self.clear()
+        plain = Plain(data, offsets)
+        rows, counts = self._plain_rows(plain), plain.counts
+        slow = np.flatnonzero(plain.slow)
+        if not len(slow):
+            return rows, counts
+        parts = [pieces(data[offsets[d]:offsets[d + 1]].tobytes()) for d in slow]
         flat = list(chain.from_iterable(parts))
-        self.learn(set(flat))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        n = self.length[at]
-        bounds = np.r_[0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
-        per_text = np.diff(np.r_[0, np.cumsum(n)][bounds])
-        return self.flat[ragged_index(self.start[at], n)], per_text
+        new = list(set(flat) - self.known.keys())
+        self.known.update(zip(new, self._append(new).tolist()))
+        other = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        counts = counts.copy()
+        counts[slow] = list(map(len, parts))
+        begin = np.cumsum(counts) - counts
+        out = np.empty(len(rows) + len(other), np.int64)
+        out[ragged_index(begin[slow], counts[slow])] = other
+        fast = np.flatnonzero(~plain.slow)
+        out[ragged_index(begin[fast], counts[fast])] = rows
+        return out, counts
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents of a chunk one after the other, number of ids of each)."""
+        rows, counts = self.rows_of(data, offsets)
+        n = self.length[rows]
+        per_text = np.diff(np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)]])
+        return self.flat[ragged_index(self.start[rows], n)], per_text
+
+    def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+        return self.encode(np.frombuffer(b"".join(texts), np.uint8), offsets)
