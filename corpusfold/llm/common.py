@@ -22,6 +22,8 @@ U64 = np.uint64
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+NOT_ALNUM = np.ones(256, bool)      # all but ASCII letters and digits and bytes beyond ASCII
+NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -96,10 +98,10 @@ class Words:
         # words of document d are first[d] .. first[d + 1] - 1
         self.first = np.searchsorted(self.starts, self.doc_offsets)
         self.counts = np.diff(self.first)
-        self._buf = buf
+        self.text = buf
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(self._buf, self.starts, self.ends)
+        return span_hashes(self.text, self.starts, self.ends)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import U64, Words, mix, on_workers, read_table, text_chunks
+from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, read_table, text_chunks
 
 MAX_EDIT = 0.2
 RECALL = 0.95
@@ -50,10 +50,6 @@ MIN_WORDS = 4
 BLOCK_BYTES = 16 << 20
 _PAD = U64(0)
 
-_NOT_WORD = np.ones(256, bool)
-_NOT_WORD[48:58] = _NOT_WORD[65:91] = _NOT_WORD[97:123] = _NOT_WORD[128:] = False
-
-
 def repeats(recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - AGREE ** SAMPLED))
 
@@ -123,7 +119,7 @@ class Index:
         data = "\n".join(t for _, t in items).encode() if items else b""
         offsets = np.r_[0, np.cumsum([len(t.encode()) + 1 for _, t in items])] if items else np.zeros(1, np.int64)
         raw = np.frombuffer(data + b"\n", np.uint8)
-        words = Words(raw, offsets.astype(np.int64), lower=True, space=_NOT_WORD)
+        words = Words(raw, offsets.astype(np.int64), lower=True, space=NOT_ALNUM)
         h = words.hashes()
         self.ids, self.words = [], []
         for (key, _), lo, hi in zip(items, words.first[:-1], words.first[1:]):
@@ -176,7 +172,7 @@ def _matches(index: Index):
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch):
-                words = Words(data, offsets, lower=True, space=_NOT_WORD)
+                words = Words(data, offsets, lower=True, space=NOT_ALNUM)
                 h = words.hashes()
                 padded, begin = _padded(h, words.counts)
                 rows = []
