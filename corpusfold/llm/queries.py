@@ -11,15 +11,23 @@ from corpusfold.llm.language_id import op6_language_id
 from corpusfold.llm.ngram_join import op9_ngram_jaccard_join
 from corpusfold.llm.source_mix import op3_source_mix
 from corpusfold.llm.substring_dedup import op1_substring_dedup
+from corpusfold.llm.token_counts import op7_token_counts
 from corpusfold.llm.token_files import op2_token_files
+from corpusfold.llm.topk_search import op5_topk_search
+from corpusfold.llm.toxicity import op8_toxicity
+from corpusfold.llm.warc import op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
     "op3_source_mix": op3_source_mix,
     "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_topk_search": op5_topk_search,
     "op6_language_id": op6_language_id,
+    "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_warc": op10_warc,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -48,4 +56,12 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
   r(v, u) AS (SELECT a, b FROM l UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.u)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(u), s.doc_id)) AS component_id
 FROM s LEFT JOIN r ON r.v = s.doc_id GROUP BY s.doc_id, g""",
+    "op5_topk_search": """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
