@@ -7,16 +7,17 @@ beyond ASCII, A-Z lower-cased).
 Method. The CGK random walk reads a window from its start: at step t it puts out
 the word under its pointer and moves on by the random bit r(t, word). Windows at a
 small edit distance give walks at a small Hamming distance. Each of ``repeats``
-walks (own random bits) samples ``SAMPLED`` of its first T outputs; equal samples
-make a candidate. T is the largest of ``STEPS`` that an item-sized window can fill.
+walks (own random bits) samples ``SAMPLED`` of its first T outputs, spread over them;
+equal samples make a candidate. T is the largest of ``STEPS`` that an item-sized
+window can fill.
 The number of repeats follows from ``RECALL`` and the chance that one sampled
 output agrees. Each candidate is verified: the item against the document around
 the aligned place, by the edit distance of words, over the whole item.
 
 Windows begin at every ``STRIDE``-th word of a document only; instead the items
 are entered from each of their first ``STRIDE`` words, so that every place of an
-item still meets a window at the same word. Items of fewer than
-STRIDE + STEPS[0] - 1 words are looked for from every word.
+item still meets a window at the same word. Items of fewer than 2 *
+STRIDE words are looked for from every word.
 
 Scale. Documents are read once per block of items, without a shuffle before the
 matches. The signatures of a block of items are broadcast; a block holds at most
@@ -43,8 +44,9 @@ from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, read_table,
 MAX_EDIT = 0.2
 RECALL = 0.95
 AGREE = 0.75                    # chance that a sampled output agrees for a match at MAX_EDIT
-SAMPLED = 3
+SAMPLED = 4
 STEPS = (8, 16, 32)
+STEPS_PER_WORD = 1.6            # a walk moves on at every second step; this many rarely leave the window
 STRIDE = 6
 MIN_WORDS = 4
 BLOCK_BYTES = 16 << 20
@@ -60,7 +62,8 @@ class Walks:
     def __init__(self, repeat: int):
         rng = np.random.default_rng(7919 + repeat)
         self.bits = rng.integers(1, 2**63, STEPS[-1], dtype=np.uint64) * U64(2) + U64(1)
-        self.sampled = {t: set(rng.choice(t, SAMPLED, replace=False).tolist()) for t in STEPS}
+        # one step of each quarter, so that the samples are of different words
+        self.sampled = {t: {int(t * (q + rng.random()) / SAMPLED) for q in range(SAMPLED)} for t in STEPS}
         self.salt = U64(rng.integers(1, 2**63)) * U64(2) + U64(1)
 
     def signatures(self, words: np.ndarray, starts: np.ndarray, wanted: list[int]) -> dict[int, np.ndarray]:
@@ -130,10 +133,10 @@ class Index:
         self.tables: dict[tuple[bool, int, int], tuple] = {}
         entries: dict[tuple[bool, int], list[tuple[int, int]]] = {}
         for i, w in enumerate(self.words):
-            every = len(w) < STRIDE + STEPS[0] - 1
+            every = len(w) < 2 * STRIDE
             shifts = 1 if every else STRIDE
             room = len(w) - shifts + 1
-            steps = max((t for t in STEPS if t <= room), default=STEPS[0])
+            steps = max((t for t in STEPS if t <= STEPS_PER_WORD * room), default=STEPS[0])
             entries.setdefault((every, steps), []).extend((i, s) for s in range(shifts))
         for (every, steps), list_ in entries.items():
             item, shift = np.array(list_).T
@@ -184,7 +187,10 @@ def _matches(index: Index):
                         rows.append((d, i, 0, at, len(item)))
                         continue
                     left = max(at - most, 0)
-                    dist, s, e = edit_place(item, text[left:max(at + len(item) + most, 0)])
+                    part = text[left:max(at + len(item) + most, 0)]
+                    if np.isin(item, part).sum() < len(item) - most:        # each word that is not there is an edit
+                        continue
+                    dist, s, e = edit_place(item, part)
                     if dist <= most:
                         rows.append((d, i, dist, left + s, e - s))
                 if rows:
