@@ -29,12 +29,13 @@ def _split(args: argparse.Namespace) -> int:
     bal = res.balance.collect()
     if bal:
         b = bal[0]
-        print(f"\nImbalance ratio: {b['imbalance_ratio']:.2f}\nIs balanced: {'Yes' if b['is_balanced'] else 'No'}")
+        state = "even" if b["is_balanced"] else "uneven"
+        print(f"\nLargest to smallest domain: {b['imbalance_ratio']:.2f} ({state})")
     sugg = res.suggestions.collect()
     if sugg:
-        print("\nSuggestions:")
-        for i, r in enumerate(sugg, 1):
-            print(f"  {i}. Domain '{r['domain']}' is {r['status']} ({r['cnt']} items, {r['pct']:.1f}%)")
+        print("\nDomains far from the mean:")
+        for r in sugg:
+            print(f"  {r['domain']}: {r['status']}, {r['cnt']} items of {r['pct']:.1f} %")
     if args.report_dir:
         res.save_reports(spark, args.report_dir)
     return 0
@@ -54,7 +55,6 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--rules", choices=["chain", "imports"], default="chain")
     s.add_argument("--report-dir", default=None, help="also write text / JSON reports here")
     s.add_argument("--master", default=None, help="Spark master (default: from the environment)")
-    s.add_argument("--verbose", action="store_true")
     args = p.parse_args(argv)
     if args.cmd == "split":
         return _split(args)

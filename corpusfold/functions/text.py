@@ -70,11 +70,6 @@ def supervised_text(prompt: Column | str, reference: Column | str) -> Column:
     )
 
 
-def join_nonempty(cols: list[Column], sep: str = "\n") -> Column:
-    """join the non-empty string fields with ``sep`` (``concat_ws`` skips nulls)."""
-    return F.concat_ws(sep, *[F.nullif(col_or_empty(c), F.lit("")) for c in cols])
-
-
 # ---------------------------------------------------------------- SQL mirrors
 # DuckDB spellings of the same expressions, for the oracle queries.
 

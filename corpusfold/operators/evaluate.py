@@ -75,14 +75,10 @@ def first_k(df: DataFrame, group_col: str, order_col: str, k: int) -> DataFrame:
     return df.withColumn("_cf_rn", F.row_number().over(w)).filter(F.col("_cf_rn") <= k).drop("_cf_rn")
 
 
-def head_eval(df: DataFrame, domain_col: str = "domain", order_col: str = "item_id",
-              reference: str = "reference_code", k: int = 3, length: int = 50, suffix: str = "",
-              with_syntax: bool = False) -> DataFrame:
-    """Evaluate the first ``k`` rows of each domain with generated = first ``length``
-    characters of the reference (+ ``suffix``), then the unweighted macro mean over domains."""
-    head = first_k(df.select(domain_col, order_col, reference), domain_col, order_col, k)
-    gen = head.withColumn("_cf_gen", prefix(reference, length, suffix))
-    scored = pair_metrics(gen, "_cf_gen", reference, keep=[domain_col], with_syntax=with_syntax)
+def domain_eval(df: DataFrame, domain_col: str = "domain", generated: str = "generated_code",
+                reference: str = "reference_code", with_syntax: bool = False) -> DataFrame:
+    """A9 over every row: candidates against references per domain, then the unweighted macro mean over domains."""
+    scored = pair_metrics(df, generated, reference, keep=[domain_col], with_syntax=with_syntax)
     per_domain = batch_evaluate(scored, [domain_col])
     w = Window.partitionBy()   # over one row per domain
     out = per_domain.withColumn("macro_exact_match", F.avg("exact_match").over(w))
@@ -92,6 +88,17 @@ def head_eval(df: DataFrame, domain_col: str = "domain", order_col: str = "item_
     return out.withColumnRenamed(domain_col, "domain") if domain_col != "domain" else out
 
 
+def head_eval(df: DataFrame, domain_col: str = "domain", order_col: str = "item_id", reference: str = "reference_code",
+              k: int | None = None, length: int | None = None, suffix: str = "", with_syntax: bool = False) -> DataFrame:
+    """A9's self-test form: the candidate is the reference's own text (its first ``length`` characters if
+    given, plus ``suffix``); all rows of each domain, or the first ``k`` if given."""
+    head = df.select(domain_col, order_col, reference)
+    if k is not None:
+        head = first_k(head, domain_col, order_col, k)
+    own = F.concat(F.col(reference), F.lit(suffix)) if length is None else prefix(reference, length, suffix)
+    return domain_eval(head.withColumn("_cf_gen", own), domain_col, "_cf_gen", reference, with_syntax)
+
+
 # --------------------------------------------------------- score-table reports
 
 def step_quality(scores: DataFrame, score_col: str = "score") -> DataFrame:

@@ -17,7 +17,6 @@ from corpusfold.operators import classify as C
 from corpusfold.operators import report as A
 from corpusfold.plans import fixtures as X
 from corpusfold.plans import oracle_classify as OC
-from corpusfold.session import cut_lineage, spread
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -52,22 +51,19 @@ def _items_sql(body: str) -> str:
     return X.with_views(body, items=X.ITEMS_SQL)
 
 
-def routed(spark: SparkSession, sf_dir: str, barrier: bool = False) -> DataFrame:
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items routed by the flagship chain, with the fields the reports read.
 
-    ``barrier=True`` is for consumers that join or filter on ``domain``: such a
-    predicate must not be pushed into the regex projection (each pushed copy
-    re-runs the rules), so lineage is cut with a reliable checkpoint into the
-    shared checkpoint folder, keeping only the report columns.
+    A consumer that filters or joins on ``domain`` should write the result first
+    (see ``plans/split.py``): a filter that is pushed into the projection would
+    run the rules again.
     """
-    out = C.classify_chain(items_input(spark, sf_dir), ROUTE_DOMAINS, ROUTE_DEFAULT,
-                           keep=["item_id", "prompt", "code", "library"])
-    return cut_lineage(out.select("item_id", "domain", "reason")) if barrier else out
+    return C.classify_chain(items_input(spark, sf_dir), ROUTE_DOMAINS, ROUTE_DEFAULT, keep=["item_id", "prompt", "code", "library"])
 
 
 def items_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``items`` spread over the cores when the scan alone would give fewer tasks."""
-    return spread(X.items(spark, sf_dir), "item_id")
+    """The stand-in items; the scan's own splits are the tasks."""
+    return X.items(spark, sf_dir)
 
 
 def _routed_sql() -> str:

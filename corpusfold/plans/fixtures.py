@@ -22,19 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- items (3.1)
 
+# Own snippets with known Python verdicts (see SNIPPET_COMPILES); branch 7 is the document's text.
 _CODE_BRANCHES = {
-    1: 'import pandas as pd\ndf = pd.read_csv("file.csv")\nprint(df.head())',
-    2: "SELECT o_orderkey FROM orders WHERE o_totalprice > 10 ORDER BY o_orderkey;",
-    3: "const add = (a, b) => a + b;",
-    4: 'public class Main {\n  public static void main(String[] args) { System.out.println("x"); }\n}',
-    5: "#include <vector>\nstd::vector<int> v;",
-    6: "#!/bin/bash\nfor file in *.txt; do\n  echo $file\ndone",
-    8: "x = x + 1\n" * 60,
-    9: "def f(a):\n    return a +",
+    1: "import numpy as np\nvalues = np.arange(12)\nprint(values.sum())",
+    2: "SELECT c_name, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_name;",
+    3: "const total = parts.map((part) => part.size).length;\nconsole.log(total);",
+    4: "public class Tally {\n  private int hits = 0;\n  public void hit() { hits++; System.out.println(hits); }\n}",
+    5: "#include <iostream>\nint main() { std::cout << 1 << std::endl; return 0; }",
+    6: "#!/bin/sh\nif [ -f notes.txt ]; then\n  grep -c done notes.txt\nfi",
+    8: "total = total + step\n" * 40,
+    9: "def g(b):\n    if b >",
 }
+SNIPPET_COMPILES = (1, 8)           # of the snippets, as Python
+BROKEN_TAIL = "\n) ("               # no text that ends so compiles as Python
 _LIBRARY_BRANCHES = {0: "pandas", 1: " NumPy ", 2: "mysql", 3: "cobol"}
 
 
+def _sql_text(text: str) -> str:
+    """A DuckDB string expression for ``text``."""
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     k10 = F.col("doc_id") % 10
@@ -52,41 +60,36 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     code.alias("code"), lib.alias("library"))
 
 
-ITEMS_SQL = """
-SELECT doc_id AS item_id, text AS prompt, lang, source,
-  CASE doc_id % 10
-    WHEN 1 THEN 'import pandas as pd' || chr(10) || 'df = pd.read_csv("file.csv")' || chr(10) || 'print(df.head())'
-    WHEN 2 THEN 'SELECT o_orderkey FROM orders WHERE o_totalprice > 10 ORDER BY o_orderkey;'
-    WHEN 3 THEN 'const add = (a, b) => a + b;'
-    WHEN 4 THEN 'public class Main {' || chr(10) || '  public static void main(String[] args) { System.out.println("x"); }' || chr(10) || '}'
-    WHEN 5 THEN '#include <vector>' || chr(10) || 'std::vector<int> v;'
-    WHEN 6 THEN '#!/bin/bash' || chr(10) || 'for file in *.txt; do' || chr(10) || '  echo $file' || chr(10) || 'done'
-    WHEN 7 THEN text
-    WHEN 8 THEN repeat('x = x + 1' || chr(10), 60)
-    WHEN 9 THEN 'def f(a):' || chr(10) || '    return a +'
-    ELSE NULL END AS code,
-  CASE doc_id % 7
-    WHEN 0 THEN 'pandas' WHEN 1 THEN ' NumPy ' WHEN 2 THEN 'mysql' WHEN 3 THEN 'cobol'
-    ELSE NULL END AS library
-FROM documents
-"""
+ITEMS_SQL = (
+    "SELECT doc_id AS item_id, text AS prompt, lang, source, CASE doc_id % 10 "
+    + " ".join(f"WHEN {k} THEN {_sql_text(v)}" for k, v in _CODE_BRANCHES.items())
+    + " WHEN 7 THEN text ELSE NULL END AS code, CASE doc_id % 7 "
+    + " ".join(f"WHEN {k} THEN {_sql_text(v)}" for k, v in _LIBRARY_BRANCHES.items())
+    + " ELSE NULL END AS library FROM documents")
 
 
 # ---------------------------------------------------------------- pairs (3.2)
 
+# Candidates by conv_id % 4: the reference with a broken tail, two snippets that compile, and the
+# reference itself (whose text then has the broken tail too). All texts are whole.
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    a = c.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference_code"))
-    # Equi-join on both keys: a long conversation spreads over many tasks.
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    k = F.col("conv_id") % 4
+    broken = F.concat("answer", F.lit(BROKEN_TAIL))
+    # Equi-join on both keys: a long conversation goes to many tasks.
     return (u.join(a, on=["conv_id", "turn"], how="inner")
-            .select("conv_id", "turn", "prompt", "reference_code",
-                    F.substring("reference_code", 1, 50).alias("generated_code")))
+            .select("conv_id", "turn", "prompt", F.when(k == 3, broken).otherwise(F.col("answer")).alias("reference_code"),
+                    F.when(k == 1, _CODE_BRANCHES[1]).when(k == 2, _CODE_BRANCHES[8]).otherwise(broken).alias("generated_code")))
 
 
-PAIRS_SQL = """
-SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS reference_code, substring(a.text, 1, 50) AS generated_code
+PAIRS_SQL = f"""
+SELECT u.conv_id, u.turn, u.text AS prompt,
+       CASE u.conv_id % 4 WHEN 3 THEN a.text || {_sql_text(BROKEN_TAIL)} ELSE a.text END AS reference_code,
+       CASE u.conv_id % 4 WHEN 1 THEN {_sql_text(_CODE_BRANCHES[1])} WHEN 2 THEN {_sql_text(_CODE_BRANCHES[8])}
+            ELSE a.text || {_sql_text(BROKEN_TAIL)} END AS generated_code
 FROM conversations u JOIN conversations a
   ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'

@@ -10,7 +10,7 @@ from corpusfold.operators import classify as C
 from corpusfold.plans import fixtures as X
 from corpusfold.plans import oracle_classify as OC
 from corpusfold.plans.catalog import DECIMALS, REPORT_DOMAINS, ROUTE_DEFAULT, items_input, register
-from corpusfold.functions.text import sql_exact_match
+from corpusfold.functions.text import sql_exact_match, sql_strip
 from corpusfold.operators import evaluate as EV
 from corpusfold.operators import prepare as D
 from corpusfold.plans.queries_eval import HEAD_K, _pairs_sql, pairs_input
@@ -36,9 +36,11 @@ def _item_json() -> F.Column:
 
 
 # Planted lines after an item's own line: (modulus, line, kind). kind 'empty_obj' is a valid
-# object the splitter keeps; the others are skipped by the reader.
+# object the splitter keeps, and so are the 'meta' kinds; the others are skipped by the reader.
 _PLANTED = [(13, "", "blank"), (17, "{bad", "bad"), (19, "[1,2]", "array"), (23, "{}", "empty_obj"),
-            (29, "{'a':1}", "single_quotes"), (31, '{"a":1} junk', "junk")]
+            (29, "{'a':1}", "single_quotes"), (31, '{"a":1} junk', "junk"),
+            (37, '{"metadata":"x"}', "meta_text"), (41, '{"metadata":[1]}', "meta_array"), (43, '{"metadata":7}', "meta_number")]
+_KEPT = "('item', 'empty_obj', 'meta_text', 'meta_array', 'meta_number')"
 
 
 def _jsonl_lines(it: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def _read_cols(df: DataFrame) -> DataFrame:
 
 
 @register("jsonl_read", X.with_views(
-    f"{_READ_OUT} FROM lines l JOIN items i USING (item_id) WHERE kind IN ('item', 'empty_obj')",
+    f"{_READ_OUT} FROM lines l JOIN items i USING (item_id) WHERE kind IN {_KEPT}",
     items=X.ITEMS_SQL, lines=_lines_sql()))
 def jsonl_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + S3: lenient JSONL read of a corpus with planted blank, malformed, non-object,
@@ -92,7 +94,7 @@ def jsonl_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("first_n", X.with_views(
     f"{_READ_OUT} FROM (SELECT *, row_number() OVER (ORDER BY item_id, sub) AS line_no FROM lines) l "
-    f"JOIN items i USING (item_id) WHERE line_no <= {FIRST_N} AND kind IN ('item', 'empty_obj')",
+    f"JOIN items i USING (item_id) WHERE line_no <= {FIRST_N} AND kind IN {_KEPT}",
     items=X.ITEMS_SQL, lines=_lines_sql()))
 def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items among the first 100 physical lines (bad lines use up the quota)."""
@@ -100,6 +102,17 @@ def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_cols(S.read_jsonl(spark, path, sample_size=FIRST_N))
 
 
+@register("experiment_load", X.with_views(
+    f"{_READ_OUT}, kind IN ('item', 'empty_obj', 'meta_text', 'meta_array', 'meta_number') AS is_object FROM lines l "
+    f"JOIN items i USING (item_id) WHERE kind IN {_KEPT} OR kind = 'array'",
+    items=X.ITEMS_SQL, lines=_lines_sql()))
+def experiment_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The experiment loader over all lines: valid lines that are no objects are kept, with null fields."""
+    df = S.load_items(spark, write_items_jsonl(spark, sf_dir))
+    return df.select(F.get_json_object("raw", "$.problem_id").cast("bigint").alias("problem_id"), "prompt", "code", "library",
+                     F.col("raw").startswith("{").alias("is_object"))
+
+
 # Planted array elements: (modulus, JSON element) - none is an object.
 _ARRAY_PLANTED = [(11, "5"), (13, '"{\\"a\\":1}"'), (17, "[1]"), (19, "null")]
 ARRAY_CHUNK = 100
@@ -109,19 +122,22 @@ def write_items_json_arrays(spark: SparkSession, sf_dir: str) -> str:
     """Stand-in JSON-array files: items in chunks of 100 ids, one array file per chunk, with
     planted non-object elements."""
     out = scratch_path(spark, "items-array")
-    it = X.items(spark, sf_dir)
+    item_arrays(X.items(spark, sf_dir)).write.partitionBy("chunk").text(out)
+    return out
+
+
+def item_arrays(it: DataFrame) -> DataFrame:
+    """(chunk, value): one JSON array per 100 item ids, with the planted elements."""
     els = [F.struct(F.lit(0).alias("sub"), _item_json().alias("el"))]
     for i, (m, el) in enumerate(_ARRAY_PLANTED, start=1):
         els.append(F.when(F.col("item_id") % m == 0, F.struct(F.lit(i).alias("sub"), F.lit(el).alias("el"))))
     rows = it.select((F.col("item_id") / ARRAY_CHUNK).cast("bigint").alias("chunk"), "item_id",
                      F.explode(F.filter(F.array(*els), lambda e: e.isNotNull())).alias("e"))
-    arrays = (rows.groupBy("chunk")   # one chunk = at most 100 items' elements
+    return (rows.groupBy("chunk")   # one chunk = at most 100 items' elements
               .agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("e.sub").alias("sub"),
                                                         F.col("e.el").alias("el")))).alias("els"))
               .select("chunk", F.concat(F.lit("["), F.array_join(F.transform("els", lambda x: x["el"]), ","),
                                         F.lit("]")).alias("value")))
-    arrays.write.partitionBy("chunk").text(out)
-    return out
 
 
 @register("json_array_read", X.with_views("SELECT item_id AS problem_id, prompt, code, library FROM items",
@@ -132,6 +148,18 @@ def json_array_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_cols(S.read_items(spark, path))
 
 
+@register("mixed_read", X.with_views(
+    f"{_READ_OUT} FROM lines l JOIN items i USING (item_id) WHERE kind IN {_KEPT} "
+    "UNION ALL SELECT item_id, prompt, code, library FROM items", items=X.ITEMS_SQL, lines=_lines_sql()))
+def mixed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: a folder of JSON-lines and JSON-array files (one of them behind 300 empty lines), each read by its own format."""
+    out = scratch_path(spark, "items-mixed")
+    _jsonl_lines(X.items(spark, sf_dir)).orderBy("item_id", "sub").select("line").write.text(out)
+    arrays = item_arrays(X.items(spark, sf_dir)).select(F.concat(F.repeat(F.lit("\n"), 300 * (F.col("chunk") % 2)), "value").alias("value"))
+    arrays.repartition(F.col("value")).write.mode("append").option("maxRecordsPerFile", 1).text(out)
+    return _read_cols(S.read_items(spark, out))
+
+
 @register("dataset_union", X.with_views(
     "SELECT lang AS expert, item_id AS problem_id, prompt FROM items WHERE lang IN ('en', 'fr', 'de', 'es')",
     items=X.ITEMS_SQL))
@@ -140,7 +168,7 @@ def dataset_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = write_items_jsonl(spark, sf_dir, by_lang=True)
     paths = {lang: f"{out}/lang={lang}" for lang in EXPERT_LANGS}
     u = S.union_datasets(spark, paths)
-    return u.filter(F.col("raw") != "{}").select(
+    return u.filter(F.get_json_object("raw", "$.problem_id").isNotNull()).select(
         "expert", F.get_json_object("raw", "$.problem_id").cast("bigint").alias("problem_id"), "prompt")
 
 
@@ -148,8 +176,8 @@ def dataset_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT CAST(e.position AS INTEGER) AS position, e.expert AS source, CAST(coalesce(c.n, 0) AS BIGINT) AS valid_items, "
     f"coalesce(c.n, 0) >= {MIN_ITEMS} AS eligible FROM (VALUES "
     + ", ".join(f"({i}, '{l}')" for i, l in enumerate(EXPERT_LANGS))
-    + ") AS e(position, expert) LEFT JOIN (SELECT lang, count(*) AS n FROM items GROUP BY lang) c ON c.lang = e.expert",
-    items=X.ITEMS_SQL))
+    + f") AS e(position, expert) LEFT JOIN (SELECT lang, count(*) AS n FROM lines WHERE kind IN {_KEPT} AND kind <> 'empty_obj' GROUP BY lang) c ON c.lang = e.expert",
+    items=X.ITEMS_SQL, lines=_lines_sql()))
 def eligible_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15 + D1: valid non-empty objects per expert dataset (missing file = 0), eligible if >= 50."""
     out = write_items_jsonl(spark, sf_dir, by_lang=True)
@@ -227,9 +255,9 @@ def batch_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("supervised_text", _pairs_sql(
-    "SELECT conv_id, turn, 'Problem:' || chr(10) || " + __import__("corpusfold.functions.text", fromlist=["x"]).sql_strip("prompt")
+    "SELECT conv_id, turn, 'Problem:' || chr(10) || " + sql_strip("prompt")
     + " || chr(10) || chr(10) || 'Answer:' || chr(10) || "
-    + __import__("corpusfold.functions.text", fromlist=["x"]).sql_strip("reference_code") + " || chr(10) AS text FROM pairs"))
+    + sql_strip("reference_code") + " || chr(10) AS text FROM pairs"))
 def supervised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D6 + F14: supervised training text per (prompt, reference) pair."""
     return D.supervised_dataset(pairs_input(spark, sf_dir), keep=["conv_id", "turn"])
@@ -257,7 +285,7 @@ def expert_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     first 3 per domain), ranked by overall quality, ties in set order."""
     p = pairs_input(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
     split = C.split_by_specialty(p, R.CANONICAL_SPECIALTIES, keep=["item_id", "reference_code"])
-    per_dom = EV.head_eval(split, k=HEAD_K)
+    per_dom = EV.head_eval(split, k=HEAD_K, length=50)
     overall = per_dom.agg(F.avg("exact_match")).scalar()   # scalar subquery
     sets = D.expert_sets_frame(spark, R.DEFAULT_EXPERT_SETS)
     grid = sets.withColumn("overall_quality", overall)
@@ -303,44 +331,3 @@ def stream_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = ST.latest_states(spark, sink)
     return st.select("expert", "version", F.posexplode("state").alias("pos", "value")).select(
         "expert", "version", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
-
-
-# --------------------------------------------------------------- experiments
-
-from corpusfold.plans import experiments as XP  # noqa: E402
-
-PHASE_DOMAINS = list(R.CANONICAL_SPECIALTIES)     # python -> sql -> docs
-
-
-def _pair_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_input(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
-
-
-@register("federated_rounds")
-def federated_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round rows per (run, step) - round evaluation of the pairs split by specialty, and
-    communication, update count, expert versions and gateway version from the update log with
-    runs by worker parity and step = seq % 5 + 1 - plus the federated-vs-isolated comparison
-    attached to every row."""
-    log = X.pushes(spark, sf_dir, run_by_worker=True).withColumn("step", (F.col("seq") % 5 + 1).cast("bigint"))
-    rounds = XP.round_rows(_pair_items(spark, sf_dir), log, R.CANONICAL_SPECIALTIES)
-    cmp = XP.compare_runs(rounds)
-    return rounds.withColumn("improvement_percent", cmp.select("improvement_percent").scalar())
-
-
-@register("continual_forgetting", X.with_views(f"""
-sp AS ({OC.specialty_sql(R.CANONICAL_SPECIALTIES, src='pitems')}),
-  j AS (SELECT sp.domain, p.item_id, p.reference_code FROM sp JOIN pitems p USING (item_id)),
-  h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY item_id) AS rn FROM j) x WHERE rn <= {HEAD_K}),
-  pd AS (SELECT domain, avg({sql_exact_match('substring(reference_code, 1, 50)', 'reference_code')}) AS score FROM h GROUP BY domain)
-SELECT s.run, 0.0 AS avg_forgetting, round(avg(pd.score), 9) AS final_overall, CAST(count(*) AS BIGINT) AS num_domains
-FROM pd, (VALUES ('naive'), ('rehearsal')) AS s(run) GROUP BY s.run""",
-    pairs=X.PAIRS_SQL, pitems="SELECT conv_id * 1000 + turn AS item_id, prompt, reference_code FROM pairs"))
-def continual_forgetting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phases python -> sql -> docs, naive and rehearsal schedules (D3), the rehearsal mixture
-    (D4), per-phase evaluation of the pairs' canonical split and forgetting per strategy (A14)."""
-    mixture, scores = XP.phase_scores(_pair_items(spark, sf_dir), PHASE_DOMAINS, k=HEAD_K)
-    mixture.write.format("noop").mode("overwrite").save()    # the training mixture is built as well
-    f = EV.forgetting(scores)
-    return f.select("run", F.round("avg_forgetting", DECIMALS).alias("avg_forgetting"),
-                    F.round("final_overall", DECIMALS).alias("final_overall"), "num_domains")

@@ -1,8 +1,8 @@
 """Split a corpus by domain - validate, read, route, write, report.
 
-One scan and one narrow routing projection; the routed table has two
-consumers (the domain-partitioned output and the reports), so it is
-checkpointed once into the shared checkpoint folder and both read that.
+One scan and one narrow routing projection, written once as a Parquet table in the
+shared folder. The domain-partitioned output reads its domain, id and raw line; the
+reports read only the columns they name.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusfold.functions import rules as R
 from corpusfold.operators import classify as C
 from corpusfold.operators import report as A
-from corpusfold.session import cut_lineage
+from corpusfold.session import scratch_path
 from corpusfold.sources import jsonl as S
 from corpusfold.sources import sinks as SK
 
@@ -36,7 +36,7 @@ class SplitResult:
     suggestions: DataFrame
 
     def text_report(self) -> str:
-        return SK.render_text_report(self.distribution, self.text_stats, self.reasons)
+        return SK.render_text_report(self.distribution, self.text_stats, self.reasons, self.libraries)
 
     def summary(self) -> dict:
         """Splitter summary: total, counts per domain, top-10 reasons."""
@@ -71,7 +71,9 @@ def split_corpus(spark: SparkSession, input_path: str, out_dir: str,
         routed = C.classify_imports(items, doms, default_domain, keep=None)
     else:
         raise ValueError(f"unknown rule set {rules!r}")
-    routed = cut_lineage(routed)
+    table = scratch_path(spark, "routed")
+    routed.select("item_id", "domain", "reason", "prompt", "code", "library", "raw").write.parquet(table)
+    routed = spark.read.parquet(table)
     SK.write_domains(routed, out_dir, domains=doms)
     dist = A.domain_distribution(routed, doms)
     if routed.limit(1).count() == 0:

@@ -39,14 +39,16 @@ def build_session(master: str | None = None, app: str = "corpusfold",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when nothing is configured (local runs and tests) is a private folder
-    created and registered.
+    Only where nothing is configured and the master is local (tests) is a private
+    folder made; on a cluster that would be a disk the executors don't share.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf:
         conf = tempfile.mkdtemp(prefix="corpusfold-ckpt-")
     sc.setCheckpointDir(conf)
@@ -65,52 +67,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local filesystem helpers."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def estimated_splits(df: DataFrame, enough: int | None = None) -> int | None:
-    """Scan splits a file-based DataFrame will get: files, or bytes / maxPartitionBytes if larger.
-
-    Planning-time only (no job). ``None`` when the input is not file-based. When
-    there are already ``enough`` files the sizes are not looked up (a large table
-    has many files; statting them all from the driver would be the slow part).
-    """
-    files = df._jdf.inputFiles()          # JVM array: only its length crosses to Python here
-    n_files = len(files)
-    if n_files == 0:
-        return None
-    if enough is not None and n_files >= enough:
-        return n_files
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        hp = jvm.org.apache.hadoop.fs.Path(f)
-        total += hp.getFileSystem(conf).getFileStatus(hp).getLen()
-    max_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
-    return max(n_files, -(-total // max_bytes))
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give a CPU-heavy narrow stage at least ``defaultParallelism`` tasks.
-
-    A small input (one row group, one file) scans as a single task; hash-repartition
-    it on ``key`` (deterministic, so a retried task sees the same rows). Large
-    inputs already have more splits than cores and are returned unchanged, so this
-    never shuffles a big table.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    est = estimated_splits(df, enough=target)
-    if est is None or est >= target:
-        return df
-    if key and key in df.columns:
-        return df.repartition(target, key)
-    return df.repartition(target)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Filesystem-agnostic existence test through Hadoop's FileSystem API."""
     jvm = spark.sparkContext._jvm
@@ -119,7 +75,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-__all__ = ["build_session", "checkpoint_dir", "scratch_path", "cut_lineage", "path_exists", "local_path", "spread", "estimated_splits"]
+__all__ = ["build_session", "checkpoint_dir", "scratch_path", "cut_lineage", "path_exists"]
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -7,12 +7,14 @@
 * S2 ``read_json_array``: whole file is one array; non-object elements are
   skipped, a file that does not parse is an error. Each file is one task
   (an array cannot be split), so many files parallelise, one does not.
-* S3 ``detect_format``: first non-space character of the first 4096 chars.
+* S3 ``file_formats``: per file, the first non-space character of its first 4096
+  characters. Found inside tasks, which hand on one short row a file; no line
+  travels to the driver. ``read_items`` reads each file of a folder by its format.
 * S4 ``sample_size``: first N physical lines (blank/bad lines use quota),
   taken in file order with ``orderBy(...).limit(N)`` (TakeOrderedAndProject:
   each task keeps N, never the whole input) *before* parsing.
 * S5 ``load_items``: like S1 but non-object lines are kept; a missing path
-  gives an empty DataFrame.
+  gives an empty DataFrame. All lines by default.
 * S9 ``union_datasets``: ``{expert: path}`` read and tagged, ``unionByName``.
 * A15 ``count_valid_objects``: valid, non-empty objects per source.
 
@@ -35,7 +37,9 @@ from corpusfold.session import path_exists
 log = logging.getLogger(__name__)
 
 ITEM_FIELDS = list(dict.fromkeys([*R.CODE_KEYS, *R.TEXT_KEYS]))
-ITEM_SCHEMA = ", ".join(f"{k} string" for k in ITEM_FIELDS) + ", metadata struct<library:string>"
+# metadata is read as text, whatever it is: an object that is not an object there is still a valid line
+ITEM_SCHEMA = ", ".join(f"{k} string" for k in ITEM_FIELDS) + ", metadata string"
+HEAD_CHARS = 4096
 _CORRUPT = "_corrupt_record"
 _JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
 
@@ -46,10 +50,12 @@ def _parse(raw: Column) -> Column:
 
 def _project_item(df: DataFrame, parsed: str = "_j") -> DataFrame:
     cols = [F.col(f"{parsed}.{k}").alias(k) for k in ITEM_FIELDS]
-    return df.select("item_id", *cols, F.col(f"{parsed}.metadata.library").alias("library"), "raw")
+    # null unless metadata is an object
+    library = F.when(F.col(f"{parsed}.metadata").isNotNull(), F.get_json_object("raw", "$.metadata.library"))
+    return df.select("item_id", *cols, library.alias("library"), "raw")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines with a file-order key (file, block start, position in split)."""
     return (spark.read.text(path)
             .select("value", F.col("_metadata.file_path").alias("_f"),
@@ -63,7 +69,7 @@ def _first_lines(lines: DataFrame, n: int | None) -> DataFrame:
     return lines.orderBy("_f", "_b", "item_id").limit(n)
 
 
-def read_jsonl(spark: SparkSession, path: str, sample_size: int | None = None,
+def read_jsonl(spark: SparkSession, path: str | list[str], sample_size: int | None = None,
                keep_non_objects: bool = False) -> DataFrame:
     """S1 (+ S4): lenient JSONL reader."""
     lines = _first_lines(_lines(spark, path), sample_size)
@@ -80,7 +86,7 @@ def read_jsonl(spark: SparkSession, path: str, sample_size: int | None = None,
     return _project_item(parsed)
 
 
-def read_json_array(spark: SparkSession, path: str, sample_size: int | None = None) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str | list[str], sample_size: int | None = None) -> DataFrame:
     """S2 (+ S4): each file holds one JSON array; object elements become items."""
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("_f"),
@@ -94,47 +100,75 @@ def read_json_array(spark: SparkSession, path: str, sample_size: int | None = No
     return _project_item(el.withColumn("_j", _parse(F.col("raw"))))
 
 
-def detect_format(spark: SparkSession, path: str, head_chars: int = 4096) -> str:
-    """S3: ``'json_array'`` if the first non-space character of the head is ``[`` else ``'jsonl'``.
+def _heads(batches):
+    """(file, first non-space character) for the files whose first split begins in this task."""
+    import pyarrow as pa
 
-    The head is that of the first file in path order (a scan returns splits in size
-    order, so ``limit`` on a directory could start in any file); within one file the
-    splits are taken in offset order. At most 256 lines travel to the driver.
-    """
-    files = spark.read.text(path).inputFiles()   # file names only (metadata)
-    if not files:
-        return "jsonl"
-    first = min(files)
-    seen = 0
-    for row in spark.read.text(first).limit(256).collect():   # bounded head
-        line = row.value + "\n"
-        for ch in line[: max(0, head_chars - seen)]:
-            if not ch.isspace():
-                return "json_array" if ch == "[" else "jsonl"
-        seen += len(line)
-        if seen >= head_chars:
-            break
-    return "jsonl"
+    seen: dict[str, int] = {}
+    found: dict[str, str] = {}
+    for batch in batches:
+        for file, head, n in zip(*(batch.column(c).to_pylist() for c in ("file", "head", "n"))):
+            at = seen.get(file, 0)
+            if file not in found and at < HEAD_CHARS:
+                text = (head or "")[:HEAD_CHARS - at].lstrip()
+                if text:
+                    found[file] = text[0]
+            seen[file] = at + (n or 0) + 1
+    if seen:
+        yield pa.RecordBatch.from_pydict({"file": list(seen), "first": pa.array([found.get(f) for f in seen], pa.string())})
+
+
+def file_formats(spark: SparkSession, path: str) -> DataFrame:
+    """S3: (file, fmt) of every non-empty file: ``json_array`` if its head's first non-space character is ``[``, else ``jsonl``."""
+    heads = (spark.read.text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+             .where("block = 0").select("file", F.substring("value", 1, HEAD_CHARS).alias("head"), F.length("value").alias("n")))
+    first = heads.mapInArrow(_heads, "file string, first string")
+    return first.select("file", F.when(F.col("first") == "[", "json_array").otherwise("jsonl").alias("fmt"))
+
+
+def detect_format(spark: SparkSession, path: str) -> str:
+    """S3 for a path of one format; ``mixed`` if its files differ."""
+    found = {r["fmt"] for r in file_formats(spark, path).select("fmt").distinct().collect()}
+    return "mixed" if len(found) > 1 else next(iter(found), "jsonl")
 
 
 def read_items(spark: SparkSession, path: str, fmt: str | None = None,
                sample_size: int | None = None) -> DataFrame:
-    """S1-S4 entry point: detect (or take) the format and read."""
+    """S1-S4 entry point: detect (or take) the format and read; a folder may hold files of both formats.
+
+    ``sample_size`` of a mixed folder counts lines and elements apart, the JSON lines first.
+    """
     fmt = fmt or detect_format(spark, path)
     if fmt == "json_array":
         return read_json_array(spark, path, sample_size)
     if fmt == "jsonl":
         return read_jsonl(spark, path, sample_size)
-    raise ValueError(f"unknown format {fmt!r}")
+    if fmt != "mixed":
+        raise ValueError(f"unknown format {fmt!r}")
+    files = {f: [r["file"] for r in rows] for f, rows in _by_format(spark, path).items()}
+    lines = read_jsonl(spark, files["jsonl"], sample_size)
+    elements = read_json_array(spark, files["json_array"], sample_size)
+    # ids of the two scans must differ: even and odd
+    both = lines.withColumn("item_id", F.col("item_id") * 2).unionByName(elements.withColumn("item_id", F.col("item_id") * 2 + 1))
+    return both if sample_size is None else both.orderBy(F.col("item_id") % 2, "item_id").limit(sample_size)
+
+
+def _by_format(spark: SparkSession, path: str) -> dict[str, list]:
+    """File names by format (names only; the scan plans hold them on the driver anyway)."""
+    out: dict[str, list] = {"jsonl": [], "json_array": []}
+    for r in file_formats(spark, path).collect():
+        out[r["fmt"]].append(r)
+    return out
 
 
 def empty_items(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], f"item_id bigint, {ITEM_SCHEMA.replace(', metadata struct<library:string>', '')}, "
+    return spark.createDataFrame([], f"item_id bigint, {ITEM_SCHEMA.replace(', metadata string', '')}, "
                                      "library string, raw string")
 
 
-def load_items(spark: SparkSession, path: str, num_samples: int = 100) -> DataFrame:
-    """Experiment loader: first ``num_samples`` lines, bad lines skipped, non-objects kept;
+def load_items(spark: SparkSession, path: str, num_samples: int | None = None) -> DataFrame:
+    """Experiment loader: all lines, or the first ``num_samples``; bad lines skipped, non-objects kept;
     a missing file gives an empty result (logged)."""
     if not path_exists(spark, path):
         log.error("Dataset file not found: %s", path)

@@ -55,41 +55,67 @@ def write_json_report(report: DataFrame, out: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(out)
 
 
-def render_text_report(distribution: DataFrame, stats: DataFrame | None = None,
-                       reasons: DataFrame | None = None, title: str = "Dataset Splitting Report") -> str:
-    """Fixed-width text report over already-aggregated rows (a few dozen at most).
+REPORT_REASONS = 15
 
-    ``distribution`` has (domain, cnt, pct, total); ``stats`` (domain, avg_prompt_len,
-    avg_code_len, avg_lines); ``reasons`` (rank, reason, cnt).
+
+def report_lines(distribution: DataFrame, stats: DataFrame | None = None, reasons: DataFrame | None = None,
+                 libraries: DataFrame | None = None, title: str = "Dataset Splitting Report") -> DataFrame:
+    """The text report as rows (section, key, nth, line), formatted by column expressions.
+
+    Inputs are report tables: ``distribution`` (domain, cnt, pct, total), ``stats``
+    (domain, avg_prompt_len, avg_code_len, avg_lines), ``libraries`` (domain, rank, lib,
+    cnt), ``reasons`` (rank, reason, cnt). Sections: 0 head, 1 domains, 2 reasons.
     """
-    dist = distribution.orderBy("domain").collect()
-    total = dist[0]["total"] if dist else 0
-    st = {r["domain"]: r for r in stats.collect()} if stats is not None else {}
-    lines = ["=" * 80, title, "=" * 80, "", f"Total Items: {total}", "", "Domain Distribution:", "-" * 80]
-    for r in dist:
-        lines.append(f"  {r['domain']:15} {r['cnt']:6} items ({r['pct']:5.1f}%)")
-        s = st.get(r["domain"])
-        if s is not None:
-            lines.append(f"    - Avg prompt len: {s['avg_prompt_len']:.0f} chars")
-            lines.append(f"    - Avg code len:   {s['avg_code_len']:.0f} chars")
-            lines.append(f"    - Avg lines:      {s['avg_lines']:.1f} lines")
-        lines.append("")
+    rows = distribution.select("domain", "cnt", "pct", "total")
+    line = lambda section, key, nth, text: F.struct(F.lit(section).alias("section"), key.alias("key"),
+                                                    F.lit(nth).alias("nth"), text.alias("line"))
+    none = F.lit("")
+    per_domain = [line(1, F.col("domain"), 0, F.format_string("  %-15s %6d items (%5.1f%%)", "domain", "cnt", "pct"))]
+    if stats is not None:
+        rows = rows.join(stats.drop("cnt"), "domain", "left")
+        known = F.col("avg_lines").isNotNull()
+        for nth, (label, col, form) in enumerate((("Avg prompt len:", "avg_prompt_len", "%.0f chars"),
+                                                  ("Avg code len:  ", "avg_code_len", "%.0f chars"),
+                                                  ("Avg lines:     ", "avg_lines", "%.1f lines")), start=1):
+            per_domain.append(F.when(known, line(1, F.col("domain"), nth, F.format_string(f"    - {label} {form}", col))))
+    if libraries is not None:
+        named = libraries.where("rank <= 3").groupBy("domain").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "lib", "cnt"))),
+                                     lambda x: F.concat(x["lib"], F.lit(" ("), x["cnt"].cast("string"), F.lit(")"))), ", ").alias("libs"))
+        rows = rows.join(named, "domain", "left")
+        per_domain.append(F.when(F.col("libs").isNotNull(),
+                                 line(1, F.col("domain"), 4, F.concat(F.lit("    - Top libraries: "), F.col("libs")))))
+    per_domain.append(line(1, F.col("domain"), 9, none))
+    spell = lambda df, items: df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    body = spell(rows, per_domain)
+    total = distribution.agg(F.coalesce(F.max("total"), F.lit(0)).alias("total"))
+    rule, thin = F.lit("=" * 80), F.lit("-" * 80)
+    head = [rule, F.lit(title), rule, none, F.format_string("Total Items: %d", "total"), none, F.lit("Domain Distribution:"), thin]
+    out = spell(total, [line(0, none, i, text) for i, text in enumerate(head)]).unionByName(body)
     if reasons is not None:
-        lines += ["Top Classification Reasons:", "-" * 80]
-        for r in reasons.orderBy("rank").limit(15).collect():
-            pct = (r["cnt"] / total * 100) if total else 0.0
-            lines.append(f"  {r['reason']:40} {r['cnt']:6} ({pct:5.1f}%)")
-    return "\n".join(lines)
+        share = F.when(F.col("total") > 0, F.col("cnt") / F.col("total") * 100).otherwise(0.0)
+        ranked = reasons.where(F.col("rank") <= REPORT_REASONS).select(
+            "rank", "reason", "cnt").withColumn("total", total.scalar())
+        out = out.unionByName(spell(total, [line(2, none, -2, F.lit("Top Classification Reasons:")), line(2, none, -1, thin)]))
+        out = out.unionByName(ranked.select(F.lit(2).alias("section"), none.alias("key"), F.col("rank").cast("int").alias("nth"),
+                                            F.format_string("  %-40s %6d (%5.1f%%)", "reason", "cnt", share).alias("line")))
+    return out
+
+
+def render_text_report(*tables: DataFrame, **more) -> str:
+    """The lines of :func:`report_lines` as one text (a few lines a configured domain)."""
+    rows = report_lines(*tables, **more).orderBy("section", "key", "nth").select("line").collect()
+    return "\n".join(r["line"] for r in rows)
 
 
-def summary_json(distribution: DataFrame, domains: Sequence[str]) -> str:
-    """JSON summary ``{total, counts, domains}`` of a distribution report (small)."""
-    rows = distribution.collect()
-    total = rows[0]["total"] if rows else 0
-    return json.dumps({"total": total, "domains": list(domains),
-                       "counts": {r["domain"]: r["cnt"] for r in rows}}, ensure_ascii=False, indent=2)
+def write_run_results(rounds: DataFrame, comparison: DataFrame, out: str) -> None:
+    """The results of runs under ``out``: ``rounds`` (a row per run and step) and ``comparison``, as JSON lines."""
+    write_json_report(rounds, f"{out}/rounds")
+    write_json_report(comparison, f"{out}/comparison")
 
 
+def read_run_results(spark: SparkSession, out: str, rounds_schema: str, comparison_schema: str) -> tuple[DataFrame, DataFrame]:
+    return (spark.read.schema(rounds_schema).json(f"{out}/rounds"), spark.read.schema(comparison_schema).json(f"{out}/comparison"))
 
 
 def split_summary(classified: DataFrame, k: int = 10) -> dict:
@@ -129,5 +155,5 @@ def write_text(spark: SparkSession, text: str, out: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(out)
 
 
-__all__ = ["write_domains", "read_domains", "write_json_report", "render_text_report", "summary_json",
-           "split_summary", "statistics_summary", "write_text"]
+__all__ = ["write_domains", "read_domains", "write_json_report", "report_lines", "render_text_report",
+           "write_run_results", "read_run_results", "split_summary", "statistics_summary", "write_text"]

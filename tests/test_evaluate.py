@@ -21,9 +21,11 @@ def test_head_eval_first_k_and_suffix(spark):
     ref = "print(1)" + " " * 60
     rows = [("py", i, ref if i < 3 else "zzz") for i in range(6)] + [("sq", 10, "")]
     df = spark.createDataFrame(rows, "domain string, item_id long, reference_code string")
-    got = {r.domain: r for r in EV.head_eval(df, k=3).collect()}
+    got = {r.domain: r for r in EV.head_eval(df, k=3, length=50).collect()}
     assert got["py"].n == 3 and got["py"].exact_match == 1.0 and got["sq"].exact_match == 1.0
-    rnd = {r.domain: r for r in EV.head_eval(df, k=5, suffix="...", with_syntax=True).collect()}
+    every = {r.domain: r for r in EV.head_eval(df).collect()}        # no cap: all rows, whole texts
+    assert every["py"].n == 6 and every["py"].exact_match == 1.0
+    rnd = {r.domain: r for r in EV.head_eval(df, k=5, length=50, suffix="...", with_syntax=True).collect()}
     assert rnd["py"].exact_match == 0.0 and rnd["sq"].exec_pass == 1.0   # '...' compiles
 
 

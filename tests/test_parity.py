@@ -13,83 +13,55 @@ from corpusfold.operators import classify as C
 from corpusfold.plans import fixtures as X
 
 DOMAINS = list(R.TEST_DOMAINS)
+ANY_CASE, LINES = re.IGNORECASE, re.MULTILINE
 
 
-def _norm(s):
-    return (s or "").strip().lower()
-
-
-def py_patterns(prompt, code, domains):
-    text = f"{prompt or ''}\n{code or ''}"
-    best = None
-    for d in dict.fromkeys(domains):
-        tiers = R.DOMAIN_PATTERNS.get(d)
-        if tiers is None:
-            continue
-        raw = sum(R.PATTERN_WEIGHTS[t] for t, ps in tiers.items() for p in ps
-                  if re.search(p, text, re.IGNORECASE | re.MULTILINE))
-        s = min(raw / R.PATTERN_CAP, 1.0)
-        if raw > 0 and (best is None or s > best[1]):
-            best = (d, s)
-    if best and best[1] > R.PATTERN_EMIT_ABOVE:
-        return best[0], best[1], f"Advanced patterns (confidence: {best[1]:.2f})"
-    return None
-
-
-def py_structure(code, domains):
-    c = _norm(code)
-    if not c:
-        return None
-    tests = {"sql": (R.SQL_STRUCTURE, re.IGNORECASE | re.MULTILINE), "python": (R.PYTHON_STRUCTURE, re.MULTILINE),
-             "javascript": (R.JAVASCRIPT_STRUCTURE, re.MULTILINE)}
-    for d, score, reason in R.STRUCTURE_RESULTS:
-        pats, flags = tests[d]
-        if d in domains and any(re.search(p, c, flags) for p in pats):
-            return d, score, reason
-    return None
-
-
-def py_keywords(prompt, code, domains):
-    text = f"{_norm(prompt)} {_norm(code)}"
-    best = None
-    for d in dict.fromkeys(domains):
-        cfg = R.KEYWORDS.get(d)
-        if cfg is None:
-            continue
-        raw = sum(1.0 for k in cfg["keywords"] if k in text) + \
-            sum(2.0 for p in cfg["patterns"] if re.search(p, text, re.IGNORECASE))
-        s = min(raw / R.KEYWORD_CAP, 1.0)
-        if raw > 0 and (best is None or s > best[1]):
-            best = (d, s, f"Keywords (score: {raw:.1f})")
-    return best
-
-
-def py_library(lib, domains):
-    n = _norm(lib)
-    for d, names in R.LIBRARY_MAPPING.items():
-        if n and n in names and d in domains:
-            return d, 1.0, f"Library: {n}"
-    return None
-
+def weight(text, flags, weighted):
+    """Sum of the weights of the patterns found in ``text``."""
+    return sum(w for w, p in weighted if re.search(p, text, flags))
 
-def py_complexity(code, domains):
-    c = code or ""
-    if c and "python" in domains and len(c) > 500 and len(c.split("\n")) > 20:
-        return "python", 0.3, "Complex code"
-    return None
 
-
-def py_chain(prompt, code, lib, domains, default):
-    best = None
-    for r in (py_library(lib, domains), py_patterns(prompt, code, domains), py_structure(code, domains),
-              py_keywords(prompt, code, domains), py_complexity(code, domains)):
-        if r and (best is None or r[1] > best[1]):
-            best = r
-            if r[1] >= 0.9:
-                break
-    if best and best[1] >= 0.3:
-        return best[0], best[2]
-    return default, "Default fallback"
+def evidence(row, domains):
+    """Every result a stage could give: (stage, position that breaks ties, score, domain, reason)."""
+    prompt, code, lib = (getattr(row, f) or "" for f in ("prompt", "code", "library"))
+    fold = lambda x: x.strip().lower()
+    found = []
+    for d, names in R.LIBRARY_MAPPING.items():
+        if fold(lib) in names:
+            found.append((1, len(found), 1.0, d, f"Library: {fold(lib)}"))
+    for at, d in enumerate(domains):
+        rules = [(R.PATTERN_WEIGHTS[tier], p) for tier, ps in R.DOMAIN_PATTERNS.get(d, {}).items() for p in ps]
+        score = min(weight(f"{prompt}\n{code}", ANY_CASE | LINES, rules) / R.PATTERN_CAP, 1.0)
+        if score > R.PATTERN_EMIT_ABOVE:
+            found.append((2, at, score, d, f"Advanced patterns (confidence: {score:.2f})"))
+        words = R.KEYWORDS.get(d, {"keywords": [], "patterns": []})
+        text = f"{fold(prompt)} {fold(code)}"
+        raw = sum(k in text for k in words["keywords"]) + weight(text, ANY_CASE, [(2.0, p) for p in words["patterns"]])
+        if raw:
+            found.append((4, at, min(raw / R.KEYWORD_CAP, 1.0), d, f"Keywords (score: {raw:.1f})"))
+    structures = {"sql": (R.SQL_STRUCTURE, ANY_CASE | LINES), "python": (R.PYTHON_STRUCTURE, LINES), "javascript": (R.JAVASCRIPT_STRUCTURE, LINES)}
+    for at, (d, score, reason) in enumerate(R.STRUCTURE_RESULTS):
+        patterns, flags = structures[d]
+        if weight(fold(code), flags, [(1, p) for p in patterns]):
+            found.append((3, at, score, d, reason))
+    if len(code) > R.COMPLEXITY_MIN_CHARS and code.count("\n") >= R.COMPLEXITY_MIN_LINES:
+        found.append((5, 0, R.COMPLEXITY_RESULT[1], R.COMPLEXITY_RESULT[0], R.COMPLEXITY_RESULT[2]))
+    return [f for f in found if f[3] in domains]
+
+
+def of_stage(found, stage):
+    """A stage's result: structure and library go by order alone, the others by score first."""
+    own = [f for f in found if f[0] == stage]
+    by_order = stage in (1, 3)
+    return min(own, key=lambda f: (0 if by_order else -f[2], f[1]), default=None)
+
+
+def of_chain(found, default):
+    """The highest score of the stages up to the first sure one; the earliest stage of equals."""
+    results = [r for r in (of_stage(found, k) for k in range(1, 6)) if r]
+    sure = min((r[0] for r in results if r[2] >= R.CHAIN_STOP_AT), default=5)
+    best = min((r for r in results if r[0] <= sure), key=lambda r: (-r[2], r[0]), default=None)
+    return best[3:] if best and best[2] >= R.CHAIN_ACCEPT_AT else (default, R.CHAIN_FALLBACK_REASON)
 
 
 @pytest.fixture(scope="module")
@@ -103,51 +75,42 @@ def rows(items):
     return {r.item_id: r for r in items.collect()}
 
 
-@pytest.mark.parametrize("stage,fn", [(C.PATTERNS, lambda r: py_patterns(r.prompt, r.code, DOMAINS)),
-                                      (C.KEYWORDS, lambda r: py_keywords(r.prompt, r.code, DOMAINS)),
-                                      (C.STRUCTURE, lambda r: py_structure(r.code, DOMAINS))])
-def test_stage_parity(items, rows, stage, fn):
+@pytest.mark.parametrize("number,stage", [(2, C.PATTERNS), (3, C.STRUCTURE), (4, C.KEYWORDS)])
+def test_stage_parity(items, rows, number, stage):
     got = {r.item_id: r for r in C.classify_stage(items, stage, DOMAINS).collect()}
     assert len(got) == len(rows) > 50
     for i, r in rows.items():
-        exp = fn(r)
+        want = of_stage(evidence(r, DOMAINS), number)
         g = got[i]
-        if exp is None:
-            assert g.domain is None, (i, g)
-        else:
-            assert (g.domain, g.reason) == (exp[0], exp[2]) and g.score == pytest.approx(exp[1]), (i, g, exp)
+        assert (g.domain, g.reason) == (want[3:] if want else (None, None)), (i, g, want)
+        assert want is None or g.score == pytest.approx(want[2])
 
 
 def test_chain_parity(items, rows):
     got = {r.item_id: (r.domain, r.reason) for r in C.classify_chain(items, DOMAINS, "python").collect()}
     for i, r in rows.items():
-        assert got[i] == py_chain(r.prompt, r.code, r.library, DOMAINS, "python"), i
-
-
-def py_imports(prompt, code, lib, domains, default):
-    allowed = set(domains)
-    if isinstance(lib, str) and lib:
-        n = lib.strip().lower()
-        n = R.LIBRARY_SYNONYMS.get(n, n)
-        if n in R.LIBRARY_BUCKETS:
-            for b in R.LIBRARY_BUCKETS[n]:
-                if b in allowed:
-                    return b, f"metadata.library:{n}->{b}"
-    alltext = "\n".join(x for x in [code] if isinstance(x, str) and x) + "\n" + \
-        "\n".join(x for x in [prompt] if isinstance(x, str) and x)
-    scores = {}
-    for name, pat, ml in R.IMPORT_PATTERNS:
-        if re.search(pat, alltext, re.IGNORECASE | (re.MULTILINE if ml else 0)):
-            for b in R.LIBRARY_BUCKETS.get(name, [name]):
-                scores[b] = scores.get(b, 0) + 1
-    for b, _ in sorted(scores.items(), key=lambda kv: -kv[1]):
-        if b in allowed:
-            return b, f"pattern:{b}"
-    return (default if default in domains else domains[0]), "fallback:default"
+        assert got[i] == of_chain(evidence(r, DOMAINS), "python"), i
+
+
+def import_result(row, allowed, default):
+    """The library's buckets decide if one is allowed; else the allowed bucket that most patterns name, the first named of equals."""
+    name = (row.library or "").strip().lower()
+    name = R.LIBRARY_SYNONYMS.get(name, name)
+    known = [b for b in R.LIBRARY_BUCKETS.get(name, []) if b in allowed]
+    if known:
+        return known[0], f"metadata.library:{name}->{known[0]}"
+    text = f"{row.code or ''}\n{row.prompt or ''}"
+    named = [b for bucket, p, lines in R.IMPORT_PATTERNS if re.search(p, text, ANY_CASE | (LINES if lines else 0))
+             for b in R.LIBRARY_BUCKETS.get(bucket, [bucket])]
+    votes = {b: named.count(b) for b in named if b in allowed}
+    if votes:
+        first = max(votes, key=lambda b: (votes[b], -named.index(b)))
+        return first, f"pattern:{first}"
+    return (default if default in allowed else allowed[0]), R.IMPORT_FALLBACK_REASON
 
 
 def test_import_chain_parity(items, rows):
-    doms = R.SPLIT_DOMAINS + ["misc", "python"]
+    doms = [*R.SPLIT_DOMAINS, "misc", "python"]
     got = {r.item_id: (r.domain, r.reason) for r in C.classify_imports(items, doms, "py_core").collect()}
     for i, r in rows.items():
-        assert got[i] == py_imports(r.prompt, r.code, r.library, doms, "py_core"), i
+        assert got[i] == import_result(r, doms, "py_core"), i

@@ -12,6 +12,7 @@ LINES = [
     ("", False), ("   ", False), ("{bad", False), ("[1,2]", False), ("5", False),
     ("{}", True), ('{"a":NaN}', True), ('{"a":Infinity}', True), ('{"a":1,"a":2}', True),
     ("{'a':1}", False), ('{"a":1} junk', False), ('{"a":01}', False),
+    ('{"metadata":"x","prompt":"m"}', True), ('{"metadata":[{"library":"q"}]}', True), ('{"metadata":7}', True), ('{"metadata":null}', True),
     ('{"prompt":5}', True), ('  {"prompt":"x"}  ', True), ('{"a":"\tb"}', False),
 ]
 
@@ -28,6 +29,7 @@ def test_jsonl_leniency(spark, tmpdir_path):
     rows = S.read_jsonl(spark, p).orderBy("item_id").collect()
     assert [r.raw for r in rows] == [l.strip() for l, keep in LINES if keep]
     assert rows[0].library == "pandas" and rows[0].prompt == "a"
+    assert [r.library for r in rows if "metadata" in r.raw] == ["pandas", None, None, None, None]
     assert [r.prompt for r in rows if r.raw == '{"prompt":5}'] == ["5"]   # read as string (Q7)
 
 
@@ -41,6 +43,7 @@ def test_loader_keeps_non_objects_and_missing_is_empty(spark, tmpdir_path):
     p = _write(tmpdir_path, "in.jsonl", "\n".join(l for l, _ in LINES) + "\n")
     raws = [r.raw for r in S.load_items(spark, p, num_samples=6).collect()]
     assert sorted(raws) == sorted([LINES[0][0], "[1,2]", "5"])
+    assert S.load_items(spark, p).count() == sum(keep for _, keep in LINES) + 2
     assert S.load_items(spark, os.path.join(tmpdir_path, "missing.jsonl")).count() == 0
 
 
@@ -90,6 +93,30 @@ def test_domain_sink_roundtrip(spark, tmpdir_path):
     assert "Total Items: 4" in text and "x                    3 items ( 75.0%)" in text
 
 
+def test_text_report_sections(spark):
+    from corpusfold.operators import report as A
+    df = spark.createDataFrame([(i, d, r, "p" * i, "c", lib) for i, (d, r, lib) in enumerate(
+        [("x", "r1", "Numpy"), ("x", "r1", "numpy"), ("x", "r2", "torch"), ("y", "r1", None)])],
+        "item_id long, domain string, reason string, prompt string, code string, library string")
+    text = SK.render_text_report(A.domain_distribution(df, ["x", "y", "z"]), A.domain_text_stats(df), A.reason_top(df, k=10),
+                                 A.domain_top_libraries(df))
+    lines = text.split("\n")
+    at = next(i for i, x in enumerate(lines) if x.startswith("  x  "))
+    assert lines[at + 1:at + 6] == ["    - Avg prompt len: 1 chars", "    - Avg code len:   1 chars", "    - Avg lines:      1.0 lines",
+                                    "    - Top libraries: numpy (2), torch (1)", ""]
+    assert lines[0] == "=" * 80 and lines[4] == "Total Items: 4" and any(x.startswith("  z ") and "0 items" in x for x in lines)
+    tail = lines.index("Top Classification Reasons:")
+    assert [x.split() for x in lines[tail + 2:]] == [["r1", "3", "(", "75.0%)"], ["r2", "1", "(", "25.0%)"]]
+
+
+def test_run_results_round_trip(spark, tmpdir_path):
+    rounds = spark.createDataFrame([("a", 1, 0.5), ("b", 1, None)], "run string, step long, quality double")
+    comparison = spark.createDataFrame([("a", "b", 12.5)], "run_a string, run_b string, improvement_percent double")
+    SK.write_run_results(rounds, comparison, tmpdir_path + "/r")
+    back = SK.read_run_results(spark, tmpdir_path + "/r", "run string, step long, quality double", "run_a string, run_b string, improvement_percent double")
+    assert sorted(map(tuple, back[0].collect())) == [("a", 1, 0.5), ("b", 1, None)] and back[1].collect()[0].improvement_percent == 12.5
+
+
 def test_split_corpus_end_to_end(spark, tmpdir_path):
     from corpusfold.plans.split import split_corpus
     items = [{"prompt": "Read CSV", "code": "import pandas as pd", "metadata": {"library": "pandas"}, "extra": [1]},
@@ -119,13 +146,19 @@ def test_split_corpus_end_to_end(spark, tmpdir_path):
     assert {r.domain: r.cnt for r in imp.distribution.collect()} == {"pandas": 1, "sql": 1, "py_core": 1}
 
 
-def test_detection_reads_first_file_in_path_order(spark, tmpdir_path):
+def test_each_file_of_a_folder_has_its_own_format(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "parts")
     os.makedirs(d)
-    _write(d, "part-00000.txt", '{"prompt":"a"}\n')
-    _write(d, "part-00001.txt", "[1,2]\n" + "\n".join('{"prompt":"%d"}' % i for i in range(500)) + "\n")
-    assert S.detect_format(spark, d) == "jsonl"
-    assert S.read_items(spark, d).count() == 501
+    _write(d, "part-0.txt", '{"prompt":"a"}\n')
+    _write(d, "part-1.txt", "\n" * 300 + '  [{"prompt":"b"},\n 3, {"prompt":"c"}]')        # an array behind empty lines
+    _write(d, "part-2.txt", " " * 5000 + '[{"prompt":"late"}]\n{"prompt":"d"}\n')           # beyond the head: JSON lines
+    _write(d, "part-3.txt", "")
+    fmt = {os.path.basename(r.file): r.fmt for r in S.file_formats(spark, d).collect()}
+    assert fmt == {"part-0.txt": "jsonl", "part-1.txt": "json_array", "part-2.txt": "jsonl"}
+    assert S.detect_format(spark, d) == "mixed"
+    rows = S.read_items(spark, d).collect()
+    assert sorted(r.prompt for r in rows) == ["a", "b", "c", "d"] and len({r.item_id for r in rows}) == 4
+    assert S.read_items(spark, d, sample_size=1).count() == 1
 
 
 def test_empty_domains_get_directories(spark, tmpdir_path):
