@@ -149,6 +149,25 @@ def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers are reused, and what a task frees counts until then."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):       # another C library
+        pass
+
+
+def released(run):
+    """A batch function that gives its memory back when its input ends."""
+    def outer(batches):
+        yield from run(batches)
+        release_memory()
+    return outer
+
+
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 

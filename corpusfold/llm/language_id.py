@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import mix, on_workers, read_table
+from corpusfold.llm.common import mix, on_workers, read_table, released, text_chunks
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_PIECE = 6
@@ -50,8 +50,7 @@ ROUNDS = 3
 SMOOTH = 0.1
 UNKNOWN = 1e-9
 SHARPNESS = 24.0
-CHUNK_ROWS = 2000
-CHUNK_CHARS = 4 << 20
+KNOWN_WORDS = 1 << 18           # scored words that a task remembers
 _MARK = "▁"
 _RUNS = re.compile(r"[^\W\d_]+")       # letters, and a few number signs that letter_counts drops
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -189,8 +188,8 @@ def _counts_of(path: str, langs: list[str], model: np.ndarray | None):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             words: dict[str, Counter] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words.setdefault(lang, Counter()).update(letter_counts(text))
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                words.setdefault(lang, Counter()).update(letter_counts(text.as_py()))
             for lang, c in words.items():
                 start = np.full((size, 1), 1.0 / max(size, 1)) if model is None else model[:, [langs.index(lang)]]
                 got = expected_counts(list(c), np.fromiter(c.values(), float, len(c)), lattice, _extended(start))[:size]
@@ -199,7 +198,7 @@ def _counts_of(path: str, langs: list[str], model: np.ndarray | None):
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at])],
                                              names=["lang", "piece", "expected"])
-    return run
+    return released(run)
 
 
 def train(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
@@ -234,40 +233,30 @@ def _predict(path: str, langs: list[str], model: np.ndarray, keep: list[str], na
         p = _extended(model) if langs else None
         known: dict[str, int] = {}
         scores = np.zeros((0, len(langs)))
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            best, score = [], []
-            lo = 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and hi - lo < CHUNK_ROWS and (hi == lo or chars < CHUNK_CHARS):
-                    chars += len(texts[hi] or "")
-                    hi += 1
-                counts = [letter_counts(t) for t in texts[lo:hi]]
-                lo = hi
-                if not langs:
-                    best += ["und"] * len(counts)
-                    score += [0.0] * len(counts)
-                    continue
-                new = list({w for c in counts for w in c if w not in known})
-                if len(known) + len(new) > 1 << 19:          # a bounded memory of scored words
-                    known, scores, new = {}, scores[:0], list({w for c in counts for w in c})
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                scores = np.vstack([scores, word_scores(new, lattice, p)])
-                at = np.fromiter((known[w] for c in counts for w in c), np.int64)
-                k = np.fromiter((v for c in counts for v in c.values()), float)
-                doc = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-                total = np.stack([np.bincount(doc, weights=scores[at, i] * k, minlength=len(counts)) for i in range(len(langs))], axis=1)
-                words = np.bincount(doc, weights=k, minlength=len(counts))
-                mean = total / np.maximum(words, 1)[:, None] * np.minimum(words, SHARPNESS)[:, None]
-                post = np.exp(mean - mean.max(axis=1, keepdims=True))
-                post /= post.sum(axis=1, keepdims=True)
-                top = post.argmax(axis=1)
-                best += [langs[t] if w else "und" for t, w in zip(top, words)]
-                score += [float(x) if w else 0.0 for x, w in zip(post.max(axis=1), words)]
-            out = pa.array(best, pa.string()), pa.array(score, pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + list(out), names=[*keep, *names])
-    return run
+        for whole in batches:
+            for lo, hi, _data, _offsets in text_chunks(whole):
+                batch = whole.slice(lo, hi - lo)
+                counts = [letter_counts(t) for t in batch.column("text").to_pylist()]
+                best, score = ["und"] * len(counts), [0.0] * len(counts)
+                if langs:
+                    new = list({w for c in counts for w in c if w not in known})
+                    if len(known) + len(new) > KNOWN_WORDS:          # a bounded memory of scored words
+                        known, scores, new = {}, scores[:0], list({w for c in counts for w in c})
+                    known.update(zip(new, range(len(known), len(known) + len(new))))
+                    scores = np.vstack([scores, word_scores(new, lattice, p)])
+                    at = np.fromiter((known[w] for c in counts for w in c), np.int64)
+                    k = np.fromiter((v for c in counts for v in c.values()), float)
+                    doc = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+                    total = np.stack([np.bincount(doc, weights=scores[at, i] * k, minlength=len(counts)) for i in range(len(langs))], axis=1)
+                    words = np.bincount(doc, weights=k, minlength=len(counts))
+                    mean = total / np.maximum(words, 1)[:, None] * np.minimum(words, SHARPNESS)[:, None]
+                    post = np.exp(mean - mean.max(axis=1, keepdims=True))
+                    post /= post.sum(axis=1, keepdims=True)
+                    best = [langs[t] if w else "und" for t, w in zip(post.argmax(axis=1), words)]
+                    score = [float(x) if w else 0.0 for x, w in zip(post.max(axis=1), words)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())],
+                                                 names=[*keep, *names])
+    return released(run)
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, keep: list[str],

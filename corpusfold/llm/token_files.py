@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import on_workers, partitions, read_table, text_chunks
+from corpusfold.llm.common import on_workers, partitions, read_table, released, text_chunks
 from corpusfold.llm.word_codec import WordCodec, vocabulary
 from corpusfold.session import scratch_path
 
@@ -164,7 +164,7 @@ def _segments(path: str, end_id: int):
                     yield flush()
         if held:
             yield flush()
-    return run
+    return released(run)
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID) -> None:
@@ -189,7 +189,7 @@ def _documents(digest: bool):
                 else:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
-    return run
+    return released(run)
 
 
 def read_token_files(spark: SparkSession, out: str, digest: bool = False) -> DataFrame:
