@@ -2,53 +2,53 @@
 
 ``row_number() OVER (PARTITION BY key ORDER BY seq)`` sends every row of a key
 to one task; with a handful of keys (experts, domains) and one key holding a
-third of the log, that task is the whole job. :func:`running_rank` computes
-the same numbers in two bounded steps:
-
-1. rows are cut into ``(key, seq div width)`` buckets; per-bucket counts are a
-   partial aggregation (map-side combine), and a running sum over the small
-   count table gives each bucket's offset;
-2. ``row_number`` inside ``(key, bucket)`` (at most ``width`` distinct ``seq``
-   per window partition) plus the offset.
-
-The offsets join is a normal equi-join; AQE broadcasts it at runtime when the
-count table is small and shuffles otherwise.
+third of the log, that task is the whole job. :func:`running_rank` numbers the
+rows in these steps:
+
+1. the narrow columns (keys, order) are range-partitioned by (keys, order, a hash
+   of the row) and sorted, so a hot key takes as many partitions as it fills,
+   whatever the gaps or ties of its order column;
+2. the result is written to the shared checkpoint folder, where each row has a
+   fixed (partition, place);
+3. per (partition, key) the count and first place are summed: a table of at most
+   partitions + keys rows, from which each key's offsets follow;
+4. a row's position is its place less the key's first place plus the offset.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_WIDTH = 1 << 16
-
+from corpusfold.session import cut_lineage
 
-def _bucket(order_col: str, width: int) -> Column:
-    return F.floor(F.col(order_col) / F.lit(width)).cast("bigint")
+_PLACE_BITS = 33        # Spark's monotonically_increasing_id: partition number above, place in it below
 
 
 def running_rank(df: DataFrame, keys: Sequence[str], order_col: str, out: str = "rank",
-                 bucket_width: int | None = None, dense: bool = False) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row by ``order_col`` within ``keys``.
 
-    ``order_col`` must be numeric; rows that tie on it get distinct, arbitrary
-    positions (as ``row_number`` would). With ``dense=True`` ties share one
-    position and positions count distinct ``order_col`` values (``dense_rank``):
-    several rows of one event (e.g. the named tensors of one push) are numbered
-    together without a self-join.
+    Rows that tie on ``order_col`` get distinct positions, in the order of a hash of
+    the row. Null keys are a key of their own. The input is computed once.
     """
     keys = list(keys)
-    width = bucket_width or DEFAULT_BUCKET_WIDTH
-    b = "_cf_bucket"
-    with_b = df.withColumn(b, _bucket(order_col, width))
-    n = F.countDistinct(order_col) if dense else F.count(F.lit(1))
-    counts = with_b.groupBy(*keys, b).agg(n.alias("_cf_n"))
-    w_off = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, b, F.coalesce(F.sum("_cf_n").over(w_off), F.lit(0)).alias("_cf_off"))
-    w_in = Window.partitionBy(*keys, b).orderBy(order_col)
-    numbered = with_b.withColumn("_cf_rn", (F.dense_rank() if dense else F.row_number()).over(w_in))
-    return (numbered.join(offsets, on=[*keys, b], how="inner")
-            .withColumn(out, (F.col("_cf_rn") + F.col("_cf_off")).cast("bigint"))
-            .drop(b, "_cf_rn", "_cf_off"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie = F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith("map")])
+    by = [*keys, order_col, "_cf_tie"]
+    placed = cut_lineage(df.withColumn("_cf_tie", tie).repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_cf_tie")
+                         .withColumn("_cf_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_cf_at", _PLACE_BITS).alias("_cf_part")
+    firsts = placed.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_cf_n"), F.min("_cf_at").alias("_cf_first"))
+    before = Window.partitionBy(*keys).orderBy("_cf_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = firsts.select(*[F.col(k).alias(f"_cf_{k}") for k in keys], "_cf_part",
+                          (F.coalesce(F.sum("_cf_n").over(before), F.lit(0)) - F.col("_cf_first") + 1).alias("_cf_shift"))
+    placed = placed.withColumn("_cf_of", part)
+    same = F.col("_cf_of") == F.col("_cf_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_cf_{k}"))
+    return (placed.join(cut_lineage(shift), same)
+            .withColumn(out, (F.col("_cf_at") + F.col("_cf_shift")).cast("bigint"))
+            .drop("_cf_at", "_cf_of", "_cf_part", "_cf_shift", *[f"_cf_{k}" for k in keys]))

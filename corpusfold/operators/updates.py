@@ -5,17 +5,19 @@ meets is its position in the expert's log minus one, and the final state is
 ``sum(SERVER_LR * decay_i * delta_i)`` with ``decay_i = 1 / (1 + 0.1 * staleness_i)``.
 No iteration is needed:
 
-* positions come from :func:`corpusfold.operators.sequence.running_rank`
-  (bucketed, so a hot expert is not one window task);
-* vectors are summed whole with Spark ML's ``Summarizer.sum`` weighted by the
-  decay (partial aggregation: one running vector per expert and map task), and
-  only the final sums are exploded to ``(expert, pos, value)``; keyed folds do the
-  same per ``(expert, key)``;
-* the global fold sums the same weighted vectors without the expert key.
-
-A push whose ``1 + 0.1 * staleness`` is not positive (worker ahead of the
-server by 10 or more versions) gets a null decay and adds nothing; it still
-counts as a push, as in the reference (which divides by it).
+* positions come from :func:`corpusfold.operators.sequence.running_rank` over the
+  narrow columns (range-partitioned, so a hot expert is not one window task);
+* vectors meet their decay in one join and are summed whole by one ``groupBy`` that
+  also counts the versions (Spark ML ``Summarizer.sum`` weighted by the decay: one
+  running vector per group and map task); only final sums become rows
+  ``(expert, pos, value)``;
+* the global fold sums the same weighted vectors in salted groups, then merges those.
+
+A push counts as a push even where it adds nothing: if ``1 + 0.1 * staleness`` is
+not positive (a worker 10 or more versions ahead) its decay is undefined, and a
+vector of another length than its group's shape cannot be added. :func:`rejected`
+returns those pushes with the reason. A group's shape is given, or that of its
+first push.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.functions import rules as R
 from corpusfold.operators.sequence import running_rank
+from corpusfold.session import cut_lineage
 
 
 # ------------------------------------------------------------------ registry
@@ -60,18 +63,25 @@ def _is_wide(dtype: str) -> bool:
     return dtype.startswith(("array", "map", "struct", "binary"))
 
 
-def with_versions(log: DataFrame, keys: Sequence[str] = ("expert",), order: str = "seq") -> DataFrame:
+def with_versions(log: DataFrame, keys: Sequence[str] = ("expert",), order: str = "seq",
+                  base: DataFrame | None = None) -> DataFrame:
     """Add ``version`` (the version the push meets), ``staleness`` and ``decay``.
 
+    ``base`` (keys, version) holds the versions reached before this log (none: 0).
+
     Narrow logs are numbered in place. When rows carry deltas (arrays), only
-    ``(keys, seq, worker_version)`` - one row per push - goes through the ranking
-    window, and the decay is joined back on ``(keys, seq)``: window buffers never
-    hold vectors, and several rows of one push (named tensors) share its version.
+    ``(keys, seq, worker_version)`` - one row per push - is ranked, and the decay is
+    joined back on ``(keys, seq)``: vectors are never sorted, and several rows of one
+    push (named tensors) share its version.
     """
     keys = list(keys)
 
     def decorate(ranked: DataFrame) -> DataFrame:
-        return (ranked.withColumn("version", F.col("_cf_pos") - 1).drop("_cf_pos")
+        before = F.lit(0)
+        if base is not None:
+            ranked = ranked.join(base.select(*keys, F.col("version").alias("_cf_base")), keys, "left")
+            before = F.coalesce("_cf_base", F.lit(0))
+        return (ranked.withColumn("version", F.col("_cf_pos") - 1 + before).drop("_cf_pos", "_cf_base")
                 .withColumn("staleness", F.col("version") - F.col("worker_version"))
                 .withColumn("decay", decay(F.col("staleness"))))
 
@@ -113,57 +123,154 @@ def global_scalar(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str
 
 # ----------------------------------------------------------- vector deltas
 
-def _exploded(v: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
-    return v.select(*keys, "decay", F.posexplode(delta).alias("pos", "x"))
+GLOBAL_SALTS = 64
+
 
+def shapes(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta", dim: int | None = None,
+           order: str = "seq") -> DataFrame:
+    """(keys, dim): each group's vector length - ``dim`` if given, else that of its first push (one narrow aggregation)."""
+    first = F.lit(dim) if dim is not None else F.min_by(F.size(delta), F.struct(order, F.size(delta)))
+    return log.groupBy(*keys).agg(first.cast("int").alias("dim"))
 
-def _weighted_vector_sums(v: DataFrame, keys: Sequence[str], delta: str, method: str) -> DataFrame:
-    """Long-form ``(keys..., pos, value)`` of ``sum(SERVER_LR * decay * delta)``.
 
-    ``summarizer`` aggregates whole vectors (Spark ML ``Summarizer.sum`` with the decay as a
-    non-negative weight, partial aggregation on the map side) and explodes only the final
-    sums; ``explode`` turns every push into ``dim`` rows first.
+def _judged(log: DataFrame, groups: Sequence[str], version_keys: Sequence[str], delta: str, dim: int | None,
+            state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pushes with decay, ``dim`` and ``reason`` - null if the push adds to the state -, shapes).
+
+    ``state`` (groups, version, dim) holds what earlier pushes have set.
     """
-    keys = list(keys)
-    if method == "explode":
-        return (_exploded(v, keys, delta).groupBy(*keys, "pos")
-                .agg(F.coalesce(F.sum(_weight() * F.col("x")), F.lit(0.0)).alias("value")))
-    if method != "summarizer":
-        raise ValueError(f"unknown method {method!r}")
+    groups = list(groups)
+    known = shapes(log, groups, delta, dim)
+    if state is not None:
+        known = known.join(state.select(*groups, F.col("dim").alias("_cf_dim")), groups, "left").select(
+            *groups, F.coalesce("_cf_dim", "dim").alias("dim"))
+    known = cut_lineage(known)
+    v = with_versions(log, version_keys, base=state)
+    v = v.join(known, groups) if groups else v.withColumn("dim", known.scalar())
+    reason = F.when(F.col("decay").isNull(), "undefined decay").when(
+        ~F.size(delta).eqNullSafe(F.col("dim")), "wrong shape").otherwise(F.lit(None).cast("string"))
+    return v.withColumn("reason", reason), known
+
+
+def rejected(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta", dim: int | None = None) -> DataFrame:
+    """(keys, seq, reason) of the pushes that count but add nothing."""
+    v, _ = _judged(log, keys, keys, delta, dim)
+    return v.where("reason IS NOT NULL").select(*keys, "seq", "reason")
+
+
+def _vector_rows(v: DataFrame, known: DataFrame, groups: Sequence[str], delta: str, *extra: Column) -> DataFrame:
+    """Rows to sum: (groups, vector, weight, push) - pushes that add nothing bring zeros, and each group has one more row of zeros."""
+    ok = F.col("reason").isNull()
+    zeros = F.expr("array_repeat(0.0D, dim)")
+    pushes = v.select(*groups, *extra, F.when(ok, F.col(delta).cast("array<double>")).otherwise(zeros).alias("vector"),
+                      F.when(ok, _weight()).otherwise(1.0).alias("weight"), F.lit(1).alias("push"))
+    nothing = [F.lit(0).alias(c) for c in pushes.columns[len(list(groups)):-3]]
+    return pushes.unionByName(known.select(*groups, *nothing, zeros.alias("vector"), F.lit(1.0).alias("weight"), F.lit(0).alias("push")))
+
+
+def _sum_vectors() -> Column:
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    # A constant key for the global sum: an empty log then has no group (an ungrouped
-    # aggregate would ask an empty summarizer for its sum).
-    group = keys or ["_cf_all"]
-    weighted = v.filter(F.col("decay").isNotNull()).select(
-        *keys, *([] if keys else [F.lit(0).alias("_cf_all")]),
-        array_to_vector(delta).alias("_cf_vec"), _weight().alias("_cf_w"))
-    sums = weighted.groupBy(*group).agg(
-        vector_to_array(Summarizer.sum(F.col("_cf_vec"), F.col("_cf_w"))).alias("_cf_sum"))
-    return sums.select(*keys, F.posexplode("_cf_sum").alias("pos", "value"))
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col("vector")), F.col("weight")))
+
+
+def _norm(values: str) -> Column:
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
+
+
+def _vector_state(rows: DataFrame, groups: Sequence[str], method: str) -> DataFrame:
+    """(groups, version, values) by one aggregation."""
+    groups = list(groups)
+    if method == "summarizer":
+        return rows.groupBy(*groups).agg(F.sum("push").cast("bigint").alias("version"), _sum_vectors().alias("values"))
+    if method != "explode":
+        raise ValueError(f"unknown method {method!r}")
+    long = rows.select(*groups, "push", "weight", F.posexplode("vector").alias("pos", "x")).groupBy(*groups, "pos").agg(
+        F.sum("push").cast("bigint").alias("version"), F.sum(F.col("weight") * F.col("x")).alias("value"))
+    packed = F.array_sort(F.collect_list(F.struct("pos", "value")))       # a group's positions: its shape bounds them
+    return long.groupBy(*groups).agg(F.max("version").alias("version"), F.transform(packed, lambda e: e["value"]).alias("values"))
 
 
 def fold_vectors(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta",
-                 method: str = "summarizer") -> DataFrame:
-    """U2 for array deltas: long-form state ``(keys..., pos, value)`` plus ``version`` and the
-    state's L2 norm (F15)."""
-    v = with_versions(log, keys)
-    versions = v.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("version"))
-    state = _weighted_vector_sums(v, keys, delta, method)
-    w = Window.partitionBy(*keys)   # one model's positions: bounded by the model shape
-    state = state.withColumn("l2_norm", F.sqrt(F.sum(F.col("value") * F.col("value")).over(w)))
-    return state.join(versions, list(keys)).select(*keys, "version", F.col("pos").cast("int").alias("pos"),
-                                                  "value", "l2_norm")
+                 method: str = "summarizer", dim: int | None = None) -> DataFrame:
+    """U2 for array deltas: long-form state ``(keys..., version, pos, value, l2_norm)`` (F15: the norm of the whole state)."""
+    v, known = _judged(log, keys, keys, delta, dim)
+    state = _vector_state(_vector_rows(v, known, keys, delta), keys, method)
+    return (state.withColumn("l2_norm", _norm("values"))
+            .select(*keys, "version", F.posexplode("values").alias("pos", "value"), "l2_norm")
+            .select(*keys, "version", F.col("pos").cast("int").alias("pos"), "value", "l2_norm"))
 
 
 def global_vectors(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta",
-                   method: str = "summarizer") -> DataFrame:
-    """U3 for array deltas: position-wise decayed sum over every push."""
-    v = with_versions(log, keys)
-    state = _weighted_vector_sums(v, [], delta, method)
-    version = v.agg(F.count(F.lit(1)).cast("bigint")).scalar()   # scalar subquery, computed once
-    return state.select(F.col("pos").cast("int").alias("pos"), "value", version.alias("global_version"))
+                   method: str = "summarizer", dim: int | None = None) -> DataFrame:
+    """U3 for array deltas: position-wise decayed sum over every push; the global shape is given or the first push's."""
+    v, known = _judged(log.where("true"), [], keys, delta, dim)
+    known = known.where("dim IS NOT NULL")
+    salt = F.pmod(F.xxhash64("seq"), F.lit(GLOBAL_SALTS)).cast("int").alias("salt")
+    partial = _vector_state(_vector_rows(v, known, [], delta, salt), ["salt"], method)
+    merged = partial.select(F.lit(0).alias("all"), F.col("version").alias("push"), F.col("values").alias("vector"), F.lit(1.0).alias("weight"))
+    state = _vector_state(merged, ["all"], method)
+    return state.select(F.col("version").alias("global_version"), F.posexplode("values").alias("pos", "value")).select(
+        F.col("pos").cast("int").alias("pos"), "value", "global_version")
+
+
+def fold_onto(state: DataFrame | None, log: DataFrame, delta: str = "delta", dim: int | None = None) -> DataFrame:
+    """(expert, version, state) after the pushes of ``log`` on top of ``state`` (same columns; None: nothing yet)."""
+    if not _is_wide(dict(log.dtypes)[delta]):
+        v = with_versions(log, ["expert"], base=state)
+        new = v.select("expert", F.lit(1).alias("push"), F.coalesce(_weight() * F.col(delta), F.lit(0.0)).alias("x"))
+        if state is not None:
+            new = new.unionByName(state.select("expert", F.col("version").alias("push"), F.col("state").alias("x")))
+        return new.groupBy("expert").agg(F.sum("push").cast("bigint").alias("version"), F.sum("x").alias("state"))
+    held = None if state is None else state.withColumn("dim", F.size("state"))
+    v, known = _judged(log, ["expert"], ["expert"], delta, dim, held)
+    rows = _vector_rows(v, known, ["expert"], delta)
+    if state is not None:
+        rows = rows.unionByName(state.select("expert", F.col("state").alias("vector"), F.lit(1.0).alias("weight"), F.col("version").alias("push")))
+    return _vector_state(rows, ["expert"], "summarizer").withColumnRenamed("values", "state")
+
+
+# ------------------------------------------------------------------ snapshots
+
+def _known(expert: str | None, reg: Sequence[str]) -> list[str]:
+    """The experts a read is about; an unknown one is an error."""
+    if expert is not None and expert not in reg:
+        raise KeyError(f"unknown expert {expert!r}")
+    return list(dict.fromkeys(reg)) if expert is None else [expert]
+
+
+def snapshot(log: DataFrame, reg: Sequence[str], expert: str | None = None, as_of: int | Column | None = None,
+             delta: str = "delta", dim: int | None = None) -> DataFrame:
+    """U8: weights and version of one expert (or all registered ones), now or after the push ``as_of``.
+
+    A push's version depends on earlier pushes only, so the log up to ``as_of`` gives
+    the state of that moment. Scalar logs give (expert, version, state); vector logs
+    (expert, version, pos, value, l2_norm), with zeros for experts without a push if
+    ``dim`` is given.
+    """
+    who = _known(expert, reg)
+    log = accepted(log, who)
+    if as_of is not None:
+        log = log.filter(F.col("seq") <= as_of)
+    if not _is_wide(dict(log.dtypes)[delta]):
+        return expert_states(who, log, delta)
+    state = fold_vectors(log, delta=delta, dim=dim)
+    if dim is None:
+        return state
+    silent = registry(log.sparkSession, who).join(log.select("expert").distinct(), "expert", "left_anti")
+    zeros = silent.select("expert", F.lit(0).cast("bigint").alias("version"),
+                          F.posexplode(F.array_repeat(F.lit(0.0), dim)).alias("pos", "value"))
+    return state.unionByName(zeros.withColumn("l2_norm", F.lit(0.0)))
+
+
+def global_snapshot(log: DataFrame, reg: Sequence[str], as_of: int | Column | None = None, delta: str = "delta",
+                    dim: int | None = None) -> DataFrame:
+    """U8: the global state and version, now or after the push ``as_of``."""
+    log = accepted(log, list(reg))
+    if as_of is not None:
+        log = log.filter(F.col("seq") <= as_of)
+    return global_vectors(log, delta=delta, dim=dim) if _is_wide(dict(log.dtypes)[delta]) else global_scalar(log, delta=delta)
 
 
 # ------------------------------------------------------------- batch combine
@@ -180,8 +287,9 @@ def batch_combine(batches: DataFrame, dim: int, strategy: str = "weighted_averag
     state rows ``(pos, value, version)`` and the last weight recorded per
     accepted expert.
     """
-    sized = batches.withColumn("_cf_n", F.count(F.lit(1)).over(Window.partitionBy(batch)))
-    version = sized.agg(F.countDistinct(batch).cast("bigint")).scalar()   # scalar subquery
+    counts = cut_lineage(batches.groupBy(batch).agg(F.count(F.lit(1)).alias("_cf_n")))      # narrow: no vector is buffered
+    sized = batches.join(counts, batch)
+    version = counts.agg(F.count(F.lit(1)).cast("bigint")).scalar()   # scalar subquery
     if strategy == "weighted_average":
         weight = F.lit(1.0) / F.col("_cf_n")
     elif strategy == "sum":
@@ -217,15 +325,32 @@ def adapter_keys(df: DataFrame, key: str = "key") -> DataFrame:
     return df.filter(F.col(key).contains("lora_"))
 
 
-def fold_keyed(log: DataFrame, key: str = "key", delta: str = "delta", method: str = "summarizer") -> DataFrame:
+def fold_keyed(log: DataFrame, key: str = "key", delta: str = "delta", method: str = "summarizer",
+               before: int | Column | None = None) -> DataFrame:
     """Per (expert, parameter name) decayed sums; the version counts pushes (distinct seq),
-    not key rows. A key absent from the state is inserted by the grouping itself. Each
-    parameter keeps one shape, so whole tensors are summed per (expert, key)."""
-    v = with_versions(log, ["expert"])   # rows of one push share its version
+    not key rows. A key absent from the state is inserted by the grouping itself.
+
+    ``before`` adds the column ``value_before``: the state after that push (null for a
+    key without a push by then), from the same aggregation.
+    """
+    groups = ["expert", key]
+    v, known = _judged(log, groups, ["expert"], delta, None)
     versions = log.groupBy("expert").agg(F.countDistinct("seq").cast("bigint").alias("version"))
-    state = _weighted_vector_sums(v, ["expert", key], delta, method)
-    return state.join(versions, "expert").select("expert", "version", key,
-                                                 F.col("pos").cast("int").alias("pos"), "value")
+    if before is None:
+        state = _vector_state(_vector_rows(v, known, groups, delta), groups, method).drop("version")
+        out = state.select(*groups, F.posexplode("values").alias("pos", "value"))
+        last = ["value"]
+    else:
+        early = (F.col("seq") <= before).cast("int").alias("early")
+        rows = _vector_rows(v, known, groups, delta, early)
+        both = _vector_state(rows, [*groups, "early"], method)
+        at = lambda e, c: F.max(F.when(F.col("early") == e, F.col(c)))
+        both = both.groupBy(*groups).agg(at(1, "values").alias("b"), at(0, "values").alias("a"))
+        parts = F.arrays_zip(F.coalesce("b", "a").alias("x"), "a", "b")
+        out = both.select(*groups, F.posexplode(parts).alias("pos", "z")).select(
+            *groups, "pos", (F.coalesce("z.a", F.lit(0.0)) + F.coalesce("z.b", F.lit(0.0))).alias("value"), F.col("z.b").alias("value_before"))
+        last = ["value", "value_before"]
+    return out.join(versions, "expert").select("expert", "version", key, F.col("pos").cast("int").alias("pos"), *last)
 
 
 def state_diff(after: DataFrame, before: DataFrame, keys: Sequence[str]) -> DataFrame:

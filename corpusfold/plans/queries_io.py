@@ -14,7 +14,7 @@ from corpusfold.functions.text import sql_exact_match, sql_strip
 from corpusfold.operators import evaluate as EV
 from corpusfold.operators import prepare as D
 from corpusfold.plans.queries_eval import HEAD_K, _pairs_sql, pairs_input
-from corpusfold.plans.queries_updates import _fold_cte
+from corpusfold.plans.queries_updates import _IN_REG, REGISTERED, _fold_cte
 from corpusfold.session import scratch_path
 from corpusfold.sources import jsonl as S
 from corpusfold.sources import sinks as SK
@@ -297,20 +297,20 @@ def expert_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- streaming
 
-STREAM_FILES = 4
+STREAM_STEPS, FILES_A_STEP = 4, 2
 
 
 @register("stream_fold", X.with_views(f"""
-{_fold_cte('pushes')}
+{_fold_cte('pushes', where=_IN_REG)}
 SELECT expert, CAST(count(*) AS BIGINT) AS version, round(coalesce(sum(1.0e0 * decay * delta), 0.0), 6) AS state
 FROM d GROUP BY expert""", pushes=X.pushes_sql()))
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scalar log replayed as 4 files through a Structured Streaming fold
-    (applyInPandasWithState, one file per micro-batch); final state per expert."""
+    """The scalar log replayed in 4 micro-batches of 2 files through a Structured Streaming fold
+    (foreachBatch with the batch operator), with the registry; final state per expert."""
     src = scratch_path(spark, "push-stream")
-    ST.write_push_files(X.pushes(spark, sf_dir), src, STREAM_FILES)
+    ST.write_push_files(X.pushes(spark, sf_dir), src, STREAM_STEPS, FILES_A_STEP)
     sink, ckpt = scratch_path(spark, "fold-out"), scratch_path(spark, "fold-ckpt")
-    ST.stream_fold(spark, src, sink, ckpt)
+    ST.stream_fold(spark, src, sink, ckpt, files_per_trigger=FILES_A_STEP, registry=REGISTERED)
     return ST.latest_states(spark, sink).select("expert", "version", F.round("state", 6).alias("state"))
 
 
@@ -322,12 +322,12 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s.expert, c.version, CAST(s.pos AS INTEGER) AS pos, round(s.value, 6) AS value
 FROM s JOIN c USING (expert)""", vector_pushes=X.VECTOR_PUSHES_SQL))
 def stream_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U9 on vector deltas: the embedding log replayed as 4 files through the streaming fold;
+    """U9 on vector deltas: the embedding log replayed in 4 micro-batches through the streaming fold;
     final per-expert state in long form."""
     src = scratch_path(spark, "vec-stream")
-    ST.write_push_files(X.vector_pushes(spark, sf_dir), src, STREAM_FILES)
+    ST.write_push_files(X.vector_pushes(spark, sf_dir), src, STREAM_STEPS, FILES_A_STEP)
     sink, ckpt = scratch_path(spark, "vfold-out"), scratch_path(spark, "vfold-ckpt")
-    ST.stream_fold(spark, src, sink, ckpt, vector=True)
+    ST.stream_fold(spark, src, sink, ckpt, files_per_trigger=FILES_A_STEP, vector=True)
     st = ST.latest_states(spark, sink)
     return st.select("expert", "version", F.posexplode("state").alias("pos", "value")).select(
         "expert", "version", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusfold.plans import fixtures as X
 from corpusfold.plans.catalog import register, rounded
 from corpusfold.operators import updates as U
+from corpusfold.session import cut_lineage
 
 
 # ------------------------------------------------------------- update folds
@@ -174,11 +175,11 @@ def keyed_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(before, after): the keyed state as of the log's midpoint seq, and at its end."""
+    """(before, after): the keyed state as of the log's midpoint seq, and at its end - of one fold, written once."""
     log = U.adapter_keys(keyed_log(spark, sf_dir))
     mid = log.agg(((F.min("seq") + F.max("seq")) / 2).cast("bigint")).scalar()   # scalar subquery
-    early = log.filter(F.col("seq") <= mid)
-    return U.fold_keyed(early), U.fold_keyed(log)
+    both = cut_lineage(U.fold_keyed(log, before=mid))
+    return both.where("value_before IS NOT NULL").drop("value").withColumnRenamed("value_before", "value"), both.drop("value_before")
 
 
 _MID = "(SELECT CAST((min(seq) + max(seq)) // 2 AS BIGINT) FROM keyed)"
@@ -225,6 +226,71 @@ def version_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.version_curve(log)
 
 
+AS_OF = 120
+
+
+@register("state_snapshot", X.with_views(f"""
+{_fold_cte('pushes', where=_IN_REG)},
+  f AS (SELECT expert, count(*) AS version, sum(1.0e0 * decay * delta) AS state FROM d GROUP BY expert)
+SELECT reg.expert, CAST(coalesce(f.version, 0) AS BIGINT) AS version, round(coalesce(f.state, 0.0), 6) AS state
+FROM {_REG_SQL} LEFT JOIN f ON f.expert = reg.expert
+UNION ALL SELECT '*', CAST(count(*) AS BIGINT), round(coalesce(sum(1.0e0 * decay * delta), 0.0), 6) FROM d""", pushes=X.pushes_sql()))
+def state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8: weights and version of every registered expert and of the global state ('*'), now."""
+    log = X.pushes(spark, sf_dir)
+    every = U.snapshot(log, REGISTERED)
+    whole = U.global_snapshot(log, REGISTERED).select(F.lit("*").alias("expert"), F.col("global_version").alias("version"),
+                                                      F.col("global_state").alias("state"))
+    return every.unionByName(whole).select("expert", "version", F.round("state", 6).alias("state"))
+
+
+@register("state_as_of", X.with_views(f"""
+{_fold_cte('vector_pushes', where=f"expert = '1' AND seq <= {AS_OF}")},
+  e AS (SELECT decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d),
+  s AS (SELECT pos, coalesce(sum(1.0e0 * decay * x), 0.0) AS value FROM e GROUP BY pos)
+SELECT '1' AS expert, (SELECT CAST(count(*) AS BIGINT) FROM d) AS version, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM s""",
+    vector_pushes=X.VECTOR_PUSHES_SQL))
+def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8: one expert's weights and version as they were after push 120."""
+    st = U.snapshot(X.vector_pushes(spark, sf_dir), [str(i) for i in range(20)], expert="1", as_of=AS_OF)
+    return st.select("expert", "version", "pos", F.round("value", 6).alias("value"))
+
+
+def odd_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector log with cut deltas (seq % 7 = 3) and workers 20 versions ahead (seq % 11 = 5)."""
+    return X.vector_pushes(spark, sf_dir).select(
+        "expert", "seq", F.when(F.col("seq") % 7 == 3, F.slice("delta", 1, 32)).otherwise(F.col("delta")).alias("delta"),
+        F.when(F.col("seq") % 11 == 5, F.col("cur") + 20).otherwise(F.col("worker_version")).alias("worker_version"))
+
+
+_ODD_SQL = """
+SELECT expert, seq, CASE WHEN seq % 7 = 3 THEN delta[1:32] ELSE delta END AS delta,
+       CASE WHEN seq % 11 = 5 THEN cur + 20 ELSE worker_version END AS worker_version FROM vector_pushes"""
+_REASON_SQL = f"CASE WHEN decay IS NULL THEN 'undefined decay' WHEN len(delta) <> {COMBINE_DIM} THEN 'wrong shape' END"
+
+
+@register("push_rejects", X.with_views(f"""
+{_fold_cte('odd')} SELECT expert, seq, {_REASON_SQL} AS reason FROM d WHERE {_REASON_SQL} IS NOT NULL""",
+    vector_pushes=X.VECTOR_PUSHES_SQL, odd=_ODD_SQL))
+def push_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pushes that count but add nothing - undefined decay, wrong shape - with the reason."""
+    return U.rejected(odd_pushes(spark, sf_dir), dim=COMBINE_DIM)
+
+
+@register("odd_fold", X.with_views(f"""
+{_fold_cte('odd')},
+  e AS (SELECT expert, decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d WHERE {_REASON_SQL} IS NULL),
+  s AS (SELECT expert, pos, sum(1.0e0 * decay * x) AS value FROM e GROUP BY expert, pos),
+  c AS (SELECT expert, CAST(count(*) AS BIGINT) AS version FROM d GROUP BY expert)
+SELECT c.expert, c.version, CAST(p.pos AS INTEGER) AS pos, round(coalesce(s.value, 0.0), 6) AS value
+FROM c CROSS JOIN (SELECT unnest(range({COMBINE_DIM})) AS pos) p LEFT JOIN s ON s.expert = c.expert AND s.pos = p.pos""",
+    vector_pushes=X.VECTOR_PUSHES_SQL, odd=_ODD_SQL))
+def odd_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U2 over the log with odd pushes: they raise the version, add nothing and stop nobody else."""
+    f = U.fold_vectors(odd_pushes(spark, sf_dir), dim=COMBINE_DIM)
+    return f.select("expert", "version", "pos", F.round("value", 6).alias("value"))
+
+
 @register("staleness_profile", X.with_views(f"""
 {_fold_cte('pushes')}
 SELECT expert, CAST(count(*) AS BIGINT) AS pushes, avg(staleness) AS avg_staleness,

@@ -1,126 +1,94 @@
 """Continuous staleness-decayed fold with Structured Streaming.
 
-Pushes arrive as files (one micro-batch per file with ``maxFilesPerTrigger=1``,
-later files holding later ``seq``). Per expert, ``applyInPandasWithState``
-keeps ``(version, state)``: rows of a micro-batch are sorted by ``seq``, the
-i-th meets version ``state.version + i``, and the state adds
-``SERVER_LR * decay * delta``. The result equals the batch fold
-(:func:`corpusfold.operators.updates.fold_scalar`) on the same log.
-
-A micro-batch's rows of one expert form one pandas group; its size is bounded
-by the trigger (files per batch), not by the log. State and offsets live in
-the checkpoint location, so a restarted query resumes where it stopped.
+Pushes arrive as files (``files_per_trigger`` of them a micro-batch, later files
+holding later ``seq``). Each micro-batch is folded onto the last state by the batch
+operator (:func:`corpusfold.operators.updates.fold_onto`): ranked from the versions
+reached so far, summed with partial aggregation, merged. A hot expert therefore
+takes as many tasks as in the batch fold, and the result equals it on the same log.
+
+The state after micro-batch ``i`` is the table ``<sink>/batch=i``: one row per
+expert. A micro-batch that is run again reads the same earlier state and overwrites
+its own table, so replays after a failure change nothing. Offsets live in the
+checkpoint location, and a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusfold.functions import rules as R
-from corpusfold.session import ship_package
+from corpusfold.operators import updates as U
+from corpusfold.session import path_exists
 
-OUTPUT_SCHEMA = "expert string, version bigint, state double"
-STATE_SCHEMA = "version bigint, state double"
 PUSH_SCHEMA = "expert string, seq bigint, worker_version bigint, delta double"
 # Vector deltas (adapter matrices flattened row-major): the state is the position-wise sum.
-VECTOR_OUTPUT_SCHEMA = "expert string, version bigint, state array<double>"
-VECTOR_STATE_SCHEMA = "version bigint, state array<double>"
 VECTOR_PUSH_SCHEMA = "expert string, seq bigint, worker_version bigint, delta array<double>"
 
 
-def _decays(version: int, worker_versions: np.ndarray) -> np.ndarray:
-    """Decay of each push of a sorted batch: the i-th meets ``version + i``; a non-positive
-    denominator contributes nothing (as in the batch fold)."""
-    met = version + np.arange(len(worker_versions))
-    den = 1.0 + R.STALENESS_DECAY * (met - worker_versions)
-    return np.where(den > 0, 1.0 / np.where(den > 0, den, 1.0), 0.0)
-
-
-def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    version, total = (state.get if state.exists else (0, 0.0))
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    decay = _decays(version, pdf["worker_version"].to_numpy())
-    total = float(total + (R.SERVER_LR * decay * pdf["delta"].to_numpy(dtype=float)).sum())
-    version = int(version + len(pdf))
-    state.update((version, total))
-    yield pd.DataFrame({"expert": [key[0]], "version": [version], "state": [total]})
-
-
-def _fold_vector_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    version, total = (state.get if state.exists else (0, None))
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    decay = _decays(version, pdf["worker_version"].to_numpy())
-    mat = np.vstack([np.asarray(d, dtype=float) for d in pdf["delta"]])
-    upd = R.SERVER_LR * (decay[:, None] * mat).sum(axis=0)
-    total = upd if total is None else np.asarray(total, dtype=float) + upd
-    version = int(version + len(pdf))
-    state.update((version, total.tolist()))
-    yield pd.DataFrame({"expert": [key[0]], "version": [version], "state": [total.tolist()]})
+def _states(spark: SparkSession, sink_dir: str, before: int | None = None) -> DataFrame | None:
+    """The last state table (of a micro-batch before ``before``); None if there is none."""
+    if not path_exists(spark, sink_dir):
+        return None
+    every = spark.read.parquet(sink_dir)
+    if before is not None:
+        every = every.where(F.col("batch") < before)
+    last = every.agg(F.max("batch")).first()[0]         # one number; only directory names are read
+    return None if last is None else spark.read.parquet(sink_dir).where(F.col("batch") == last).drop("batch")
 
 
 def stream_fold(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                files_per_trigger: int = 1, vector: bool = False,
-                processing_time: str | None = None):
-    """Fold the pushes arriving in ``source_dir`` and append each micro-batch's updated expert
-    states to parquet at ``sink_dir``. ``vector=True`` folds array deltas position-wise.
-
-    By default every available file is processed (``availableNow``) and the call returns
-    when done. With ``processing_time`` (e.g. ``"10 seconds"``) the fold keeps running -
-    workers may keep pushing files - and the running ``StreamingQuery`` is returned for
-    the caller to stop.
+                files_per_trigger: int = 1, vector: bool = False, processing_time: str | None = None,
+                registry: Sequence[str] | None = None, dim: int | None = None):
+    """Fold the pushes arriving in ``source_dir``; states go to ``sink_dir`` (see :func:`latest_states`).
+
+    ``vector=True`` folds array deltas position-wise (``dim``: their length, else each
+    expert's first push sets it). Pushes for experts outside ``registry`` (if given)
+    are dropped. By default every available file is processed (``availableNow``) and
+    the call returns when done. With ``processing_time`` (e.g. ``"10 seconds"``) the
+    fold keeps running - workers may keep pushing files - and the running
+    ``StreamingQuery`` is returned for the caller to stop.
     """
-    schemas = ((VECTOR_PUSH_SCHEMA, VECTOR_OUTPUT_SCHEMA, VECTOR_STATE_SCHEMA, _fold_vector_group) if vector
-               else (PUSH_SCHEMA, OUTPUT_SCHEMA, STATE_SCHEMA, _fold_group))
-    push_schema, out_schema, state_schema, handler = schemas
-    ship_package(spark)
-    stream = (spark.readStream.schema(push_schema)
+    stream = (spark.readStream.schema(VECTOR_PUSH_SCHEMA if vector else PUSH_SCHEMA)
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
-    folded = stream.groupBy("expert").applyInPandasWithState(
-        handler, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    writer = (folded.writeStream.format("parquet").option("path", sink_dir)
-              .option("checkpointLocation", checkpoint).outputMode("append"))
+    if registry is not None:
+        stream = U.accepted(stream, list(registry))
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        state = U.fold_onto(_states(session, sink_dir, batch_id), batch, dim=dim)
+        state.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     if processing_time:
         return writer.trigger(processingTime=processing_time).start()
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination()
+    writer.trigger(availableNow=True).start().awaitTermination()
     return None
 
 
 def latest_states(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """Final state per expert: the update with the highest version."""
-    out = spark.read.parquet(sink_dir)
-    return out.groupBy("expert").agg(F.max("version").alias("version"),
-                                     F.max_by("state", "version").alias("state"))
+    """(expert, version, state) after the last micro-batch."""
+    return _states(spark, sink_dir)
 
 
-def write_push_files(log: DataFrame, out_dir: str, files: int) -> None:
-    """Split a push log into ``files`` seq ranges, written one after another so file
-    modification times follow ``seq`` (the file source orders by them).
+def write_push_files(log: DataFrame, out_dir: str, steps: int, files: int = 1) -> None:
+    """Write a push log as ``steps`` seq ranges one after another, each as ``files`` files.
 
-    The log is computed once into a staging table next to ``out_dir``; the range
-    files are cut from that copy.
+    The file source takes older files first, so with ``files`` files a trigger a
+    micro-batch is one range. The log is computed once into a staging table next to
+    ``out_dir``; the ranges are cut from that copy.
     """
-    import time
-
     delta = F.col("delta")
     delta = delta.cast("array<double>") if dict(log.dtypes)["delta"].startswith("array") else delta.cast("double")
     staging = out_dir.rstrip("/") + "-staging"
     log.select("expert", F.col("seq").cast("bigint"), F.col("worker_version").cast("bigint"),
                delta.alias("delta")).write.mode("overwrite").parquet(staging)
     staged = log.sparkSession.read.parquet(staging)
-    bounds = staged.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).collect()[0]
-    if bounds["lo"] is None:
+    lo, hi = staged.agg(F.min("seq"), F.max("seq")).first()
+    if lo is None:
         return
-    lo, hi = int(bounds["lo"]), int(bounds["hi"])
-    width = max(1, (hi - lo + files) // files)
-    for i in range(files):
-        a, b = lo + i * width, lo + (i + 1) * width
-        part = staged.filter((F.col("seq") >= a) & (F.col("seq") < b))
-        part.coalesce(1).write.mode("append").parquet(out_dir)
-        time.sleep(0.05)
+    width = max(1, -(-(hi - lo + 1) // steps))
+    for i in range(steps):
+        part = staged.filter(F.floor((F.col("seq") - lo) / width) == i)
+        part.repartition(files).write.mode("append").parquet(out_dir)

@@ -1,10 +1,11 @@
 """Randomised parity: generated items full of rule tokens, odd whitespace and case variants,
-routed by Spark and by the plain-Python statement of the rules (tests/test_parity.py)."""
+routed by Spark and by the plain-Python scoring of tests/test_parity.py."""
 import random
+from types import SimpleNamespace
 
 from corpusfold.functions import rules as R
 from corpusfold.operators import classify as C
-from test_parity import py_chain, py_imports, py_keywords, py_patterns
+from test_parity import evidence, import_result, of_chain, of_stage
 
 TOKENS = ["import", "pandas", "numpy", "from", "select", "SELECT", "FROM", "where", "join", "group", "by",
           "order", "def", "f(x):", "class", "Foo:", "{", "}", "=>", "const", "let", "var", "=", "function",
@@ -37,9 +38,10 @@ def test_random_items_match_python(spark):
     imp_doms = R.SPLIT_DOMAINS + ["misc", "python", "docs"]
     imp = {r.item_id: (r.domain, r.reason) for r in C.classify_imports(df, imp_doms, "py_core").collect()}
     for i, p, c, lib in rows:
-        assert got[i] == py_chain(p, c, lib, doms, "python"), (i, p, c, lib)
-        e = py_patterns(p, c, doms)
-        assert (pat[i].domain, pat[i].reason) == ((e[0], e[2]) if e else (None, None)), (i, p, c)
-        e = py_keywords(p, c, doms)
-        assert (kw[i].domain, kw[i].reason) == ((e[0], e[2]) if e else (None, None)), (i, p, c)
-        assert imp[i] == py_imports(p, c, lib, imp_doms, "py_core"), (i, p, c, lib)
+        row = SimpleNamespace(prompt=p, code=c, library=lib)
+        found = evidence(row, doms)
+        assert got[i] == of_chain(found, "python"), row
+        for stage, result in ((2, pat[i]), (4, kw[i])):
+            want = of_stage(found, stage)
+            assert (result.domain, result.reason) == (want[3:] if want else (None, None)), row
+        assert imp[i] == import_result(row, imp_doms, "py_core"), row

@@ -1,4 +1,4 @@
-"""Skew: one expert holds 90 % of the log; its pushes span many rank buckets."""
+"""Skew: one expert holds 90 % of the log; its pushes span many range partitions."""
 import random
 
 import pytest
@@ -19,15 +19,12 @@ def _skewed(n=3000, seed=5):
     return rows
 
 
-def test_skewed_fold_matches_sequential(spark, monkeypatch):
-    monkeypatch.setattr(SQ, "DEFAULT_BUCKET_WIDTH", 128)      # ~21 buckets for the hot expert
+def test_skewed_fold_matches_sequential(spark):
     rows = _skewed()
     log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta double")
-    ranked = SQ.running_rank(log, ["expert"], "seq", bucket_width=128)
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
-    assert "_cf_bucket" in plan and "Window" in plan           # window partitions are (expert, bucket)
     folded = U.fold_scalar(log)
-    assert "_cf_bucket" in folded._jdf.queryExecution().optimizedPlan().toString()
+    # rows meet only a (key, range partition) offset: no window holds a key's rows
+    assert "Window" not in folded._jdf.queryExecution().optimizedPlan().toString()
     got = {r.expert: (r.version, r.state) for r in folded.collect()}
     version, state, _, _ = _sequential(rows)
     assert got.keys() == version.keys()
@@ -36,12 +33,32 @@ def test_skewed_fold_matches_sequential(spark, monkeypatch):
     assert version["hot"] > 0.85 * len(rows)
 
 
-def test_bucketed_rank_equals_plain_rank_under_skew(spark):
+def test_rank_equals_plain_rank_under_skew(spark):
     rows = _skewed(n=2000, seed=9)
     log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta double")
-    got = SQ.running_rank(log, ["expert"], "seq", bucket_width=50).collect()
+    got = SQ.running_rank(log, ["expert"], "seq", partitions=13).collect()
     expected = {}
     for e, seq, _w, _d in sorted(rows, key=lambda r: r[1]):
         expected.setdefault(e, []).append(seq)
     pos = {(e, s): i + 1 for e, seqs in expected.items() for i, s in enumerate(seqs)}
     assert all(r.rank == pos[(r.expert, r.seq)] for r in got)
+
+
+def test_sparse_orders_and_ties(spark):
+    rows = [("a", 1_700_000_000_000_000 + i * 977_000) for i in range(500)] + [("a", 5)] * 300 + [(None, i % 3) for i in range(50)]
+    got = SQ.running_rank(spark.createDataFrame(rows, "k string, s long"), ["k"], "s", partitions=9).collect()
+    for k in ("a", None):
+        own = sorted((r["rank"], r.s) for r in got if r.k == k)
+        assert [x[0] for x in own] == list(range(1, len(own) + 1)) and [x[1] for x in own] == sorted(x[1] for x in own)
+
+
+def test_skewed_stream_equals_batch(spark, tmpdir_path):
+    from corpusfold.streaming import fold as ST
+    log = spark.createDataFrame(_skewed(n=1200, seed=3), "expert string, seq long, worker_version long, delta double")
+    src, sink, ckpt = (f"{tmpdir_path}/{n}" for n in ("src", "sink", "ckpt"))
+    ST.write_push_files(log, src, 3, files=4)
+    ST.stream_fold(spark, src, sink, ckpt, files_per_trigger=4, registry=["hot", "a"])
+    got = {r.expert: (r.version, r.state) for r in ST.latest_states(spark, sink).collect()}
+    want = {r.expert: (r.version, r.state) for r in U.fold_scalar(U.accepted(log, ["hot", "a"])).collect()}
+    assert got.keys() == want.keys() == {"hot", "a"}
+    assert all(got[e][0] == want[e][0] and got[e][1] == pytest.approx(want[e][1], abs=1e-9) for e in want)

@@ -47,25 +47,12 @@ def _sequential(rows, registered=None):
 def test_running_rank_matches_row_number(spark):
     rows = [(k, s) for k in "xyz" for s in random.Random(1).sample(range(100000), 300)]
     df = spark.createDataFrame(rows, "k string, s long")
-    got = running_rank(df, ["k"], "s", bucket_width=1000).collect()
+    got = running_rank(df, ["k"], "s", partitions=7).collect()
     for k in "xyz":
         ranks = sorted((r.s, r.rank) for r in got if r.k == k)
         assert [r for _, r in ranks] == list(range(1, len(ranks) + 1))
 
 
-def test_dense_running_rank(spark):
-    rows = [(k, s, j) for k in "xy" for s in random.Random(2).sample(range(50000), 200) for j in range(2)]
-    df = spark.createDataFrame(rows, "k string, s long, j int")
-    got = running_rank(df, ["k"], "s", bucket_width=500, dense=True).collect()
-    for k in "xy":
-        by_s = {}
-        for r in got:
-            if r.k == k:
-                by_s.setdefault(r.s, set()).add(r.rank)
-        assert all(len(v) == 1 for v in by_s.values())
-        assert [next(iter(by_s[s])) for s in sorted(by_s)] == list(range(1, len(by_s) + 1))
-
-
 def test_scalar_fold_and_registry(spark):
     rows = _log()
     log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta double")
@@ -248,3 +235,29 @@ def test_keyed_methods_agree(spark):
     b = {(r.expert, r.key, r.pos): (r.version, r.value) for r in U.fold_keyed(log, method="explode").collect()}
     assert a.keys() == b.keys()
     assert all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], abs=1e-12) for k in a)
+
+
+def test_odd_pushes_count_and_add_nothing(spark):
+    rows = [("a", 1, 0, [1.0, 2.0]), ("a", 2, 50, [9.0, 9.0]), ("a", 3, 2, [5.0]), ("a", 4, 3, [1.0, 1.0]), ("b", 5, 99, [7.0, 7.0]), ("b", 6, 1, None)]
+    log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta array<double>")
+    for method in ("summarizer", "explode"):
+        got = {(r.expert, r.pos): (r.version, r.value) for r in U.fold_vectors(log, method=method).collect()}
+        assert got == {("a", 0): (4, 2.0), ("a", 1): (4, 3.0), ("b", 0): (2, 0.0), ("b", 1): (2, 0.0)}
+    why = {(r.expert, r.seq): r.reason for r in U.rejected(log).collect()}
+    assert why == {("a", 2): "undefined decay", ("a", 3): "wrong shape", ("b", 5): "undefined decay", ("b", 6): "wrong shape"}
+    assert {r.pos: (r.value, r.global_version) for r in U.global_vectors(log).collect()} == {0: (2.0, 6), 1: (3.0, 6)}
+
+
+def test_snapshots(spark):
+    rows = [("a", 1, 0, 1.0), ("b", 2, 0, 3.0), ("a", 3, 0, 1.0), ("x", 4, 0, 9.0)]
+    log = spark.createDataFrame(rows, "expert string, seq long, worker_version long, delta double")
+    now = {r.expert: (r.version, r.state) for r in U.snapshot(log, ["a", "b", "z"]).collect()}
+    assert now == {"a": (2, pytest.approx(1 + 1 / 1.1)), "b": (1, 3.0), "z": (0, 0.0)}
+    then = U.snapshot(log, ["a", "b", "z"], expert="a", as_of=2).collect()
+    assert [(r.expert, r.version, r.state) for r in then] == [("a", 1, 1.0)]
+    assert U.global_snapshot(log, ["a", "b"], as_of=2).collect()[0].global_state == 4.0
+    with pytest.raises(KeyError):
+        U.snapshot(log, ["a", "b"], expert="x")
+    vectors = log.withColumn("delta", F.array("delta", "delta"))
+    got = {(r.expert, r.pos): (r.version, r.value) for r in U.snapshot(vectors, ["b", "z"], dim=2).collect()}
+    assert got == {("b", 0): (1, 3.0), ("b", 1): (1, 3.0), ("z", 0): (0, 0.0), ("z", 1): (0, 0.0)}
