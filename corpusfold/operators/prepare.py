@@ -78,8 +78,8 @@ def hash_unit(*cols) -> F.Column:
 def rehearsal_mix(corpus: DataFrame, weights: DataFrame, key: str = "item_id") -> DataFrame:
     """Per (strategy, phase) the training rows: every row of a domain with weight 1, and a
     deterministic ``weight`` fraction of each rehearsed domain (hash of phase and key)."""
-    w = F.broadcast(weights)   # strategies x phases x domains rows: bounded by the schedule
-    j = corpus.select(key, "domain").join(w, "domain")
+    # no hint: Spark broadcasts the schedule if it measures it small
+    j = corpus.select(key, "domain").join(weights, "domain")
     keep = (F.col("weight") >= 1.0) | (hash_unit("phase", key) < F.col("weight"))
     return j.filter(keep).select("strategy", "phase", "domain", key)
 
@@ -106,3 +106,21 @@ def supervised_dataset(df: DataFrame, prompt: str = "prompt", reference: str = "
                        keep: Sequence[str] = ()) -> DataFrame:
     """The SFT text for each (prompt, reference) row."""
     return df.select(*keep, supervised_text(prompt, reference).alias("text"))
+
+
+def write_supervised(df: DataFrame, out: str, key: str = "item_id", domain: str = "domain", prompt: str = "prompt",
+                     reference: str = "reference_code", files_per_domain: int | None = None) -> None:
+    """The SFT texts as JSON lines, one directory per domain (a hot domain is split over ``files_per_domain`` tasks)."""
+    from corpusfold.sources import sinks
+
+    text = F.to_json(F.struct(F.col(key).alias("item_id"), supervised_text(prompt, reference).alias("text")))
+    sinks.write_domains(df.select(F.col(domain).alias("domain"), F.col(key).alias("item_id"), text.alias("raw")), out,
+                        files_per_domain=files_per_domain)
+
+
+def read_supervised(spark, out: str) -> DataFrame:
+    """(domain, item_id, text) of :func:`write_supervised`; filters on ``domain`` prune directories."""
+    from corpusfold.sources import sinks
+
+    row = F.from_json("raw", "item_id bigint, text string")
+    return sinks.read_domains(spark, out).select("domain", row["item_id"].alias("item_id"), row["text"].alias("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.functions import rules as R
 from corpusfold.operators import classify as C
+from corpusfold.operators import report as A
 from corpusfold.plans import fixtures as X
 from corpusfold.plans import oracle_classify as OC
 from corpusfold.plans.catalog import DECIMALS, REPORT_DOMAINS, ROUTE_DEFAULT, items_input, register
@@ -198,6 +199,73 @@ def domain_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("domain").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
+@register("split_report", X.with_views(f"""
+c AS ({OC.chain_sql(REPORT_DOMAINS, ROUTE_DEFAULT)}),
+  r AS (SELECT c.domain, i.item_id, lower({sql_strip('i.library')}) AS lib FROM c JOIN items i USING (item_id)),
+  t AS (SELECT CAST(count(*) AS BIGINT) AS total FROM r),
+  n AS (SELECT domain, count(*) AS cnt FROM r GROUP BY domain),
+  d AS (SELECT conf.domain, coalesce(n.cnt, 0) AS cnt, total FROM (VALUES """
+    + ", ".join(f"('{d}')" for d in REPORT_DOMAINS) + """) AS conf(domain) LEFT JOIN n USING (domain) CROSS JOIN t),
+  a AS (SELECT domain, lib, count(*) AS cnt, min(item_id) AS f FROM r WHERE lib <> '' GROUP BY domain, lib),
+  k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY cnt DESC, f) AS rank FROM a)
+SELECT domain AS key, 0 AS nth, printf('  %-15s %6d items (%5.1f%%)', domain, cnt, CASE WHEN total > 0 THEN 100.0 * cnt / total ELSE 0.0 END) AS line FROM d
+UNION ALL SELECT domain, 4, '    - Top libraries: ' || string_agg(lib || ' (' || cnt || ')', ', ' ORDER BY rank) FROM k WHERE rank <= 3 GROUP BY domain""",
+    items=X.ITEMS_SQL))
+def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain and library lines of the text report, over a routed table that is written once."""
+    out = scratch_path(spark, "routed")
+    C.classify_chain(items_input(spark, sf_dir), REPORT_DOMAINS, ROUTE_DEFAULT, keep=["item_id", "library"]).write.parquet(out)
+    routed = spark.read.parquet(out)
+    lines = SK.report_lines(A.domain_distribution(routed, REPORT_DOMAINS), libraries=A.domain_top_libraries(routed))
+    return lines.where("section = 1 AND nth <> 9").select("key", "nth", "line")
+
+
+@register("run_results", X.with_views("""
+q AS (SELECT run, step, avg(score) AS quality FROM eval_score GROUP BY run, step)
+SELECT 'round' AS kind, run, step, round(quality, 9) AS quality FROM q
+UNION ALL SELECT 'comparison', 'rehearsal', 0, round((max(CASE WHEN run = 'rehearsal' THEN m END) - max(CASE WHEN run = 'naive' THEN m END))
+       / (max(CASE WHEN run = 'naive' THEN m END) + 1e-6) * 100.0, 9) FROM (SELECT run, avg(quality) AS m FROM q GROUP BY run)""",
+    eval_score=X.EVAL_SCORE_SQL))
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds and the comparison of two runs, written as result files and read back."""
+    scores = X.eval_score(spark, sf_dir)
+    out = scratch_path(spark, "run-results")
+    SK.write_run_results(EV.step_quality(scores), EV.run_compare(scores, "rehearsal", "naive"), out)
+    rounds, comparison = SK.read_run_results(spark, out, "run string, step long, quality double", "run_a string, improvement_percent double")
+    both = rounds.select(F.lit("round").alias("kind"), "run", "step", "quality").unionByName(
+        comparison.select(F.lit("comparison").alias("kind"), F.col("run_a").alias("run"), F.lit(0).cast("long").alias("step"),
+                          F.col("improvement_percent").alias("quality")))
+    return both.withColumn("quality", F.round("quality", DECIMALS))
+
+
+CALLER_DOMAINS = ["python", "docs", "sql", "javascript"]
+
+
+@register("caller_stage_route", X.with_views(f"""
+c AS ({OC.chain_sql(CALLER_DOMAINS, ROUTE_DEFAULT, stage_ids=(3,))})
+SELECT i.item_id, CASE WHEN t THEN 'docs' ELSE c.domain END AS domain, CASE WHEN t THEN 'Table row' ELSE c.reason END AS reason
+FROM (SELECT *, contains(coalesce(prompt, ''), '|') OR contains(coalesce(code, ''), '|') AS t FROM items) i JOIN c USING (item_id)""", items=X.ITEMS_SQL))
+def caller_stage_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's own stage (a column function: a '|' anywhere means docs, 0.95) before a built-in one."""
+    def table_rows(domains):
+        return F.when(F.col(C.T_PROMPT_CODE).contains("|"), C.make_result(F.lit("docs"), F.lit(0.95), F.lit("Table row")))
+    stage = C.stage_from_column_fn("table_rows", table_rows)
+    return C.classify_chain(items_input(spark, sf_dir), CALLER_DOMAINS, ROUTE_DEFAULT, stages=[stage, C.STRUCTURE])
+
+
+@register("supervised_domains", X.with_views(f"""
+sp AS ({OC.specialty_sql(R.CANONICAL_SPECIALTIES, src='pitems')})
+SELECT sp.domain, p.item_id, 'Problem:' || chr(10) || {sql_strip("prompt")} || chr(10) || chr(10) || 'Answer:' || chr(10) || {sql_strip("reference_code")} || chr(10) AS text
+FROM sp JOIN pitems p USING (item_id)""", pairs=X.PAIRS_SQL, pitems="SELECT *, conv_id * 1000 + turn AS item_id FROM pairs"))
+def supervised_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supervised texts written per domain, one directory each, and read back."""
+    out = scratch_path(spark, "supervised")
+    p = pairs_input(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
+    split = C.split_by_specialty(p, R.CANONICAL_SPECIALTIES, keep=["item_id", "prompt", "reference_code"])
+    D.write_supervised(split, out)
+    return D.read_supervised(spark, out)
+
+
 # --------------------------------------------------------------- preparation
 
 REHEARSAL_RATIO = 0.1
