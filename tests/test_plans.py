@@ -22,7 +22,10 @@ def test_routing_reads_two_columns_and_fuses_into_one_codegen_stage(spark):
 
 
 def test_registry_is_pushed_into_the_scan(spark):
-    plan = _plan(spark, E.queries()["expert_fold"](spark, SF001))
+    from corpusfold.operators import updates as U
+    from corpusfold.plans.queries_updates import REGISTERED
+    log = spark.read.parquet(f"{SF001}/events.parquet").selectExpr("event_type AS expert", "event_id AS seq", "value AS delta")
+    plan = _plan(spark, U.accepted(log, REGISTERED))
     pushed = [l for l in plan.splitlines() if l.startswith("PushedFilters:")]
     assert any("In(event_type, [click,purchase,refund,signup,view])" in l for l in pushed), pushed
 
