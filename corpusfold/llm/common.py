@@ -181,11 +181,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH_ROWS = 1000               # documents of an Arrow batch
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster."""
+    """Make this package importable in the Python workers of a cluster, and their batches of documents small.
+
+    A batch is held by the JVM and by the worker at once, so 10,000 documents (the
+    default) would cost every core several copies of tens of megabytes.
+    """
     from corpusfold.session import ship_package
 
     ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
