@@ -8,20 +8,21 @@ Method. The CGK random walk reads a window from its start: at step t it puts out
 the word under its pointer and moves on by the random bit r(t, word). Windows at a
 small edit distance give walks at a small Hamming distance. Each of ``repeats``
 walks (own random bits) samples ``SAMPLED`` of its first T outputs, spread over them;
-equal samples make a candidate. T is the largest of ``STEPS`` that an item-sized
-window can fill.
+equal samples make a candidate. An item is entered from each of its words from which
+T steps rarely leave it, so that its windows lie along the whole item and edits in one
+part leave those of the others.
 The number of repeats follows from ``RECALL`` and the chance that one sampled
 output agrees. Each candidate is verified: the item against the document around
 the aligned place, by the edit distance of words, over the whole item.
 
-Windows begin at every ``STRIDE``-th word of a document only; instead the items
-are entered from each of their first ``STRIDE`` words, so that every place of an
-item still meets a window at the same word. Items of fewer than 2 *
-STRIDE words are looked for from every word.
+``BANDS`` gives T and the words between the windows of a document by the length of the
+item: a longer item meets several windows anyway, a short one needs them at every word.
+Candidates of an item at overlapping places of a document are verified together.
 
 Scale. Documents are read once per block of items, without a shuffle before the
 matches. The signatures of a block of items are broadcast; a block holds at most
-``BLOCK_BYTES`` of item text, and a larger benchmark is taken in several blocks.
+``BLOCK_BYTES`` of item text (12 bytes a word and repeat in the index), and a larger
+benchmark is taken in several blocks, each with a pass over the documents.
 
 Cases. Null or blank documents match nothing; items that are null or have fewer
 than ``MIN_WORDS`` words are never looked for. A document shorter than an item can
@@ -39,57 +40,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, read_table, text_chunks
+from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, ragged_index, read_table, text_chunks
 
 MAX_EDIT = 0.2
 RECALL = 0.95
 AGREE = 0.75                    # chance that a sampled output agrees for a match at MAX_EDIT
 SAMPLED = 4
-STEPS = (8, 16, 32)
-STEPS_PER_WORD = 1.6            # a walk moves on at every second step; this many rarely leave the window
-STRIDE = 6
 MIN_WORDS = 4
-BLOCK_BYTES = 16 << 20
+BANDS = ((MIN_WORDS, 8, 1), (12, 12, 3), (24, 16, 6))   # from words of an item, steps of a walk, words between windows
+MOST_STEPS = max(t for _, t, _ in BANDS)
+STEPS_PER_WORD = 1.6            # a walk moves on at every second step; this many rarely leave the window
+BLOCK_BYTES = 2 << 20
+PAIRS = 1 << 20                 # candidates held at once before equal ones are dropped
 _PAD = U64(0)
 
 def repeats(recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - AGREE ** SAMPLED))
 
 
-class Walks:
+class Walk:
     """The random bits and sampled steps of one repeat, alike on all workers."""
 
-    def __init__(self, repeat: int):
-        rng = np.random.default_rng(7919 + repeat)
-        self.bits = rng.integers(1, 2**63, STEPS[-1], dtype=np.uint64) * U64(2) + U64(1)
+    def __init__(self, repeat: int, steps: int):
+        rng = np.random.default_rng([7919 + repeat, steps])
+        self.bits = rng.integers(1, 2**63, steps, dtype=np.uint64) * U64(2) + U64(1)
         # one step of each quarter, so that the samples are of different words
-        self.sampled = {t: {int(t * (q + rng.random()) / SAMPLED) for q in range(SAMPLED)} for t in STEPS}
+        self.sampled = {int(steps * (q + rng.random()) / SAMPLED) for q in range(SAMPLED)}
         self.salt = U64(rng.integers(1, 2**63)) * U64(2) + U64(1)
 
-    def signatures(self, words: np.ndarray, starts: np.ndarray, wanted: list[int]) -> dict[int, np.ndarray]:
-        """For each number of steps wanted, the signature of the window at each start. ``words`` is padded."""
-        at = starts.copy()
-        out = {t: np.full(len(at), self.salt ^ U64(t), U64) for t in wanted}
-        for step in range(max(wanted)):
+    def signatures(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The signature of the window at each start. ``words`` is padded."""
+        at, acc = starts.copy(), np.full(len(starts), self.salt, U64)
+        for step in range(max(self.sampled) + 1):
             w = words[at]
-            for t, acc in out.items():
-                if step in self.sampled[t]:
-                    acc += w
-                    acc *= U64(0x9E3779B97F4A7C15)
-                    acc ^= acc >> U64(29)
+            if step in self.sampled:
+                acc += w
+                acc *= U64(0x9E3779B97F4A7C15)
+                acc ^= acc >> U64(29)
             at += ((w * self.bits[step]) >> U64(63)).astype(at.dtype)
-        return out
+        return acc
 
 
 def _padded(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words with room for a walk after each document, and where each document begins."""
-    begin = np.cumsum(counts + STEPS[-1]) - (counts + STEPS[-1])
-    out = np.full(int((counts + STEPS[-1]).sum()), _PAD, U64)
+    begin = np.cumsum(counts + MOST_STEPS) - (counts + MOST_STEPS)
+    out = np.full(int((counts + MOST_STEPS).sum()), _PAD, U64)
     src = np.cumsum(counts) - counts
     out[np.arange(len(hashes)) + np.repeat(begin - src, counts)] = hashes
     return out, begin
 
 
+def band_of(n_words: np.ndarray) -> np.ndarray:
+    return np.searchsorted([lo for lo, _, _ in BANDS], n_words, "right") - 1
+
+
+def entries(n_words: np.ndarray, steps: int) -> np.ndarray:
+    """Number of words of each item from which it is entered: those before which a walk has room, at least the first."""
+    return np.maximum(n_words - math.ceil(steps / STEPS_PER_WORD) + 1, 1)
+
+
+def _positions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, 0 .. count - 1) of each position."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def edit_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the part of ``text`` nearest to ``item``; the first of equals."""
     n, m = len(item), len(text)
@@ -116,7 +131,7 @@ def edit_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """Signatures of a block of items: (item, words dropped) by repeat, steps and signature."""
+    """Signatures of a block of items, by band and repeat: the entered word of each, over all items' words."""
 
     def __init__(self, items: list[tuple], n_repeats: int):
         data = "\n".join(t for _, t in items).encode() if items else b""
@@ -129,43 +144,79 @@ class Index:
             if hi - lo >= MIN_WORDS:
                 self.ids.append(key)
                 self.words.append(h[lo:hi])
-        self.walks = [Walks(r) for r in range(n_repeats)]
-        self.tables: dict[tuple[bool, int, int], tuple] = {}
-        entries: dict[tuple[bool, int], list[tuple[int, int]]] = {}
-        for i, w in enumerate(self.words):
-            every = len(w) < 2 * STRIDE
-            shifts = 1 if every else STRIDE
-            room = len(w) - shifts + 1
-            steps = max((t for t in STEPS if t <= STEPS_PER_WORD * room), default=STEPS[0])
-            entries.setdefault((every, steps), []).extend((i, s) for s in range(shifts))
-        for (every, steps), list_ in entries.items():
-            item, shift = np.array(list_).T
-            padded, begin = _padded(np.concatenate(self.words), np.fromiter(map(len, self.words), np.int64))
-            for r, walk in enumerate(self.walks):
-                sig = walk.signatures(padded, begin[item] + shift, [steps])[steps]
+        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.first = np.cumsum(lengths) - lengths
+        self.tables: dict[int, list[tuple]] = {}
+        # 512 bits an item: those of its words are set
+        self.member = np.zeros((len(self.words), 8), U64)
+        if not self.words:
+            return
+        bit = np.concatenate(self.words) >> U64(55)
+        np.bitwise_or.at(self.member, (np.repeat(np.arange(len(lengths)), lengths), (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
+        padded, begin = _padded(np.concatenate(self.words), lengths)
+        for band, (_, steps, _) in enumerate(BANDS):
+            own = np.flatnonzero(band_of(lengths) == band)
+            if not len(own):
+                continue
+            k, shift = _positions(entries(lengths[own], steps))
+            item = own[k]
+            # a mask of some 16 places an entry keeps most windows from the search
+            top = U64(64 - min(max(int(16 * len(item)).bit_length(), 12), 20))
+            for r in range(n_repeats):
+                walk = Walk(r, steps)
+                sig = walk.signatures(padded, begin[item] + shift)
                 order = np.argsort(sig, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(sig >> U64(44)).astype(np.int64)] = True
-                self.tables[every, r, steps] = sig[order], item[order], shift[order], seen
-
-    def candidates(self, padded: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, first word of the item's place) of windows whose signature equals an item's."""
-        out: set[tuple[int, int, int]] = set()
-        for every in {k[0] for k in self.tables}:
-            stride = 1 if every else STRIDE
-            n = -(-counts // stride)
-            doc = np.repeat(np.arange(len(counts)), n)
-            pos = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * stride
-            for r, walk in enumerate(self.walks):
-                wanted = sorted(t for e, q, t in self.tables if e == every and q == r)
-                found = walk.signatures(padded, begin[doc] + pos, wanted)
-                for t in wanted:
-                    sig, item, shift, seen = self.tables[every, r, t]
-                    hit = np.flatnonzero(seen[(found[t] >> U64(44)).astype(np.int64)])
-                    lo, hi = np.searchsorted(sig, found[t][hit], "left"), np.searchsorted(sig, found[t][hit], "right")
-                    for k, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo]):
-                        out.update((int(doc[k]), int(item[e]), int(pos[k] - shift[e])) for e in range(a, b))
-        return out
+                seen = np.zeros(1 << int(U64(64) - top), bool)
+                seen[(sig >> top).astype(np.int64)] = True
+                self.tables.setdefault(band, []).append((walk, sig[order], (self.first[item] + shift)[order].astype(np.int32), top, seen))
+
+    def candidates(self, padded: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Distinct (document, item, first word of the item's place) of windows whose signature equals an item's, in order."""
+        out = [np.zeros((0, 3), np.int64)]
+        for band, tables in self.tables.items():
+            stride = BANDS[band][2]
+            doc, pos = _positions(-(-counts // stride))
+            pos *= stride
+            for walk, sig, entry, top, seen in tables:
+                found = walk.signatures(padded, begin[doc] + pos)
+                hit = np.flatnonzero(seen[(found >> top).astype(np.int64)])
+                lo, hi = np.searchsorted(sig, found[hit], "left"), np.searchsorted(sig, found[hit], "right")
+                hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+                part = np.cumsum(n) // PAIRS
+                for p in np.unique(part):
+                    h, m = hit[part == p], n[part == p]
+                    e = entry[ragged_index(lo[part == p], m)].astype(np.int64)
+                    item = np.searchsorted(self.first, e, "right") - 1
+                    at = np.repeat(pos[h], m) - (e - self.first[item])
+                    out.append(np.unique(np.stack([np.repeat(doc[h], m), item, at], 1), axis=0))
+                    if sum(map(len, out)) > PAIRS:
+                        out = [np.unique(np.concatenate(out), axis=0)]
+        return np.unique(np.concatenate(out), axis=0)
+
+    def places(self, found: np.ndarray, text: np.ndarray, first: np.ndarray):
+        """(document, item, places, left, right) of ordered candidates; places whose surroundings overlap come together.
+
+        Only where the part from left to right has enough words of the item: each that an alignment keeps is one.
+        """
+        doc, item, at = found.T
+        n = np.fromiter(map(len, self.words), np.int64, len(self.words))[item]
+        most = (MAX_EDIT * n).astype(np.int64)
+        apart = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at) > (n + 2 * most)[1:])
+        cuts = np.flatnonzero(np.r_[len(doc) > 0, apart])
+        ends = np.r_[cuts[1:], len(doc)][:len(cuts)]
+        doc, item, n, most = doc[cuts], item[cuts], n[cuts], most[cuts]
+        right = np.clip(at[ends - 1] + n + most, 0, np.diff(first)[doc])
+        left = np.clip(at[cuts] - most, 0, right)
+        part = np.cumsum(right - left) // PAIRS
+        for p in np.unique(part):
+            own = np.flatnonzero(part == p)
+            size = (right - left)[own]
+            owner = np.repeat(own, size)
+            bit = text[ragged_index((first[doc] + left)[own], size)] >> U64(55)
+            there = (self.member[item[owner], (bit >> U64(6)).astype(np.int64)] >> (bit & U64(63))) & U64(1) == 1
+            kept = np.bincount(owner[there] - own[0], minlength=len(own))
+            for g in own[kept >= (n - most)[own]]:
+                yield int(doc[g]), int(item[g]), at[cuts[g]:ends[g]], int(left[g]), int(right[g])
 
 
 _MATCH = "doc_id long, item_id long, distance int, start int, n_words int"
@@ -179,15 +230,15 @@ def _matches(index: Index):
                 h = words.hashes()
                 padded, begin = _padded(h, words.counts)
                 rows = []
-                for d, i, at in sorted(index.candidates(padded, begin, words.counts)):
+                for d, i, at, left, right in index.places(index.candidates(padded, begin, words.counts), h, words.first):
                     item = index.words[i]
                     most = int(MAX_EDIT * len(item))
                     text = h[words.first[d]:words.first[d + 1]]
-                    if at >= 0 and np.array_equal(text[at:at + len(item)], item):
-                        rows.append((d, i, 0, at, len(item)))
+                    same = next((int(x) for x in at if x >= 0 and np.array_equal(text[x:x + len(item)], item)), None)
+                    if same is not None:
+                        rows.append((d, i, 0, same, len(item)))
                         continue
-                    left = max(at - most, 0)
-                    part = text[left:max(at + len(item) + most, 0)]
+                    part = text[left:right]
                     if np.isin(item, part).sum() < len(item) - most:        # each word that is not there is an edit
                         continue
                     dist, s, e = edit_place(item, part)
