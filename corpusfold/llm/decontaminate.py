@@ -11,8 +11,8 @@ walks (own random bits) samples ``SAMPLED`` of its first T outputs, spread over
 equal samples make a candidate. An item is entered from each of its words from which
 T steps rarely leave it, so that its windows lie along the whole item and edits in one
 part leave those of the others.
-The number of repeats follows from ``RECALL`` and the chance that one sampled
-output agrees. Each candidate is verified: the item against the document around
+The number of repeats of a band is measured (``repeats``): the fewest that find ``RECALL``
+of passages at exactly ``MAX_EDIT`` with evenly spread substitutions. Each candidate is verified: the item against the document around
 the aligned place, by the edit distance of words, over the whole item.
 
 ``BANDS`` gives T and the words between the windows of a document by the length of the
@@ -33,6 +33,7 @@ Other columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -44,7 +45,8 @@ from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, ragged_inde
 
 MAX_EDIT = 0.2
 RECALL = 0.95
-AGREE = 0.75                    # chance that a sampled output agrees for a match at MAX_EDIT
+TRIALS = 1000                   # passages that measure the number of repeats
+MOST_REPEATS = 64
 SAMPLED = 4
 MIN_WORDS = 4
 BANDS = ((MIN_WORDS, 8, 1), (12, 12, 3), (24, 16, 6))   # from words of an item, steps of a walk, words between windows
@@ -54,10 +56,6 @@ BLOCK_BYTES = 2 << 20
 PAIRS = 1 << 20                 # candidates held at once before equal ones are dropped
 _PAD = U64(0)
 
-def repeats(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE ** SAMPLED))
-
-
 class Walk:
     """The random bits and sampled steps of one repeat, alike on all workers."""
 
@@ -105,6 +103,39 @@ def _positions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+@functools.lru_cache
+def repeats(band: int, recall: float = RECALL) -> int:
+    """The fewest walks that find ``recall`` of the passages at MAX_EDIT, at each of the lengths at which a band begins.
+
+    Longer items of a band have more windows. Two standard errors are left for chance.
+    """
+    lo, steps, stride = BANDS[band]
+    goal = min(recall + 2 * math.sqrt(recall * (1 - recall) / TRIALS), 1.0)
+    walks = [Walk(r, steps) for r in range(MOST_REPEATS)]
+    most = 1
+    for n in range(lo, lo + 4):
+        rng = np.random.default_rng([20240611, n])
+        new = lambda size: rng.integers(1, 2**63, size, dtype=np.uint64)
+        items = new((TRIALS, n))
+        texts = new((TRIALS, stride + n + MOST_STEPS))
+        # a passage begins anywhere between two windows
+        place = rng.integers(0, stride, TRIALS)[:, None] + np.arange(n)
+        kept = rng.random((TRIALS, n)).argsort(1) >= int(MAX_EDIT * n)
+        np.put_along_axis(texts, place, np.where(kept, items, np.take_along_axis(texts, place, 1)), 1)
+        padded, begin = _padded(items.ravel(), np.full(TRIALS, n))
+        at = begin[:, None] + np.arange(int(entries(np.array(n), steps)))
+        windows = np.arange(0, stride + n, stride) + np.arange(TRIALS)[:, None] * texts.shape[1]
+        found = np.zeros(TRIALS, bool)
+        for r, walk in enumerate(walks, 1):
+            own = walk.signatures(padded, at.ravel()).reshape(at.shape)
+            other = walk.signatures(texts.ravel(), windows.ravel()).reshape(windows.shape)
+            found |= (own[:, :, None] == other[:, None, :]).any((1, 2))
+            if found.mean() >= goal:
+                break
+        most = max(most, r)
+    return most
+
+
 def edit_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the part of ``text`` nearest to ``item``; the first of equals."""
     n, m = len(item), len(text)
@@ -133,7 +164,7 @@ def edit_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Index:
     """Signatures of a block of items, by band and repeat: the entered word of each, over all items' words."""
 
-    def __init__(self, items: list[tuple], n_repeats: int):
+    def __init__(self, items: list[tuple], recall: float = RECALL):
         data = "\n".join(t for _, t in items).encode() if items else b""
         offsets = np.r_[0, np.cumsum([len(t.encode()) + 1 for _, t in items])] if items else np.zeros(1, np.int64)
         raw = np.frombuffer(data + b"\n", np.uint8)
@@ -162,7 +193,7 @@ class Index:
             item = own[k]
             # a mask of some 16 places an entry keeps most windows from the search
             top = U64(64 - min(max(int(16 * len(item)).bit_length(), 12), 20))
-            for r in range(n_repeats):
+            for r in range(repeats(band, recall)):
                 walk = Walk(r, steps)
                 sig = walk.signatures(padded, begin[item] + shift)
                 order = np.argsort(sig, kind="stable")
@@ -263,7 +294,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) ->
     out = None
     for b in range(max(blocks, 1)):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1))) == b).collect()
-        index = Index(sorted((tuple(r) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), repeats(recall))
+        index = Index(sorted((tuple(r) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), recall)
         found = docs.mapInArrow(_matches(index), _MATCH)
         out = found if out is None else out.union(found)
     place = F.min(F.struct("distance", "start", "n_words")).alias("m")
