@@ -74,10 +74,36 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h ^ ((ends - starts).astype(U64) << U64(48)))
 
 
+# 1: letters of scripts without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, Chinese, Japanese); 2: their punctuation
+_UNSPACED = np.zeros(1 << 16, np.uint8)
+for _lo, _hi in ((0x0E01, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035),
+                 (0x3038, 0x303C), (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+                 (0xF900, 0xFAFF), (0xFF66, 0xFF9F)):
+    _UNSPACED[_lo:_hi + 1] = 1
+for _lo, _hi in ((0x0E4F, 0x0E4F), (0x0E5A, 0x0E5B), (0x104A, 0x104F), (0x17D4, 0x17DA), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F),
+                 (0x30A0, 0x30A0), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20),
+                 (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)):
+    _UNSPACED[_lo:_hi + 1] = 2
+
+
+def _unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, bytes, kind in _UNSPACED) of the code points of three and four bytes."""
+    three, four = np.flatnonzero((buf & 0xF0) == 0xE0), np.flatnonzero(buf >= 0xF0)
+    code = [buf[three + i].astype(np.int32) & 0x3F for i in range(3)]
+    kind = _UNSPACED[(code[0] & 15) << 12 | code[1] << 6 | code[2]]
+    plane = (buf[four].astype(np.int32) & 7) << 2 | (buf[four + 1].astype(np.int32) & 0x30) >> 4
+    wide = np.where((plane == 2) | (plane == 3), 1, 0).astype(np.uint8)     # the supplementary ideographic planes
+    return np.r_[three, four], np.r_[np.full(len(three), 3), np.full(len(four), 4)], np.r_[kind, wide]
+
+
 class Words:
-    """The words of a chunk of documents: byte spans, 64-bit hashes, owning document."""
+    """The words of a chunk of documents: byte spans, 64-bit hashes, owning document.
+
+    With ``units``, the code points of scripts without spaces are words of their own, and the
+    full-width punctuation is space; ``unit`` tells which words those are.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE, units: bool = False):
         base = int(offsets[0])
         self.data = data[base:int(offsets[-1])]
         self.doc_offsets = offsets - base
@@ -86,6 +112,13 @@ class Words:
         word = ~space[buf]
         edge = np.zeros(n + 1, bool)
         edge[self.doc_offsets] = True
+        own = np.zeros(n + 1 if units else 0, bool)
+        if units and n and buf.max() >= 0xE0:
+            at, size, kind = _unspaced(buf)
+            gap = at[kind == 2]
+            word[gap] = word[gap + 1] = word[gap + 2] = False
+            at, size = at[kind == 1], size[kind == 1]
+            own[at] = edge[at] = edge[at + size] = True
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:
@@ -95,6 +128,7 @@ class Words:
             after[:-1] = ~word[1:]
         self.starts = np.flatnonzero(word & (before | edge[:-1]))
         self.ends = np.flatnonzero(word & (after | edge[1:])) + 1
+        self.unit = own[self.starts] if units else None
         # words of document d are first[d] .. first[d + 1] - 1
         self.first = np.searchsorted(self.starts, self.doc_offsets)
         self.counts = np.diff(self.first)

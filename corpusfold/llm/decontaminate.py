@@ -2,7 +2,7 @@
 
 Finds the places of documents that are within ``MAX_EDIT`` of a benchmark item's
 words in edit distance (words: runs of ASCII letters and digits and of bytes
-beyond ASCII, A-Z lower-cased).
+beyond ASCII, A-Z lower-cased; each code point of a script without spaces is a word).
 
 Method. The CGK random walk reads a window from its start: at step t it puts out
 the word under its pointer and moves on by the random bit r(t, word). Windows at a
@@ -25,7 +25,8 @@ matches. The signatures of a block of items are broadcast; a block holds at most
 benchmark is taken in several blocks, each with a pass over the documents.
 
 Cases. Null or blank documents match nothing; items that are null or have fewer
-than ``MIN_WORDS`` words are never looked for. A document shorter than an item can
+than ``MIN_WORDS`` words are never looked for, unless one of the words is a code point of
+a script without spaces: then they are looked for from every word. A document shorter than an item can
 match only within the distance. Rows that share a doc_id are one document in the
 result. Repeated items match each for itself; of equal places the first counts.
 Other columns are ignored; empty tables give no rows.
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, ragged_index, read_table, text_chunks
+from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, ragged_index, read_table, sequence_hash, text_chunks
 
 MAX_EDIT = 0.2
 RECALL = 0.95
@@ -79,6 +80,16 @@ class Walk:
         return acc
 
 
+class Exact:
+    """In place of a walk: windows of as many words as a short item has."""
+
+    def __init__(self, length: int):
+        self.length = length
+
+    def signatures(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return sequence_hash(words, starts, self.length)
+
+
 def _padded(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words with room for a walk after each document, and where each document begins."""
     begin = np.cumsum(counts + MOST_STEPS) - (counts + MOST_STEPS)
@@ -162,17 +173,17 @@ def edit_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """Signatures of a block of items, by band and repeat: the entered word of each, over all items' words."""
+    """Signatures of a block of items, by words between windows: of each walk, the entered words, over all items' words."""
 
     def __init__(self, items: list[tuple], recall: float = RECALL):
         data = "\n".join(t for _, t in items).encode() if items else b""
         offsets = np.r_[0, np.cumsum([len(t.encode()) + 1 for _, t in items])] if items else np.zeros(1, np.int64)
         raw = np.frombuffer(data + b"\n", np.uint8)
-        words = Words(raw, offsets.astype(np.int64), lower=True, space=NOT_ALNUM)
+        words = Words(raw, offsets.astype(np.int64), lower=True, space=NOT_ALNUM, units=True)
         h = words.hashes()
         self.ids, self.words = [], []
         for (key, _), lo, hi in zip(items, words.first[:-1], words.first[1:]):
-            if hi - lo >= MIN_WORDS:
+            if hi - lo >= MIN_WORDS or words.unit[lo:hi].any():
                 self.ids.append(key)
                 self.words.append(h[lo:hi])
         lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
@@ -185,27 +196,30 @@ class Index:
         bit = np.concatenate(self.words) >> U64(55)
         np.bitwise_or.at(self.member, (np.repeat(np.arange(len(lengths)), lengths), (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
         padded, begin = _padded(np.concatenate(self.words), lengths)
-        for band, (_, steps, _) in enumerate(BANDS):
+        for band, (_, steps, stride) in enumerate(BANDS):
             own = np.flatnonzero(band_of(lengths) == band)
-            if not len(own):
-                continue
-            k, shift = _positions(entries(lengths[own], steps))
-            item = own[k]
-            # a mask of some 16 places an entry keeps most windows from the search
-            top = U64(64 - min(max(int(16 * len(item)).bit_length(), 12), 20))
-            for r in range(repeats(band, recall)):
-                walk = Walk(r, steps)
-                sig = walk.signatures(padded, begin[item] + shift)
-                order = np.argsort(sig, kind="stable")
-                seen = np.zeros(1 << int(U64(64) - top), bool)
-                seen[(sig >> top).astype(np.int64)] = True
-                self.tables.setdefault(band, []).append((walk, sig[order], (self.first[item] + shift)[order].astype(np.int32), top, seen))
+            for r in range(repeats(band, recall) if len(own) else 0):
+                self._add(stride, Walk(r, steps), padded, begin, own, entries(lengths[own], steps))
+        for n in range(1, MIN_WORDS):
+            own = np.flatnonzero(lengths == n)
+            if len(own):
+                self._add(1, Exact(n), padded, begin, own, np.ones(len(own), np.int64))
+
+    def _add(self, stride: int, walk: Walk | Exact, padded: np.ndarray, begin: np.ndarray, own: np.ndarray, n_entries: np.ndarray) -> None:
+        k, shift = _positions(n_entries)
+        item = own[k]
+        # a mask of some 16 places an entry keeps most windows from the search
+        top = U64(64 - min(max(int(16 * len(item)).bit_length(), 12), 20))
+        sig = walk.signatures(padded, begin[item] + shift)
+        order = np.argsort(sig, kind="stable")
+        seen = np.zeros(1 << int(U64(64) - top), bool)
+        seen[(sig >> top).astype(np.int64)] = True
+        self.tables.setdefault(stride, []).append((walk, sig[order], (self.first[item] + shift)[order].astype(np.int32), top, seen))
 
     def candidates(self, padded: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct (document, item, first word of the item's place) of windows whose signature equals an item's, in order."""
         out = [np.zeros((0, 3), np.int64)]
-        for band, tables in self.tables.items():
-            stride = BANDS[band][2]
+        for stride, tables in self.tables.items():
             doc, pos = _positions(-(-counts // stride))
             pos *= stride
             for walk, sig, entry, top, seen in tables:
@@ -257,7 +271,7 @@ def _matches(index: Index):
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch):
-                words = Words(data, offsets, lower=True, space=NOT_ALNUM)
+                words = Words(data, offsets, lower=True, space=NOT_ALNUM, units=True)
                 h = words.hashes()
                 padded, begin = _padded(h, words.counts)
                 rows = []

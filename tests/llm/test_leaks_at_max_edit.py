@@ -41,3 +41,13 @@ def test_edits_of_one_part_of_an_item(n, kind):
 def test_recall_at_exactly_the_largest_distance(n, kind):
     # two standard errors of 1,000 trials below the target; the seed is not that of repeats()
     assert share_found(D.Index, n, kind, trials=1000) >= D.RECALL - 0.014
+
+
+def test_scripts_without_spaces():
+    items = [(1, "床前明月光，疑是地上霜。"), (2, "吾輩は猫である。名前はまだ無い。"), (3, "สวัสดีชาวโลก"), (4, "東京"), (5, "霜"), (6, "𠀋𠀌𠀍𠀎𠀏"), (7, "GPT模型"),
+             (8, "。、"), (9, "one two")]
+    texts = ["诗：床前明月光，疑是地上霜。举头望明月", "床前明月光疑是地下霜", "彼は「吾輩は猫である」名前はまだ無い、と", "คำว่าสวัสดีชาวโลกครับ", "京東と東京都", "東 京",
+             "x𠀋𠀌𠀍𠀎𠀏y", "用gpt模型。", "one two", "東", None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for b in D._matches(D.Index(items))([batch]) for r in b.to_pylist()}
+    assert got == {(0, 1, 0), (0, 5, 0), (1, 1, 1), (1, 5, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 4, 0), (6, 6, 0), (7, 7, 0)}
