@@ -14,7 +14,8 @@ the toxic share of the labelled training rows.
 of their probabilities. P and U are bounded samples (``POSITIVES``, ``UNLABELLED``
 rows, those with the smallest hashes of doc_id, less near copies), and only their
 hashed words reach the driver; a member keeps words whose share of P is ``LEAST_LIFT`` times
-their share of U and ``LEAST_Z`` standard errors above it. The prior counts all labelled training rows. Every whole text is scored in one pass
+that of the clean texts, which is the share of U without its toxic part, and ``LEAST_Z``
+standard errors above the share of U. So it works at any toxic share. The prior counts all labelled training rows. Every whole text is scored in one pass
 without a shuffle.
 
 Cases. Null or empty text: the score of no words. Several labels of a document: it
@@ -139,13 +140,14 @@ def without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
     return kept
 
 
-def informative(pos: list[np.ndarray], part: list[np.ndarray]) -> np.ndarray:
-    """Features whose share of P is LEAST_LIFT times that of U and LEAST_Z standard errors above it (1 / prior is the most)."""
+def informative(pos: list[np.ndarray], part: list[np.ndarray], prior: float) -> np.ndarray:
+    """Features whose share of P is LEAST_LIFT times that of clean texts and LEAST_Z standard errors above that of U."""
     a, b = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (pos, part))
     both = (a + b) / (len(pos) + len(part))
     error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / len(pos) + 1 / len(part)))
     a, b = a / len(pos), b / len(part)
-    return np.flatnonzero((a - b >= LEAST_Z * error) & (a >= LEAST_LIFT * b) & (a * len(pos) >= LEAST_ROWS))
+    clean = (b - prior * a) / (1 - prior)
+    return np.flatnonzero((a - b >= LEAST_Z * error) & (a >= LEAST_LIFT * clean) & (a * len(pos) >= LEAST_ROWS))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, float]]:
@@ -179,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, float]]:
     members = []
     for k in range(MEMBERS):
         part = [free_words[i] for i in mixed[k::MEMBERS]] or free_words
-        used = informative(pos, part)
+        used = informative(pos, part, prior)
         index = np.full(1 << BITS, -1)
         index[used] = np.arange(len(used))
         w, b = nnpu(_Sparse(pos, index), _Sparse(part, index), prior, len(used))
