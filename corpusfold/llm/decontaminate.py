@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, ragged_index, read_table, sequence_hash, text_chunks
+from corpusfold.llm.common import NOT_ALNUM, U64, Words, on_workers, ragged_index, read_table, released, sequence_hash, text_chunks
 
 MAX_EDIT = 0.2
 RECALL = 0.95
@@ -54,7 +54,7 @@ BANDS = ((MIN_WORDS, 8, 1), (12, 12, 3), (24, 16, 6))   # from words of an item,
 MOST_STEPS = max(t for _, t, _ in BANDS)
 STEPS_PER_WORD = 1.6            # a walk moves on at every second step; this many rarely leave the window
 BLOCK_BYTES = 2 << 20
-PAIRS = 1 << 20                 # candidates held at once before equal ones are dropped
+PAIRS = 1 << 16                 # candidates held at once before equal ones are dropped
 _PAD = U64(0)
 
 class Walk:
@@ -295,7 +295,7 @@ def _matches(index: Index):
                     yield pa.RecordBatch.from_arrays(
                         [ids, pa.array([index.ids[x] for x in i], pa.int64()), *(pa.array(x, pa.int32()) for x in (dist, s, n))],
                         names=["doc_id", "item_id", "distance", "start", "n_words"])
-    return run
+    return released(run)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
