@@ -187,6 +187,7 @@ def release_memory() -> None:
     """Give freed memory back to the system: workers are reused, and what a task frees counts until then."""
     import ctypes
 
+    _POW.clear()                # as long as the longest chunk
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

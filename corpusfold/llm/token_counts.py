@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import on_workers, read_table, text_chunks
-from corpusfold.llm.word_codec import WordCodec, pretokens, vocabulary
+from corpusfold.llm.common import on_workers, read_table, released, text_chunks
+from corpusfold.llm.word_codec import CHUNK, WordCodec, pretokens, vocabulary
 
 LIMIT = 2048
 _END = "</w>"
-_COUNTERS: dict[str, "WholeTokenCounter"] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,12 +57,6 @@ def whole_tokens(codec: WordCodec) -> set[str]:
 class WholeTokenCounter(WordCodec):
     """A codec's table that keeps only counts: 1 for proved whole tokens, the library's merges for the rest."""
 
-    @staticmethod
-    def of(path: str) -> "WholeTokenCounter":
-        if path not in _COUNTERS:
-            _COUNTERS[path] = WholeTokenCounter(path)
-        return _COUNTERS[path]
-
     def __init__(self, path: str):
         super().__init__(path)
         self.whole = whole_tokens(self)
@@ -71,17 +64,17 @@ class WholeTokenCounter(WordCodec):
     def _append(self, strings: list[str]) -> np.ndarray:
         n0, n1 = self.rows, self.rows + len(strings)
         if n1 > len(self.length):
-            self.length = np.concatenate([self.length, np.zeros(max(n1, 2 * len(self.length)) - len(self.length), np.int64)])
-        count = np.ones(len(strings), np.int64)
+            self.length = np.concatenate([self.length, np.zeros(max(n1, 2 * len(self.length)) - len(self.length), np.int32)])
+        count = np.ones(len(strings), np.int32)
         rest = np.array([i for i, s in enumerate(strings) if s not in self.whole], np.int64)
         count[rest] = [len(ids) for ids in self.library_ids([strings[i] for i in rest])]
         self.length[n0:n1] = count
         self.rows = n1
-        return np.arange(n0, n1)
+        return np.arange(n0, n1, dtype=np.int32)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows, counts = self.rows_of(data, offsets)
-        total = np.r_[0, np.cumsum(self.length[rows])]
+        total = np.r_[0, np.cumsum(self.length[rows], dtype=np.int64)]
         return np.diff(total[np.r_[0, np.cumsum(counts)]])
 
 
@@ -89,12 +82,12 @@ def _counts(path: str):
     def run(batches):
         counter = WholeTokenCounter.of(path)
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch):
+            for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
                 n = counter.count(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[lo:hi], pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64())],
                     names=["doc_id", "n_bytes", "n_tokens"])
-    return run
+    return released(run)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusfold.llm.common import on_workers, partitions, read_table, released, text_chunks
-from corpusfold.llm.word_codec import WordCodec, vocabulary
+from corpusfold.llm.word_codec import CHUNK, WordCodec, vocabulary
 from corpusfold.session import scratch_path
 
 END_ID = 2
 BLOCK = 1024
 PERCENTILE = 90
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 _MAGIC = b"PFR1"
 
 
@@ -155,7 +155,7 @@ def _segments(path: str, end_id: int):
         for batch in batches:
             doc = batch.column("doc_id")
             null, doc = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_chunks(batch):
+            for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
                 tokens, n = codec.encode(data, offsets)
                 tokens = np.insert(tokens, np.cumsum(n), end_id).astype(np.uint32)
                 held.append((doc[lo:hi], null[lo:hi], n + 1, tokens))

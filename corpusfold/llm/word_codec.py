@@ -24,10 +24,13 @@ _LATIN = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 _PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
 _PLAIN = re.compile(rf"[\t\n\r -~A-Z\u00c0-\u00d6\u00d8-\u00de{_LATIN}]*")
 _SPECIAL = re.compile(r"<\|")
-KNOWN = 1 << 20
-_SLOTS = 1 << 20
-_SLOT_SHIFT = np.uint64(44)
-_CODECS: dict[str, "WordCodec"] = {}
+TABLE_BYTES = 16 << 20           # a larger table is emptied before the next chunk
+CHUNK = 512 << 10               # bytes of text of a chunk: its arrays take some 60 times as much
+_STRING_BYTES = 160             # of a string in the dictionary
+_BATCH = 1 << 12
+_SLOTS = 1 << 17
+_SLOT_SHIFT = np.uint64(47)
+_CODECS: dict[tuple, "WordCodec"] = {}
 
 
 def pretokens(text: str) -> list[str] | None:
@@ -140,14 +143,19 @@ class WordCodec:
     """Ids of pre-tokens; one per worker and vocabulary file (see ``of``).
 
     A row of the table is found by the pre-token's 64-bit hash (plain documents)
-    or by its string (all others).
+    or by its string (all others). New hashes go to a short sorted array that is
+    merged into the long one now and then. The table outlives a task, as learning it
+    anew costs more than all the rest, and is emptied beyond ``TABLE_BYTES``.
     """
 
-    @staticmethod
-    def of(path: str) -> "WordCodec":
-        if path not in _CODECS:
-            _CODECS[path] = WordCodec(path)
-        return _CODECS[path]
+    plain = Plain
+    pieces = staticmethod(pieces)
+
+    @classmethod
+    def of(cls, path: str) -> "WordCodec":
+        if (cls, path) not in _CODECS:
+            _CODECS[cls, path] = cls(path)
+        return _CODECS[cls, path]
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
@@ -155,41 +163,45 @@ class WordCodec:
 
     def clear(self):
         self.known: dict[str, int] = {}
-        self.hash = np.zeros(0, np.uint64)
-        self.row = np.zeros(0, np.int64)
-        self.first = np.zeros(_SLOTS + 1, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.late_hash, self.late_row = self.hash, self.row
+        self.first = np.zeros(_SLOTS + 1, np.int32)
+        self.flat = np.zeros(1 << 14, np.uint32)
         self.used = 0
         self.rows = 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
+        self.start = np.zeros(1 << 14, np.int32)
+        self.length = np.zeros(1 << 14, np.int32)
+
+    def bytes_held(self) -> int:
+        arrays = (self.hash, self.row, self.late_hash, self.late_row, self.flat, self.start, self.length)
+        return sum(a.nbytes for a in arrays) + _STRING_BYTES * len(self.known)
 
     def library_ids(self, strings: list[str]) -> Iterator[list[int]]:
-        for lo in range(0, len(strings), 1 << 14):
-            for e in self.tokenizer.encode_batch_fast(strings[lo:lo + (1 << 14)], add_special_tokens=False):
+        for lo in range(0, len(strings), _BATCH):
+            for e in self.tokenizer.encode_batch_fast(strings[lo:lo + _BATCH], add_special_tokens=False):
                 yield e.ids
 
     def _append(self, strings: list[str]) -> np.ndarray:
         """New rows with the ids of the strings."""
         ids = list(self.library_ids(strings))
         n0, n1 = self.rows, self.rows + len(strings)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         total = self.used + int(lengths.sum())
         for name, need in (("flat", total), ("start", n1), ("length", n1)):
             a = getattr(self, name)
             if need > len(a):
-                setattr(self, name, np.concatenate([a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)]))
+                setattr(self, name, np.concatenate([a, np.zeros(max(need, len(a) * 3 // 2) - len(a), a.dtype)]))
         self.flat[self.used:total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
         self.length[n0:n1] = lengths
         self.start[n0:n1] = self.used + np.cumsum(lengths) - lengths
         self.used, self.rows = total, n1
-        return np.arange(n0, n1)
+        return np.arange(n0, n1, dtype=np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 where it is new."""
-        slot = (h >> _SLOT_SHIFT).astype(np.int64)
+        slot = (h >> _SLOT_SHIFT).astype(np.int32)
         at, end = self.first[slot], self.first[slot + 1]
-        out = np.full(len(h), -1)
+        out = np.full(len(h), -1, np.int32)
         live = np.flatnonzero(at < end)
         while len(live):
             hit = self.hash[at[live]] == h[live]
@@ -197,8 +209,24 @@ class WordCodec:
             live = live[~hit]
             at[live] += 1
             live = live[at[live] < end[live]]
+        if len(self.late_hash):
+            live = np.flatnonzero(out < 0)
+            at = np.searchsorted(self.late_hash, h[live])
+            at[at == len(self.late_hash)] = 0
+            hit = self.late_hash[at] == h[live]
+            out[live[hit]] = self.late_row[at[hit]]
         return out
 
+    def _learn(self, fresh: np.ndarray, rows: np.ndarray) -> None:
+        at = np.searchsorted(self.late_hash, fresh)
+        self.late_hash, self.late_row = np.insert(self.late_hash, at, fresh), np.insert(self.late_row, at, rows)
+        if len(self.late_hash) > max(1 << 12, len(self.hash) // 4):
+            both = np.concatenate([self.hash, self.late_hash])
+            order = np.argsort(both, kind="stable")         # two sorted runs: merged
+            self.hash, self.row = both[order], np.concatenate([self.row, self.late_row])[order]
+            self.late_hash, self.late_row = self.hash[:0], self.row[:0]
+            np.cumsum(np.bincount((self.hash >> _SLOT_SHIFT).astype(np.int32), minlength=_SLOTS), out=self.first[1:])
+
     def _plain_rows(self, plain: Plain) -> np.ndarray:
         h = plain.hashes()
         row = self._find(h)
@@ -207,29 +235,27 @@ class WordCodec:
             fresh, first, back = np.unique(h[new], return_index=True, return_inverse=True)
             added = self._append([plain.string(i) for i in new[first]])
             row[new] = added[back]
-            at = np.searchsorted(self.hash, fresh)
-            self.hash, self.row = np.insert(self.hash, at, fresh), np.insert(self.row, at, added)
-            np.cumsum(np.bincount((self.hash >> _SLOT_SHIFT).astype(np.int64), minlength=_SLOTS), out=self.first[1:])
+            self._learn(fresh, added)
         return row
 
     def rows_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(table rows of all pre-tokens of the documents of a chunk, number of pre-tokens of each document)."""
-        if self.rows > KNOWN:
+        if self.bytes_held() > TABLE_BYTES:
             self.clear()
-        plain = Plain(data, offsets)
+        plain = self.plain(data, offsets)
         rows, counts = self._plain_rows(plain), plain.counts
         slow = np.flatnonzero(plain.slow)
         if not len(slow):
             return rows, counts
-        parts = [pieces(data[offsets[d]:offsets[d + 1]].tobytes()) for d in slow]
+        parts = [self.pieces(data[offsets[d]:offsets[d + 1]].tobytes()) for d in slow]
         flat = list(chain.from_iterable(parts))
         new = list(set(flat) - self.known.keys())
         self.known.update(zip(new, self._append(new).tolist()))
-        other = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        other = np.fromiter(map(self.known.__getitem__, flat), np.int32, len(flat))
         counts = counts.copy()
         counts[slow] = list(map(len, parts))
         begin = np.cumsum(counts) - counts
-        out = np.empty(len(rows) + len(other), np.int64)
+        out = np.empty(len(rows) + len(other), np.int32)
         out[ragged_index(begin[slow], counts[slow])] = other
         fast = np.flatnonzero(~plain.slow)
         out[ragged_index(begin[fast], counts[fast])] = rows
@@ -238,7 +264,7 @@ class WordCodec:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a chunk one after the other, number of ids of each)."""
         rows, counts = self.rows_of(data, offsets)
-        n = self.length[rows]
+        n = self.length[rows].astype(np.int64)
         per_text = np.diff(np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)]])
         return self.flat[ragged_index(self.start[rows], n)], per_text
 
