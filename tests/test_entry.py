@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from given_tables import SF001
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 OWN = [q for q in E.queries() if q != "pipeline" and not re.match(r"op\d+_", q)]     # the others have tests of their own

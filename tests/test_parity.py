@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from conftest import SF001
+from given_tables import SF001
 from corpusfold.functions import rules as R
 from corpusfold.operators import classify as C
 from corpusfold.plans import fixtures as X

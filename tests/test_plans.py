@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from given_tables import SF001
 
 
 def _plan(spark, df, executed=False):
@@ -30,7 +30,7 @@ def test_registry_is_pushed_into_the_scan(spark):
     assert any("In(event_type, [click,purchase,refund,signup,view])" in l for l in pushed), pushed
 
 
-@pytest.mark.parametrize("name", ["head_eval", "batch_sample", "domain_top_libraries"])
+@pytest.mark.parametrize("name", ["head_eval", "domain_top_libraries"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     plan = _plan(spark, E.queries()[name](spark, SF001), executed=True)
     assert "WindowGroupLimit" in plan and "Partial" in plan

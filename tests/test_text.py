@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from given_tables import SF001
 from corpusfold.functions import text as T
 from corpusfold.functions.regex import java_regex, required_literals
 
