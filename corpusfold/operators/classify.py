@@ -24,6 +24,8 @@ from corpusfold.functions import rules as R
 from corpusfold.functions.regex import java_regex, java_regex_folded, required_literals
 from corpusfold.functions.text import PY_WHITESPACE as _PY_WS
 from corpusfold.functions.text import col_or_empty, line_count, norm
+from corpusfold.operators.isolate import BatchFn, ItemFn, by_item, isolated
+from corpusfold.session import ship_package
 
 RESULT_TYPE = "struct<domain:string,score:double,reason:string>"
 
@@ -169,10 +171,18 @@ class Stage:
     ``(pre, finish)``: ``pre`` is materialised first and ``finish(col(pre))``
     gives the result. Splitting lets a result reuse an expensive value
     without evaluating it twice.
+
+    A stage of Python code has ``rows`` instead (a batch function, see
+    :mod:`corpusfold.operators.isolate`); it reads the prepared texts ``needs`` and
+    the item columns ``inputs``. ``failed(domains)`` of a column stage is an error
+    text, null where the stage is fine.
     """
     name: str
-    build: Callable[[Sequence[str]], Column | tuple[Column, Callable[[Column], Column]]]
+    build: Callable[[Sequence[str]], Column | tuple[Column, Callable[[Column], Column]]] | None
     needs: tuple[str, ...] = ()
+    inputs: tuple[str, ...] = ()
+    rows: BatchFn | None = None
+    failed: Callable[[Sequence[str]], Column] | None = None
 
 
 def _library_build(domains: Sequence[str]) -> Column:
@@ -297,13 +307,35 @@ DEFAULT_STAGES: tuple[Stage, ...] = (LIBRARY, PATTERNS, STRUCTURE, KEYWORDS, COM
 
 
 def stage_from_column_fn(name: str, fn: Callable[[Sequence[str]], Column],
-                         needs: Sequence[str] | None = None) -> Stage:
+                         needs: Sequence[str] | None = None, inputs: Sequence[str] = (),
+                         failed: Callable[[Sequence[str]], Column] | None = None) -> Stage:
     """Wrap a user function ``domains -> Column of RESULT_TYPE`` as a chain stage.
 
-    The function may read the prepared text columns (``T_*`` names) or any
-    input column; a ``pandas_udf`` returning the struct is accepted as well.
+    The function may read the prepared text columns (``T_*`` names) or the item
+    columns named in ``inputs``; a ``pandas_udf`` returning the struct is accepted as
+    well. An expression is evaluated inside generated code, where nothing can be
+    caught: write what may fail with Spark's ``try_`` forms (``try_cast``,
+    ``try_divide``, ``try_element_at``), so that the row has no result, and let
+    ``failed`` name the error of such rows if they are to be counted.
+    """
+    return Stage(name, fn, tuple(needs if needs is not None else ALL_TEXTS), tuple(inputs), failed=failed)
+
+
+def stage_from_batch_fn(name: str, fn: BatchFn, needs: Sequence[str] = (), inputs: Sequence[str] = ()) -> Stage:
+    """Wrap ``(rows, domains) -> DataFrame(domain, score, reason)`` over pandas batches as a chain stage.
+
+    ``rows`` has the prepared texts ``needs`` and the item columns ``inputs``; where
+    neither is named, prompt and code (``T_PROMPT_CODE``).
+
+    Rows on which it raises have no result from this stage (C6), and only rows no
+    earlier stage has settled are shown to it.
     """
-    return Stage(name, fn, tuple(needs if needs is not None else ALL_TEXTS))
+    return Stage(name, None, tuple(needs or (() if inputs else (T_PROMPT_CODE,))), tuple(inputs), rows=fn)
+
+
+def stage_from_item_fn(name: str, fn: ItemFn, needs: Sequence[str] = (), inputs: Sequence[str] = ()) -> Stage:
+    """Wrap ``(item, domains) -> (domain, score, reason) or None`` over single items, isolated as above."""
+    return stage_from_batch_fn(name, by_item(fn), needs, inputs)
 
 
 # ----------------------------------------------------------------- operators
@@ -322,6 +354,15 @@ def _build_cached(stage: Stage, domains: Sequence[str]):
 
 def _add_stage(df: DataFrame, stage: Stage, domains: Sequence[str], out: str,
                gate: Column | None) -> DataFrame:
+    """Adds ``out`` (the result) and, for stages that can fail, ``out + "_err"`` (an error text)."""
+    if stage.rows is not None:
+        ship_package(df.sparkSession)
+        fields = [F.col(c) for c in dict.fromkeys([*stage.needs, *stage.inputs])]
+        ran = isolated(stage.rows, domains)(F.struct(*fields), F.lit(True) if gate is None else gate)
+        df = df.withColumn(out + "_ran", ran)
+        got = F.col(out + "_ran")
+        result = F.when(got["score"].isNotNull(), make_result(got["domain"], got["score"], got["reason"]))
+        return df.withColumns({out: result.cast(RESULT_TYPE), out + "_err": got["error"]}).drop(out + "_ran")
     built = _build_cached(stage, domains)
     if isinstance(built, tuple):
         pre, finish = built
@@ -330,22 +371,35 @@ def _add_stage(df: DataFrame, stage: Stage, domains: Sequence[str], out: str,
         df = df.withColumn(pre_name, pre)
         return df.withColumn(out, finish(F.col(pre_name)).cast(RESULT_TYPE)).drop(pre_name)
     res = built if gate is None else F.when(gate, built)
-    return df.withColumn(out, res.cast(RESULT_TYPE))
+    added = {out: res.cast(RESULT_TYPE)}
+    if stage.failed is not None:
+        error = stage.failed(domains)
+        added[out + "_err"] = (error if gate is None else F.when(gate, error)).cast("string")
+    return df.withColumns(added)
+
+
+def _errors(df: DataFrame, stages: Sequence[Stage], names: Sequence[str]) -> Column:
+    """array<struct<stage, error>> of the stages that failed on the row."""
+    each = [F.when(F.col(f"{n}_err").isNotNull(), F.struct(F.lit(st.name).alias("stage"), F.col(f"{n}_err").alias("error")))
+            for st, n in zip(stages, names) if f"{n}_err" in df.columns]
+    none = F.array().cast("array<struct<stage:string,error:string>>")
+    return F.array_compact(F.array(*each)) if each else none
 
 
 def classify_stage(df: DataFrame, stage: Stage, domains: Sequence[str], *,
                    prompt: str = "prompt", code: str = "code", library: str | None = "library",
-                   keep: Sequence[str] = ("item_id",)) -> DataFrame:
-    """Run one classifier (C1-C5) and return ``keep`` + domain, score, reason (null = no result)."""
-    prepared = prepare_text(df.select(*_needed_inputs(df, keep, prompt, code, library)),
+                   keep: Sequence[str] = ("item_id",), with_errors: bool = False) -> DataFrame:
+    """Run one classifier (C1-C5, C9) and return ``keep`` + domain, score, reason (null = no result)."""
+    prepared = prepare_text(df.select(*_needed_inputs(df, [*keep, *stage.inputs], prompt, code, library)),
                             prompt, code, library, stage.needs)
     out = _add_stage(prepared, stage, domains, "_cf_res", None)
     return out.select(*keep, F.col("_cf_res.domain").alias("domain"),
                       F.col("_cf_res.score").alias("score"),
-                      F.col("_cf_res.reason").alias("reason"))
+                      F.col("_cf_res.reason").alias("reason"),
+                      *([_errors(out, [stage], ["_cf_res"]).alias("errors")] if with_errors else []))
 
 
-_OUTPUTS = ("domain", "score", "reason")
+_OUTPUTS = ("domain", "score", "reason", "errors")
 
 
 def _kept(df: DataFrame, keep: Sequence[str] | None) -> list[str]:
@@ -365,12 +419,15 @@ def _needed_inputs(df: DataFrame, keep: Sequence[str], *names: str | None) -> li
 def classify_chain(df: DataFrame, domains: Sequence[str], default_domain: str, *,
                    stages: Sequence[Stage] = DEFAULT_STAGES,
                    prompt: str = "prompt", code: str = "code", library: str | None = "library",
-                   keep: Sequence[str] | None = ("item_id",), with_score: bool = False) -> DataFrame:
+                   keep: Sequence[str] | None = ("item_id",), with_score: bool = False,
+                   with_errors: bool = False) -> DataFrame:
     """Ordered chain with early stop at 0.9 and acceptance at 0.3.
 
     Result = the first stage scoring >= 0.9 if any, else the highest score
     (earliest stage on ties); below 0.3 the row goes to ``default_domain`` with
-    reason ``Default fallback``. ``keep=None`` keeps every input column.
+    reason ``Default fallback``. ``keep=None`` keeps every input column. A stage that
+    fails on a row is skipped there; ``with_errors`` adds ``errors``, the failures of
+    the row, for :func:`corpusfold.operators.isolate.stage_errors`.
 
     The result is a lazy projection. Before joining or filtering on ``domain``,
     checkpoint it (``corpusfold.session.cut_lineage``) or write it out: Catalyst
@@ -385,7 +442,8 @@ def classify_chain(df: DataFrame, domains: Sequence[str], default_domain: str, *
         for n in st.needs:
             if n not in needs:
                 needs.append(n)
-    base = df if keep is None else df.select(*_needed_inputs(df, keep_cols, prompt, code, library))
+    inputs = [c for st in stages for c in st.inputs]
+    base = df if keep is None else df.select(*_needed_inputs(df, [*keep_cols, *inputs], prompt, code, library))
     out = prepare_text(base, prompt, code, library, needs)
 
     names: list[str] = []
@@ -417,6 +475,8 @@ def classify_chain(df: DataFrame, domains: Sequence[str], default_domain: str, *
             F.coalesce(F.when(accepted, chosen_reason), F.lit(R.CHAIN_FALLBACK_REASON)).alias("reason")]
     if with_score:
         cols.append(F.when(accepted, chosen_score).alias("score"))
+    if with_errors:
+        cols.append(_errors(out, stages, names).alias("errors"))
     return out.select(*cols)
 
 
