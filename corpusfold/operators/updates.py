@@ -51,6 +51,35 @@ def accepted(log: DataFrame, reg: DataFrame | Sequence[str], keys: Sequence[str]
     return log.join(reg, on=list(keys), how="left_semi")
 
 
+def first_registrations(registrations: DataFrame, keys: Sequence[str] = ("expert",), order: str = "seq") -> DataFrame:
+    """(keys, order) of each expert's first registration; later ones change nothing (one narrow aggregation)."""
+    return registrations.groupBy(*keys).agg(F.min(order).alias(order)).where(F.col(order).isNotNull())
+
+
+def accepted_in_time(log: DataFrame, registrations: DataFrame, keys: Sequence[str] = ("expert",), order: str = "seq") -> DataFrame:
+    """The pushes behind their expert's first registration in the log of registrations (keys, order).
+
+    A push before it is dropped silently, as if it had never come; a registration at
+    the place of a push comes first. The first registrations and the narrow pushes are
+    merged by one range sort (a hot expert takes many partitions); nothing is compared
+    pair by pair. Pushes or registrations without ``order`` have no place in time: the
+    former are dropped, the latter ignored.
+    """
+    keys = list(keys)
+    if any(_is_wide(t) for _c, t in log.dtypes):
+        pushes = log.select(*keys, order).distinct()
+        return log.join(_behind_registration(pushes, registrations, keys, order).select(*keys, order), [*keys, order], "left_semi")
+    return _behind_registration(log, registrations, keys, order).drop("_cf_pos", "_cf_first")
+
+
+def _behind_registration(narrow: DataFrame, registrations: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Narrow pushes behind the first registration, with ``_cf_pos`` and ``_cf_first`` (its position)."""
+    firsts = first_registrations(registrations, keys, order).withColumn("_cf_reg", F.lit(True))
+    both = narrow.where(F.col(order).isNotNull()).withColumn("_cf_reg", F.lit(False)).unionByName(firsts, allowMissingColumns=True)
+    ranked = running_rank(both, keys, order, out="_cf_pos", mark="_cf_reg", mark_out="_cf_first")
+    return ranked.where(~F.col("_cf_reg") & (F.col("_cf_pos") > F.col("_cf_first"))).drop("_cf_reg")
+
+
 # -------------------------------------------------------------------- decay
 
 def decay(staleness: Column) -> Column:
@@ -64,10 +93,12 @@ def _is_wide(dtype: str) -> bool:
 
 
 def with_versions(log: DataFrame, keys: Sequence[str] = ("expert",), order: str = "seq",
-                  base: DataFrame | None = None) -> DataFrame:
+                  base: DataFrame | None = None, registrations: DataFrame | None = None) -> DataFrame:
     """Add ``version`` (the version the push meets), ``staleness`` and ``decay``.
 
     ``base`` (keys, version) holds the versions reached before this log (none: 0).
+    ``registrations`` (keys, order) drops pushes before their expert's first
+    registration in the same sort (see :func:`accepted_in_time`).
 
     Narrow logs are numbered in place. When rows carry deltas (arrays), only
     ``(keys, seq, worker_version)`` - one row per push - is ranked, and the decay is
@@ -85,10 +116,16 @@ def with_versions(log: DataFrame, keys: Sequence[str] = ("expert",), order: str
                 .withColumn("staleness", F.col("version") - F.col("worker_version"))
                 .withColumn("decay", decay(F.col("staleness"))))
 
+    def positions(narrow: DataFrame) -> DataFrame:
+        if registrations is None:
+            return running_rank(narrow, keys, order, out="_cf_pos")
+        behind = _behind_registration(narrow, registrations, keys, order)
+        return behind.withColumn("_cf_pos", F.col("_cf_pos") - F.col("_cf_first")).drop("_cf_first")
+
     if not any(_is_wide(t) for _c, t in log.dtypes):
-        return decorate(running_rank(log, keys, order, out="_cf_pos"))
+        return decorate(positions(log))
     pushes = log.select(*keys, order, "worker_version").dropDuplicates([*keys, order])
-    ranked = decorate(running_rank(pushes, keys, order, out="_cf_pos"))
+    ranked = decorate(positions(pushes))
     return log.drop("worker_version").join(ranked, on=[*keys, order], how="inner")
 
 
@@ -98,9 +135,10 @@ def _weight() -> Column:
 
 # ----------------------------------------------------------- scalar deltas
 
-def fold_scalar(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta") -> DataFrame:
+def fold_scalar(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta",
+                registrations: DataFrame | None = None) -> DataFrame:
     """U2 for scalar deltas: per key the version reached and the decayed sum."""
-    v = with_versions(log, keys)
+    v = with_versions(log, keys, registrations=registrations)
     return v.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("version"),
                                 F.coalesce(F.sum(_weight() * F.col(delta)), F.lit(0.0)).alias("state"))
 
@@ -114,9 +152,18 @@ def expert_states(reg: DataFrame | Sequence[str], log: DataFrame, delta: str = "
                     F.coalesce("state", F.lit(0.0)).alias("state")))
 
 
-def global_scalar(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta") -> DataFrame:
-    """Every push also lands on the global state with weight 1/1 (single-expert batch)."""
-    v = with_versions(log, keys)
+def expert_states_in_time(registrations: DataFrame, log: DataFrame, delta: str = "delta") -> DataFrame:
+    """U1 + U2: every expert of the log of registrations (expert, seq) with its state; version 0 and state 0 without pushes behind it."""
+    folded = fold_scalar(log, delta=delta, registrations=registrations)
+    return (first_registrations(registrations).select("expert").join(folded, "expert", "left")
+            .select("expert", F.coalesce("version", F.lit(0)).cast("bigint").alias("version"),
+                    F.coalesce("state", F.lit(0.0)).alias("state")))
+
+
+def global_scalar(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta",
+                  registrations: DataFrame | None = None) -> DataFrame:
+    """Every accepted push also lands on the global state with weight 1/1 (single-expert batch)."""
+    v = with_versions(log, keys, registrations=registrations)
     return v.agg(F.count(F.lit(1)).cast("bigint").alias("global_version"),
                  F.coalesce(F.sum(_weight() * F.col(delta)), F.lit(0.0)).alias("global_state"))
 
@@ -152,6 +199,13 @@ def _judged(log: DataFrame, groups: Sequence[str], version_keys: Sequence[str],
     return v.withColumn("reason", reason), known
 
 
+def judged_scalars(log: DataFrame, state: DataFrame | None = None, delta: str = "delta") -> DataFrame:
+    """Scalar pushes as vectors of one number, judged alike: only an undefined decay keeps one from adding (a null adds 0)."""
+    v = with_versions(log, ["expert"], base=state)
+    reason = F.when(F.col("decay").isNull(), "undefined decay").otherwise(F.lit(None).cast("string"))
+    return v.withColumns({delta: F.array(F.coalesce(F.col(delta).cast("double"), F.lit(0.0))), "dim": F.lit(1), "reason": reason})
+
+
 def rejected(log: DataFrame, keys: Sequence[str] = ("expert",), delta: str = "delta", dim: int | None = None) -> DataFrame:
     """(keys, seq, reason) of the pushes that count but add nothing."""
     v, _ = _judged(log, keys, keys, delta, dim)

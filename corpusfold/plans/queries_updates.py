@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusfold.plans import fixtures as X
 from corpusfold.plans.catalog import register, rounded
+from corpusfold.operators import history as H
 from corpusfold.operators import updates as U
-from corpusfold.session import cut_lineage
+from corpusfold.session import cut_lineage, scratch_path
 
 
 # ------------------------------------------------------------- update folds
@@ -256,6 +257,78 @@ def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.select("expert", "version", "pos", F.round("value", 6).alias("value"))
 
 
+def timed_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pushes, registrations): every 37th event of a type registers it (again and again), 'error' is never registered."""
+    e = X.table(spark, sf_dir, "events")
+    registers = F.col("event_id") % 37 == 5
+    pushes = e.where(~registers).select(F.col("event_type").alias("expert"), F.col("event_id").alias("seq"), F.col("value").alias("delta"),
+                                        (F.col("event_id") % 4).alias("worker_version"))
+    return pushes, e.where(registers & (F.col("event_type") != "error")).select(F.col("event_type").alias("expert"), F.col("event_id").alias("seq"))
+
+
+_TIMED_SQL = f"""
+reg AS (SELECT event_type AS expert, min(event_id) AS first FROM events WHERE event_id % 37 = 5 AND event_type <> 'error' GROUP BY 1),
+  late AS (SELECT event_type AS expert, event_id AS seq, value AS delta, event_id % 4 AS worker_version FROM events e JOIN reg ON reg.expert = e.event_type
+           WHERE event_id % 37 <> 5 AND event_id > first),
+  {_fold_cte('late')}"""
+
+
+@register("timed_registration", "WITH " + _TIMED_SQL.strip() + """,
+  f AS (SELECT expert, count(*) AS version, sum(1.0e0 * decay * delta) AS state FROM d GROUP BY expert)
+SELECT reg.expert, CAST(coalesce(f.version, 0) AS BIGINT) AS version, round(coalesce(f.state, 0.0), 6) AS state
+FROM reg LEFT JOIN f ON f.expert = reg.expert
+UNION ALL SELECT '*', CAST(count(*) AS BIGINT), round(coalesce(sum(1.0e0 * decay * delta), 0.0), 6) FROM d""")
+def timed_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 in time: pushes before their expert's first registration are dropped; versions count from 0 behind it."""
+    log, registrations = timed_log(spark, sf_dir)
+    every = U.expert_states_in_time(registrations, log)
+    whole = U.global_scalar(log, registrations=registrations)
+    rows = every.unionByName(whole.select(F.lit("*").alias("expert"), F.col("global_version").alias("version"), F.col("global_state").alias("state")))
+    return rows.select("expert", "version", F.round("state", 6).alias("state"))
+
+
+HISTORY_POINTS = [0, 57, 120, 199, 200, 333, 10**9]
+HISTORY_CUT = 200               # the log is written up to here, then the rest is appended
+_POINTS_SQL = "(VALUES " + ", ".join(f"({p})" for p in HISTORY_POINTS) + ") AS pt(as_of)"
+
+
+def written_history(spark: SparkSession, sf_dir: str) -> str:
+    log = X.vector_pushes(spark, sf_dir).select("expert", "seq", "worker_version", "delta")
+    path = scratch_path(spark, "history")
+    H.write_history(log.where(F.col("seq") < HISTORY_CUT), path, every=8)
+    H.append_history(log.where(F.col("seq") >= HISTORY_CUT), path)
+    return path
+
+
+@register("state_history", X.with_views(f"""
+{_fold_cte('vector_pushes')},
+  e AS (SELECT expert, seq, decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d),
+  m AS (SELECT DISTINCT expert, as_of FROM d CROSS JOIN {_POINTS_SQL} WHERE (as_of < {HISTORY_CUT} AND seq < {HISTORY_CUT}) OR as_of >= {HISTORY_CUT}),
+  c AS (SELECT m.expert, as_of, count(d.seq) AS version FROM m LEFT JOIN d ON d.expert = m.expert AND d.seq <= as_of GROUP BY ALL),
+  s AS (SELECT expert, as_of, pos, sum(1.0e0 * decay * x) AS value FROM e JOIN {_POINTS_SQL} ON seq <= as_of GROUP BY ALL)
+SELECT CAST(c.as_of AS BIGINT) AS as_of, c.expert, CAST(version AS BIGINT) AS version, CAST(p.pos AS INTEGER) AS pos, round(coalesce(value, 0.0), 6) AS value
+FROM c CROSS JOIN (SELECT unnest(range({COMBINE_DIM})) AS pos) p LEFT JOIN s ON s.expert = c.expert AND s.as_of = c.as_of AND s.pos = p.pos""",
+    vector_pushes=X.VECTOR_PUSHES_SQL))
+def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8: all experts' weights and versions after each of several pushes, from a written history in one pass."""
+    states = H.read_as_of(spark, written_history(spark, sf_dir), HISTORY_POINTS)
+    return states.select("as_of", "expert", "version", F.posexplode("state").alias("pos", "value")).select(
+        "as_of", "expert", "version", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@register("global_history", X.with_views(f"""
+{_fold_cte('vector_pushes')},
+  e AS (SELECT seq, decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d),
+  s AS (SELECT as_of, pos, coalesce(sum(1.0e0 * decay * x), 0.0) AS value FROM e JOIN {_POINTS_SQL} ON seq <= as_of GROUP BY ALL)
+SELECT CAST(as_of AS BIGINT) AS as_of, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value,
+       (SELECT CAST(count(*) AS BIGINT) FROM d WHERE seq <= as_of) AS global_version FROM s""", vector_pushes=X.VECTOR_PUSHES_SQL))
+def global_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8 + U3: the global weights and version after each of several pushes, from the same history."""
+    states = H.global_as_of(spark, written_history(spark, sf_dir), HISTORY_POINTS)
+    return states.select("as_of", "global_version", F.posexplode("global_state").alias("pos", "value")).select(
+        "as_of", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"), "global_version")
+
+
 def odd_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector log with cut deltas (seq % 7 = 3) and workers 20 versions ahead (seq % 11 = 5)."""
     return X.vector_pushes(spark, sf_dir).select(

@@ -75,7 +75,41 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-__all__ = ["build_session", "checkpoint_dir", "scratch_path", "cut_lineage", "path_exists"]
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store; none if it is not there."""
+    if not path_exists(spark, path):
+        return []
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(hpath))
+
+
+def mark_path(spark: SparkSession, path: str) -> None:
+    """Create an empty file (a mark that something is complete)."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hpath, True).close()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that the library itself has written."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Put a finished table in the place of ``path``."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if target.getParent() is not None:
+        fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"{new} could not take the place of {path}")
+
+
+__all__ = ["build_session", "checkpoint_dir", "scratch_path", "cut_lineage", "path_exists", "list_names", "mark_path", "remove_path",
+           "replace_path"]
 
 
 def ship_package(spark: SparkSession) -> None:
