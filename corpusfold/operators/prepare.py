@@ -2,18 +2,18 @@
 
 Schedules and expert sets are tiny driver-side configuration turned into
 DataFrames; everything that touches items is a join against them (the
-config side has a size bound given by its own length) or a per-group
-limited window.
+config side has a size bound given by its own length) or on numbered rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusfold.functions.text import supervised_text
+from corpusfold.operators.sequence import running_rank
 
 
 def parse_expert_sets(spec: str) -> list[list[str]]:
@@ -84,22 +84,49 @@ def rehearsal_mix(corpus: DataFrame, weights: DataFrame, key: str = "item_id") -
     return j.filter(keep).select("strategy", "phase", "domain", key)
 
 
+SHUFFLE_ROUNDS = 24             # swap-or-not rounds of a permutation
+
+
+def _draw(*parts) -> F.Column:
+    """32 reproducible bits (the first of the md5 of the joined parts)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
+
+
+def permuted(x: F.Column, n: F.Column, *key: F.Column, rounds: int = SHUFFLE_ROUNDS) -> F.Column:
+    """Where a keyed pseudo-random permutation of 0 .. n - 1 sends ``x``: swap-or-not, a permutation for any ``n``.
+
+    In each round x and its mirror image (k - x mod n, for a keyed k) change places or
+    not, as a keyed bit of the larger of the two says; both see the same bit, so no two
+    numbers meet. No table of n entries and no sort is needed.
+    """
+    def turn(acc, r):
+        mirror = F.pmod(_draw(*key, r) - acc, n)
+        return F.when(_draw(*key, r, F.greatest(acc, mirror)) % 2 == 1, mirror).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("bigint"), turn)
+
+
 def batch_sample(df: DataFrame, steps: int, batch_size: int, group_col: str | None = "domain",
                  key: str = "item_id") -> DataFrame:
-    """For each group and step, ``min(batch_size, n)`` rows without replacement, ordered by a
-    hash of (step, key). ``row_number() <= b`` gets a partial WindowGroupLimit before the shuffle.
+    """For each group and step, ``min(batch_size, n)`` different rows.
 
-    ``group_col=None`` samples the whole dataset per step, as the reference's batch helper does
-    (it ignores the specialty it is given).
+    Rows are numbered once by ``key`` within their group (range partitions, a hot group
+    takes many); a step takes the rows that its permutation of the numbers puts first,
+    so the work is one narrow sort of the rows plus steps x batch_size numbers.
+    ``group_col=None`` samples the whole dataset per step, as the reference's batch
+    helper does (it ignores the specialty it is given).
     """
     if group_col is None:
         df = df.withColumn("_cf_all", F.lit("*"))
         return batch_sample(df, steps, batch_size, "_cf_all", key).drop("_cf_all")
-    per_step = df.select(group_col, key, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
-    order = F.md5(F.concat(F.col("step").cast("string"), F.lit(":"), F.col(key).cast("string")))
-    w = Window.partitionBy(group_col, "step").orderBy(order, key)
-    return (per_step.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= batch_size)
-            .select(group_col, F.col("step").cast("int").alias("step"), key))
+    rows = running_rank(df.select(group_col, key), [group_col], key, out="_cf_rank")
+    sizes = rows.groupBy(group_col).agg(F.max("_cf_rank").alias("_cf_n"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_cf_n"), F.lit(batch_size)) - 1)
+    wanted = (sizes.select(group_col, "_cf_n", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+              .select(group_col, "_cf_n", "step", F.explode(places).alias("_cf_at")))
+    rank = permuted(F.col("_cf_at"), F.col("_cf_n"), F.col("step")) + 1
+    wanted = wanted.select(F.col(group_col).alias("_cf_group"), "step", rank.alias("_cf_wanted"))
+    same = F.col(group_col).eqNullSafe(F.col("_cf_group")) & (F.col("_cf_rank") == F.col("_cf_wanted"))
+    return rows.join(wanted, same).select(group_col, F.col("step").cast("int").alias("step"), key)
 
 
 def supervised_dataset(df: DataFrame, prompt: str = "prompt", reference: str = "reference_code",

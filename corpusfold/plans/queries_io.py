@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from corpusfold.plans import oracle_classify as OC
 from corpusfold.plans.catalog import DECIMALS, REPORT_DOMAINS, ROUTE_DEFAULT, items_input, register
 from corpusfold.functions.text import sql_exact_match, sql_strip
 from corpusfold.operators import evaluate as EV
+from corpusfold.operators.isolate import stage_errors
 from corpusfold.operators import prepare as D
 from corpusfold.plans.queries_eval import HEAD_K, _pairs_sql, pairs_input
 from corpusfold.plans.queries_updates import _IN_REG, REGISTERED, _fold_cte
@@ -209,7 +211,7 @@ c AS ({OC.chain_sql(REPORT_DOMAINS, ROUTE_DEFAULT)}),
   a AS (SELECT domain, lib, count(*) AS cnt, min(item_id) AS f FROM r WHERE lib <> '' GROUP BY domain, lib),
   k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY cnt DESC, f) AS rank FROM a)
 SELECT domain AS key, 0 AS nth, printf('  %-15s %6d items (%5.1f%%)', domain, cnt, CASE WHEN total > 0 THEN 100.0 * cnt / total ELSE 0.0 END) AS line FROM d
-UNION ALL SELECT domain, 4, '    - Top libraries: ' || string_agg(lib || ' (' || cnt || ')', ', ' ORDER BY rank) FROM k WHERE rank <= 3 GROUP BY domain""",
+UNION ALL SELECT domain, 4, '    - Top libraries: ' || string_agg(lib || '(' || cnt || ')', ', ' ORDER BY rank) FROM k WHERE rank <= 5 GROUP BY domain""",
     items=X.ITEMS_SQL))
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domain and library lines of the text report, over a routed table that is written once."""
@@ -253,6 +255,71 @@ def caller_stage_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify_chain(items_input(spark, sf_dir), CALLER_DOMAINS, ROUTE_DEFAULT, stages=[stage, C.STRUCTURE])
 
 
+# Caller's stages that fail on some rows: a batch function, an item function and a column function.
+
+def _shebang(rows, domains):
+    if rows["code"].isna().any():
+        raise ValueError("no code")
+    hit = rows["code"].str.startswith("#!")
+    return pd.DataFrame({"domain": hit.map({True: "docs", False: None}), "score": hit.map({True: 0.95, False: None}), "reason": "Shebang"})
+
+
+_DIALECTS = {"mysql": ("sql", 0.6, "Dialect"), "pandas": ("python", 0.5, "Frames")}
+
+
+def _dialect(item, domains):
+    return _DIALECTS[item["library"]]
+
+
+def _statement_rate() -> tuple[F.Column, F.Column]:
+    """(lines per semicolon - null without one, semicolons) of the code."""
+    code = F.col(C.T_CODE)
+    count = lambda c: F.length(code) - F.length(F.replace(code, F.lit(c)))
+    return F.try_divide(count("\n"), count(";")), count(";")
+
+
+def _faulty_stages() -> list[C.Stage]:
+    rate, semicolons = _statement_rate()
+    statements = C.stage_from_column_fn(
+        "statements", lambda domains: F.when(rate <= 1, C.make_result(F.lit("javascript"), F.lit(0.4), F.lit("Statements"))),
+        failed=lambda domains: F.when(semicolons == 0, F.lit("division by zero")))
+    return [C.stage_from_batch_fn("shebang", _shebang, inputs=["code"]),
+            C.stage_from_item_fn("dialect", _dialect, inputs=["library"]), statements, C.STRUCTURE]
+
+
+_FAULTY_SQL = OC.stages_sql(CALLER_DOMAINS) + """,
+x AS (SELECT i.item_id, i.library, code IS NULL AS f1, coalesce(starts_with(code, '#!'), false) AS h1,
+        CASE library WHEN 'mysql' THEN 0.6 WHEN 'pandas' THEN 0.5 END AS s2, CASE library WHEN 'mysql' THEN 'sql' ELSE 'python' END AS d2,
+        CASE library WHEN 'mysql' THEN 'Dialect' ELSE 'Frames' END AS r2,
+        length(coalesce(code, '')) - length(replace(coalesce(code, ''), ';', '')) AS semis,
+        length(coalesce(code, '')) - length(replace(coalesce(code, ''), chr(10), '')) AS lines, s3_d AS d4, s3_s AS s4, s3_r AS r4
+      FROM items i JOIN st USING (item_id)),
+y AS (SELECT *, CASE WHEN semis > 0 AND lines <= semis THEN 0.4 END AS s3 FROM x),
+z AS (SELECT *, CASE WHEN h1 THEN 1 WHEN s4 >= 0.9 THEN 4 WHEN s2 = greatest(s2, s3, s4) THEN 2
+        WHEN s3 = greatest(s2, s3, s4) THEN 3 WHEN s4 IS NOT NULL THEN 4 END AS n FROM y)"""
+
+
+@register("faulty_stage_route", X.with_views(_FAULTY_SQL + """
+SELECT item_id, CASE n WHEN 1 THEN 'docs' WHEN 2 THEN d2 WHEN 3 THEN 'javascript' WHEN 4 THEN d4 ELSE 'python' END AS domain,
+       CASE n WHEN 1 THEN 'Shebang' WHEN 2 THEN r2 WHEN 3 THEN 'Statements' WHEN 4 THEN r4 ELSE 'Default fallback' END AS reason,
+       CAST(CASE WHEN h1 THEN 0 ELSE CAST(f1 AS INTEGER) + CAST(s2 IS NULL AS INTEGER) + CAST(semis = 0 AS INTEGER) END AS INTEGER) AS n_errors
+FROM z""", items=X.ITEMS_SQL))
+def faulty_stage_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages that raise on some rows are skipped for those rows only."""
+    routed = C.classify_chain(items_input(spark, sf_dir), CALLER_DOMAINS, ROUTE_DEFAULT, stages=_faulty_stages(), with_errors=True)
+    return routed.select("item_id", "domain", "reason", F.size("errors").alias("n_errors"))
+
+
+@register("faulty_stage_errors", X.with_views(_FAULTY_SQL + """
+SELECT 'shebang' AS stage, 'ValueError: no code' AS error, count(*) AS n FROM z WHERE f1 GROUP BY ALL
+UNION ALL SELECT 'dialect', 'KeyError: ' || coalesce(chr(39) || library || chr(39), 'None'), count(*) FROM z WHERE NOT h1 AND s2 IS NULL GROUP BY ALL
+UNION ALL SELECT 'statements', 'division by zero', count(*) FROM z WHERE NOT h1 AND semis = 0 GROUP BY ALL""", items=X.ITEMS_SQL))
+def faulty_stage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failures of the caller's stages, counted by stage and error."""
+    routed = C.classify_chain(items_input(spark, sf_dir), CALLER_DOMAINS, ROUTE_DEFAULT, stages=_faulty_stages(), with_errors=True)
+    return stage_errors(routed)
+
+
 @register("supervised_domains", X.with_views(f"""
 sp AS ({OC.specialty_sql(R.CANONICAL_SPECIALTIES, src='pitems')})
 SELECT sp.domain, p.item_id, 'Problem:' || chr(10) || {sql_strip("prompt")} || chr(10) || chr(10) || 'Answer:' || chr(10) || {sql_strip("reference_code")} || chr(10) AS text
@@ -311,10 +378,22 @@ def rehearsal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLE_STEPS, SAMPLE_BATCH = 3, 4
 
 
+def _draw_sql(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 8) AS BIGINT)"
+
+
+# swap-or-not rounds over (group, step, place) rows, one projection each
+_SWAPS_SQL = "s0 AS (SELECT domain, n, step, unnest(range(least(n, {b}))) AS x FROM sizes, steps)".format(b=SAMPLE_BATCH) + "".join(
+    f""", m{r} AS (SELECT *, (({_draw_sql('step', str(r))} - x) % n + n) % n AS y FROM s{r - 1}),
+  s{r} AS (SELECT domain, n, step, CASE WHEN {_draw_sql('step', str(r), 'greatest(x, y)')} % 2 = 1 THEN y ELSE x END AS x FROM m{r})"""
+    for r in range(1, D.SHUFFLE_ROUNDS + 1))
+
+
 @register("batch_sample", X.with_views(
-    f"SELECT domain, step, item_id FROM (SELECT s.domain, st.step, s.item_id, row_number() OVER "
-    f"(PARTITION BY s.domain, st.step ORDER BY md5(CAST(st.step AS VARCHAR) || ':' || CAST(s.item_id AS VARCHAR)), s.item_id) AS rn "
-    f"FROM split s, (SELECT CAST(range AS INTEGER) AS step FROM range(1, {SAMPLE_STEPS + 1})) st) x WHERE rn <= {SAMPLE_BATCH}",
+    f"numbered AS (SELECT domain, item_id, row_number() OVER (PARTITION BY domain ORDER BY item_id) - 1 AS x FROM split), "
+    f"sizes AS (SELECT domain, count(*) AS n FROM split GROUP BY domain), "
+    f"steps AS (SELECT CAST(range AS INTEGER) AS step FROM range(1, {SAMPLE_STEPS + 1})), {_SWAPS_SQL} "
+    f"SELECT domain, step, item_id FROM numbered JOIN s{D.SHUFFLE_ROUNDS} USING (domain, x)",
     items=X.ITEMS_SQL, split=OC.specialty_sql(R.CANONICAL_SPECIALTIES)))
 def batch_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per specialty (C8 split) and step, a 4-item batch drawn without replacement."""
@@ -399,3 +478,25 @@ def stream_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = ST.latest_states(spark, sink)
     return st.select("expert", "version", F.posexplode("state").alias("pos", "value")).select(
         "expert", "version", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@register("stream_state", X.with_views(f"""
+{_fold_cte('vector_pushes')},
+  e AS (SELECT expert, decay, unnest(delta) AS x, unnest(range(len(delta))) AS pos FROM d),
+  s AS (SELECT expert, pos, sum(1.0e0 * decay * x) AS value FROM e GROUP BY expert, pos UNION ALL
+        SELECT '*', pos, sum(1.0e0 * decay * x) FROM e GROUP BY pos),
+  c AS (SELECT expert, CAST(count(*) AS BIGINT) AS version FROM d GROUP BY expert UNION ALL SELECT '*', CAST(count(*) AS BIGINT) FROM d)
+SELECT s.expert, c.version, CAST(s.pos AS INTEGER) AS pos, round(s.value, 6) AS value
+FROM s JOIN c USING (expert)""", vector_pushes=X.VECTOR_PUSHES_SQL))
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U9 + U3: the embedding log as a stream whose files all come a second time under other names, with a
+    compaction every other micro-batch; experts' states and the global one ('*')."""
+    src = scratch_path(spark, "twice-stream")
+    ST.write_push_files(X.vector_pushes(spark, sf_dir), src, STREAM_STEPS, FILES_A_STEP)
+    spark.read.schema(ST.VECTOR_PUSH_SCHEMA).parquet(src).coalesce(2).write.mode("append").parquet(src)
+    sink, ckpt = scratch_path(spark, "twice-out"), scratch_path(spark, "twice-ckpt")
+    ST.stream_fold(spark, src, sink, ckpt, files_per_trigger=FILES_A_STEP, vector=True, compact_every=2)
+    whole = ST.latest_global(spark, sink).select(F.lit("*").alias("expert"), F.col("global_version").alias("version"), F.col("global_state").alias("state"))
+    return ST.latest_states(spark, sink).unionByName(whole).select(
+        "expert", "version", F.posexplode("state").alias("pos", "value")).select(
+        "expert", "version", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))

@@ -3,35 +3,47 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusfold.session import cut_lineage, replace_path
+
 
 def write_domains(classified: DataFrame, out: str, order_col: str = "item_id",
                   domains: Sequence[str] | None = None, files_per_domain: int | None = None) -> None:
     """One directory per domain (``domain=<name>``) holding the raw lines, overwritten.
 
     By default there is no shuffle: each task writes its own rows per domain,
-    sorted by ``order_col`` (tasks x domains files). ``files_per_domain`` salts
-    the domain with a hash of ``order_col`` instead: at most that many files per
-    domain, and a hot domain is split over that many tasks instead of one. ``domains`` also creates the
-    directories of configured domains that received no rows.
+    sorted by ``order_col`` (tasks x domains files; where the rows are read in order,
+    so are the files by name). ``files_per_domain`` writes at most that many files a
+    domain *in the order of* ``order_col``: reading them by name gives the order of the
+    input. Each domain is cut at its own quantiles of ``order_col`` (mergeable
+    sketches), and the ranges are dealt out in order, so a hot domain is split over as
+    many tasks. ``domains`` also creates the directories of configured domains that
+    received no rows. The table is written beside ``out`` and takes its place when it is
+    complete: a job that fails leaves the old one.
     """
     rows = classified.select("domain", order_col, "raw")
     if files_per_domain:
-        # Salted write: a domain (a hot one included) is spread over up to
-        # ``files_per_domain`` tasks, so each domain directory holds at most that many files.
-        salt = F.pmod(F.xxhash64(order_col), F.lit(files_per_domain))
+        rows = cut_lineage(rows)                        # read twice: for the cuts and for the rows
+        cuts = rows.groupBy("domain").agg(F.percentile_approx(order_col, [i / files_per_domain for i in range(1, files_per_domain)] or [1.0], 10_000).alias("_cf_cuts"))
+        piece = F.size(F.filter("_cf_cuts", lambda c: c < F.col(order_col))) if files_per_domain > 1 else F.lit(0)
+        # one row a domain: the configured ones, or as many as there are directories
+        rows = rows.join(F.broadcast(cuts).withColumnRenamed("domain", "_cf_domain"), F.col("domain").eqNullSafe(F.col("_cf_domain")))
+        rows = rows.select("domain", order_col, "raw", piece.alias("_cf_piece"))
         n_parts = files_per_domain * (len(domains) if domains else
                                       classified.sparkSession.sparkContext.defaultParallelism)
-        rows = rows.repartition(n_parts, F.col("domain"), salt)
+        rows = rows.repartitionByRange(n_parts, "domain", "_cf_piece")
+    staging = f"{out.rstrip('/')}-staging-{uuid.uuid4().hex[:12]}"
     (rows.sortWithinPartitions("domain", order_col)
      .select("domain", "raw")
-     .write.mode("overwrite").partitionBy("domain").text(out))
+     .write.mode("overwrite").partitionBy("domain").text(staging))
     if domains:
-        ensure_domain_dirs(classified.sparkSession, out, domains)
+        ensure_domain_dirs(classified.sparkSession, staging, domains)
+    replace_path(classified.sparkSession, staging, out)
 
 
 def ensure_domain_dirs(spark: SparkSession, out: str, domains: Sequence[str]) -> None:
@@ -79,9 +91,9 @@ def report_lines(distribution: DataFrame, stats: DataFrame | None = None, reason
                                                   ("Avg lines:     ", "avg_lines", "%.1f lines")), start=1):
             per_domain.append(F.when(known, line(1, F.col("domain"), nth, F.format_string(f"    - {label} {form}", col))))
     if libraries is not None:
-        named = libraries.where("rank <= 3").groupBy("domain").agg(
+        named = libraries.where("rank <= 5").groupBy("domain").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "lib", "cnt"))),
-                                     lambda x: F.concat(x["lib"], F.lit(" ("), x["cnt"].cast("string"), F.lit(")"))), ", ").alias("libs"))
+                                     lambda x: F.concat(x["lib"], F.lit("("), x["cnt"].cast("string"), F.lit(")"))), ", ").alias("libs"))
         rows = rows.join(named, "domain", "left")
         per_domain.append(F.when(F.col("libs").isNotNull(),
                                  line(1, F.col("domain"), 4, F.concat(F.lit("    - Top libraries: "), F.col("libs")))))

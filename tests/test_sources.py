@@ -3,6 +3,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusfold.sources import jsonl as S
 from corpusfold.sources import sinks as SK
@@ -93,6 +94,69 @@ def test_domain_sink_roundtrip(spark, tmpdir_path):
     assert "Total Items: 4" in text and "x                    3 items ( 75.0%)" in text
 
 
+def test_many_datasets_by_one_scan(spark, tmpdir_path):
+    paths, want = {}, {}
+    for i in range(40):
+        d = os.path.join(tmpdir_path, f"set {i}+%41é")
+        os.makedirs(os.path.join(d, "inner"))
+        _write(d, "part-0.jsonl", "".join('{"prompt":"%d"}\n' % k for k in range(i % 4)))
+        _write(os.path.join(d, "inner"), "x.jsonl", '{"prompt":"in"}\nbad\n')
+        paths[f"e{i}"], want[f"e{i}"] = d, i % 4 + 1
+    paths["e3i"], want["e3i"], want["e3"] = os.path.join(paths["e3"], "inner"), 1, 3          # the longer path takes its files
+    paths["twin"], want["twin"] = paths["e2"], 3
+    paths["none"], want["none"] = os.path.join(tmpdir_path, "none"), 0
+    counts = S.count_valid_objects(spark, paths)
+    assert {r.source: r.valid_items for r in counts.collect()} == want
+    assert [r.source for r in counts.orderBy("position").collect()] == list(paths)
+    plan = S.union_datasets(spark, paths)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+    rows = S.union_datasets(spark, paths).collect()
+    assert {e: sum(r.expert == e for r in rows) for e in want} == want and len({(r.item_id, r.expert) for r in rows}) == len(rows)
+    first = S.union_datasets(spark, paths, num_samples=1).collect()
+    assert all(sum(r.expert == e for r in first) <= 1 for e in want)
+    assert S.union_datasets(spark, {"a": os.path.join(tmpdir_path, "none")}).collect() == []
+
+
+def test_first_n_opens_the_first_files_only(spark, tmpdir_path):
+    for i in range(6):
+        _write(tmpdir_path, f"p{i}.jsonl", "".join('{"prompt":"%d"}\n' % (10 * i + k) for k in range(10)))
+    assert [os.path.basename(f) for f in S.first_files(spark, tmpdir_path, 23)] == ["p0.jsonl", "p1.jsonl", "p2.jsonl"]
+    assert sorted(int(r.prompt) for r in S.read_jsonl(spark, tmpdir_path, sample_size=23).collect()) == list(range(23))
+    assert S.read_jsonl(spark, tmpdir_path, sample_size=0).collect() == []
+    assert S.read_jsonl(spark, tmpdir_path, sample_size=999).count() == 60
+
+
+def test_ordered_domain_files(spark, tmpdir_path):
+    import glob
+    df = spark.createDataFrame([(i, "hot" if i % 10 else "cold", json.dumps({"i": i})) for i in range(900)],
+                               "item_id long, domain string, raw string").repartition(7)
+    out = os.path.join(tmpdir_path, "ordered")
+    for n in (4, 1):
+        SK.write_domains(df, out, files_per_domain=n, domains=["hot", "cold", "none"])
+        for domain in ("hot", "cold"):
+            files = sorted(glob.glob(os.path.join(out, f"domain={domain}", "*.txt")))
+            got = [json.loads(line)["i"] for f in files for line in open(f)]
+            assert got == sorted(got) and len(files) <= n and set(got) == {i for i in range(900) if (i % 10 > 0) == (domain == "hot")}
+            assert n == 1 or domain == "cold" or max(sum(1 for _ in open(f)) for f in files) < 400
+        assert os.path.isdir(os.path.join(out, "domain=none"))
+    assert not glob.glob(out + "-staging-*")
+
+
+def test_batches_of_a_permutation(spark):
+    from corpusfold.operators import prepare as D
+    for n in (1, 2, 7, 64, 100):
+        rows = spark.range(n).select(D.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(5)).alias("x")).collect()
+        assert sorted(r.x for r in rows) == list(range(n))
+    items = spark.createDataFrame([(i, None if i % 3 == 0 else "d" + str(i % 3)) for i in range(60)], "item_id long, domain string")
+    rows = D.batch_sample(items, 30, 8).collect()
+    taken = {}
+    for r in rows:
+        taken.setdefault((r.domain, r.step), []).append(r.item_id)
+    assert len(taken) == 90 and all(len(v) == len(set(v)) == 8 for v in taken.values())
+    counts = [sum(i in v for v in taken.values()) for i in range(60)]
+    assert min(counts) >= 4 and max(counts) <= 24                       # 12 on average
+
+
 def test_text_report_sections(spark):
     from corpusfold.operators import report as A
     df = spark.createDataFrame([(i, d, r, "p" * i, "c", lib) for i, (d, r, lib) in enumerate(
@@ -103,7 +167,7 @@ def test_text_report_sections(spark):
     lines = text.split("\n")
     at = next(i for i, x in enumerate(lines) if x.startswith("  x  "))
     assert lines[at + 1:at + 6] == ["    - Avg prompt len: 1 chars", "    - Avg code len:   1 chars", "    - Avg lines:      1.0 lines",
-                                    "    - Top libraries: numpy (2), torch (1)", ""]
+                                    "    - Top libraries: numpy(2), torch(1)", ""]
     assert lines[0] == "=" * 80 and lines[4] == "Total Items: 4" and any(x.startswith("  z ") and "0 items" in x for x in lines)
     tail = lines.index("Top Classification Reasons:")
     assert [x.split() for x in lines[tail + 2:]] == [["r1", "3", "(", "75.0%)"], ["r2", "1", "(", "25.0%)"]]
