@@ -148,42 +148,67 @@ def _split_top(pattern: str) -> list[str]:
     return parts
 
 
-def _runs(alt: str) -> list[str]:
-    runs: list[str] = []
+MOST_ALTERNATIVES = 64           # expanded alternatives of a pattern that are worth guarding
+
+
+def _class_end(alt: str, i: int) -> int:
+    """Place of the bracket that closes the character class at ``i``."""
+    i += 1
+    while alt[i] != "]":
+        i += 2 if alt[i] == "\\" else 1
+    return i
+
+
+def _inside(group: str) -> list[str] | None:
+    """The alternatives of a group's content; None for a look-around."""
+    if group.startswith("?:"):
+        return _split_top(group[2:])
+    return None if group.startswith("?") else _split_top(group)
+
+
+def _runs(alt: str) -> list[list[str]]:
+    """The literal runs that every match of ``alt`` holds, for each way through its groups with alternatives."""
+    ways: list[list[str]] = [[]]
     cur: list[str] = []
     i = 0
     n = len(alt)
 
     def close():
         if cur:
-            runs.append("".join(cur))
+            for w in ways:
+                w.append("".join(cur))
         cur.clear()
 
     while i < n:
         ch = alt[i]
+        group: list[str] | None = None
         if ch == "\\" and i + 1 < n:
             nxt = alt[i + 1]
             atom = nxt if nxt in _ESCAPED_LITERAL else None
             i += 2
         elif ch == "[":
-            j = alt.index("]", i + 1)
-            atom, i = None, j + 1
+            atom, i = None, _class_end(alt, i) + 1
         elif ch == "(":
             depth, j = 0, i
             while j < n:
                 if alt[j] == "\\":
                     j += 2
                     continue
+                if alt[j] == "[":
+                    j = _class_end(alt, j) + 1
+                    continue
                 depth += alt[j] == "("
                 depth -= alt[j] == ")"
                 if depth == 0:
                     break
                 j += 1
+            group = _inside(alt[i + 1:j])
             atom, i = None, j + 1
         elif ch in ".^$":
             atom, i = None, i + 1
         else:
             atom, i = ch, i + 1
+        optional = False
         quant = alt[i] if i < n and alt[i] in "*+?{" else ""
         if quant:
             if quant == "{":
@@ -198,24 +223,30 @@ def _runs(alt: str) -> list[str]:
                 i += 1
             if atom is not None and not optional:
                 cur.append(atom)
-            close()
-            continue
-        if atom is None:
+        if quant or atom is None:
             close()
         else:
             cur.append(atom)
+        if group is not None and not optional:
+            inner = [w for part in group for w in _runs(part)]
+            if len(ways) * len(inner) <= MOST_ALTERNATIVES:
+                ways = [w + x for w in ways for x in inner]
     close()
-    return runs
+    return ways
 
 
 @lru_cache(maxsize=None)
 def required_literals(pattern: str) -> tuple[tuple[str, ...], ...] | None:
-    """Per top-level alternative, the lower-cased literal runs every match of it contains
-    (all of them, longest first); ``None`` when some alternative has none."""
-    alts = []
+    """Per alternative (those inside groups expanded), the lower-cased literal runs every match of it
+    contains (all of them, longest first); ``None`` when some alternative has none."""
+    alts: list[tuple[str, ...]] = []
     for alt in _split_top(pattern):
-        runs = sorted(dict.fromkeys(r.lower() for r in _runs(alt) if r), key=len, reverse=True)
-        if not runs:
-            return None
-        alts.append(tuple(runs))
-    return tuple(dict.fromkeys(alts))
+        for way in _runs(alt):
+            runs = {r.lower() for r in way if r}
+            if not runs:
+                return None
+            runs = [r for r in runs if not any(r != x and r in x for x in runs)]
+            alts.append(tuple(sorted(runs, key=lambda r: (-len(r), r))))
+    # an alternative whose runs hold all runs of another one is implied by it
+    least = [a for a in dict.fromkeys(alts) if not any(b != a and all(any(y in x for x in a) for y in b) for b in set(alts))]
+    return tuple(least)
