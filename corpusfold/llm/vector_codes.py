@@ -177,7 +177,8 @@ def _first_entries(vectors: DataFrame, dim: int) -> Codebooks:
     chosen = F.col("vec_id").isin(ids) if len(ids) == ENTRIES else F.col("vec_id").isin(ids) | F.col("vec_id").isNull()
     found = (vectors.select("vec_id", "embedding").where(chosen).mapInArrow(_kept(dim), "vec_id long, vector array<long>")
              .groupBy("vec_id").agg(F.min("vector").alias("vector")).sort(F.col("vec_id").asc_nulls_last()).limit(ENTRIES))
-    rows = np.array([r.vector for r in found.collect()], np.int64).reshape(-1, dim)
+    rows = [r.vector for r in found.collect()]
+    rows = np.array(rows, np.int64).reshape(len(rows), dim)
     return [rows[:, a:b].copy() for a, b in cuts(dim)]
 
 

@@ -114,19 +114,21 @@ def test_sequences_and_reruns(spark, odd):
 
 def test_costs_are_balanced():
     rng = random.Random(3)
-    rests = [min(2047, int(rng.paretovariate(1.1) * 60)) for _ in range(3000)]
+    rests = [min(1500, int(rng.paretovariate(1.1) * 60)) for _ in range(3000)]
     rooms = [2048] * (sum(rests) // 2048)
     placed, _ = P.assign(rests, rooms, False)
-    cost, plain = np.zeros(len(rooms)), np.zeros(len(rooms) + 1)
+    cost, first_fit, room = np.zeros(len(rooms)), np.zeros(len(rooms)), np.array(rooms)
     for _, _, n, s in placed:
         cost[s] += P.piece_cost(n)
-    at = 0
-    for n in rests:                                     # one after the other, cut at the borders
-        while n:
-            take = min(n, 2048 - at % 2048)
-            plain[at // 2048] += P.piece_cost(take)
-            at, n = at + take, n - take
-    assert cost.std() / cost.mean() < 0.7 * plain[:-1].std() / plain[:-1].mean()
+    for n in sorted(rests, reverse=True):               # descending too, but to the first sequence with room
+        while n and room.any():
+            s = int(np.argmax(room >= n)) if (room >= n).any() else int(np.argmax(room))
+            take = min(n, int(room[s]))
+            room[s] -= take
+            first_fit[s] += P.piece_cost(take)
+            n -= take
+    assert cost.std() < 0.8 * first_fit.std() and cost.max() < first_fit.max()
+    assert len(placed) < len(rests) * 1.03              # hardly any document is cut
 
 
 def test_empty_and_blank(spark, empty):
