@@ -1,28 +1,30 @@
 """Operator 5 - exact top-k inner products by the three-phase uniform threshold.
 
-Components become floor(256 x). The dimensions are dealt to ``NODES`` nodes; a
-node knows the scores of its dimensions only, and a vector's score is their sum.
-For each query:
-
-1. *gather*: each node lists its k + 1 highest own scores in every block of
-   candidates; the listed vectors' whole scores are summed, and the (k + 1)-th
-   highest, tau, is a bound that k vectors besides the query reach;
-2. *cutoff*: a vector whose score is at least tau has a node where its own score
-   is at least tau / NODES, so each node returns all entries of tau / NODES or
-   more (a uniform threshold; own scores may be negative);
-3. *resolve*: the vectors returned get their missing own scores, exactly, and the
-   k best stay, ties to the smaller vec_id.
+Components become floor(256 x). The dimensions are dealt to ``NODES`` nodes. A node
+holds its dimensions of all vectors, in blocks of its own, and knows the scores of
+these dimensions only; a vector's score is the sum of its own scores at all nodes.
+For a block of queries:
+
+1. *gather*: each node lists its k + 1 highest own scores of each query. What a listed
+   vector lacks is fetched from the other nodes; the (k + 1)-th highest whole score,
+   tau, is a bound that k vectors besides the query reach;
+2. *cutoff*: a vector whose score is at least tau has a node where its own score is at
+   least tau / NODES. That cutoff is broadcast, and each node returns its entries from
+   there on (a uniform threshold; own scores may be negative);
+3. *resolve*: own scores that an entry lacks are fetched, for entries alone, and summed
+   exactly; the k best stay, ties to the smaller vec_id.
 
 Equal vectors are one candidate (a class): its k + 1 smallest vec_ids stand for all
 of it, since no query needs more of them, so a very common vector is neither
 scored nor returned more than once. Queries that share a vector share a search.
 
-Scale. Candidates lie in blocks of ``BLOCK`` classes as packed rows, queries in
-blocks of ``QUERY_BLOCK`` classes; every block of candidates meets every block of
-queries in one task, as matrix products (exact: whole numbers below 2**53 in
-doubles), phases 2 and 3 on the block at hand. What leaves a task is a few entries
-a query and block: the lists of phase 1, and what reaches tau at the end; nothing
-else is shuffled but the blocks and one cutoff a query.
+Scale. The nodes' blocks are written once and stay where they are: every phase scans
+them without a shuffle. Queries go in blocks of ``QUERY_BLOCK`` classes, which with one
+cutoff a query is what is shipped to the tasks. Fetching sends the pairs that lack a
+score to the node and block that has it, in broadcasts of at most ``PAIRS`` counted
+pairs. What leaves a task is its k + 1 best of a query, the entries at or above the
+cutoff, and the scores fetched. Products are exact: whole numbers below 2**53 in
+doubles.
 
 Cases. Vectors that are null, empty, hold null or non-finite components, or whose
 vec_id is null take no part; nor do those of another length than the query. Fewer
@@ -38,13 +40,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import on_workers, read_table
-from corpusfold.session import cut_lineage
+from corpusfold.llm.common import on_workers, read_table, released
+from corpusfold.session import cut_lineage, scratch_path
 
 TOP = 5
 NODES = 2
 BLOCK = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
+PAIRS = 1 << 20                 # pairs of a broadcast
+_SLICE = 256                    # queries multiplied with a block at once
+_NODE = "node int, block int, dim int, ids array<long>, values array<long>"
+_ENTRY = "query long, cls long, node int, own long"
 
 
 def whole_components(vector: str = "embedding", scale: int = 256) -> Column:
@@ -55,67 +61,138 @@ def whole_components(vector: str = "embedding", scale: int = 256) -> Column:
     return F.when((F.size(x) > 0) & fine, F.transform(x, lambda v: F.floor(number(v) * scale).cast("long")))
 
 
-def _blocks(rows: DataFrame, kind: str, n: int) -> DataFrame:
-    """Classes packed into n blocks: (block, kind, dim, ids, values)."""
-    return (rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int")).groupBy("block", "dim")
-            .agg(F.collect_list(F.struct("cls", "vector")).alias("rows"))
-            .select(F.col("block").alias(f"{kind}_block"), "dim", F.col("rows.cls").alias(f"{kind}_ids"),
-                    F.flatten("rows.vector").alias(f"{kind}_values")))
+def _hash_block(n: int) -> Column:
+    return F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int")
 
 
-def _matrix(batch: pa.RecordBatch, kind: str, i: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = batch.column(f"{kind}_ids")[i].values.to_numpy(zero_copy_only=False)
-    values = batch.column(f"{kind}_values")[i].values.to_numpy(zero_copy_only=False)
-    order = np.argsort(ids)
-    return ids[order], values.reshape(len(ids), dim).astype(np.float64)[order]
+def _cuts(dim: int) -> list[int]:
+    return [i * dim // NODES for i in range(NODES + 1)]
 
 
-def _node_scores(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Own scores of each node: queries x candidates over its dimensions."""
-    cuts = np.linspace(0, q.shape[1], NODES + 1).astype(int)
-    return [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts, cuts[1:])]
+def node_blocks(classes: DataFrame, n: int) -> DataFrame:
+    """The nodes' data: for each (node, block, dim) the classes' ids and, one after the other, the node's components."""
+    share = [F.struct(F.lit(i).alias("node"), F.slice("vector", F.floor(F.col("dim") * i / NODES).cast("int") + 1,
+                                                      (F.floor(F.col("dim") * (i + 1) / NODES) - F.floor(F.col("dim") * i / NODES)).cast("int")).alias("part"))
+             for i in range(NODES)]
+    return (classes.select(_hash_block(n).alias("block"), "dim", "cls", F.explode(F.array(*share)).alias("s"))
+            .groupBy("s.node", "block", "dim").agg(F.collect_list(F.struct("cls", "s.part")).alias("rows"))
+            .select("node", "block", "dim", F.col("rows.cls").alias("ids"), F.flatten("rows.part").alias("values")))
 
 
-def _gather(k: int):
-    """Phase 1: whole scores of the classes on the nodes' local score lists, those of the highest own scores."""
+class Asked:
+    """The queries of a block, by length: ids in order and components."""
+
+    def __init__(self, rows: list):
+        self.ids, self.vectors = {}, {}
+        for dim in sorted({r.dim for r in rows}):
+            own = sorted((r for r in rows if r.dim == dim), key=lambda r: r.cls)
+            self.ids[dim] = np.array([r.cls for r in own], np.int64)
+            self.vectors[dim] = np.array([r.vector for r in own], np.float64)
+
+    def part(self, dim: int, node: int) -> np.ndarray:
+        cut = _cuts(dim)
+        return self.vectors[dim][:, cut[node]:cut[node + 1]]
+
+
+def _rows(batch: pa.RecordBatch, asked: Asked):
+    """(row, node, ids, components) of the blocks whose length is asked for."""
+    for i, (node, dim) in enumerate(zip(batch.column("node").to_pylist(), batch.column("dim").to_pylist())):
+        if dim in asked.ids:
+            ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
+            values = batch.column("values")[i].values.to_numpy(zero_copy_only=False)
+            yield i, node, dim, ids, values.reshape(len(ids), -1).astype(np.float64)
+
+
+def _entries(query: np.ndarray, cls: np.ndarray, node: int, own: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(cls, pa.int64()), pa.array(np.full(len(query), node), pa.int32()),
+                                       pa.array(own.astype(np.int64))], names=["query", "cls", "node", "own"])
+
+
+def _gather(block, k: int):
+    """Phase 1: the node's local score lists, its k + 1 highest own scores of each query among the rows of the task."""
     def run(batches):
+        asked: Asked = block.value
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            dims = batch.column("dim").to_pylist()
-            for i, dim in enumerate(dims):
-                qi, q = _matrix(batch, "q", i, dim)
-                ci, c = _matrix(batch, "c", i, dim)
-                own = _node_scores(q, c)
-                listed = np.concatenate([np.argpartition(-s, min(k + 1, s.shape[1]) - 1, axis=1)[:, :k + 1] for s in own], axis=1)
-                score = np.take_along_axis(sum(own), listed, axis=1)
-                qq, cc, ss = np.repeat(qi, listed.shape[1]), ci[listed.ravel()], score.ravel()
-                both = np.unique(np.stack([qq, cc, ss.astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], names=["query", "cls", "score"])
-    return run
-
-
-def _resolve(k: int):
-    """Phases 2 and 3: entries at or above the cutoff, resolved to whole scores; those that reach tau."""
+            for _, node, dim, ids, c in _rows(batch, asked):
+                q = asked.part(dim, node)
+                score, cls = best.setdefault((node, dim), (np.full((len(q), k + 1), -np.inf), np.zeros((len(q), k + 1), np.int64)))
+                for at in range(0, len(q), _SLICE):
+                    some = slice(at, at + _SLICE)
+                    every = np.concatenate([score[some], q[some] @ c.T], axis=1)
+                    named = np.concatenate([cls[some], np.broadcast_to(ids, (len(every), len(ids)))], axis=1)
+                    top = np.argpartition(-every, k, axis=1)[:, :k + 1]
+                    score[some], cls[some] = np.take_along_axis(every, top, 1), np.take_along_axis(named, top, 1)
+        for (node, dim), (score, cls) in best.items():
+            row, nth = np.nonzero(np.isfinite(score))
+            yield _entries(asked.ids[dim][row], cls[row, nth], node, score[row, nth])
+    return released(run)
+
+
+def _above(block, taus):
+    """Phase 2: the node's entries at or above the cutoff."""
     def run(batches):
+        asked, tau = block.value, taus.value
         for batch in batches:
-            for i, dim in enumerate(batch.column("dim").to_pylist()):
-                qi, q = _matrix(batch, "q", i, dim)
-                ci, c = _matrix(batch, "c", i, dim)
-                tau = dict(zip(batch.column("cut_query")[i].values.to_numpy(), batch.column("cut_tau")[i].values.to_numpy()))
-                least = np.array([tau.get(x, -np.inf) for x in qi.tolist()])[:, None]
-                over = np.logical_or.reduce([s >= least / NODES for s in _node_scores(q, c)])
-                row, col = np.nonzero(over)
-                score = np.empty(len(row))
-                for at in range(0, len(row), 1 << 18):
-                    s = slice(at, at + (1 << 18))
-                    score[s] = np.einsum("ij,ij->i", q[row[s]], c[col[s]])
-                good = score >= least[row, 0]
-                row, col, score = row[good], col[good], score[good]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row], pa.int64()), pa.array(ci[col], pa.int64()),
-                                                  pa.array(score.astype(np.int64))], names=["query", "cls", "score"])
-    return run
-
-
-_ENTRY = "query long, cls long, score long"
+            for _, node, dim, ids, c in _rows(batch, asked):
+                least = np.array([tau.get(x, -np.inf) for x in asked.ids[dim].tolist()])[:, None] / NODES
+                for at in range(0, len(least), _SLICE):
+                    some = slice(at, at + _SLICE)
+                    own = asked.part(dim, node)[some] @ c.T
+                    row, col = np.nonzero(own >= least[some])
+                    yield _entries(asked.ids[dim][some][row], ids[col], node, own[row, col])
+    return released(run)
+
+
+def _fetch(block):
+    """Own scores of the pairs (queries, classes) that a block of a node is asked for."""
+    def run(batches):
+        asked: Asked = block.value
+        for batch in batches:
+            for i, node, dim, ids, c in _rows(batch, asked):
+                query, cls = (batch.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("queries", "classes"))
+                mine = np.isin(query, asked.ids[dim])           # the others are of another length
+                query, cls, order = query[mine], cls[mine], np.argsort(ids)
+                row, col = np.searchsorted(asked.ids[dim], query), order[np.searchsorted(ids[order], cls)]
+                q, own = asked.part(dim, node), np.empty(len(query))
+                for at in range(0, len(query), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    own[some] = (q[row[some]] * c[col[some]]).sum(axis=1)
+                yield _entries(query, cls, node, own)
+    return released(run)
+
+
+def _whole_scores(entries: DataFrame, nodes: DataFrame, block, n: int) -> DataFrame:
+    """(query, cls, score) of all pairs of ``entries`` (a written table); own scores they lack are fetched."""
+    pairs = entries.groupBy("query", "cls").agg(F.collect_set("node").alias("there"))
+    lacking = pairs.select("query", "cls", F.explode(F.array_except(F.array(*map(F.lit, range(NODES))), "there")).alias("node"))
+    lacking = cut_lineage(lacking.withColumn("block", _hash_block(n)))
+    parts = max(1, -(-lacking.count() // PAIRS))
+    whole = entries.select("query", "cls", "own")
+    for i in range(parts):
+        # a pair is a long and a long: a broadcast has PAIRS of them, but for the chance of the hash
+        own = lacking.where(F.pmod(F.xxhash64("query", "cls", "node"), F.lit(parts)) == i)
+        packed = own.groupBy("node", "block").agg(F.collect_list(F.struct("query", "cls")).alias("p")).select(
+            "node", "block", F.col("p.query").alias("queries"), F.col("p.cls").alias("classes"))
+        whole = whole.unionByName(nodes.join(F.broadcast(packed), ["node", "block"]).mapInArrow(_fetch(block), _ENTRY).select("query", "cls", "own"))
+    return whole.groupBy("query", "cls").agg(F.sum("own").alias("score"))
+
+
+def _best_classes(spark: SparkSession, nodes: DataFrame, rows: list, n: int, k: int) -> DataFrame:
+    """(query, cls, score) of the classes that may be among the k + 1 best of the queries ``rows`` of a block."""
+    block = spark.sparkContext.broadcast(Asked(rows))
+    nth = F.row_number().over(Window.partitionBy("query", "node").orderBy(F.desc("own"), "cls"))
+    listed = cut_lineage(nodes.mapInArrow(_gather(block, k), _ENTRY).withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))
+    # a class may be the query's own, and holds perhaps one id: the (k + 1)-th best class is reached by k others
+    cut = _whole_scores(listed, nodes, block, n).withColumn("nth", best).where(F.col("nth") == k + 1).select("query", "score")
+    taus = {r.query: r.score for r in cut.collect()}              # one number a query of the block
+    entries = cut_lineage(nodes.mapInArrow(_above(block, spark.sparkContext.broadcast(taus)), _ENTRY))
+    scores = _whole_scores(entries, nodes, block, n)
+    if taus:
+        least = spark.createDataFrame(list(taus.items()), "query long, tau long")
+        scores = scores.join(F.broadcast(least), "query", "left").where("tau is null or score >= tau").drop("tau")
+    return scores
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
@@ -135,21 +212,15 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = TOP) -> Da
     classes = cut_lineage(classes)
     queries = cut_lineage(questions.select(F.col("query").alias("cls")).join(classes, "cls"))
 
-    n_c, n_q = max(1, -(-classes.count() // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     # the stated query set against all rows, in blocks
-    c_blocks = _blocks(classes, "c", n_c).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    q_blocks = cut_lineage(_blocks(queries, "q", n_q))
-    met = cut_lineage(c_blocks.join(q_blocks, ["q_block", "dim"]).repartition(max(n_c * n_q, 1), "c_block", "q_block"))
-
-    local = met.mapInArrow(_gather(k), _ENTRY)
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))
-    # a class may be the query's own, and holds perhaps one id: the (k + 1)-th best class is reached by k others
-    cut = (local.withColumn("nth", best).where(F.col("nth") == k + 1).select("query", F.col("score").alias("tau")))
-    cuts = (cut.join(queries.select(F.col("cls").alias("query"), F.pmod(F.xxhash64("cls"), F.lit(n_q)).cast("int").alias("q_block"), "dim"), "query")
-            .groupBy("q_block", "dim").agg(F.collect_list("query").alias("cut_query"), F.collect_list(F.col("tau").cast("double")).alias("cut_tau")))
-    none = [F.coalesce(c, F.array().cast(t)) for c, t in ((F.col("cut_query"), "array<long>"), (F.col("cut_tau"), "array<double>"))]
-    with_cut = met.join(cut_lineage(cuts), ["q_block", "dim"], "left").withColumns({"cut_query": none[0], "cut_tau": none[1]})
-    found = cut_lineage(with_cut.mapInArrow(_resolve(k), _ENTRY))
+    n_c, n_q = max(1, -(-classes.count() // BLOCK)), -(-queries.count() // QUERY_BLOCK)
+    held = scratch_path(spark, "topk-nodes")
+    node_blocks(classes, n_c).write.parquet(held)
+    nodes = spark.read.schema(_NODE).parquet(held)
+    found = spark.createDataFrame([], "query long, cls long, score long")
+    for i in range(n_q):
+        rows = queries.where(_hash_block(n_q) == i).collect()
+        found = found.unionByName(cut_lineage(_best_classes(spark, nodes, rows, n_c, k)))
 
     # ids: the best k + 1 of a search without the query's own id
     ids = found.join(members.select("cls", "vec_id"), "cls")
