@@ -82,6 +82,12 @@ WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256
         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+  k AS (SELECT body, max(page_id) AS keeper FROM p WHERE octet_length(encode(body)) >= 1000 GROUP BY body)
+SELECT page_id, CAST(octet_length(encode(p.body)) AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+       CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON p.body = k.body""",
     "op12_hard_negatives": """
 WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
              list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings

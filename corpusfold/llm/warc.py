@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import on_workers, partitions, read_table
+from corpusfold.llm.common import on_workers, read_table
 from corpusfold.session import cut_lineage, scratch_path
 
 LEAST_BYTES = 1000
@@ -49,6 +49,7 @@ EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 PART_BYTES = 4 << 20
 RUN_BLOCK = 512                 # captures of a packed block of a run
 GZIP_LEVEL = 1
+READ_BYTES = 1 << 13            # compressed bytes read at once
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -90,11 +91,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def read_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, fields, body) of each record of an archive part."""
-    at = 0
+    view, at = memoryview(data), 0
     while at < len(data):
-        member = zlib.decompressobj(wbits=31)
-        raw = member.decompress(data[at:])
-        size = len(data) - at - len(member.unused_data)
+        member, end, out = zlib.decompressobj(wbits=31), at, []
+        while not member.eof:
+            if end >= len(data):
+                raise ValueError(f"the record at {at} does not end")
+            out.append(member.decompress(view[end:end + READ_BYTES]))
+            end += READ_BYTES
+        raw, size = b"".join(out), min(end, len(data)) - at - len(member.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
@@ -280,7 +285,8 @@ def _merge(key, table):
     return out.append_column("place", pa.array(range(len(merged)), pa.int64()))
 
 
-RANGE_ROWS = 20000              # captures of a range
+RANGE_ROWS = 20000              # captures of a range, while the sample has enough keys to cut so many
+SAMPLE_KEYS = 1 << 16           # keys that the driver cuts ranges by, whatever the number of captures
 
 
 def capture_index(spark: SparkSession, archives: str) -> DataFrame:
@@ -288,11 +294,12 @@ def capture_index(spark: SparkSession, archives: str) -> DataFrame:
     on_workers(spark)
     parts = spark.read.schema("archive int, part int, warc binary").parquet(archives)
     captures = cut_lineage(parts.mapInArrow(_captures, _CAPTURE_DDL))
-    ranges = max(1, -(-captures.count() // RANGE_ROWS))
+    n = captures.count()
+    ranges = max(1, min(-(-n // RANGE_ROWS), SAMPLE_KEYS // 8))
     bounds: list[tuple] = []
     if ranges > 1:
-        # about 64 keys a range, whatever the number of captures; they only balance the ranges
-        sample = captures.sample(False, min(1.0, 64.0 * ranges / (ranges * RANGE_ROWS)), 10).select(
+        # the sample only balances the ranges
+        sample = captures.sample(False, min(1.0, SAMPLE_KEYS / n), 10).select(
             "urlkey", "stamp", "page_id", "archive", "part", "offset")
         keys = sorted(capture_key(r.asDict())[:4] for r in sample.collect())
         bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
@@ -301,8 +308,7 @@ def capture_index(spark: SparkSession, archives: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 10 over all `pages`: archived, read back, and the merged capture index, a row per page."""
+    """Operator 10 over all `pages`: archived and read back through the merged capture index, a row per page."""
     out = scratch_path(spark, "warc")
     write_archives(read_table(spark, sf_dir, "pages"), out)
-    return capture_index(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-                                            "urlkey", "stamp", "archive", "part", "offset", "length", "range", "place")
+    return capture_index(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
