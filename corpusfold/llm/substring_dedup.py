@@ -26,7 +26,7 @@ The texts are shuffled once; the second use reads the same exchange again.
 
 Cases. Null text: no words. A text of fewer than 20 words is never changed. Rows
 with the same doc_id and the same text tie: neither is earlier, both get the same
-result. Rows with the same doc_id and other texts (told apart by a 32-bit hash) are
+result, and their places travel once a task and come back once. Rows with the same doc_id and other texts (told apart by a 32-bit hash) are
 separate documents of that rank. A null doc_id ranks last. Other columns are ignored. An empty table gives
 no rows.
 """
@@ -60,12 +60,19 @@ _PLACE = [np.uint32, np.int32]             # document in the message's table, wo
 
 
 def _grouped(keys: list[np.ndarray], refs: list[np.ndarray]):
-    """Keys and references sorted by (key, rank, position), and which rows begin a new key."""
-    order = np.lexsort((refs[2], refs[0], *keys[::-1]))
+    """Keys and references sorted by (key, rank, position, text), and which rows begin a new key.
+
+    A place that comes twice under one key - of a row that is repeated - is one.
+    """
+    order = np.lexsort((refs[1], refs[2], refs[0], *keys[::-1]))
     keys, refs = [k[order] for k in keys], [r[order] for r in refs]
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        once = new.copy()
+        once[1:] |= np.logical_or.reduce([r[1:] != r[:-1] for r in refs])
+        if not once.all():
+            keys, refs, new = [k[once] for k in keys], [r[once] for r in refs], new[once]
     return keys, refs, new
 
 
@@ -141,7 +148,12 @@ def _anchor_messages(buckets: int):
 
 
 def _found(refs: list[np.ndarray]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(r) for r in refs], schema=_FOUND_ARROW)
+    """The distinct places: rows that are repeated in several tasks send theirs from each."""
+    order = np.lexsort(refs)
+    once = np.ones(len(order), bool)
+    if len(order):
+        once[1:] = np.logical_or.reduce([r[order][1:] != r[order][:-1] for r in refs])
+    return pa.Table.from_arrays([pa.array(r[order][once]) for r in refs], schema=_FOUND_ARROW)
 
 
 def _read(table: pa.Table, dtypes: list):
