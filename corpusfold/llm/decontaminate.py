@@ -24,9 +24,9 @@ matches. The signatures of a block of items are broadcast; a block holds at most
 ``BLOCK_BYTES`` of item text (12 bytes a word and repeat in the index), and a larger
 benchmark is taken in several blocks, each with a pass over the documents.
 
-Cases. Null or blank documents match nothing; items that are null or have fewer
-than ``MIN_WORDS`` words are never looked for, unless one of the words is a code point of
-a script without spaces: then they are looked for from every word. A document shorter than an item can
+Cases. Null or blank documents match nothing, nor do items that are null or have no
+word. Items of fewer than ``MIN_WORDS`` words, for which the distance allows no edit, are
+looked for exactly, from every word. A document shorter than an item can
 match only within the distance. Rows that share a doc_id are one document in the
 result. Repeated items match each for itself; of equal places the first counts.
 Other columns are ignored; empty tables give no rows.
@@ -183,7 +183,7 @@ class Index:
         h = words.hashes()
         self.ids, self.words = [], []
         for (key, _), lo, hi in zip(items, words.first[:-1], words.first[1:]):
-            if hi - lo >= MIN_WORDS or words.unit[lo:hi].any():
+            if hi > lo:
                 self.ids.append(key)
                 self.words.append(h[lo:hi])
         lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
