@@ -36,6 +36,52 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(counts, want)
 
 
+def test_long_words_are_summed_whole():
+    rng = random.Random(4)
+    pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 17))) for _ in range(300)} | {"a", "b", "c", "▁"})
+    lattice = L.Lattice(pieces)
+    assert lattice.longest == 16
+    p = np.random.default_rng(1).random((len(pieces), 2)) / len(pieces)
+    words = ["".join(rng.choice("abcx") for _ in range(n)) for n in (3, 23, 24, 25, 26, 60, 400)]
+    got = L.word_scores(words, lattice, L._extended(p))
+    row = {s: i for s, i in zip(pieces, lattice.find(np.array([L._hash(np.array([[ord(c) for c in s]]))[0] for s in pieces])))}
+    for w, g in zip(words, got):
+        for lang in (0, 1):
+            f = [0.0]                                   # logarithms
+            text = "▁" + w
+            for j in range(1, len(text) + 1):
+                parts = [math.log(p[row[text[j - k:j]], lang]) + f[j - k] for k in range(1, min(16, j) + 1) if text[j - k:j] in row]
+                if text[j - 1] not in row:
+                    parts.append(math.log(L.UNKNOWN) + f[j - 1])
+                top = max(parts)
+                f.append(top + math.log(sum(math.exp(x - top) for x in parts)))
+            assert math.isclose(g[lang], f[-1], rel_tol=1e-9)
+    one = L._extended(p[:, :1])
+    for w in words[2:5]:                                # both ways of counting agree at the border
+        edges = lattice.edges(next(L._by_length([w]))[1])
+        plain = L.expected_counts([w], np.ones(1), lattice, one) if len(w) <= L.PLAIN else None
+        long = L._long_counts(edges, np.ones(1), one)
+        assert math.isclose(sum(long[i] * len(s) for s, i in row.items()) + long[-1], len(w) + 1, rel_tol=1e-9)
+        assert plain is None or np.allclose(plain, long)
+
+
+def test_whole_vocabulary():
+    pieces = L.load_pieces(L.vocabulary())
+    assert len(pieces) > 23_000 and max(map(len, pieces)) > 12
+
+
+def test_many_languages_in_several_models(spark, monkeypatch):
+    rng = random.Random(6)
+    words = {f"l{i}": ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(12)] for i in range(7)}
+    rows = [(n, " ".join(rng.choices(words[lang], k=15)), lang) for n, lang in enumerate(rng.choices(sorted(words), k=400))] + [(None, None, None), (900, "12", "l0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    one = {r.doc_id: r for r in L.identify(df).collect()}
+    monkeypatch.setattr(L, "LANGS", 3)
+    three = {r.doc_id: r for r in L.identify(df).collect()}
+    assert one.keys() == three.keys() and all(three[k].lang_pred == r.lang_pred and math.isclose(three[k].score, r.score, abs_tol=1e-9) for k, r in one.items())
+    assert sum(r.lang_pred == r.lang for r in one.values() if r.lang) >= 0.98 * 400
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     found = L.identify(docs, keep=["doc_id", "lang"]).select("*", L.held_out().alias("held_out")).collect()
