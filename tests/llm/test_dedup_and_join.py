@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 SF001 = "/root/testdata/sf0.001"
 from corpusfold.llm import components, ngram_join
 from corpusfold.llm import queries as Q
@@ -137,17 +139,51 @@ def test_components_of_nothing(empty):
     assert ngram_join.jaccard_components(empty).collect() == []
 
 
-def test_component_rounds_agree_with_one_task(spark):
+@pytest.mark.parametrize("nodes", [components.FOREST_NODES, 5])
+def test_components_of_paths_stars_and_random_links(spark, monkeypatch, nodes):
+    monkeypatch.setattr(components, "FOREST_NODES", nodes)
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)] + [(500, i) for i in range(501, 600)]
-    df = spark.createDataFrame(links, "a long, b long").repartition(4)
-    one = sorted(map(tuple, components.connected_components(df).collect()))
-    assert one == sorted(map(tuple, components.connected_components(df, local_links=0).collect()))
-    assert dict(one)[37] == 0
+    label = {x: x for pair in links for x in pair}
+    while True:
+        before = dict(label)
+        for x, y in links:
+            label[x] = label[y] = min(label[x], label[y])
+        if label == before:
+            break
+    df = spark.createDataFrame(links + [(900, 900)], "a long, b long").repartition(4)
+    got = dict(map(tuple, components.connected_components(df).collect()))
+    alone = {x for x in label if all(x not in pair or pair[0] == pair[1] for pair in links)}
+    assert got == {x: y for x, y in label.items() if x not in alone}
+    assert components.connected_components(df.where("false")).collect() == []
+
+
+def test_stage_takes_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(50)]
+    near = words[:25] + ["x"] + words[26:]              # 41 of 51 on five words (0.804), 43 of 51 on four (0.843)
+    far = words[:20] + [f"z{i}" for i in range(30)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(df).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(df, 4, 85).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("copies", [1, 400])
+def test_repeated_rows_send_their_places_once(spark, copies):
+    rng = random.Random(11)
+    text = " ".join(f"t{rng.randrange(50)}" for _ in range(300))
+    rows = [(1, text)] * copies + [(2, text), (3, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = df.selectExpr("doc_id AS dk", "hash(text) AS th", "text")
+    messages = keyed.mapInArrow(S._anchor_messages(4), S._MESSAGE)
+    places = messages.groupBy("bucket").applyInArrow(S._repeated_anchors, S._FOUND)
+    assert places.groupBy("dk", "th", "pos").count().where("count > 2").count() == 0
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in S.remove_repeated_windows(df).collect()}
+    assert got == {(1, 300, 0), (2, 300, 300), (3, 2, 0)}
+    assert S.remove_repeated_windows(df).count() == len(rows)
 
 
 def test_registered(spark):
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in Q.QUERIES) == 1
     assert set(Q.ORACLE) <= set(Q.QUERIES)
     assert Q.QUERIES["op1_substring_dedup"](spark, SF001).columns[:4] == ["doc_id", "n_words", "n_removed", "kept_sha256"]
