@@ -122,17 +122,27 @@ def _new_pushes(batch: DataFrame, sink_dir: str, batch_id: int, horizon: int) ->
     return pushes.join(seen, same, "left_anti")
 
 
-def _held(pushes: DataFrame, sink_dir: str, batch_id: int) -> tuple[DataFrame | None, int | None]:
-    """((expert, version, dim) of the experts the pushes touch, dimension of the global state) before this batch; no vector is read."""
+def _held(pushes: DataFrame, sink_dir: str, batch_id: int) -> tuple[DataFrame | None, int | None, int | None]:
+    """What holds before this batch, without reading a vector of it.
+
+    (expert, version, dim) of the experts the pushes touch, the dimension of the global
+    state, and - if there is none yet - that of the batch's first push.
+    """
+    # at most BUCKETS numbers and one dimension
+    is_vector = U._is_wide(dict(pushes.dtypes)["delta"])
+    size = F.size("delta") if is_vector else F.lit(1)
+    facts = pushes.agg(F.collect_set(_bucket()).alias("buckets"), F.min_by(size, F.struct("seq", size)).alias("dim")).first()
     added = _added(pushes.sparkSession, sink_dir, batch_id)
     if added is None:
-        return None, None
-    touched = cut_lineage(pushes.select("expert").distinct())
-    buckets = [r.b for r in touched.select(_bucket().alias("b")).distinct().collect()]       # at most BUCKETS
-    narrow = added.where(F.col("scope") == "expert").where(F.col("bucket").isin(buckets)).select("expert", "n", "dim")
-    held = narrow.join(touched, "expert", "left_semi").groupBy("expert").agg(F.sum("n").alias("version"), F.max("dim").alias("dim"))
-    whole = added.where((F.col("scope") == "global") & (F.col("bucket") == F.lit(_GLOBAL_BUCKET))).agg(F.max("dim")).first()[0]
-    return cut_lineage(held), whole
+        return None, None, facts.dim
+    wanted = F.col("bucket").isin(facts.buckets) & (F.col("scope") == "expert") | (F.col("bucket") == _GLOBAL_BUCKET) & (F.col("scope") == "global")
+    narrow = added.where(wanted).select("scope", "expert", "n", "dim")
+    touched = pushes.select(F.lit("expert").alias("scope"), "expert").unionByName(
+        pushes.sparkSession.createDataFrame([("global", "*")], "scope string, expert string"))
+    held = cut_lineage(narrow.join(touched.distinct(), ["scope", "expert"], "left_semi").groupBy("scope", "expert")
+                       .agg(F.sum("n").alias("version"), F.max("dim").alias("dim")))
+    whole = held.where("scope = 'global'").first()
+    return held.where("scope = 'expert'").drop("scope"), None if whole is None else whole.dim, facts.dim
 
 
 def _fold_batch(batch: DataFrame, sink_dir: str, batch_id: int, dim: int | None, registrations: str | None, horizon: int) -> None:
@@ -142,15 +152,15 @@ def _fold_batch(batch: DataFrame, sink_dir: str, batch_id: int, dim: int | None,
     if registrations is not None:
         log = spark.read.schema(REGISTRATION_SCHEMA).parquet(registrations)
         pushes = U.accepted_in_time(pushes, log)
-    pushes = cut_lineage(pushes)                  # read four times below
+    pushes = cut_lineage(pushes)                  # read several times below
     _write(pushes.select("expert", "seq"), f"{sink_dir}/seen/batch={batch_id}")
 
-    held, global_dim = _held(pushes, sink_dir, batch_id)
+    held, global_dim, first_dim = _held(pushes, sink_dir, batch_id)
+    if global_dim is None:
+        global_dim = dim if dim is not None and not scalar else first_dim
     if scalar:
-        global_dim, judged = 1, U.judged_scalars(pushes, held)
-    elif global_dim is None:
-        global_dim = dim if dim is not None else pushes.agg(F.min_by(F.size("delta"), F.struct("seq", F.size("delta")))).first()[0]
-    if not scalar:
+        judged = U.judged_scalars(pushes, held)
+    else:
         judged, _ = U._judged(pushes, ["expert"], ["expert"], "delta", dim, held)
     own = F.struct(F.lit("expert").alias("scope"), F.col("expert").alias("expert"), F.lit(0).cast("long").alias("salt"),
                    F.col("dim").cast("int").alias("dim"), F.col("reason").isNull().alias("fits"))
