@@ -73,14 +73,14 @@ def test_difference_cover():
     assert len(shifts) == S.PERIOD ** 2 and S.ANCHOR + S.PERIOD - 1 == S.WINDOW
 
 
-def shingles(text):
+def shingles(text, length=4):
     w = [x.lower() for x in ascii_words(text)]          # bytes.lower is A-Z only
-    return frozenset(tuple(w[i:i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i:i + length]) for i in range(len(w) - length + 1)) if len(w) >= length else frozenset([tuple(w)] if w else [])
 
 
-def components_brute(rows):
+def components_brute(rows, length=4, percent=85):
     """component per row: vertices are doc_ids; a null id takes its class's."""
-    sets = [(d, shingles(t)) for d, t in rows]
+    sets = [(d, shingles(t, length)) for d, t in rows]
     parent = {d: d for d, _ in sets if d is not None}
 
     def root(x):
@@ -91,7 +91,7 @@ def components_brute(rows):
     known = [(d, s) for d, s in sets if d is not None and s]
     for i, (a, x) in enumerate(known):
         for b, y in known[:i]:
-            if 100 * len(x & y) >= 85 * len(x | y):
+            if 100 * len(x & y) >= percent * len(x | y):
                 ra, rb = root(a), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
     out = []
