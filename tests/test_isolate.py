@@ -94,3 +94,26 @@ def test_no_rows_and_no_failing_stage(spark):
     assert C.classify_chain(none, ["docs"], "docs", stages=[stage], with_errors=True).collect() == []
     plain = C.classify_chain(_items(spark), ["docs", "python"], "docs", with_errors=True)
     assert plain.where(F.size("errors") > 0).count() == 0
+
+
+def test_an_item_function_is_called_once_an_item():
+    calls = []
+
+    def picky(item, domains):
+        calls.append(item["x"])
+        return {0: ("d", 0.5, "r"), 1: None, 2: ("d", "high", "r"), 3: ("d", 0.5)}[item["x"] % 5]      # 4: KeyError
+    got = I.run_isolated(I.by_item(picky), pd.DataFrame({"x": range(1000)}), [])
+    assert calls == list(range(1000))
+    assert got["error"].isna().sum() == 400 and got["domain"].notna().sum() == 200
+    assert got["error"][4] == "KeyError: 4" and got["error"][2].startswith("ValueError: ") and got["error"][3].startswith("ValueError: 3 columns")
+
+
+def test_a_half_that_must_fail_is_not_called():
+    calls = []
+
+    def counted(rows, domains):
+        calls.append(len(rows))
+        return _double(rows, domains)
+    got = I.run_isolated(counted, pd.DataFrame({"x": [*range(1023), -1]}), ["d"])
+    assert got["error"].notna().tolist() == [False] * 1023 + [True]
+    assert calls == [1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1, 1]
