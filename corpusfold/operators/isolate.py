@@ -152,5 +152,6 @@ def by_item(fn: ItemFn) -> BatchFn:
 
 def stage_errors(routed: DataFrame) -> DataFrame:
     """(stage, error, n) over the ``errors`` of a routed table: the side output, two narrow partial aggregations."""
-    each = routed.select(F.explode("errors").alias("e")).select("e.stage", "e.error")
+    # outer: for a plain explode Spark adds a filter on ``errors`` below it, for which every Python stage runs a second time
+    each = routed.select(F.explode_outer("errors").alias("e")).where("e is not null").select("e.stage", "e.error")
     return each.groupBy("stage", "error").agg(F.count(F.lit(1)).cast("bigint").alias("n"))

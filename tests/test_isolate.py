@@ -117,3 +117,13 @@ def test_a_half_that_must_fail_is_not_called():
     got = I.run_isolated(counted, pd.DataFrame({"x": [*range(1023), -1]}), ["d"])
     assert got["error"].notna().tolist() == [False] * 1023 + [True]
     assert calls == [1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1, 1]
+
+
+def test_counting_errors_runs_each_stage_once(spark):
+    def fussy(rows, domains):
+        raise LookupError("no code")
+    stages = [C.stage_from_batch_fn("fussy", fussy, inputs=["code"]), C.stage_from_item_fn("lazy", lambda item, domains: 1 / 0, inputs=["code"])]
+    errors = I.stage_errors(C.classify_chain(_items(spark), ["docs"], "docs", stages=stages, with_errors=True))
+    plan = errors._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == len(stages)
+    assert {(r.stage, r.n) for r in errors.collect()} == {("fussy", 60), ("lazy", 60)}
