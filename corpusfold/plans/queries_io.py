@@ -56,15 +56,20 @@ def _jsonl_lines(it: DataFrame) -> DataFrame:
             .select("item_id", *[c for c in ("lang",) if c in it.columns], "e.sub", "e.line"))
 
 
+def _in_files(lines: DataFrame) -> DataFrame:
+    """Lines in item order; all of an item in one file, so that none begins with a planted line (``[1,2]`` would make it an array)."""
+    return lines.repartitionByRange("item_id").sortWithinPartitions("item_id", "sub")
+
+
 def write_items_jsonl(spark: SparkSession, sf_dir: str, by_lang: bool = False) -> str:
     """Stand-in corpus file(s) written from ``items`` in item order (range-partitioned, so part
     files and lines inside them follow item order)."""
     out = scratch_path(spark, "items-jsonl")
     lines = _jsonl_lines(X.items(spark, sf_dir))
     if by_lang:
-        lines.orderBy("item_id", "sub").select("lang", "line").write.partitionBy("lang").text(out)
+        _in_files(lines).select("lang", "line").write.partitionBy("lang").text(out)
     else:
-        lines.orderBy("item_id", "sub").select("line").write.text(out)
+        _in_files(lines).select("line").write.text(out)
     return out
 
 
@@ -157,7 +162,7 @@ def json_array_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: a folder of JSON-lines and JSON-array files (one of them behind 300 empty lines), each read by its own format."""
     out = scratch_path(spark, "items-mixed")
-    _jsonl_lines(X.items(spark, sf_dir)).orderBy("item_id", "sub").select("line").write.text(out)
+    _in_files(_jsonl_lines(X.items(spark, sf_dir))).select("line").write.text(out)
     arrays = item_arrays(X.items(spark, sf_dir)).select(F.concat(F.repeat(F.lit("\n"), 300 * (F.col("chunk") % 2)), "value").alias("value"))
     arrays.repartition(F.col("value")).write.mode("append").option("maxRecordsPerFile", 1).text(out)
     return _read_cols(S.read_items(spark, out))

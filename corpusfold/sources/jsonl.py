@@ -8,8 +8,8 @@
   skipped, a file that does not parse is an error. Arrays are cut into elements
   by as many tasks as the file has splits (:mod:`corpusfold.sources.arrays`).
 * S3 ``file_formats``: per file, the first non-space character of its first 4096
-  bytes, read once through the file system's own interface: no line is read for
-  it. ``read_items`` reads each file of a folder by its format.
+  bytes, read once through the file system's own interface, many files at a time: no
+  line is read for it. ``read_items`` reads each file of a folder by its format.
 * S4 ``sample_size``: first N physical lines (blank/bad lines use quota) *before*
   parsing. Files are opened in order until N lines are found; of those files the
   first N lines come by ``orderBy(...).limit(N)`` (each task keeps N).
@@ -28,6 +28,7 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusfold.functions import rules as R
 from corpusfold.functions.text import py_strip
 from corpusfold.session import list_names, path_exists
-from corpusfold.sources.arrays import array_elements
+from corpusfold.sources.arrays import array_elements, read_text
 
 log = logging.getLogger(__name__)
 
@@ -44,6 +45,7 @@ ITEM_FIELDS = list(dict.fromkeys([*R.CODE_KEYS, *R.TEXT_KEYS]))
 # metadata is read as text, whatever it is: an object that is not an object there is still a valid line
 ITEM_SCHEMA = ", ".join(f"{k} string" for k in ITEM_FIELDS) + ", metadata string"
 HEAD_CHARS = 4096
+HEAD_THREADS = 16
 _CORRUPT = "_corrupt_record"
 _JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
 
@@ -61,7 +63,7 @@ def _project_item(df: DataFrame, parsed: str = "_j", carry: Sequence[str] = ())
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines with a file-order key (file, block start, position in split)."""
-    return (spark.read.text(path)
+    return (read_text(spark, path)
             .select("value", F.col("_metadata.file_path").alias("_f"),
                     F.col("_metadata.file_block_start").alias("_b"),
                     F.monotonically_increasing_id().alias("item_id")))
@@ -123,20 +125,25 @@ def read_json_array(spark: SparkSession, path: str | list[str], sample_size: int
     return _project_item(el.withColumn("_j", _parse(F.col("raw"))))
 
 
-def _head(spark: SparkSession, file: str) -> str:
-    """The first bytes of a file of any store, as text."""
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(unquote(file))
-    stream = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hpath)
-    try:
-        return bytes(stream.readNBytes(HEAD_CHARS)).decode("utf-8", "ignore")
-    finally:
-        stream.close()
+def _heads(spark: SparkSession, files: Sequence[str]) -> list[str]:
+    """The first bytes of each file of any store, as text, ``HEAD_THREADS`` files at a time."""
+    hadoop_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def head(file: str) -> str:
+        hpath = hadoop_path(unquote(file))
+        stream = hpath.getFileSystem(conf).open(hpath)
+        try:
+            return bytes(stream.readNBytes(HEAD_CHARS)).decode("utf-8", "ignore")
+        finally:
+            stream.close()
+    with ThreadPoolExecutor(HEAD_THREADS) as pool:
+        return list(pool.map(head, files))
 
 
 def _formats(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """(file, format) of the files in ``path``, by their heads alone."""
-    heads = ((f, _head(spark, f)) for f in sorted(spark.read.text(path).inputFiles()))
-    return [(f, "json_array" if h.lstrip()[:1] == "[" else "jsonl") for f, h in heads if h]
+    files = sorted(spark.read.text(path).inputFiles())
+    return [(f, "json_array" if h.lstrip()[:1] == "[" else "jsonl") for f, h in zip(files, _heads(spark, files)) if h]
 
 
 def file_formats(spark: SparkSession, path: str) -> DataFrame:

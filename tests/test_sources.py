@@ -263,3 +263,38 @@ def test_salted_domain_write(spark, tmpdir_path):
     hot_files = [f for f in glob.glob(os.path.join(out, "domain=hot", "*.txt"))]
     assert 1 < len(hot_files) <= 3
     assert SK.read_domains(spark, out).count() == 300
+
+
+def test_no_written_file_begins_with_a_planted_line(spark, tmp_path):
+    from corpusfold.plans import queries_io as Q
+    spark.range(0, 19 * 60, 19).selectExpr("id AS doc_id", "'text' AS text", "'en' AS lang", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("150", "false")):           # more files than items: lines of one item would be dealt over several
+            spark.conf.set(n, v)
+        assert Q.jsonl_read(spark, str(tmp_path)).where("problem_id IS NOT NULL").count() == 60
+        assert Q.mixed_read(spark, str(tmp_path)).where("problem_id IS NOT NULL").count() == 120
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    from corpusfold.sources.arrays import LISTING, read_text
+    files = []
+    for i in range(60):
+        files.append(str(tmp_path / f"f{i:02d}.txt"))
+        (tmp_path / f"f{i:02d}.txt").write_text("[1]" if i % 3 else '{"prompt": "p"}')
+    before, sc = spark.conf.get(LISTING), spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    try:
+        assert read_text(spark, files).count() == 60
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("listing")]
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in j.stageIds]
+        assert max(s.numTasks for s in stages if s) < 60
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            sc.setLocalProperty(key, None)
+    assert spark.conf.get(LISTING) == before
+    assert [fmt for _, fmt in S._formats(spark, str(tmp_path))] == ["json_array" if i % 3 else "jsonl" for i in range(60)]
