@@ -83,6 +83,7 @@ class ByteCodec(WordCodec):
     """Ids of the byte-level vocabulary."""
 
     plain = BytePlain
+    plain_ids = WordCodec.library_ids            # spaces are part of its pre-tokens
 
     @staticmethod
     def pieces(text: bytes) -> list[str]:

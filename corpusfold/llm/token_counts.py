@@ -61,13 +61,13 @@ class WholeTokenCounter(WordCodec):
         super().__init__(path)
         self.whole = whole_tokens(self)
 
-    def _append(self, strings: list[str]) -> np.ndarray:
+    def _append(self, strings: list[str], plain: bool = False) -> np.ndarray:
         n0, n1 = self.rows, self.rows + len(strings)
         if n1 > len(self.length):
             self.length = np.concatenate([self.length, np.zeros(max(n1, 2 * len(self.length)) - len(self.length), np.int32)])
         count = np.ones(len(strings), np.int32)
         rest = np.array([i for i, s in enumerate(strings) if s not in self.whole], np.int64)
-        count[rest] = [len(ids) for ids in self.library_ids([strings[i] for i in rest])]
+        count[rest] = [len(ids) for ids in (self.plain_ids if plain else self.library_ids)([strings[i] for i in rest])]
         self.length[n0:n1] = count
         self.rows = n1
         return np.arange(n0, n1, dtype=np.int32)

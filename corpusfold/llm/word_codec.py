@@ -28,6 +28,7 @@ TABLE_BYTES = 16 << 20           # a larger table is emptied before the next chu
 CHUNK = 512 << 10               # bytes of text of a chunk: its arrays take some 60 times as much
 _STRING_BYTES = 160             # of a string in the dictionary
 _BATCH = 1 << 12
+_JOINED = 1 << 6                # pre-tokens of a string given to the library
 _SLOTS = 1 << 17
 _SLOT_SHIFT = np.uint64(47)
 _CODECS: dict[tuple, "WordCodec"] = {}
@@ -181,9 +182,21 @@ class WordCodec:
             for e in self.tokenizer.encode_batch_fast(strings[lo:lo + _BATCH], add_special_tokens=False):
                 yield e.ids
 
-    def _append(self, strings: list[str]) -> np.ndarray:
-        """New rows with the ids of the strings."""
-        ids = list(self.library_ids(strings))
+    def plain_ids(self, strings: list[str]) -> Iterator[list[int]]:
+        """The same for pre-tokens of plain documents, many at once: spaces part them, and the library tells each id's word."""
+        for lo in range(0, len(strings), _BATCH):
+            parts = [strings[i:i + _JOINED] for i in range(lo, min(lo + _BATCH, len(strings)), _JOINED)]
+            for part, e in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+                words, ids = e.word_ids, e.ids
+                cuts = [i for i, (a, b) in enumerate(zip(words, words[1:]), 1) if a != b]
+                if words and len(cuts) + 1 == len(part) and words[0] == 0 and words[-1] == len(part) - 1:
+                    yield from map(ids.__getitem__, map(slice, [0, *cuts], [*cuts, len(ids)]))
+                else:                                # not one word a pre-token: no such vocabulary file is known
+                    yield from self.library_ids(part)
+
+    def _append(self, strings: list[str], plain: bool = False) -> np.ndarray:
+        """New rows with the ids of the strings, which may be pre-tokens of plain documents."""
+        ids = list((self.plain_ids if plain else self.library_ids)(strings))
         n0, n1 = self.rows, self.rows + len(strings)
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         total = self.used + int(lengths.sum())
@@ -233,7 +246,7 @@ class WordCodec:
         new = np.flatnonzero(row < 0)
         if len(new):
             fresh, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-            added = self._append([plain.string(i) for i in new[first]])
+            added = self._append([plain.string(i) for i in new[first]], plain=True)
             row[new] = added[back]
             self._learn(fresh, added)
         return row

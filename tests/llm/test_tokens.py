@@ -84,3 +84,14 @@ def test_counts(spark, odd, empty):
     assert got == sorted((str(d), len((t or "").encode()), len(ids_of(t)), len(ids_of(t)) > 2048)
                          for d, t in odd.select("doc_id", "text").collect())
     assert C.token_counts(empty).collect() == []
+
+
+def test_joined_pretokens_have_the_ids_of_single_ones():
+    from corpusfold.llm.word_codec import WordCodec, vocabulary
+    codec = WordCodec(vocabulary())
+    strings = ["the", "'s", "s", "...", "7", "qzxvwkj", "'ll", "über", "<", "|>", "a" * 300] * 30
+    assert list(codec.plain_ids(strings)) == list(codec.library_ids(strings))
+    assert list(codec.plain_ids(["two words", "three more words"])) == list(codec.library_ids(["two words", "three more words"]))
+    calls = []
+    codec.tokenizer, library = type("Counted", (), {"encode_batch": lambda self, texts, **k: calls.append(len(texts)) or library.encode_batch(texts, **k)})(), codec.tokenizer
+    assert len(list(codec.plain_ids(strings))) == 330 and calls == [6]
