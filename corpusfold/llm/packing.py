@@ -202,7 +202,7 @@ def _pack(path: str, end_id: int, length: int, group_tokens: int, with_ids: bool
                     yield from flush(False)
         if group.tokens:
             yield from flush(True)
-    return released(run)
+    return released(run, remembers=True)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID, length: int = LENGTH,

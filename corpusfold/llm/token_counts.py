@@ -87,7 +87,7 @@ def _counts(path: str):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[lo:hi], pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64())],
                     names=["doc_id", "n_bytes", "n_tokens"])
-    return released(run)
+    return released(run, remembers=True)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -164,7 +164,7 @@ def _segments(path: str, end_id: int):
                     yield flush()
         if held:
             yield flush()
-    return released(run)
+    return released(run, remembers=True)
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID) -> None:

@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-from corpusfold.llm.common import LOWER, ragged_index, span_hashes
+from corpusfold.llm.common import HELD, LOWER, ragged_index, span_hashes
 
 _LATIN = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 # fixed value: the pattern of the vocabulary file, for lower-cased text of the characters below
@@ -32,6 +32,7 @@ _JOINED = 1 << 6                # pre-tokens of a string given to the library
 _SLOTS = 1 << 17
 _SLOT_SHIFT = np.uint64(47)
 _CODECS: dict[tuple, "WordCodec"] = {}
+HELD.append(_CODECS)
 
 
 def pretokens(text: str) -> list[str] | None:

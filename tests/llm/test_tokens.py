@@ -95,3 +95,24 @@ def test_joined_pretokens_have_the_ids_of_single_ones():
     calls = []
     codec.tokenizer, library = type("Counted", (), {"encode_batch": lambda self, texts, **k: calls.append(len(texts)) or library.encode_batch(texts, **k)})(), codec.tokenizer
     assert len(list(codec.plain_ids(strings))) == 330 and calls == [6]
+
+
+def test_span_hashes_do_not_depend_on_the_block(monkeypatch):
+    import numpy as np
+
+    from corpusfold.llm import common
+    data = np.frombuffer(b" ".join(b"w%d" % (i % 97) * (1 + i % 5) for i in range(5000)), np.uint8)
+    whole = common.Words(data, np.array([0, len(data)]))
+    want = whole.hashes()
+    common._POW.clear()
+    monkeypatch.setattr(common, "HASH_BLOCK", 64)
+    assert (whole.hashes() == want).all()
+    assert len(common._POW["r"]) <= 65 and len(common.span_hashes(data, whole.starts[:0], whole.ends[:0])) == 0
+    assert common.span_hashes(data, np.array([0]), np.array([len(data)])) is not None
+
+
+def test_an_operator_drops_what_others_remember():
+    from corpusfold.llm import common, word_codec
+    word_codec._CODECS["left"] = object()
+    assert list(common.released(iter, remembers=True)([1])) == [1] and "left" in word_codec._CODECS
+    assert list(common.released(iter)([1])) == [1] and not word_codec._CODECS
