@@ -199,3 +199,22 @@ def test_archives(spark, tmpdir_path, monkeypatch, size):
 def test_archives_of_nothing(spark, tmpdir_path):
     W.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), tmpdir_path + "/w")
     assert W.capture_index(spark, tmpdir_path + "/w").collect() == []
+
+
+@pytest.mark.parametrize("scale", [1, 5000])
+def test_entries_stay_in_the_task_that_finds_them(spark, scale):
+    """All vectors are far above the cutoff at one node and below tau as a whole: none of these pairs leaves a task."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(21)
+    rows = [(i, [float(rng.integers(900, 1000) * scale), float(-rng.integers(900, 1000) * scale)], 1, 1) for i in range(1, 300)]
+    rows += [(1000 + i, [1000.0 * scale + i, 1000.0 * scale], 1, 1) for i in range(8)] + [(0, [1.0, 1.0], 1, 1), (50, [1.0, 0.5], 1, 1)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    classes = df.select(F.col("vec_id").alias("cls"), K.whole_components().alias("vector")).withColumn("dim", F.size("vector"))
+    nodes = K.node_blocks(classes, 3)
+    block = spark.sparkContext.broadcast(K.Asked(classes.where("cls = 0").collect()))
+    listed = nodes.mapInArrow(K._gather(block, 5), K._SCORE).collect()
+    tau = sorted((r.score for r in listed), reverse=True)[5]
+    got = nodes.mapInArrow(K._resolve(block, spark.sparkContext.broadcast({0: tau})), K._SCORE).collect()
+    assert {r.cls for r in got} == {1000 + i for i in range(2, 8)} and min(r.score for r in got) == tau
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in K.top_inner_products(df, F.col("vec_id") % 50 == 0).collect())
+    assert found == search_brute(df.collect(), 5)
