@@ -187,3 +187,28 @@ def test_registered(spark):
         assert sum(k.startswith(f"op{n}_") for k in Q.QUERIES) == 1
     assert set(Q.ORACLE) <= set(Q.QUERIES)
     assert Q.QUERIES["op1_substring_dedup"](spark, SF001).columns[:4] == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
+def test_leading_columns_of_unrelated_documents(spark):
+    """Documents that share common words hold rare ones too, which lead: no column is common to unrelated ones."""
+    rng = random.Random(13)
+    common = ["a", "b", "c"]
+    texts = [" ".join(w for j in range(12) for w in ([rng.choice(common) for _ in range(8)] + [f"r{d}x{j}"])) for d in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    seen = df.selectExpr("*", "xxhash64(text) AS th").mapInArrow(ngram_join._rows, ngram_join._ROW)
+    weight = ngram_join._word_weights(seen, 4)
+    nothing = ngram_join.np.zeros(0, ngram_join.U64)
+    lead = [ngram_join.np.frombuffer(r.lead, ngram_join.U64)
+            for r in df.mapInArrow(ngram_join._leading_rows(weight, nothing, nothing), "doc_id long, n int, lead binary").collect()]
+    assert len(lead) == 150 and min(map(len, lead)) > 5
+    _, rows = ngram_join.np.unique(ngram_join.np.concatenate(lead), return_counts=True)
+    assert rows.max() == 1
+    check_components(df)
+
+
+def test_only_columns_of_several_components_make_blocks(spark):
+    """One column joins rows of two components, the others are each held by rows of one: those rows stay out."""
+    entries = [(c, d, 9) for c, docs in ((1, range(0, 40)), (2, range(40, 80)), (3, (0, 40))) for d in docs]
+    labels = spark.createDataFrame([(d, d // 40 * 40) for d in range(80)], "node long, label long")
+    got = ngram_join._blocks(spark.createDataFrame(entries, "column long, doc long, n int"), labels).collect()
+    assert {(r.column, r.doc) for r in got} == {(3, 0), (3, 40)}
