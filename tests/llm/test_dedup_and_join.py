@@ -212,3 +212,19 @@ def test_only_columns_of_several_components_make_blocks(spark):
     labels = spark.createDataFrame([(d, d // 40 * 40) for d in range(80)], "node long, label long")
     got = ngram_join._blocks(spark.createDataFrame(entries, "column long, doc long, n int"), labels).collect()
     assert {(r.column, r.doc) for r in got} == {(3, 0), (3, 40)}
+
+
+def test_stage_deals_out_no_text_of_single_rows(spark, monkeypatch):
+    rng = random.Random(17)
+    base = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, base, "x"), (2, base + " tail", "y"), (None, base, "z"), (None, None, "p"), (None, None, "q"), (5, "", "r"), (5, "", "s"),
+            (None, "one two", "t"), (6, None, "u")]
+    rows += [(10 + i, " ".join(f"v{rng.randrange(5000)}" for _ in range(20)), "w") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string").repartition(4)
+    dealt, join = [], ngram_join.by_keys
+    monkeypatch.setattr(ngram_join, "by_keys", lambda rows, keys, on, how="left_semi": dealt.append((how, rows, keys)) or join(rows, keys, on, how))
+    out = ngram_join.one_of_each(df)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, base), (5, ""), (6, None), (None, None), (None, "one two")] + [r[:2] for r in rows[9:]]))
+    how, all_rows, several = dealt[-2]
+    assert how == "left_semi" and all_rows.join(several, ["__no_id", "__id", "__th"], "left_semi").count() == 4
